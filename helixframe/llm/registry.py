@@ -1,9 +1,10 @@
 """The queries of this package and their DuckDB oracles."""
 
-from helixframe.llm import licenses, line_dedup, packing, secrets, sharding
+from helixframe.llm import bpe, licenses, line_dedup, packing, secrets, sharding
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op4_bpe_round_trip": bpe.op4_bpe_round_trip,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_license_digests": licenses.op6_license_digests,
     "op8_secret_scan": secrets.op8_secret_scan,

@@ -52,8 +52,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts in order, and each text's first word (one more entry closes it).
+def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in order, each text's first word (one more entry closes it), and where the words start.
+
+    Starts count the bytes of the texts joined with one byte between them.
 
     A word's hash depends on its bytes and its length alone: eight bytes at a
     time are packed into one integer and mixed in, for all words at once.
@@ -82,7 +84,7 @@ def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.
         at += 8
         todo = todo[left > 8]
     begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    return out, np.searchsorted(start, begins)
+    return out, np.searchsorted(start, begins), start
 
 
 def shingle_hashes(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +92,7 @@ def shingle_hashes(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarra
 
     Returns the hashes in order and each text's first one, closed by one more entry.
     """
-    words, first = word_hashes(texts)
+    words, first, _ = word_hashes(texts)
     count = np.diff(first)
     runs = np.where(count >= size, count - size + 1, np.minimum(count, 1))
     begin = np.concatenate([[0], np.cumsum(runs)])

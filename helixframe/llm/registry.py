@@ -1,13 +1,16 @@
 """The queries of this package and their DuckDB oracles."""
 
-from helixframe.llm import bpe, licenses, line_dedup, packing, secrets, sharding
+from helixframe.llm import bpe, licenses, line_dedup, packing, quality, secrets, sharding, simhash, webp
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_attention_quality": quality.op2_attention_quality,
     "op4_bpe_round_trip": bpe.op4_bpe_round_trip,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_license_digests": licenses.op6_license_digests,
+    "op7_lossless_webp": webp.op7_lossless_webp,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_lpt_shards": sharding.op9_lpt_shards,
+    "op10_simhash": simhash.op10_simhash,
 }
 ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op6_license_digests": licenses.ORACLE}

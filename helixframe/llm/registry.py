@@ -1,10 +1,11 @@
 """The queries of this package and their DuckDB oracles."""
 
-from helixframe.llm import bpe, licenses, line_dedup, packing, quality, secrets, sharding, simhash, webp
+from helixframe.llm import bpe, licenses, line_dedup, near_dedup, packing, quality, secrets, sharding, simhash, webp
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_attention_quality": quality.op2_attention_quality,
+    "op3_minhash_near_dedup": near_dedup.op3_minhash_near_dedup,
     "op4_bpe_round_trip": bpe.op4_bpe_round_trip,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_license_digests": licenses.op6_license_digests,

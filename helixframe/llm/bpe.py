@@ -245,7 +245,8 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
         for batch in batches:
-            texts = [own.decode(x or []) for x in batch.column("ids").to_pylist()]
+            ids = batch.column("ids")
+            texts = [own.decode(ids[k].values.to_numpy().tolist() if ids[k].is_valid else []) for k in range(len(ids))]  # row by row: lists of integers take ten times their room
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))

@@ -1,4 +1,6 @@
-"""All registered queries with their DuckDB oracles."""
+"""All registered queries with their DuckDB oracles: importing a module of plans registers its queries."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from helixframe.plans import sequences  # noqa: F401
+from helixframe.plans.core import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -40,7 +40,7 @@ def top_and_extras(profile: DataFrame, proportion: float, by: Sequence[str] = ()
 def covering(profile: DataFrame, share: float, by: Sequence[str] = ()) -> DataFrame:
     """The smallest prefix of ranked residues that reaches a share of each position."""
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*by, "pos").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return profile.filter(before < share * F.col("total"))
+    return profile.withColumn("before", before).filter(F.col("before") < share * F.col("total")).drop("before")
 
 
 def entropy(profile: DataFrame, by: Sequence[str] = ()) -> DataFrame:

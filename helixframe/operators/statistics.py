@@ -65,10 +65,9 @@ def ranks_of_two(df: DataFrame, value: str, weight: str, side: str, a: str, b: s
     return cells_.withColumn("below", F.coalesce(F.sum("wb").over(over), F.lit(0)))
 
 
-@F.pandas_udf("double")
-def normal_tail(z: pd.Series) -> pd.Series:
+def normal_tail(z: Column | str) -> Column:
     """2 * P(Z > z)."""
-    return z.map(lambda x: None if x is None or x != x else math.erfc(x / math.sqrt(2)))
+    return F.pandas_udf(lambda s: s.map(lambda x: None if x is None or x != x else math.erfc(x / math.sqrt(2))), "double")(z)
 
 
 def mann_whitney(df: DataFrame, value: str, weight: str, side: str, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.graph import written
+
 
 def aligned_counts(df: DataFrame, key: str, sample: str, count: Column, samples: Sequence[str]) -> DataFrame:
     """One row a key with its count in each sample, 0 where it is missing; keys of no count at all go."""
@@ -97,3 +99,19 @@ def centred_mean(df: DataFrame, by: Sequence[str], order: str, value: str, frame
     """Rolling mean over `frame` rows around each one; NULL where the frame is not full."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(-(frame // 2), frame - frame // 2 - 1)
     return df.withColumn("rolling_mean", F.when(F.count(value).over(w) == frame, F.avg(value).over(w)))
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str = "ord") -> DataFrame:
+    """df with gapless numbers from 0 in an order, without bringing all rows to one task.
+
+    Ranges of the order are sorted each by itself; the ranges' sizes, one row a
+    task, give each its first number.
+    """
+    local = F.monotonically_increasing_id()
+    ranged = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", local), "numbered")
+    part = F.shiftright("__id", 33)
+    sizes = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    first = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = sizes.select("__part", first.alias("__first"))
+    rows = ranged.withColumn("__part", part).join(F.broadcast(firsts), "__part")
+    return rows.withColumn(name, F.col("__first") + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id", "__part", "__first")

@@ -266,16 +266,16 @@ def holm(spark, sf_dir):
     return statistics.holm(p, "p", tie="variant").select("variant", r9("p").alias("p"), r9("adjusted").alias("adjusted"))
 
 
-@query("g41_block_means", """WITH b AS (SELECT event_type, ntile(5) OVER (PARTITION BY event_type ORDER BY event_id) AS block, value FROM events), m AS (SELECT event_type, block, avg(value) AS m FROM b GROUP BY 1, 2)
-SELECT event_type, round(avg(m), 6) AS mean, round(stddev_samp(m) / sqrt(count(*)), 6) AS sem FROM m GROUP BY 1""")
+@query("g41_block_means", """WITH b AS (SELECT user_id, ntile(5) OVER (PARTITION BY user_id ORDER BY event_id) AS block, value FROM events), m AS (SELECT user_id, block, avg(value) AS m FROM b GROUP BY 1, 2)
+SELECT user_id, round(avg(m), 6) AS mean, round(stddev_samp(m) / sqrt(count(*)), 6) AS sem FROM m GROUP BY 1""")
 def block_means(spark, sf_dir):
-    got = statistics.block_means(table(spark, sf_dir, "events"), ["event_type"], "event_id", "value")
-    return got.select("event_type", F.round("mean", 6).alias("mean"), F.round("sem", 6).alias("sem"))
+    got = statistics.block_means(table(spark, sf_dir, "events"), ["user_id"], "event_id", "value")
+    return got.select("user_id", F.round("mean", 6).alias("mean"), F.round("sem", 6).alias("sem"))
 
 
-@query("w5_rolling_mean", """SELECT event_id, CASE WHEN count(value) OVER w = 20 THEN round(avg(value) OVER w, 6) ELSE -1 END AS rolling_mean FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING)""")
+@query("w5_rolling_mean", """SELECT event_id, CASE WHEN count(value) OVER w = 20 THEN round(avg(value) OVER w, 6) ELSE -1 END AS rolling_mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING)""")
 def rolling(spark, sf_dir):
-    got = relational.centred_mean(table(spark, sf_dir, "events"), ["event_type"], "event_id", "value", 20)
+    got = relational.centred_mean(table(spark, sf_dir, "events"), ["user_id"], "event_id", "value", 20)
     return got.select("event_id", F.coalesce(F.round("rolling_mean", 6), F.lit(-1.0)).alias("rolling_mean"))
 
 

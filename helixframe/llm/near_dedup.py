@@ -6,7 +6,9 @@ bits, the low bits of MinHash values; the distance of two signatures is the
 number of slots that differ. The slots are cut into `CHUNKS` chunks of four. By
 the pigeonhole principle two signatures within `DISTANCE` differ in at most one
 slot of some chunk, so that each chunk is indexed four times, each time without
-one of its slots: every pair within the distance meets in some bucket. At a
+one of its slots: every pair within the distance meets in some bucket. Only
+rows of buckets with company get their signatures, packed to four bits a slot,
+which can only bring more pairs within the distance. At a
 similarity of 0.8 a slot differs with probability 0.2, and more than `DISTANCE`
 of 48 do with probability 2e-6.
 
@@ -66,8 +68,20 @@ def signatures(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
+def packed(signs: np.ndarray) -> np.ndarray:
+    """The low four bits of each slot, two slots a byte: the distance of two packed signatures is never above that of the whole ones."""
+    low = (signs & 15).astype(np.uint8)
+    return low[:, ::2] << 4 | low[:, 1::2]
+
+
+def unpacked(low: pa.ChunkedArray) -> np.ndarray:
+    """(row, slot) of packed signatures."""
+    both = np.frombuffer(b"".join(low.to_pylist()), np.uint8).reshape(-1, SLOTS // 2)
+    return np.stack([both >> 4, both & 15], -1).reshape(-1, SLOTS)
+
+
 def features(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, high and low (the set's digest), signature."""
+    """doc_id, n_shingles, high and low (the set's digest), signature, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,14 +96,13 @@ def features(docs: DataFrame, size: int) -> DataFrame:
                     low[full] = np.bitwise_xor.reduceat(mixed(sets ^ np.uint64(2)), begin[full]).view(np.int64)
                 signs = signatures(sets, begin)
                 part = batch.column("doc_id").slice(rows[0], len(rows))
-                yield pa.RecordBatch.from_arrays([part, pa.array(count.astype(np.int64)), pa.array(high), pa.array(low), pa.array([s.tobytes() for s in signs], pa.binary())], ["doc_id", "n_shingles", "high", "low", "signature"])
+                yield pa.RecordBatch.from_arrays([part, pa.array(count.astype(np.int64)), pa.array(high), pa.array(low), pa.array([s.tobytes() for s in signs], pa.binary()), pa.array([s.tobytes() for s in packed(signs)], pa.binary())], ["doc_id", "n_shingles", "high", "low", "signature", "packed"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, high long, low long, signature binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, high long, low long, signature binary, packed binary")
 
 
 def keyed(classes: DataFrame) -> DataFrame:
-    """key, node, n, low (the low byte of each slot): a row for each chunk and each of its slots left out."""
-    names = ["key", "node", "n", "low"]
+    """key, node: a row for each chunk and each of its slots left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,11 +116,34 @@ def keyed(classes: DataFrame) -> DataFrame:
                     keys[:, :, gone] = (np.arange(CHUNKS) * PER_CHUNK + gone) << 48
                     for place, c in enumerate(rest):
                         keys[:, :, gone] |= chunks[:, :, c] << (16 * place)
-                repeat = np.repeat(np.arange(len(signs)), CHUNKS * PER_CHUNK)
-                low = pa.array([s.tobytes() for s in signs.astype(np.uint8)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column("node").take(pa.array(repeat)), part.column("n").take(pa.array(repeat)), low.take(pa.array(repeat))], names)
+                node = np.repeat(part.column("node").to_numpy(), CHUNKS * PER_CHUNK)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(node)], ["key", "node"])
+
+    return classes.select("node", "signature").mapInArrow(run, "key long, node long")
+
+
+def crowded(keys: DataFrame) -> DataFrame:
+    """The rows of keys whose key another row has too: most buckets hold one class, and need no signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, int] | None = None  # a row that waits for its successor
+        had = False  # its predecessor has its key
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
+            if last:
+                key, node = np.append(last[0], key), np.append(last[1], node)
+            same = key[1:] == key[:-1]
+            kept = np.append(same, False)
+            kept[1:] |= same
+            kept[0] |= had
+            yield pa.RecordBatch.from_arrays([pa.array(key[:-1][kept[:-1]]), pa.array(node[:-1][kept[:-1]])], ["key", "node"])
+            last, had = (int(key[-1]), int(node[-1])), bool(kept[-1])
+        if last and had:
+            yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], ["key", "node"])
 
-    return classes.select("node", "n", "signature").mapInArrow(run, "key long, node long, n long, low binary")
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, node long")
 
 
 def runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -198,7 +234,7 @@ def coarse_edges(keys: DataFrame, percent: int) -> DataFrame:
             if not (size > 1).any():
                 continue
             node, n = t.column("node").to_numpy(), t.column("n").to_numpy()
-            low = np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(-1, SLOTS)
+            low = unpacked(t.column("packed"))
             two = start[size == 2]
             near = two[_near(low[two], low[two + 1], n[two], n[two + 1], percent) & (node[two] != node[two + 1])]
             found = forest.fresh(zip(node[near].tolist(), node[near + 1].tolist(), strict=True))
@@ -298,27 +334,30 @@ def groups(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     usable = rows.filter("doc_id is not null and n_shingles > 0")
     digest = ["high", "low", "n_shingles"]
     copied = usable.groupBy(*digest).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    classed = written(salted_left_join(rows, copied, digest).select("doc_id", "n_shingles", "signature", F.coalesce("least", "doc_id").alias("node")), "classes")
-    classes = classed.filter("doc_id = node and n_shingles > 0").select("node", F.col("n_shingles").alias("n"), "signature")
+    classed = written(salted_left_join(rows, copied, digest).select("doc_id", "n_shingles", "signature", "packed", F.coalesce("least", "doc_id").alias("node")), "classes")
+    classes = classed.filter("doc_id = node and n_shingles > 0").select("node", F.col("n_shingles").alias("n"), "signature", "packed")
     sample = keyed(classes.filter(F.pmod(F.xxhash64(F.col("node"), F.lit(1)), F.lit(16)) == 0)).select("key")
-    coarse = written(connected_components(coarse_edges(split_large(keyed(classes), sample), percent)), "coarse")
+    rows = crowded(keyed(classes)).join(classes.drop("signature"), "node")
+    coarse = written(connected_components(coarse_edges(split_large(rows, sample), percent)), "coarse")
     links = exact_edges(docs, coarse, size, percent)
     # Rows of one doc_id with different texts are in several classes; the document joins these.
     several = classed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("nodes")).filter("a <> b")
     found = connected_components(links.union(several.select("a", F.explode("nodes").alias("b"))))
-    placed = salted_left_join(classed.drop("signature"), found, ["node"])
+    placed = salted_left_join(classed.drop("signature", "packed"), found, ["node"])
     component = F.coalesce("component", "node")
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component, the one of the least doc_id; rows with a null doc_id stay. The columns stay."""
-    kept = written(groups(docs, size, percent).filter("kept").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__n")), "kept")
-    rows = docs.join(kept, docs["doc_id"].cast("long") == F.col("__kept"), "left").filter("__kept is not null or doc_id is null")
-    if kept.filter("__n > 1").isEmpty():
+    found = written(groups(docs, size, percent).filter("doc_id is not null").groupBy(F.col("doc_id").alias("__doc")).agg(F.count("*").alias("__n"), F.max("kept").alias("__kept")), "kept")
+    gone = found.filter("not __kept or __n > 1")
+    few = gone.count() <= BROADCAST_ROWS
+    rows = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == F.col("__doc"), "left").filter("__kept is null or __kept")
+    if found.filter("__kept and __n > 1").isEmpty():
         return rows.select(*docs.columns)
-    repeated = rows.filter("__n > 1").dropDuplicates(["doc_id"])
-    return rows.filter("__n = 1 or doc_id is null").unionByName(repeated).select(*docs.columns)
+    repeated = rows.filter("__kept").dropDuplicates(["doc_id"])
+    return rows.filter("__kept is null").unionByName(repeated).select(*docs.columns)
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

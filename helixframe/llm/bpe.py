@@ -7,8 +7,8 @@ pair itself, its left neighbour and the symbol that vanished - each repaired in
 logarithmic time, until the root is empty. Short words take that walk together,
 one NumPy step for all words of a batch; long ones walk alone.
 
-Words repeat, so that each worker keeps the ids of those it has met, up to
-`CACHE` words. The ids depend on the text alone.
+Words repeat, so that each worker keeps the ids of those it has met, in two
+halves of about `CACHE` words. The ids depend on the text alone.
 
 Defined results: a null text counts as empty and has no tokens; the special
 token's string in a text is the special token, as the tokenizers library has
@@ -35,7 +35,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from helixframe.llm.common import table
 
-CACHE = 300_000
+CACHE = 200_000
 SHORT = 32
 SLICE = 2_000_000
 _NONE = np.iinfo(np.int32).max
@@ -77,6 +77,7 @@ class Tokenizer:
         self._pairs, self._ranks = pairs[order], order.astype(np.int32)
         self.rank = dict(zip(pairs.tolist(), range(len(pairs)), strict=True))
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self._split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     def _rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -85,8 +86,8 @@ class Tokenizer:
         at = np.minimum(np.searchsorted(self._pairs, key), len(self._pairs) - 1)
         return np.where((a >= 0) & (b >= 0) & (self._pairs[at] == key), self._ranks[at], _NONE)
 
-    def short_words(self, words: list[bytes], width: int) -> list[np.ndarray]:
-        """The ids of words of at most `width` bytes (a power of two), merged in step."""
+    def short_words(self, words: list[bytes], width: int) -> list[bytes]:
+        """The ids, as bytes of int32, of words of at most `width` bytes (a power of two), merged in step."""
         n = len(words)
         size = np.array([len(w) for w in words])
         raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
@@ -127,7 +128,8 @@ class Tokenizer:
                 r, left = row[has], before[row[has], at[has]]
                 put(r, left, leaf(self._rank_of(symbols[r, left], symbols[r, at[has]]), left))
         alive = symbols[:, :width] >= 0
-        return np.split(symbols[:, :width][alive], np.cumsum(alive.sum(axis=1))[:-1])
+        flat, ends = symbols[:, :width][alive].tobytes(), (4 * np.cumsum(alive.sum(axis=1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def long_word(self, word: bytes) -> np.ndarray:
         """The ids of one word of any length."""
@@ -174,19 +176,20 @@ class Tokenizer:
 
     def _learn(self, chunks: list[str]) -> None:
         """Put the ids (int32 bytes) of new chunks into the cache."""
-        words = [[w.encode() for w in WORD.findall(c)] for c in chunks]
-        fresh = list(set(chain.from_iterable(words)))
-        ids: dict[bytes, bytes] = {}
-        for width in (8, 16, SHORT):
-            some = [w for w in fresh if width // 2 * (width > 8) < len(w) <= width]
+        plain = [c for c in chunks if c.isalpha() or c[1:].isalpha() and c[0] == " "]  # one word each
+        mixed = {c: [w.encode() for w in WORD.findall(c)] for c in set(chunks).difference(plain)}
+        fresh = {*map(str.encode, plain), *chain.from_iterable(mixed.values())}
+        by_width: dict[int, list[bytes]] = {8: [], 16: [], SHORT: [], 0: []}
+        for w in fresh:
+            n = len(w)
+            by_width[8 if n <= 8 else 16 if n <= 16 else SHORT if n <= SHORT else 0].append(w)
+        ids: dict[bytes, bytes] = {w: self.long_word(w).tobytes() for w in by_width.pop(0)}
+        for width, some in by_width.items():
             for k in range(0, len(some), 20_000):
                 part = some[k : k + 20_000]
-                ids.update(zip(part, (x.tobytes() for x in self.short_words(part, width)), strict=True))
-        for w in fresh:
-            if len(w) > SHORT:
-                ids[w] = self.long_word(w).tobytes()
-        for c, ws in zip(chunks, words, strict=True):
-            self.cache[c] = b"".join([ids[w] for w in ws])
+                ids.update(zip(part, self.short_words(part, width), strict=True))
+        self.cache.update(zip(plain, map(ids.__getitem__, map(str.encode, plain)), strict=True))
+        self.cache.update((c, b"".join([ids[w] for w in ws])) for c, ws in mixed.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as the bytes of int32."""
@@ -197,10 +200,13 @@ class Tokenizer:
             for k, part in enumerate(parts):
                 found += [part] if k % 2 else CHUNK.findall(part)
             split.append(found)
-        if len(self.cache) > CACHE:
-            self.cache.clear()
+        if len(self.cache) > CACHE:  # what is met again moves to the younger half
+            self.cache, self.older = {}, self.cache
         self.cache.update({s: np.int32(i).tobytes() for s, i in self.special.items()})
         new = set(chain.from_iterable(split)).difference(self.cache)
+        known = new & self.older.keys()
+        self.cache.update((c, self.older[c]) for c in known)
+        new -= known
         if new:
             self._learn(list(new))
         get = self.cache.__getitem__

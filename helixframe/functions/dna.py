@@ -49,7 +49,7 @@ def translate(c: Column, stop: str = "keep", trailing: str = "trim", unknown: st
     s = F.substr(c, F.lit(frame + 1)) if frame else c
     n = F.floor(F.length(s) / 3).cast("int")
     residues = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: codon_residue(F.substr(s, i * 3 + 1, F.lit(3))))
-    out = F.array_join(residues, "")
+    out = F.when(s.isNotNull(), F.array_join(residues, ""))
     if trailing == "error":
         out = F.when(F.length(s) % 3 == 0, out).when(s.isNotNull(), F.raise_error(F.lit("the length is not a multiple of three")))
     if unknown == "error":

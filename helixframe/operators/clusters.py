@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -203,20 +203,22 @@ def ward(df: DataFrame, key: str, features: Sequence[str], most: int = 256, larg
 def without_overlaps(df: DataFrame, by: str, start: str, end: str, score: str, share: float = 0.5) -> DataFrame:
     """Candidates of each key by falling score, without those that overlap a kept one by `share` of the shorter of the two.
 
-    Each key is one group; the number of candidates of one key bounds it.
+    Rows stream by key and score; only the kept spans of the current key are held.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, start, end], ascending=[False, True, True], kind="stable")
-        kept: list[tuple[int, int]] = []
-        rows = []
-        for i, (a, b) in enumerate(zip(pdf[start], pdf[end], strict=True)):
-            if all(min(b, d) - max(a, c) + 1 < share * min(b - a + 1, d - c + 1) for c, d in kept):
-                kept.append((a, b))
-                rows.append(i)
-        return pdf.iloc[rows]
-
-    return df.groupBy(by).applyInPandas(run, df.schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, kept = None, []
+        for pdf in batches:
+            rows = []
+            for i, (k, a, b) in enumerate(zip(pdf[by].tolist(), pdf[start].tolist(), pdf[end].tolist(), strict=True)):
+                if k != key:
+                    key, kept = k, []
+                if all(min(b, d) - max(a, c) + 1 < share * min(b - a + 1, d - c + 1) for c, d in kept):
+                    kept.append((a, b))
+                    rows.append(i)
+            yield pdf.iloc[rows]
+
+    return df.repartition(by).sortWithinPartitions(by, F.desc(score), start, end).mapInPandas(run, df.schema)
 
 
 def oversampled(df: DataFrame, length: str, first: int = 155, last: int = 1199, step: int = 116, key: str = "id") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import dna, protein
-from helixframe.functions.tables import CONSERVATIVE, IUPAC, RESIDUES
+from helixframe.functions.tables import CONSERVATIVE, HYDROPATHY, IUPAC, PKA_TAG, RESIDUES
 
 
 def uniform(*key: Column, seed: int = 42) -> Column:
@@ -32,6 +32,26 @@ def fragments(df: DataFrame, seq: str, lengths: Iterable[int]) -> DataFrame:
     return starts.withColumn("fragment", F.substr(F.col(seq), F.col("start"), F.col("len")))
 
 
+def scored_fragments(df: DataFrame, seq: str, lengths: Iterable[int]) -> DataFrame:
+    """df with start, len and the tag score of every fragment, from running sums of each sequence: a fragment costs two differences, not its length."""
+    ph, pka = 7.4, PKA_TAG
+    charge = {r: (1 if r in "HKR" else -1) / (1 + 10 ** (ph - pka[r] if r in "HKR" else pka[r] - ph)) for r in "DECYHKR"}
+    ends = 1 / (1 + 10 ** (ph - pka["N_TERM"])) - 1 / (1 + 10 ** (pka["C_TERM"] - ph))
+    cells = F.create_map(*[x for r in RESIDUES for x in (F.lit(r), F.struct(F.lit(HYDROPATHY[r]).alias("h"), F.lit(charge.get(r, 0.0)).alias("q"), F.lit(float(r == "C")).alias("c")))])
+    zero = F.array(F.struct(F.lit(0.0).alias("h"), F.lit(0.0).alias("q"), F.lit(0.0).alias("c")))
+
+    def step(acc: Column, x: Column) -> Column:
+        last, v = F.element_at(acc, -1), F.try_element_at(cells, x)
+        return F.array_append(acc, F.struct(*((last[k] + F.coalesce(v[k], F.lit(0.0))).alias(k) for k in "hqc")))
+
+    rows = df.withColumn("__sums", F.aggregate(dna.characters(F.col(seq)), zero, step))
+    rows = rows.withColumn("len", F.explode(F.array(*map(F.lit, lengths)))).filter(F.length(seq) >= F.col("len"))
+    rows = rows.withColumn("start", F.explode(F.sequence(F.lit(1), F.length(seq) - F.col("len") + 1)))
+    a, b = F.get("__sums", F.col("start") - 1), F.get("__sums", F.col("start") + F.col("len") - 1)
+    score = -2 * (b["h"] - a["h"]) / F.col("len") + 10 * F.abs(F.lit(ends) + b["q"] - a["q"]) / F.col("len") - 2 * (b["c"] - a["c"])
+    return rows.withColumn("score", score).drop("__sums")
+
+
 def single_position_scan(df: DataFrame, seq: str, regions: str, groups: Mapping[str, str] = CONSERVATIVE) -> DataFrame:
     """One row for each position of the regions (once each) and each substitute of its residue."""
     table = F.create_map(*[F.lit(x) for kv in groups.items() for x in kv])

@@ -68,10 +68,8 @@ def components(spark, sf_dir):
 @query("j9_without_overlaps")
 def overlaps(spark, sf_dir):
     """Fragments of each protein by score, without those half covered by a better one."""
-    from helixframe.functions import protein
-
-    frags = expansion.fragments(proteins(spark, sf_dir).select("protein_id", "seq"), "seq", (20, 30))
-    scored = frags.select("protein_id", "start", (F.col("start") + F.col("len") - 1).alias("end"), r9(protein.tag_score(F.col("fragment"))).alias("score"))
+    frags = expansion.scored_fragments(proteins(spark, sf_dir).select("protein_id", "seq"), "seq", (20, 30))
+    scored = frags.select("protein_id", "start", (F.col("start") + F.col("len") - 1).alias("end"), r9("score").alias("score"))
     return clusters.without_overlaps(scored, "protein_id", "start", "end", "score")
 
 

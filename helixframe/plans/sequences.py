@@ -299,7 +299,7 @@ def glycine_regions(spark, sf_dir):
     return m.select(F.explode(protein.thirds(F.col("m"))).alias("region")).groupBy("region").agg(F.count("*").alias("n"))
 
 
-@query("q15_reference_deltas", f"""WITH {PROTEINS}, s AS (SELECT protein_id, {_scale(HYDROPATHY)} / length(seq) AS g FROM proteins) SELECT protein_id, round(g - (-0.5), 9) AS delta, round(g / -0.5, 9) AS ratio, (g + 0.5 < -0.15 OR g / -0.5 > 1.5) AS review FROM s""")
+@query("q15_reference_deltas", f"""WITH {PROTEINS}, s AS (SELECT protein_id, {_scale(HYDROPATHY)} / length(seq) AS g FROM proteins) SELECT protein_id, round(g - (-0.5), 9) + 0 AS delta, round(g / -0.5, 9) AS ratio, (g + 0.5 < -0.15 OR g / -0.5 > 1.5) AS review FROM s""")
 def deltas(spark, sf_dir):
     """Differences from a reference value, and which rows need review."""
     g = protein.gravy(F.col("seq"))
@@ -327,8 +327,8 @@ _TAG = f"(-2 * {_scale(HYDROPATHY)} / length(seq) + 10 * abs({_charge(7.4, PKA_T
 scored AS (SELECT protein_id, CAST(start AS INTEGER) AS start, CAST(len AS INTEGER) AS len, round({_TAG}, 9) AS score FROM f) SELECT * FROM scored ORDER BY score DESC, protein_id, start, len LIMIT 20""")
 def tag_fragments(spark, sf_dir):
     """All fragments of several lengths, scored; the best twenty."""
-    found = expansion.fragments(proteins(spark, sf_dir).select("protein_id", "seq"), "seq", range(20, 46, 5))
-    scored = found.select("protein_id", "start", "len", r9(protein.tag_score(F.col("fragment"))).alias("score"))
+    found = expansion.scored_fragments(proteins(spark, sf_dir).select("protein_id", "seq"), "seq", range(20, 46, 5))
+    scored = found.select("protein_id", "start", "len", r9("score").alias("score"))
     return scored.orderBy(F.desc("score"), "protein_id", "start", "len").limit(20)
 
 

@@ -8,8 +8,8 @@ done for each single line, which finds notices within other texts. Known
 licences are a table of constant size, so that it is broadcast.
 
 Defined results: a null or empty text has the digest of the empty text and no
-licence; documents that share a doc_id share their notices; an empty table
-gives an empty result; other columns are not read.
+licence; repeated rows have a result each; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -89,12 +89,13 @@ def known(spark: SparkSession, texts: tuple[tuple[str, str], ...] = TEXTS) -> Da
 def scan(docs: DataFrame, texts: tuple[tuple[str, str], ...] = TEXTS) -> DataFrame:
     """doc_id, canonical_sha256, license (of the entire text), notices (of its lines, sorted), n_notices."""
     licences = known(docs.sparkSession, texts)
-    lines = docs.select("doc_id", canonical_lines(F.col("text")).alias("lines"))
-    entire = lines.select("doc_id", F.sha2(F.array_join("lines", " "), 256).alias("digest")).join(F.broadcast(licences), "digest", "left")
-    each = lines.select("doc_id", F.explode("lines").alias("line")).select("doc_id", F.sha2("line", 256).alias("digest")).join(F.broadcast(licences), "digest")
-    notices = each.groupBy(F.col("doc_id").alias("of")).agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices"), F.count("*").alias("n_notices"))
-    return entire.join(notices, F.col("doc_id") == F.col("of"), "left").select(
-        "doc_id", F.col("digest").alias("canonical_sha256"), "license", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices")
+    lines = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), canonical_lines(F.col("text")).alias("lines"))
+    units = lines.select("doc_id", "row", F.sha2(F.array_join("lines", " "), 256).alias("entire"), F.explode_outer("lines").alias("line"))
+    # The rows of a document stand together, so that all but a few of its lines are combined before the shuffle.
+    found = units.withColumn("digest", F.sha2("line", 256)).join(F.broadcast(licences.withColumnRenamed("license", "notice")), "digest", "left")
+    per_text = found.groupBy("doc_id", "row", "entire").agg(F.collect_set("notice").alias("notices"), F.count("notice").alias("n_notices"))
+    return per_text.join(F.broadcast(licences.withColumnRenamed("digest", "entire")), "entire", "left").select(
+        "doc_id", F.col("entire").alias("canonical_sha256"), "license", F.array_join(F.sort_array("notices"), ",").alias("notices"), "n_notices"
     )
 
 

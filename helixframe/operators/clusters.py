@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,16 @@ from helixframe.operators.graph import connected_components, written
 from helixframe.operators.relational import hamming_totals, nearest
 
 
+def _differences(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Differing bytes of strings of equal lengths, row by row: one comparison of all their bytes."""
+    x, y = a.cast(pa.binary()).to_pylist(), b.cast(pa.binary()).to_pylist()
+    size = np.array([len(v) for v in x])
+    differ = np.frombuffer(b"".join(x), np.uint8) != np.frombuffer(b"".join(y), np.uint8)
+    total = np.concatenate([[0], np.cumsum(differ)])
+    end = np.cumsum(size)
+    return total[end] - total[end - size]
+
+
 def within_distance(df: DataFrame, seq: str, most: int, by: Sequence[str] = ()) -> DataFrame:
     """(by, a, b) a < b: pairs of distinct sequences of one length within a Hamming distance.
 
@@ -21,15 +32,20 @@ def within_distance(df: DataFrame, seq: str, most: int, by: Sequence[str] = ())
     of them, and is given by the first such part only.
     """
     parts = most + 1
-    bounds = lambda c, k: (F.floor(F.length(c) * k / parts) + 1, F.floor(F.length(c) * (k + 1) / parts) - F.floor(F.length(c) * k / parts))
-    part = lambda c, k: F.substr(c, *(x.cast("int") for x in bounds(c, k)))
-    s = F.col(seq)
-    keys = df.select(*by, s.alias("s")).distinct().withColumn("k", F.explode(F.array(*(F.struct(F.lit(k).alias("part"), F.length("s").alias("len"), part(F.col("s"), k).alias("piece")) for k in range(parts)))))
-    keys = keys.select(*by, "s", "k.*")
-    on = [*by, "part", "len", "piece"]
-    pairs = keys.withColumnRenamed("s", "a").join(keys.withColumnRenamed("s", "b"), on).filter("a < b")
+    begin = lambda c, k: F.floor(F.length(c) * k / parts).cast("int")
+    part = lambda c, k: F.substr(c, begin(c, k) + 1, begin(c, k + 1) - begin(c, k))
+    pieces = F.explode(F.array(*(F.struct(F.lit(k).alias("part"), part(F.col("s"), k).alias("piece")) for k in range(parts)))).alias("p")
+    keys = df.select(*by, F.col(seq).alias("s")).distinct().select(*by, "s", F.length("s").alias("len"), pieces).select(*by, "s", "len", "p.*")
+    pairs = keys.withColumnRenamed("s", "a").join(keys.withColumnRenamed("s", "b"), [*by, "part", "len", "piece"]).filter("a < b")
     first = F.coalesce(*(F.when(part(F.col("a"), k) == part(F.col("b"), k), F.lit(k)) for k in range(parts)))
-    return pairs.filter((first == F.col("part")) & (hamming(F.col("a"), F.col("b")) <= most)).select(*by, "a", "b")
+    candidates = pairs.filter(first == F.col("part")).select(*by, "a", "b")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(_differences(batch.column("a"), batch.column("b")) <= most))
+
+    return candidates.mapInArrow(near, candidates.schema)
 
 
 def _assigned(pdf: pd.DataFrame, ratio: float, most: int) -> list[int]:

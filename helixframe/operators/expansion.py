@@ -97,6 +97,62 @@ def unique_proteins(draws: DataFrame, n: int) -> DataFrame:
     return first.select("x.id", "x.seq", "protein").orderBy("id").limit(n)
 
 
+def unique_until_stalled(spark: SparkSession, design: str, n: int, seed: int = 42, most_batches: int = 50) -> DataFrame:
+    """Up to n different proteins of a design: batches of max(20000, 20 n) draws until there are n, or a batch brings none."""
+    batch, had = max(20_000, 20 * n), -1
+    for k in range(1, most_batches + 1):
+        found = unique_proteins(sampled(spark, design, k * batch, seed), n)
+        count = found.count()
+        if count >= n or count == had:
+            break
+        had = count
+    return found
+
+
+def combinations(seq: Column, regions: Column, mode: str = "conservative", own: bool = False) -> Column:
+    """How many different mutants the regions allow, as a decimal string exact up to 38 digits; a position in two regions counts once.
+
+    own: also count leaving a residue as it is.
+    """
+    sizes = {r: (len(CONSERVATIVE.get(r, "")) if mode == "conservative" else 19) + own for r in RESIDUES}
+    table = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])
+    letters = dna.characters(seq)
+    at = F.filter(F.array_distinct(protein.region_positions(regions)), lambda p: p <= F.length(seq))
+    one = F.lit(1).cast("decimal(38,0)")
+    size = lambda p: F.greatest(F.lit(1), F.coalesce(F.try_element_at(table, F.get(letters, p - 1)), F.lit(1)))
+    return F.aggregate(at, one, lambda a, p: (a * size(p).cast("decimal(2,0)")).cast("decimal(38,0)")).cast("string")
+
+
+# Residues of each kind with their weights in a draw.
+KINDS = {"positive": {"K": 1, "R": 1}, "negative": {"E": 1, "D": 1}, "np1": {"G": 1, "P": 3}, "np2": {"G": 2, "A": 1, "V": 1, "I": 1, "L": 1}, "polar": {"S": 2, "T": 2, "Q": 2, "N": 1, "H": 2}}
+
+
+def _of_kind(kind: str, *key: Column, seed: int) -> Column:
+    return pick(F.array(*(F.lit(r) for r, w in KINDS[kind].items() for _ in range(w))), *key, seed=seed)
+
+
+def patterned_motifs(df: DataFrame, pattern: str, key: Sequence[str], length: int, seed: int = 42) -> DataFrame:
+    """df with `motif`: a number below length * 3**(length - 1) gives the place of the one non-polar residue and the kinds of the others; residues are drawn by weight."""
+    per = 3 ** (length - 1)
+    place, code = F.floor(F.col(pattern) / per).cast("int"), F.pmod(F.col(pattern), F.lit(per))
+    out = []
+    keys = [F.col(k) for k in key]
+    for at in range(length):
+        # The digit of this slot: slots behind the non-polar one are one digit further on.
+        before = F.when(F.lit(at) > place, at - 1).otherwise(at)
+        digit = F.pmod(F.floor(code / F.pow(F.lit(3.0), length - 2 - before)), F.lit(3))
+        drawn = F.when(digit == 0, _of_kind("negative", *keys, F.lit(at), seed=seed)).when(digit == 1, _of_kind("positive", *keys, F.lit(at), seed=seed)).otherwise(_of_kind("polar", *keys, F.lit(at), seed=seed))
+        out.append(F.when(place == at, _of_kind("np1", *keys, F.lit(at), seed=seed)).otherwise(drawn))
+    return df.withColumn("motif", F.concat(*out, F.lit("+")))
+
+
+def anchored_motifs(df: DataFrame, key: Sequence[str], seed: int = 42) -> DataFrame:
+    """df with `motif`: positive, P, negative, non-polar, +."""
+    keys = [F.col(k) for k in key]
+    slot = lambda kind: _of_kind(kind, *keys, F.lit(kind), seed=seed)
+    return df.withColumn("motif", F.concat(slot("positive"), F.lit("P"), slot("negative"), slot("np2"), F.lit("+")))
+
+
 def library(spark: SparkSession, design: str, most: int = 500_000, sample: int = 150_000, seed: int = 42) -> DataFrame:
     """All sequences of a design, or a sample where there are more than `most`; `weight` scales counts to the whole design."""
     space = dna.design_space(design)

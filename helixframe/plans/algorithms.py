@@ -243,3 +243,98 @@ def chain_clusters(spark, sf_dir):
     return trajectory.chain_clusters(trajectory.contacts(rows, BOX, 0.7), rows.select("frame", "chain").distinct())
 
 
+
+
+ORIGINAL = "ACGTACGTACGTACGTACGTACGT"
+DESIGNED = "ANGTACKTACGTACRTACGTACGT"
+
+
+def sam(spark, sf_dir):
+    k = F.col("read_id")
+    return reads(spark, sf_dir).select(
+        F.concat(F.lit("q"), k).alias("qname"), F.when(k % 17 == 0, 4).otherwise(0).alias("flag"), F.lit("ref").alias("rname"), F.lit(1).alias("pos"), (k % 60).cast("int").alias("mapq"),
+        F.when(k % 5 == 0, "6M2D16M").otherwise("24M").alias("cigar"), F.substring("seq", 1, 24).alias("seq"), F.substring("qual", 1, 24).alias("qual"),
+    )
+
+
+_CALLED = f"""{READS}, sam AS (SELECT read_id, read_id % 5 = 0 AS gap, substr(seq, 1, 24) AS seq, substr(qual, 1, 24) AS qual, read_id % 60 AS mapq FROM reads WHERE read_id % 17 <> 0),
+cells AS (SELECT *, substr(seq, 2, 1) AS b1, ascii(substr(qual, 2, 1)) - 33 AS q1, CASE WHEN gap THEN '-' ELSE substr(seq, 7, 1) END AS b2, ascii(substr(qual, 7, 1)) - 33 AS q2,
+  substr(seq, CASE WHEN gap THEN 13 ELSE 15 END, 1) AS b3, ascii(substr(qual, CASE WHEN gap THEN 13 ELSE 15 END, 1)) - 33 AS q3 FROM sam),
+called AS (SELECT *, CASE WHEN mapq < 20 THEN 'low_mapq' WHEN q1 < 8 OR b2 = '-' OR q2 < 8 OR q3 < 8 THEN 'incomplete_or_low_baseq' WHEN b2 NOT IN ('G', 'T') OR b3 NOT IN ('A', 'G') THEN 'invalid_design' ELSE 'assigned' END AS status FROM cells)"""
+
+
+@query("k8_haplotype_calling", f"WITH {_CALLED} SELECT status, CASE WHEN status IN ('assigned', 'invalid_design') THEN b1 || b2 || b3 ELSE '' END AS hap, count(*) AS n FROM called GROUP BY 1, 2")
+def haplotype_calling(spark, sf_dir):
+    """Aligned reads to statuses and haplotypes at the designed positions."""
+    from helixframe.operators import calling
+
+    got = calling.call(sam(spark, sf_dir), ORIGINAL, DESIGNED)
+    return got.reads.groupBy("status", F.coalesce("hap", F.lit("")).alias("hap")).agg(F.count("*").alias("n"))
+
+
+@query("k8_position_tallies", f"""WITH {_CALLED}, good AS (SELECT * FROM called WHERE mapq >= 20), p AS (SELECT 2 AS pos, b1 AS b, q1 AS q FROM good UNION ALL SELECT 7, b2, q2 FROM good WHERE q1 >= 8 UNION ALL SELECT 15, b3, q3 FROM good WHERE q1 >= 8 AND b2 <> '-' AND q2 >= 8)
+SELECT pos, count(*) FILTER (b = 'A' AND q >= 8) AS "A", count(*) FILTER (b = 'C' AND q >= 8) AS "C", count(*) FILTER (b = 'G' AND q >= 8) AS "G", count(*) FILTER (b = 'T' AND q >= 8) AS "T", 0::BIGINT AS missing, count(*) FILTER (b = '-') AS deletion, count(*) FILTER (b <> '-' AND q < 8) AS low_quality FROM p GROUP BY 1""")
+def position_tallies(spark, sf_dir):
+    from helixframe.operators import calling
+
+    return calling.call(sam(spark, sf_dir), ORIGINAL, DESIGNED).positions
+
+
+@query("d18_d19_called_variants", f"""WITH {_CALLED}, h AS (SELECT b1 || b2 || b3 AS hap, count(*) AS reads FROM called WHERE status = 'assigned' GROUP BY 1)
+SELECT hap, reads, round(reads / sum(reads) OVER (), 9) AS frequency, 'A' || hap[1] || 'GTAC' || hap[2] || 'TACGTAC' || hap[3] || 'TACGTACGT' AS sequence,
+concat_ws(';', CASE WHEN hap[1] <> 'C' THEN 'C2' || hap[1] END, CASE WHEN hap[2] <> 'G' THEN 'G7' || hap[2] END, CASE WHEN hap[3] <> 'G' THEN 'G15' || hap[3] END) AS nt_changes FROM h""")
+def called_variants(spark, sf_dir):
+    from helixframe.operators import calling
+
+    got = calling.variants(calling.call(sam(spark, sf_dir), ORIGINAL, DESIGNED).reads, ORIGINAL, DESIGNED)
+    return got.select("hap", "reads", r9("frequency").alias("frequency"), "sequence", "nt_changes")
+
+
+@query("q5_kappa")
+def kappa(spark, sf_dir):
+    from helixframe.operators import models
+
+    return proteins(spark, sf_dir).select("protein_id", r9(models.kappa(F.col("seq"))).alias("kappa"))
+
+
+@query("q21_combinations", f"""WITH {PROTEINS}, s AS (SELECT protein_id, list_transform([1, 2, 3, 5], lambda p: {{'G': 1, 'A': 3, 'V': 3, 'L': 3, 'I': 3, 'M': 2, 'F': 2, 'Y': 3, 'W': 2, 'S': 3, 'T': 3, 'N': 3, 'Q': 3, 'K': 2, 'R': 2, 'H': 3, 'D': 2, 'E': 2, 'C': 2, 'P': 2}}[substr(seq, p, 1)]) AS k FROM proteins)
+SELECT protein_id, CAST(k[1] * k[2] * k[3] * k[4] AS VARCHAR) AS conservative, '130321' AS random FROM s""".replace("{'G': 1", "map {'G': 1"))
+def combinations(spark, sf_dir):
+    s, r = F.col("seq"), F.lit("1-3, 2, 5")
+    return proteins(spark, sf_dir).select("protein_id", expansion.combinations(s, r).alias("conservative"), expansion.combinations(s, r, "random").alias("random"))
+
+
+@query("q22_model_predictions")
+def predictions(spark, sf_dir):
+    """A stand-in model over tokens: the adapter's shape, with the share of alanine."""
+    from helixframe.operators import models
+
+    def load():
+        return lambda texts: [t.count("A") / max(1, len(t.split())) for t in texts]
+
+    return models.predicted(proteins(spark, sf_dir).select("protein_id", "seq"), "seq", "alanine", load).select("protein_id", r9("alanine").alias("alanine"))
+
+
+@query("x11_motif_pools")
+def motif_pools(spark, sf_dir):
+    """A five- and a ten-residue motif for each event, of the pattern that its number gives."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.pmod("event_id", F.lit(405)).alias("p5"), F.pmod("event_id", F.lit(196_830)).alias("p10"))
+    five = expansion.patterned_motifs(rows, "p5", ["event_id"], 5).withColumnRenamed("motif", "five")
+    ten = expansion.patterned_motifs(five, "p10", ["event_id"], 10).withColumnRenamed("motif", "ten")
+    return expansion.anchored_motifs(ten, ["event_id"]).select("event_id", "five", "ten", "motif")
+
+
+@query("x24_binned_designs")
+def binned(spark, sf_dir):
+    """Sequences in bins by medoids, a design for each bin, and its space."""
+    from helixframe.operators import codons, profiles
+    from helixframe.plans.core import alignment
+
+    rows = alignment(spark, sf_dir)
+    bins = clusters.medoids(rows, "seq", 3).select("seq", "medoid")
+    cells = profiles.cells(rows.join(bins, "seq"), "seq", ["medoid"], "seq_id")
+    best = codons.best_codons(codons.columns_of(profiles.proportions(cells, ["medoid"]), ["medoid"]), codons.safe(codons.codon_table(spark)), codons.direct(), ["medoid", "pos"])
+    space = codons.encoded_space(best, ["medoid"])
+    sizes = rows.join(bins, "seq").groupBy("medoid").agg(F.count("*").alias("rows"))
+    return sizes.join(space, "medoid").select("medoid", "rows", "space", r9("log10_space").alias("log10_space"))
+

@@ -34,20 +34,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files are too small to split; large inputs stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def _digits(salt: str, to: str) -> Column:
     return F.translate(F.md5(F.concat(F.lit(salt), F.col("event_id").cast("string"))), HEX, to)
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """read_id, sample, user_id, seq (64 bases), qual: a sequencing read for each event."""
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")).select(
         F.col("event_id").alias("read_id"), F.col("event_type").alias("sample"), "user_id", F.concat(_digits("", BASES), _digits("s", BASES)).alias("seq"), F.concat(_digits("q", PHRED), _digits("r", PHRED)).alias("qual")
     )
 
 
 def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """protein_id, sample, user_id, value, seq (64 residues of all 20)."""
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("protein_id"), F.col("event_type").alias("sample"), "user_id", "value", F.concat(_digits("p", RESIDUES_1), _digits("t", RESIDUES_2)).alias("seq"))
+    return spread(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "value")).select(F.col("event_id").alias("protein_id"), F.col("event_type").alias("sample"), "user_id", "value", F.concat(_digits("p", RESIDUES_1), _digits("t", RESIDUES_2)).alias("seq"))
 
 
 def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,3 +197,63 @@ def read_residues(spark: SparkSession, path: str) -> DataFrame:
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """path, length, sha256 of input files, for a run's metadata."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def first_record(spark: SparkSession, path: str) -> str:
+    """The sequence of the first record of a FASTA file, or of a file of bare text."""
+    lines = spark.read.text(path, wholetext=True).first()
+    body = (lines["value"] if lines else "").lstrip("\ufeff").strip()
+    if body.startswith(">"):
+        body = body[1:].split("\n>")[0].partition("\n")[2]
+    return "".join(body.split()).upper()
+
+
+def read_template(spark: SparkSession, path: str) -> str:
+    """A template of ACGT alone; several records raise."""
+    if spark.read.text(path).filter(F.col("value").startswith(">")).count() > 1:
+        raise ValueError(f"{path} has more than one record")
+    seq = first_record(spark, path)
+    if not seq or set(seq) - set("ACGT"):
+        raise ValueError(f"{path} is no plain DNA sequence")
+    return seq
+
+
+def read_sample(spark: SparkSession, path: str, features: Sequence[str], sequence: str = "aa_variant", count: str = "count") -> DataFrame:
+    """sequence, n and the features of a sample: rows of a count above 0; a missing column, a blank or infinite number or a filled `error` raises."""
+    rows = read_csv(spark, path, drop_empty=False)
+    missing = [c for c in (sequence, count, *features) if c not in rows.columns]
+    if missing:
+        raise ValueError(f"{path} lacks {missing}")
+    number = lambda c: F.col(f"`{c}`").try_cast("double")
+    finite = lambda c: F.coalesce(~F.isnan(number(c)) & (F.abs(number(c)) < float("inf")), F.lit(False))
+    checks = {"counts": ~F.coalesce(F.col(count).rlike(r"^\d+$"), F.lit(False)), **{c: ~finite(c) for c in features}}
+    if "error" in rows.columns:
+        checks["error"] = F.coalesce(F.trim("error"), F.lit("")) != ""
+    bad = rows.agg(*(F.count_if(f).alias(n) for n, f in checks.items())).first().asDict()
+    if any(bad.values()):
+        raise ValueError(f"{path} has rows that can't be used: { {k: v for k, v in bad.items() if v} }")
+    kept = rows.select(F.upper(F.trim(sequence)).alias("sequence"), F.col(count).cast("long").alias("n"), *(number(c).alias(c) for c in features))
+    return kept.filter("n > 0")
+
+
+def read_clusters(spark: SparkSession, counts: str, traits: str, members: str, samples: Sequence[str]) -> dict[str, DataFrame]:
+    """Three tables of one clustering; clusters that one of them lacks, or totals of members that differ from the counts, raise."""
+    found = {"counts": read_csv(spark, counts), "traits": read_csv(spark, traits), "members": read_csv(spark, members)}
+    sets = [t.select("cluster").distinct() for t in found.values()]
+    if any(not a.exceptAll(b).isEmpty() for a in sets for b in sets if a is not b):
+        raise ValueError("the tables hold different clusters")
+    total = found["members"].groupBy("cluster").agg(*(F.sum(F.col(f"{s}_reads").cast("long")).alias(s) for s in samples))
+    said = found["counts"].select("cluster", *(F.col(f"{s}_reads").cast("long").alias(f"__{s}") for s in samples))
+    differ = F.lit(False)
+    for s in samples:
+        differ = differ | (F.col(s) != F.col(f"__{s}"))
+    if not total.join(said, "cluster").filter(differ).isEmpty():
+        raise ValueError("members don't add up to the counts")
+    return found
+
+
+def write_mutants(df: DataFrame, path: str, order: Sequence[str], sep: str = ",") -> None:
+    """mutant_000001, sequence, mutations (WT for none) in an order."""
+    rows = numbered(df, order)
+    name = F.concat(F.lit("mutant_"), F.lpad((F.col("ord") + 1).cast("string"), 6, "0"))
+    rows.select(name.alias("id"), F.col("mutant").alias("sequence"), "mutations").write.option("header", True).option("sep", sep).csv(path)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators import clusters, expansion, fuzzy, graph, profiles, relational, statistics, trajectory
+from helixframe.operators import calling, clusters, columns, expansion, fuzzy, graph, models, profiles, relational, statistics, trajectory
 from helixframe.sources import text
 
 
@@ -285,3 +285,70 @@ def test_parameters(spark, tmp_path):
         text.read_bias(spark, write(tmp_path, "c.json", '{"A":{"C":1}}'))
     with pytest.raises(Exception, match="can't be read"):
         text.read_counts(spark, write(tmp_path, "d.csv", "aa_variant,count\nAC,x\n")).collect()
+
+    template = write(tmp_path, "t.fa", ">t\nAC GT\n")
+    assert text.read_template(spark, template) == "ACGT" and text.first_record(spark, write(tmp_path, "u.txt", "NNK\n")) == "NNK"
+    with pytest.raises(ValueError, match="more than one"):
+        text.read_template(spark, write(tmp_path, "v.fa", ">t\nAC\n>u\nGT\n"))
+
+
+def test_samples_and_bundles(spark, tmp_path):
+    path = write(tmp_path, "s.csv", "aa_variant,count,gravy,error\nac,2,0.5,\nGT,0,1.5,\n")
+    assert [tuple(r) for r in text.read_sample(spark, path, ["gravy"]).collect()] == [("AC", 2, 0.5)]
+    for body in ("aa_variant,count,gravy\nAC,2,x\n", "aa_variant,count,gravy\nAC,-2,1\n", "aa_variant,count,gravy,error\nAC,2,1,bad\n"):
+        with pytest.raises(ValueError, match="can't be used"):
+            text.read_sample(spark, write(tmp_path, "bad.csv", body), ["gravy"])
+    counts, traits = write(tmp_path, "c.csv", "cluster,a_reads\n1,5\n2,1\n"), write(tmp_path, "t.csv", "cluster,feature,a\n1,g,1\n2,g,2\n")
+    good, bad = write(tmp_path, "m.csv", "aa_variant,cluster,a_reads\nX,1,3\nY,1,2\nZ,2,1\n"), write(tmp_path, "n.csv", "aa_variant,cluster,a_reads\nX,1,3\nZ,2,1\n")
+    assert len(text.read_clusters(spark, counts, traits, good, ["a"])) == 3
+    with pytest.raises(ValueError, match="add up"):
+        text.read_clusters(spark, counts, traits, bad, ["a"])
+
+
+# --- columns, calling, models -------------------------------------------
+
+
+def test_columns(spark):
+    df = spark.createDataFrame([(" AC ", 1, 2.0, "x")], "`Protein_Sequence` string, n int, d double, s string")
+    assert columns.find_column(df.columns) == "Protein_Sequence" and columns.find_column(df.columns, "prot", fuzzy=True) == "Protein_Sequence"
+    with pytest.raises(ValueError, match="none of"):
+        columns.find_column(df.columns, "prot")
+    assert columns.sequences(df).first().sequence == "AC" and columns.sequences(df, keep_blank=True).first().sequence == " AC "
+    assert columns.shared_features([df, df.drop("n")]) == ["d"]
+    assert columns.with_columns(df, {"error": "string", "m": "double"}, ["error"]).first().asDict()["error"] == ""
+    assert columns.by_position(df, ["a", "b"]).columns == ["a", "b"]
+    got, skipped = columns.derived_sums(df, {"t": ("n", "d"), "u": ("n", "zz")})
+    assert got.first().t == 3.0 and skipped == ["u"]
+
+
+def test_calling(spark):
+    rows = [("a", 0, 1, 30, "4M", "ACGT", "IIII"), ("b", 0, 1, 30, "4M", "AGGA", "IIII"), ("c", 0, 1, 5, "4M", "ACGT", "IIII"), ("d", 0, 1, 30, "4M", "ACGT", "I!II"), ("e", 0, 3, 30, "2M", "GT", "II"), ("f", 0, 1, 30, "4M", "ATGT", "IIII")]
+    sam = spark.createDataFrame(rows, "qname string, flag int, pos int, mapq int, cigar string, seq string, qual string")
+    got = calling.call(sam, "ACGT", "ASGT")
+    assert {r.qname: (r.status, r.hap) for r in got.reads.collect()} == {"a": ("assigned", "C"), "b": ("assigned", "G"), "c": ("low_mapq", None), "d": ("incomplete_or_low_baseq", None), "e": ("incomplete_or_low_baseq", None), "f": ("invalid_design", "T")}
+    p = got.positions.first()
+    assert (p.pos, p.A, p.C, p.G, p["T"], p.missing, p.low_quality) == (2, 0, 1, 1, 1, 1, 1)
+    assert {r.pos: (r.callable, r.mismatches) for r in got.fixed.collect()}[4] == (5, 1)
+    v = {r.hap: r for r in calling.variants(got.reads, "ACGT", "ASGT").collect()}
+    assert (v["G"].sequence, v["G"].nt_changes, v["G"].frequency) == ("AGGT", "C2G", 0.5)
+
+
+def test_models(spark):
+    df = spark.createDataFrame([("KKKKKKEEEEEE",), ("KEKEKEKEKEKE",), ("GGGGGG",), ("AUZ",)], "s string")
+    got = [r.k for r in df.select(models.kappa(F.col("s")).alias("k")).collect()]
+    assert got[0] == pytest.approx(1.0) and got[1] < 0.1 and got[2] is None
+    assert df.select(models.tokens(F.col("s")).alias("t")).collect()[3].t == "A X X"
+    assert [r.n for r in models.predicted(df, "s", "n", lambda: lambda ts: [len(t.split()) for t in ts]).collect()] == [12.0, 12.0, 6.0, 3.0]
+    wide = models.long_predictions(df.withColumnRenamed("s", "sequence"), {"a": lambda: lambda ts: [1.0] * len(ts), "b": lambda: lambda ts: [2.0] * len(ts)})
+    assert wide.count() == 8
+
+
+def test_pools_and_counts(spark):
+    rows = spark.range(405).withColumnRenamed("id", "k")
+    got = [r.motif for r in expansion.patterned_motifs(rows, "k", ["k"], 5).collect()]
+    kind = {r: "n" if r in "ED" else "p" if r in "KR" else "o" if r in "GP" else "t" for r in "EDKRGPSTQNH"}
+    assert len({"".join(kind[r] for r in m[:-1]) for m in got}) == 405 and all(sum(r in "GP" for r in m) == 1 for m in got)
+    assert all(len(m.motif) == 5 and m.motif[1] == "P" for m in expansion.anchored_motifs(rows, ["k"]).collect())
+    df = spark.createDataFrame([("MKP", "1-2, 2")], "s string, r string")
+    assert tuple(df.select(expansion.combinations(F.col("s"), F.col("r")), expansion.combinations(F.col("s"), F.col("r"), "random", True)).first()) == ("4", "400")
+    assert 10 < expansion.unique_until_stalled(spark, "NNKATG", 30).count() <= 20

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from helixframe.functions.tables import AMINO, BASES, IUPAC
+from helixframe.functions.tables import CODONS, IUPAC
 
 
 def characters(c: Column) -> Column:
@@ -33,11 +33,12 @@ def clean_dna(c: Column) -> Column:
     return F.translate(F.upper(F.regexp_replace(c, r"\s", "")), "U", "T")
 
 
+_CODON_TABLE = [x for kv in CODONS.items() for x in kv]
+
+
 def codon_residue(codon: Column) -> Column:
-    """The residue of a codon, or X: the three bases are digits of its place in the code."""
-    at = [F.position(F.substring(codon, k, 1), F.lit(BASES)) - 1 for k in (1, 2, 3)]
-    known = (at[0] >= 0) & (at[1] >= 0) & (at[2] >= 0) & (F.length(codon) == 3)
-    return F.when(known, F.substring(F.lit(AMINO), at[0] * 16 + at[1] * 4 + at[2] + 1, F.lit(1))).otherwise("X")
+    """The residue of a codon, or X."""
+    return F.coalesce(F.try_element_at(F.create_map(*map(F.lit, _CODON_TABLE)), codon), F.lit("X"))
 
 
 def translate(c: Column, stop: str = "keep", trailing: str = "trim", unknown: str = "X", frame: int = 0) -> Column:
@@ -47,8 +48,7 @@ def translate(c: Column, stop: str = "keep", trailing: str = "trim", unknown: st
     sequence that holds one. trailing bases: `trim` or `error`. unknown codons: `X` or `error`.
     """
     s = F.substr(c, F.lit(frame + 1)) if frame else c
-    n = F.floor(F.length(s) / 3).cast("int")
-    residues = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: codon_residue(F.substr(s, i * 3 + 1, F.lit(3))))
+    residues = F.transform(F.regexp_extract_all(s, F.lit("(?s)(...)"), F.lit(1)), codon_residue)  # cut once: a lambda would evaluate s for each codon
     out = F.when(s.isNotNull(), F.array_join(residues, ""))
     if trailing == "error":
         out = F.when(F.length(s) % 3 == 0, out).when(s.isNotNull(), F.raise_error(F.lit("the length is not a multiple of three")))

@@ -77,9 +77,9 @@ def aliphatic_index(c: Column) -> Column:
 def instability_index(c: Column, weights: Mapping[str, float]) -> Column:
     """10/n times the sum of dipeptide weights; weights are a parameter (pairs such as `AC`), 1.0 where absent."""
     table = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
-    n = F.length(c)
-    pairs = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-    return 10 * F.aggregate(pairs, F.lit(0.0), lambda a, i: a + F.coalesce(F.try_element_at(table, F.substr(c, i, F.lit(2))), F.lit(1.0))) / n
+    each = F.arrays_zip(characters(c).alias("x"), characters(F.substr(c, F.lit(2))).alias("y"))  # the last residue has no second
+    value = lambda p: F.when(p["y"].isNotNull(), F.coalesce(F.try_element_at(table, F.concat(p["x"], p["y"])), F.lit(1.0))).otherwise(0.0)
+    return 10 * F.aggregate(each, F.lit(0.0), lambda a, p: a + value(p)) / F.length(c)
 
 
 def secondary_fractions(c: Column) -> tuple[Column, Column, Column]:
@@ -133,13 +133,8 @@ def moment_and_face(c: Column, delta: float = 100.0, half_width: float = 60.0) -
 def salt_bridges(c: Column) -> Column:
     """Pairs three or four apart of one of E, D and one of K, R, in either order."""
     sign = F.translate(F.regexp_replace(c, "[^EDKR]", "0"), "EDKR", "--++")
-
-    def pairs(gap: int) -> Column:
-        n = F.length(c) - gap
-        at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-        return F.size(F.filter(at, lambda i: F.concat(F.substr(sign, i, F.lit(1)), F.substr(sign, i + gap, F.lit(1))).isin("+-", "-+")))
-
-    return pairs(3) + pairs(4)
+    # Overlapping pairs: a look-ahead consumes nothing but its own first character.
+    return F.regexp_count(sign, F.lit(r"-(?=..\+)|\+(?=..-)")) + F.regexp_count(sign, F.lit(r"-(?=...\+)|\+(?=...-)"))
 
 
 def helix_breakers(c: Column) -> tuple[Column, Column, Column]:
@@ -158,8 +153,7 @@ def matrix_score(c: Column, reference: str, matrix: Mapping[str, float]) -> Colu
 
 def residue_positions(c: Column, residue: str) -> Column:
     """1-based positions of a residue."""
-    n = F.length(c)
-    return F.filter(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.substr(c, i, F.lit(1)) == residue)
+    return F.array_compact(F.transform(characters(c), lambda r, i: F.when(r == residue, i + 1)))
 
 
 def thirds(c: Column, residue: str = "G") -> Column:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from helixframe.functions.dna import hamming
 from helixframe.operators.graph import connected_components, written
@@ -28,16 +30,21 @@ def _differences(a: pa.Array, b: pa.Array) -> np.ndarray:
 def within_distance(df: DataFrame, seq: str, most: int, by: Sequence[str] = ()) -> DataFrame:
     """(by, a, b) a < b: pairs of distinct sequences of one length within a Hamming distance.
 
-    Sequences are cut into most + 1 parts: a pair within the distance agrees on one
-    of them, and is given by the first such part only.
+    Sequences are cut into most + 2 parts: a pair within the distance agrees on two
+    of them, and is given by the first two such parts only.
     """
-    parts = most + 1
+    parts = most + 2
     begin = lambda c, k: F.floor(F.length(c) * k / parts).cast("int")
     part = lambda c, k: F.substr(c, begin(c, k) + 1, begin(c, k + 1) - begin(c, k))
-    pieces = F.explode(F.array(*(F.struct(F.lit(k).alias("part"), part(F.col("s"), k).alias("piece")) for k in range(parts)))).alias("p")
+    two = list(combinations(range(parts), 2))
+    pieces = F.explode(F.array(*(F.struct(F.lit(t).alias("part"), F.concat(part(F.col("s"), i), part(F.col("s"), j)).alias("piece")) for t, (i, j) in enumerate(two)))).alias("p")
     keys = df.select(*by, F.col(seq).alias("s")).distinct().select(*by, "s", F.length("s").alias("len"), pieces).select(*by, "s", "len", "p.*")
-    pairs = keys.withColumnRenamed("s", "a").join(keys.withColumnRenamed("s", "b"), [*by, "part", "len", "piece"]).filter("a < b")
-    first = F.coalesce(*(F.when(part(F.col("a"), k) == part(F.col("b"), k), F.lit(k)) for k in range(parts)))
+    on = [*by, "part", "len", "piece"]
+    # A given number of partitions: the join yields more rows than its small input would make Spark expect.
+    keys = keys.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *on)
+    pairs = keys.withColumnRenamed("s", "a").join(keys.withColumnRenamed("s", "b"), on).filter("a < b")
+    equal = [part(F.col("a"), k) == part(F.col("b"), k) for k in range(parts)]
+    first = F.coalesce(*(F.when(equal[i] & equal[j], F.lit(t)) for t, (i, j) in enumerate(two)))
     candidates = pairs.filter(first == F.col("part")).select(*by, "a", "b")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,48 +55,40 @@ def within_distance(df: DataFrame, seq: str, most: int, by: Sequence[str] = ())
     return candidates.mapInArrow(near, candidates.schema)
 
 
-def _assigned(pdf: pd.DataFrame, ratio: float, most: int) -> list[int]:
-    """The cluster of each row, taken by falling count: the first one that is large enough and near enough, else a new one."""
-    raw = [s.encode() for s in pdf["s"]]
-    centres: list[bytes] = []
-    totals: list[int] = []
-    out = []
-    for s, n in zip(raw, pdf["n"], strict=True):
-        for k, c in enumerate(centres):
-            if totals[k] >= ratio * n and len(c) == len(s) and sum(x != y for x, y in zip(c, s, strict=True)) <= most:
-                totals[k] += n
-                break
-        else:
-            k = len(centres)
-            centres.append(s)
-            totals.append(n)
-        out.append(k)
-    return out
-
-
 def directional(counts: DataFrame, seq: str, n: str, by: Sequence[str] = (), ratio: float = 3, most: int = 2) -> DataFrame:
     """counts with `representative`: sequences by falling count join the first cluster of at least ratio times their count within the distance.
 
     A sequence only ever meets clusters within the distance, so that components of
-    that relation are independent: each is one group, and sequences without
-    neighbours are never grouped.
+    that relation are independent; sequences without neighbours skip them.
     """
     rows = written(counts.select(*by, F.col(seq).alias("s"), F.col(n).cast("long").alias("n")).withColumn("id", F.xxhash64(*by, "s")), "variants")
     pairs = within_distance(rows, "s", most, by)
     parts = connected_components(pairs.select(F.xxhash64(*by, "a").alias("a"), F.xxhash64(*by, "b").alias("b")))
     joined = rows.join(parts, rows["id"] == parts["node"], "left")
     alone = joined.filter("component is null").select(*by, "s", "n", F.col("s").alias("representative"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in alone.schema.fields)
+    together = joined.filter("component is not null").select("component", *by, "s", "n")
+    schema = StructType([*together.schema.fields, StructField("representative", StringType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "s"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        k = _assigned(pdf, ratio, most)
-        first = {}
-        for i, c in enumerate(k):
-            first.setdefault(c, pdf["s"][i])
-        return pdf.assign(representative=[first[c] for c in k])[[*by, "s", "n", "representative"]]
-
-    grouped = joined.filter("component is not null").select(*by, "s", "n", "component").groupBy("component").applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come by component and falling count; only the clusters of the current component are held."""
+        now, centres, totals = None, [], []
+        for pdf in batches:
+            out = []
+            for c, s, n in zip(pdf["component"].tolist(), pdf["s"].tolist(), pdf["n"].tolist(), strict=True):
+                if c != now:
+                    now, centres, totals = c, [], []
+                for k, centre in enumerate(centres):
+                    if totals[k] >= ratio * n and len(centre) == len(s) and sum(x != y for x, y in zip(centre, s, strict=True)) <= most:
+                        totals[k] += n
+                        break
+                else:
+                    k = len(centres)
+                    centres.append(s)
+                    totals.append(n)
+                out.append(centres[k])
+            yield pdf.assign(representative=out)
+
+    grouped = together.repartition("component").sortWithinPartitions("component", F.desc("n"), "s").mapInPandas(run, schema).drop("component")
     return alone.unionByName(grouped).withColumnsRenamed({"s": seq, "n": n})
 
 

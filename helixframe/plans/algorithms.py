@@ -218,21 +218,29 @@ def flags(spark, sf_dir):
 # --- trajectories --------------------------------------------------------
 
 BOX = 10.0
+_HASHED = ", ".join(f"CAST(CAST('0x' || substr(md5('{c}' || CAST(event_id AS VARCHAR)), 1, 4) AS INTEGER) AS DOUBLE) / 6553.6 AS {c}" for c in "xyz")
+_BEADS = f"beads AS (SELECT event_id // 60 AS frame, CAST((event_id % 60) // 4 AS INTEGER) AS chain, CAST(event_id % 4 AS INTEGER) AS bead, {_HASHED} FROM events)"
+_IMAGE = lambda d: f"({d} - {BOX} * round(({d}) / {BOX}))"
+_STEPS = ", ".join(f"coalesce({_IMAGE(f'{c} - lag({c}) OVER w')}, {c}) AS d{c}" for c in "xyz")
+_UNWRAPPED = ", ".join(f"sum(d{c}) OVER (PARTITION BY frame, chain ORDER BY bead) AS {c}" for c in "xyz")
+_SPREAD = " + ".join(f"avg({c} * {c}) - avg({c}) * avg({c})" for c in "xyz")
+_SQUARE = " + ".join(f"{_IMAGE(f'(p.{c} - q.{c})')} ** 2" for c in "xyz")
 
 
 def beads(spark, sf_dir):
-    """A frame of 15 chains of four beads for each sixty events: coordinates from hashes of the event."""
-    hashed = lambda s: F.pmod(F.xxhash64(F.lit(s), "event_id"), F.lit(1000)) / 100
+    """A frame of 15 chains of four beads for each sixty events: coordinates from digits of the event's digest."""
+    hashed = lambda s: F.conv(F.substring(F.md5(F.concat(F.lit(s), F.col("event_id").cast("string"))), 1, 4), 16, 10).cast("double") / 6553.6
     k = F.pmod("event_id", F.lit(60))
     return table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 60).alias("frame"), F.floor(k / 4).cast("int").alias("chain"), F.pmod(k, F.lit(4)).cast("int").alias("bead"), *(hashed(c).alias(c) for c in "xyz"))
 
 
-@query("g42_radius_of_gyration")
+@query("g42_radius_of_gyration", f"""WITH {_BEADS}, s AS (SELECT frame, chain, bead, {_STEPS} FROM beads WINDOW w AS (PARTITION BY frame, chain ORDER BY bead)), u AS (SELECT frame, chain, {_UNWRAPPED} FROM s)
+SELECT frame, chain, round(sqrt({_SPREAD}), 6) AS rg FROM u GROUP BY 1, 2""")
 def gyration(spark, sf_dir):
     return trajectory.gyration(beads(spark, sf_dir), BOX).withColumn("rg", F.round("rg", 6))
 
 
-@query("j10_g44_chain_contacts")
+@query("j10_g44_chain_contacts", f"WITH {_BEADS} SELECT p.frame, p.chain AS a, q.chain AS b, count(*) AS n FROM beads p JOIN beads q ON p.frame = q.frame AND p.chain < q.chain WHERE {_SQUARE} <= 0.7 * 0.7 GROUP BY 1, 2, 3")
 def contacts(spark, sf_dir):
     return trajectory.contacts(beads(spark, sf_dir), BOX, 0.7)
 

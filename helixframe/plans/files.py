@@ -131,10 +131,12 @@ def stream_reads(spark, sf_dir):
     return _streamed(spark, sf_dir, lambda s: streams.translated(rows(s)).select("read_id", "aa"))
 
 
-@query("stream_windowed_counts")
+@query("stream_windowed_counts", """WITH w AS (SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS window_start, event_type AS aa, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT * FROM w WHERE window_start + 3600 <= (SELECT floor(epoch(max(ts))) - 600 FROM events)""")
 def stream_counts(spark, sf_dir):
     """Events of each type in closed windows; the last windows stay open in append mode."""
-    return _streamed(spark, sf_dir, lambda s: streams.variant_counts(s.withColumn("aa", F.col("event_type")), "ts"))
+    got = _streamed(spark, sf_dir, lambda s: streams.variant_counts(s.withColumn("aa", F.col("event_type")), "ts"))
+    return got.withColumn("window_start", F.unix_timestamp("window_start"))
 
 
 @query("stream_unique_types", "SELECT DISTINCT user_id % 50 AS slot FROM events")

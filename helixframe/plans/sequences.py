@@ -283,7 +283,13 @@ def motif_block(spark, sf_dir):
     return rows.select("protein_id", "motif", r9(total).alias("propensity_sum"), r9(mean).alias("propensity_mean"), r9(protein.moment_and_face(m)[0]).alias("moment"), protein.salt_bridges(m).alias("salt_bridges"), p.alias("prolines"), g.alias("glycines"), flag.alias("breaker"))
 
 
-@query("q9_helical_face")
+@query(
+    "q9_helical_face",
+    f"""WITH {PROTEINS}, motif AS (SELECT protein_id, substr(seq, 4, 19) AS m FROM proteins),
+vec AS (SELECT *, list_sum(list_transform(range(1, 20), lambda i: {_H}[substr(m, i, 1)] * sin(radians((i - 1) * 100.0)))) AS y, list_sum(list_transform(range(1, 20), lambda i: {_H}[substr(m, i, 1)] * cos(radians((i - 1) * 100.0)))) AS x FROM motif),
+wet AS (SELECT protein_id, atan2(y, x) AS towards, list_filter(range(1, 20), lambda i: {_H}[substr(m, i, 1)] > 0) AS hits FROM vec)
+SELECT protein_id, CASE WHEN len(hits) > 0 THEN round(len(list_filter(hits, lambda i: cos(radians((i - 1) * 100.0) - towards) >= 0.5)) / len(hits), 9) ELSE 0 END AS face_occupancy FROM wet""",
+)
 def helical_face(spark, sf_dir):
     return proteins(spark, sf_dir).select("protein_id", r9(protein.moment_and_face(F.substring("seq", 4, 19))[1]).alias("face_occupancy"))
 

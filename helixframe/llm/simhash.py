@@ -19,6 +19,7 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import table, word_hashes, written
 
 ROWS_PER_BUCKET = 4000
-MOST_BUCKETS = 50_000
+MOST_BUCKETS = 10_000  # edges that the driver holds; larger tables get larger ranges, which stream
 SLICE = 1_000_000
 RADIUS = 3
 _LEAST = -(2**63)
@@ -67,7 +68,7 @@ def _fingerprints(texts: list[bytes]) -> np.ndarray:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, bucket, look: the documents in ranges of doc_id of bounded size; each range also gets what follows it, marked `look`.
+    """doc_id, text, place, bucket, look: the documents in ranges of doc_id; each range also gets what follows it, marked `look`.
 
     The edges are doc_ids themselves, found from the ids alone, so that texts are shuffled once.
     """
@@ -103,26 +104,31 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprints of the text and of its edited text, and likenesses."""
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("look", "ascending"), ("place", "ascending"), ("text", "ascending")])
-        texts = group.column("text").to_pylist()
-        n = len(texts) - sum(group.column("look").to_pylist())
-        edited = []
-        for text, then in zip(texts[:n], texts[1 : n + 1], strict=True):  # the first that is looked at follows the last
-            k = len(text) // 4
-            edited.append((text[: len(text) - k] + then[:k]).encode())
-        prints = fingerprints([t.encode() for t in texts[: n + 1]])
-        changed = fingerprints(edited)
-        return pa.table(
-            [
-                group.column("doc_id")[:n], pa.array([len(t) for t in texts[:n]], pa.int64()), pa.array([hashlib.sha256(e).hexdigest() for e in edited], pa.string()),
-                pa.array([f"{x:016x}" for x in prints[:n].tolist()], pa.string()), pa.array([f"{x:016x}" for x in changed.tolist()], pa.string()),
-                pa.array(_likeness(prints[:n], changed)), pa.array(_likeness(prints[:n], prints[1 : n + 1])),
-            ],
-            names,
-        )
-
-    return with_next(docs).groupBy("bucket").applyInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by range and order, what follows a range last: each row waits for its successor."""
+        waiting: list[tuple] = []
+        for batch in batches:
+            rows = waiting + list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "bucket", "look")), strict=True))
+            waiting = rows[-1:]
+            own = [k for k in range(len(rows) - 1) if not rows[k][3] and rows[k][2] == rows[k + 1][2]]
+            if not own:
+                continue
+            texts, edited = [r[1] for r in rows], []
+            for k in own:
+                n = len(texts[k]) // 4
+                edited.append((texts[k][: len(texts[k]) - n] + texts[k + 1][:n]).encode())
+            prints, changed = fingerprints([t.encode() for t in texts]), fingerprints(edited)
+            here, then = prints[own], prints[np.array(own) + 1]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([rows[k][0] for k in own], pa.int64()), pa.array([len(texts[k]) for k in own], pa.int64()), pa.array([hashlib.sha256(e).hexdigest() for e in edited], pa.string()),
+                    pa.array([f"{x:016x}" for x in here.tolist()], pa.string()), pa.array([f"{x:016x}" for x in changed.tolist()], pa.string()), pa.array(_likeness(here, changed)), pa.array(_likeness(here, then)),
+                ],
+                names,
+            )
+
+    ordered = with_next(docs).repartition("bucket").sortWithinPartitions("bucket", "look", "place", "text").select("doc_id", "text", "bucket", "look")
+    return ordered.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 _BLOCKS = [((1 << 13) - 1) << k for k in (0, 13, 26, 39)] + [((1 << 12) - 1) << 52]

@@ -115,3 +115,12 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "ord") -> DataFram
     firsts = sizes.select("__part", first.alias("__first"))
     rows = ranged.withColumn("__part", part).join(F.broadcast(firsts), "__part")
     return rows.withColumn(name, F.col("__first") + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id", "__part", "__first")
+
+
+def running_before(df: DataFrame, order: Sequence[str], value: str, name: str = "before") -> DataFrame:
+    """df with the sum of a value over all rows before each one in an order, without bringing all rows to one task."""
+    ranged = written(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "running")
+    sums = ranged.groupBy("__part").agg(F.sum(value).alias("__s"))  # one row a task
+    first = sums.select("__part", F.coalesce(F.sum("__s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
+    within = F.coalesce(F.sum(value).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("__within", within).join(F.broadcast(first), "__part").withColumn(name, F.col("__first") + F.col("__within")).drop("__part", "__within", "__first")

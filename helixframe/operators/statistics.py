@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.relational import running_before
+
 
 def weighted(df: DataFrame, by: Sequence[str], value: str, weight: str) -> DataFrame:
     """n, mean, sd (population) and median of the expanded population, over finite values of positive weight."""
@@ -61,6 +63,8 @@ def ranks_of_two(df: DataFrame, value: str, weight: str, side: str, a: str, b: s
     """(by, value, wa, wb, below): weights of both samples at each distinct value, and b's weight below it."""
     w = F.col(weight)
     cells_ = df.filter(w > 0).groupBy(*by, value).agg(F.sum(F.when(F.col(side) == a, w).otherwise(0)).alias("wa"), F.sum(F.when(F.col(side) == b, w).otherwise(0)).alias("wb"))
+    if not by:
+        return running_before(cells_, [value], "wb", "below")
     over = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return cells_.withColumn("below", F.coalesce(F.sum("wb").over(over), F.lit(0)))
 

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.operators.relational import numbered
+from helixframe.operators.relational import numbered, running_before
 
 
 def read_fasta(spark: SparkSession, path: str, upper: bool = True, aligned: bool = False) -> DataFrame:
@@ -175,18 +175,11 @@ def write_by_length(df: DataFrame, path: str, seq: str) -> None:
 def size_chunks(df: DataFrame, order: Sequence[str], line: Column, most_bytes: int) -> DataFrame:
     """df with `chunk`: consecutive rows in an order whose lines (with their line feeds) stay within a size.
 
-    Chunk numbers follow running sums over ranges of the order; a chunk never
-    crosses a multiple of the size, so that no row has to wait for all before it.
+    Chunk numbers follow running sums; a chunk never crosses a multiple of the
+    size, so that no row has to wait for all before it.
     """
-    from pyspark.sql import Window
-
-    rows = numbered(df.withColumn("__b", F.octet_length(line) + 1), order, "__ord")
-    block = F.floor(F.col("__ord") / 10_000)
-    sums = rows.groupBy(block.alias("__k")).agg(F.sum("__b").alias("__s"))
-    before = sums.select("__k", F.coalesce(F.sum("__s").over(Window.orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    within = F.sum("__b").over(Window.partitionBy("__k").orderBy("__ord").rowsBetween(Window.unboundedPreceding, 0))
-    ended = rows.withColumn("__k", block).join(before, "__k").withColumn("__end", F.col("__before") + within)
-    return ended.withColumn("chunk", F.floor((F.col("__end") - 1) / most_bytes)).drop("__b", "__ord", "__k", "__before", "__end")
+    rows = running_before(df.withColumn("__b", F.octet_length(line) + 1), order, "__b", "__before")
+    return rows.withColumn("chunk", F.floor((F.col("__before") + F.col("__b") - 1) / most_bytes)).drop("__b", "__before")
 
 
 def read_residues(spark: SparkSession, path: str) -> DataFrame:

@@ -76,6 +76,8 @@ class Tokenizer:
         order = np.argsort(pairs)
         self._pairs, self._ranks = pairs[order], order.astype(np.int32)
         self.rank = dict(zip(pairs.tolist(), range(len(pairs)), strict=True))
+        pair = self.first.astype(np.int64)
+        self._byte_pairs = np.array([self.rank.get(int(k), _NONE) for k in ((pair[:, None] << 20) | pair[None]).ravel()], np.int32)  # by 256 * byte + next byte
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self._split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -86,13 +88,16 @@ class Tokenizer:
         at = np.minimum(np.searchsorted(self._pairs, key), len(self._pairs) - 1)
         return np.where((a >= 0) & (b >= 0) & (self._pairs[at] == key), self._ranks[at], _NONE)
 
-    def short_words(self, words: list[bytes], width: int) -> list[bytes]:
-        """The ids, as bytes of int32, of words of at most `width` bytes (a power of two), merged in step."""
-        n = len(words)
-        size = np.array([len(w) for w in words])
-        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
+    def short_words(self, joined: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> tuple[bytes, list[int]]:
+        """The ids, as bytes of int32 one after the other, and the ends, of words of at most `width` bytes (a power of two), merged in step.
+
+        A word is `size` bytes from `start` on in `joined`.
+        """
+        n = len(size)
+        inside = np.arange(width) < size[:, None]
+        raw = joined[np.minimum(start[:, None] + np.arange(width), len(joined) - 1)]
         symbols = np.full((n, width + 1), -1, np.int32)
-        symbols[:, :width] = np.where(np.arange(width) < size[:, None], self.first[raw], -1)
+        symbols[:, :width] = np.where(inside, self.first[raw], -1)
         after = np.tile(np.arange(1, width + 2, dtype=np.int32), (n, 1))
         before = np.tile(np.arange(-1, width, dtype=np.int32), (n, 1))
         tree = np.full((n, 2 * width), _NONE, np.int32)
@@ -100,7 +105,9 @@ class Tokenizer:
         def leaf(ranks: np.ndarray, at: np.ndarray) -> np.ndarray:
             return np.where(ranks == _NONE, _NONE, ranks * width + at)
 
-        tree[:, width:] = leaf(self._rank_of(symbols[:, :-1], symbols[:, 1:]), np.arange(width))
+        ranks = np.full((n, width), _NONE, np.int32)
+        ranks[:, :-1] = np.where(inside[:, 1:], self._byte_pairs[raw[:, :-1].astype(np.int32) * 256 + raw[:, 1:]], _NONE)
+        tree[:, width:] = leaf(ranks, np.arange(width, dtype=np.int32))
         for node in range(width - 1, 0, -1):
             tree[:, node] = np.minimum(tree[:, 2 * node], tree[:, 2 * node + 1])
 
@@ -128,8 +135,28 @@ class Tokenizer:
                 r, left = row[has], before[row[has], at[has]]
                 put(r, left, leaf(self._rank_of(symbols[r, left], symbols[r, at[has]]), left))
         alive = symbols[:, :width] >= 0
-        flat, ends = symbols[:, :width][alive].tobytes(), (4 * np.cumsum(alive.sum(axis=1))).tolist()
-        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return symbols[:, :width][alive].tobytes(), (4 * np.cumsum(alive.sum(axis=1))).tolist()
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as bytes of int32."""
+        out: list[bytes] = [b""] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        start = np.cumsum(size) - size
+        joined = np.frombuffer(b"".join(words) or b"\0", np.uint8)
+        least = 0
+        for width in (8, 16, SHORT):
+            some = np.flatnonzero((size > least) & (size <= width))
+            least = width
+            for k in range(0, len(some), 10_000):
+                part = some[k : k + 10_000]
+                flat, ends = self.short_words(joined, start[part], size[part], width)
+                at = 0
+                for i, end in zip(part.tolist(), ends, strict=True):
+                    out[i] = flat[at:end]
+                    at = end
+        for i in np.flatnonzero(size > SHORT).tolist():
+            out[i] = self.long_word(words[i]).tobytes()
+        return out
 
     def long_word(self, word: bytes) -> np.ndarray:
         """The ids of one word of any length."""
@@ -178,17 +205,9 @@ class Tokenizer:
         """Put the ids (int32 bytes) of new chunks into the cache."""
         plain = [c for c in chunks if c.isalpha() or c[1:].isalpha() and c[0] == " "]  # one word each
         mixed = {c: [w.encode() for w in WORD.findall(c)] for c in set(chunks).difference(plain)}
-        fresh = {*map(str.encode, plain), *chain.from_iterable(mixed.values())}
-        by_width: dict[int, list[bytes]] = {8: [], 16: [], SHORT: [], 0: []}
-        for w in fresh:
-            n = len(w)
-            by_width[8 if n <= 8 else 16 if n <= 16 else SHORT if n <= SHORT else 0].append(w)
-        ids: dict[bytes, bytes] = {w: self.long_word(w).tobytes() for w in by_width.pop(0)}
-        for width, some in by_width.items():
-            for k in range(0, len(some), 20_000):
-                part = some[k : k + 20_000]
-                ids.update(zip(part, self.short_words(part, width), strict=True))
-        self.cache.update(zip(plain, map(ids.__getitem__, map(str.encode, plain)), strict=True))
+        self.cache.update(zip(plain, self.words(list(map(str.encode, plain))), strict=True))
+        fresh = list(set(chain.from_iterable(mixed.values())))
+        ids = dict(zip(fresh, self.words(fresh), strict=True))
         self.cache.update((c, b"".join([ids[w] for w in ws])) for c, ws in mixed.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:

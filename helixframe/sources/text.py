@@ -14,14 +14,20 @@ from pyspark.sql import functions as F
 from helixframe.operators.relational import numbered, running_before
 
 
-def read_fasta(spark: SparkSession, path: str, upper: bool = True, aligned: bool = False) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str, upper: bool = True, aligned: bool = False, strict: bool = True) -> DataFrame:
     """name, header, seq: one row a record; wrapped lines are joined, white space and a leading byte-order mark go.
 
-    A record begins at a line's `>`; with `aligned`, unequal lengths raise.
+    A record begins at a line's `>`. With `strict`, text before a file's first header
+    raises, at the cost of counting headers; else it is a record whose first line
+    is its header. With `aligned`, unequal lengths raise.
     """
     records = spark.read.option("lineSep", "\n>").text(path)
     text = F.regexp_replace("value", "^\\uFEFF?>?", "")
     lines = records.filter(F.trim("value") != "").select(F.regexp_replace(text, "\r", "").alias("r"))
+    if strict:
+        headers = spark.read.text(path).filter(F.regexp_replace("value", "^\\uFEFF", "").startswith(">")).count()
+        if lines.count() != headers:
+            raise ValueError(f"{path} has text before a first header, or a header without a line")
     header = F.trim(F.substring_index("r", "\n", 1))
     body = F.regexp_replace(F.when(F.contains("r", F.lit("\n")), F.substr("r", F.length(F.substring_index("r", "\n", 1)) + 2)).otherwise(""), r"\s", "")
     seq = F.upper(body) if upper else body

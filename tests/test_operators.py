@@ -255,6 +255,10 @@ def test_fasta(spark, tmp_path):
     assert text.read_fasta(spark, path, upper=False).collect()[1].seq == "acgt"
     with pytest.raises(ValueError, match="not aligned"):
         text.read_fasta(spark, path, aligned=True)
+    loose = write(tmp_path, "b.fasta", "ACG\nT\n>one\nGG\n")
+    with pytest.raises(ValueError, match="before a first header"):
+        text.read_fasta(spark, loose)
+    assert [r.name for r in text.read_fasta(spark, loose, strict=False).collect()] == ["ACG", "one"]
     last = text.last_by_name(spark.createDataFrame([("a", "X", 1), ("a", "Y", 2)], "name string, seq string, ord int"), "ord").first()
     assert last.seq == "Y"
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,3 +74,38 @@ def chain_clusters(pairs: DataFrame, chains: DataFrame, thresholds: Sequence[int
     return sizes.groupBy("threshold", "frame").agg(
         F.count("*").alias("clusters"), F.max("size").alias("largest"), (F.sum(F.when(F.col("size") > 1, F.col("size")).otherwise(0)) / F.sum("size")).alias("bound_share"), (F.sum(F.col("size") * F.col("size")) / F.sum("size")).alias("mean_size")
     )
+
+
+def inefficiency(x: np.ndarray, least: int = 3) -> float:
+    """1 + 2 times the sum of a series' autocorrelations up to the first that isn't positive; 1 for a flat series."""
+    n, d = len(x), x - x.mean()
+    variance = (d * d).mean()
+    if variance <= 0:
+        return 1.0
+    g = 1.0
+    for t in range(1, n - 1):
+        c = (d[: n - t] * d[t:]).sum() / ((n - t) * variance)
+        if c <= 0 and t > least:
+            break
+        g += 2 * c * (1 - t / n)
+    return max(1.0, g)
+
+
+def equilibration(df: DataFrame, by: str, order: str, value: str, steps: int = 20) -> DataFrame:
+    """by, start, g, n_effective: the start of each series from which most uncorrelated samples remain; 0 for a flat one.
+
+    Starts are tried at `steps` even places. Each series is one group: its frames
+    bound it.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(order)[value].to_numpy(float)
+        best = (0, 1.0, float(len(x)))
+        if len(x) > 2 and x.std() > 0:
+            tried = [(t, inefficiency(x[t:])) for t in range(0, len(x) - 2, max(1, len(x) // steps))]
+            t, g = max(tried, key=lambda a: ((len(x) - a[0]) / a[1], -a[0]))
+            best = (t, g, (len(x) - t) / g)
+        return pd.DataFrame([(key[0], *best)], columns=[by, "start", "g", "n_effective"])
+
+    kind = dict(df.dtypes)[by]
+    return df.select(by, order, value).groupBy(by).applyInPandas(run, f"{by} {kind}, start long, g double, n_effective double")

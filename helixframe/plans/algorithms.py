@@ -346,3 +346,11 @@ def binned(spark, sf_dir):
     sizes = rows.join(bins, "seq").groupBy("medoid").agg(F.count("*").alias("rows"))
     return sizes.join(space, "medoid").select("medoid", "rows", "space", r9("log10_space").alias("log10_space"))
 
+
+
+@query("x31_equilibration")
+def equilibration(spark, sf_dir):
+    """Where the values of each user's day settle."""
+    rows = table(spark, sf_dir, "events").select(F.concat_ws("-", "user_id", F.floor(F.unix_timestamp("ts") / 86400)).alias("series"), "event_id", "value")
+    got = trajectory.equilibration(rows, "series", "event_id", "value")
+    return got.select("series", "start", F.round("g", 6).alias("g"), F.round("n_effective", 6).alias("n_effective"))

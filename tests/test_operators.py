@@ -239,6 +239,15 @@ def test_trajectories(spark):
     assert trajectory.gyration(line, box).first().rg == pytest.approx(math.sqrt(2 / 3))
 
 
+def test_equilibration(spark):
+    r = np.random.default_rng(5)
+    settled = np.concatenate([np.linspace(10, 0, 100), np.zeros(300)]) + r.normal(0, 0.3, 400)
+    rows = [("a", k, float(v)) for k, v in enumerate(settled)] + [("flat", k, 1.0) for k in range(10)] + [("one", 0, 2.0)]
+    got = {x.s: x for x in trajectory.equilibration(spark.createDataFrame(rows, "s string, k int, v double"), "s", "k", "v").collect()}
+    assert 80 <= got["a"].start <= 160 and got["flat"].start == 0 and got["one"].n_effective == 1.0
+    assert trajectory.inefficiency(r.normal(0, 1, 4000)) < 1.3
+
+
 # --- files ---------------------------------------------------------------
 
 

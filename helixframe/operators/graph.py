@@ -36,17 +36,17 @@ def _linked_to_least(pairs: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
     """node, component (its least node) for every node of edges (a, b); loops and repeats are allowed."""
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, before = written(edges, "edges"), None
+    edges = written(edges, "edges")
     for _ in range(most_steps):
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
-            break
-        before = mark
         both = edges.union(edges.select("v", "u"))
-        large = _linked_to_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v").distinct()
-        least = _linked_to_least(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        large = _linked_to_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v")
+        least = _linked_to_least(large)  # a large star's edges go from the larger node to the smaller one
         small = least.select(F.col("v").alias("u"), F.col("least").alias("v")).union(least.select("u", F.col("least").alias("v"))).filter("u <> v").distinct()
         edges = written(small, "edges")
+        # Settled once the edges are stars: each node has one edge down, and no node below has any.
+        nodes = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if nodes.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 or (down > 0 and up > 0)").isEmpty():
+            break
     else:
         raise RuntimeError(f"components did not settle in {most_steps} steps")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())

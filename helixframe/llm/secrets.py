@@ -8,7 +8,15 @@ On top of them, every value behind a credential name - of more names than
 `assign` knows - is judged by dynamic programming: the least number of guesses
 over all ways to cut it into dictionary words, dates, repeats, keyboard walks
 and brute-force spans. A value that costs at least 10**STRONG guesses gives a
-span `guess` of the value alone.
+span `guess` of the value alone. A quoted value ends at its closing quote on
+the same line, any other at white space, a quote, a comma, a bracket, a
+semicolon or the next field of a query string. A quoted value with blanks is
+strong if one of its words is, or, behind `passphrase`, as a whole.
+
+The dictionary is the fixed list below and the words of the table itself,
+ranked by the number of documents they stand in (`word_ranks`). What stands
+behind a credential name isn't counted, so that a secret doesn't vouch for
+itself. At most MOST_WORDS words of at most LONGEST bytes are sent to the tasks.
 
 Defined results: a null text counts as empty; an empty text has no spans; each
 of equal rows has the same result; an empty table gives an empty result; other
@@ -21,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from math import log10
 
@@ -28,17 +37,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import table, utf8
+from helixframe.llm.common import table, utf8, written
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")
-CONTEXT = re.compile(rb"(password|passwd|passphrase|passcode|pwd|secret|token|api_?key|access_?key|private_?key|credentials?|auth)[\"']?\x20*[:=]\x20*[\"']?([!-~]+)", re.I)
+CONTEXT = re.compile(
+    rb"(password|passwd|passphrase|passcode|pwd|secret|token|api_?key|access_?key|private_?key|credentials?|auth)[\"']?\x20*[:=]\x20*"
+    rb"(?:\"([^\"\\\n]*(?:\\.[^\"\\\n]*)*)\"|'([^'\\\n]*(?:\\.[^'\\\n]*)*)'|[\"']?((?:[!#$%*+./0-9:=?@A-Z\\^_a-z|~-]|&(?!amp;|[\w.%-]+=))+))",
+    re.I,
+)
 #: One of these stands in every text that ASSIGN or CONTEXT matches (lower case).
 HINTS = (b"passw", b"passp", b"passc", b"pwd", b"secret", b"token", b"api", b"_key", b"sskey", b"tekey", b"credential", b"auth")
 #: Decimal logarithm of the guesses from which a value counts as a secret.
 STRONG = 8.0
+MOST_WORDS = 100_000  # of the table's own words in the dictionary: 3 MB at LONGEST bytes a word and 8 a rank
+LONGEST = 24  # bytes
+LEAST_DOCUMENTS = 5  # that a word must stand in
+HELD = 200_000  # words that a task counts before it hands them on
+CLASSES = 8  # of counts for each doubling: words of a class have one rank
 
 # Frequent passwords and words, most frequent first; a word's rank is its cost.
 WORDS = (
@@ -52,14 +70,71 @@ WORDS = (
 ).split()
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 _RANK = {w: log10(k + 1.0) for k, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
+_WORDS_ONLY = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 or c == 95 else 32 for c in range(256))
 _PLAIN = str.maketrans({"4": "a", "@": "a", "3": "e", "0": "o", "1": "i", "$": "s", "5": "s", "7": "t"})
 _NEXT = {a + b for row in ROWS for a, b in zip(row, row[1:], strict=False)} | {b + a for row in ROWS for a, b in zip(row, row[1:], strict=False)}
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d")
 _JOIN = log10(2)  # what each further segment multiplies the guesses by
 
 
-def guess_cost(value: str) -> float:
+def _values(text: bytes) -> Iterator[tuple[bytes, int, int, bool]]:
+    """(name, start, end, quoted) of each value behind a credential name."""
+    for m in CONTEXT.finditer(text):
+        k = m.lastindex
+        end = m.end(k) if k < 4 else m.start(k) + len(m[k].rstrip(b"."))
+        yield m[1], m.start(k), end, k < 4
+
+
+def _has_hint(text: bytes) -> bool:
+    low = text.lower()
+    return any(x in low for x in HINTS)
+
+
+def words_of(text: bytes) -> set[bytes]:
+    """The lower-case words of a text without its values behind credential names; words with digits aren't words."""
+    if _has_hint(text):
+        at, kept = 0, []
+        for _, start, end, _ in _values(text):
+            kept.append(text[at:start])
+            at = end
+        text = b" ".join([*kept, text[at:]])
+    return {w for w in text.translate(_WORDS_ONLY).split() if 3 <= len(w) <= LONGEST and b"0" not in w}
+
+
+def word_ranks(docs: DataFrame) -> dict[str, float]:
+    """Decimal logarithms of the ranks of docs' words by the number of documents they stand in, and of the fixed list.
+
+    A word's rank is the number of words in its class of counts and those above. Classes go in whole
+    while they hold MOST_WORDS words at most, so that the driver never holds more and ties don't depend on order.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[bytes] = Counter()
+        handed = lambda: pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in held], pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
+        for batch in batches:
+            for text in utf8(batch.column("text")):
+                held.update(words_of(text or b""))
+                if len(held) >= HELD:
+                    yield handed()
+                    held.clear()
+        yield handed()
+
+    counts = docs.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_DOCUMENTS)
+    words = written(counts.select("word", F.floor(F.log2("n") * CLASSES).cast("int").alias("class")), "words")
+    rank, total = {}, 0
+    for r in sorted(words.groupBy("class").count().collect(), key=lambda r: -r["class"]):  # a few hundred classes
+        total += r["count"]
+        if total > MOST_WORDS:
+            break
+        rank[r["class"]] = log10(total + 1.0)
+    ranks = dict(_RANK)
+    if rank:
+        for r in words.filter(F.col("class") >= min(rank)).collect():
+            ranks[r["word"]] = min(rank[r["class"]], ranks.get(r["word"], rank[r["class"]]))
+    return ranks
+
+
+def guess_cost(value: str, rank: dict[str, float] = _RANK) -> float:
     """Decimal logarithm of the least guesses over all segmentations; time grows with the length alone."""
     n = len(value)
     low = value.lower()
@@ -86,8 +161,8 @@ def guess_cost(value: str) -> float:
             least = min(least, best[walk] + _JOIN + log10(len("".join(ROWS)) * 2.0 * (i - walk)))
         for at, c in dates.get(i, ()):
             least = min(least, best[at] + _JOIN + c)
-        for at in range(max(0, i - _LONGEST), i - 2):
-            if (c := _RANK.get(low[at:i])) is None and (c := _RANK.get(plain[at:i])) is not None:
+        for at in range(max(0, i - LONGEST), i - 2):
+            if (c := rank.get(low[at:i])) is None and (c := rank.get(plain[at:i])) is not None:
                 c += _JOIN
             if c is not None:
                 least = min(least, best[at] + _JOIN + c + (0.0 if value[at:i] == low[at:i] else _JOIN))
@@ -95,16 +170,17 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
-def find(text: bytes) -> list[tuple[int, int, int]]:
+def _strong(name: bytes, value: str, quoted: bool, rank: dict[str, float]) -> bool:
+    parts = value.split() if quoted and name.lower() != b"passphrase" else [value]
+    return any(len(x) >= 6 and guess_cost(x, rank) >= STRONG for x in parts)
+
+
+def find(text: bytes, rank: dict[str, float] = _RANK) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all spans by start, then kind; offsets in code points."""
     found = []
-    low = text.lower()
-    if any(x in low for x in HINTS):
+    if _has_hint(text):
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
-        for m in CONTEXT.finditer(text):
-            value = m[2].rstrip(b"\"',;.)")
-            if len(value) >= 6 and guess_cost(value.decode("ascii")) >= STRONG:
-                found.append((m.start(2), 3, m.start(2) + len(value)))
+        found += [(start, 3, end) for name, start, end, quoted in _values(text) if _strong(name, text[start:end].decode("utf-8"), quoted, rank)]
     if b"AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
@@ -119,13 +195,14 @@ def find(text: bytes) -> list[tuple[int, int, int]]:
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess: one row a document."""
+    rank = word_ranks(docs)
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long"
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in utf8(batch.column("text")):
-                got = find(text or b"")
+                got = find(text or b"", rank)
                 said = [f"{KINDS[kind]}:{start}:{end}" for start, kind, end in got]
                 count = [sum(kind == k for _, kind, _ in got) for k in range(4)]
                 base = ",".join(x for x, (_, kind, _) in zip(said, got, strict=True) if kind < 3)
@@ -137,9 +214,9 @@ def spans(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scanned, schema)
 
 
-def redact(text: str | None) -> str | None:
+def redact(text: str | None, rank: dict[str, float] = _RANK) -> str | None:
     """text with each span, overlapping ones together, put as [SECRET]."""
-    if not text or not (found := find(text.encode("utf-8"))):
+    if not text or not (found := find(text.encode("utf-8"), rank)):
         return text
     out, at = [], 0
     for start, _, end in found:
@@ -152,11 +229,12 @@ def redact(text: str | None) -> str | None:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with the secrets in `text` replaced; all columns stay."""
+    rank = word_ranks(docs)
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.schema.get_field_index("text")
-            yield batch.set_column(k, batch.schema.field(k), pa.array([redact(x) for x in batch.column(k).to_pylist()], batch.schema.field(k).type))
+            yield batch.set_column(k, batch.schema.field(k), pa.array([redact(x, rank) for x in batch.column(k).to_pylist()], batch.schema.field(k).type))
 
     return docs.mapInArrow(cleaned, docs.schema)
 

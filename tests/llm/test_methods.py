@@ -235,6 +235,34 @@ def test_strong_values_beyond_the_base_patterns():
     assert secrets.redact("my pwd: x7Rq2!vLp9#k ok") == "my pwd: [SECRET] ok"
 
 
+def test_values_end_at_their_quotes_and_brackets():
+    for text in ('{"pwd":"admin","user":"someone-else@example.org","n":[1,2]}', '{"auth":{"kind":"admin","x":"a long and harmless text"}}', "f(pwd=admin,other_argument_of_the_call)", "a?auth=admin&next_page=the-other-page", '{"pwd":"Enter your password","next":"q"}', '{"pwd":"","next":"some-long-value-9"}'):
+        assert secrets.find(text.encode()) == [], text
+    text = '{"pwd":"x7Rq2!,vLp9","user":"someone"}'
+    assert secrets.redact(text) == '{"pwd":"[SECRET]","user":"someone"}'
+    assert secrets.redact('{"auth":{"pwd":"x7Rq2!vLp9"},"a":1}') == '{"auth":{"pwd":"[SECRET]"},"a":1}'
+    assert secrets.redact('{"passphrase":"purple horse battery staple","a":1}') == '{"passphrase":"[SECRET]","a":1}'
+    assert secrets.redact("x(pwd=x7Rq2!vLp9,b=2)") == "x(pwd=[SECRET],b=2)"
+
+
+def test_words_of_the_table_are_cheap(spark):
+    rows = [(k, f"it is disabled, so include the {'abcdefghij'[k]}zzz other credentials: qlwmrtvk") for k in range(10)]
+    rows += [(20, "auth: disabled"), (21, "{credentials: 'include'}"), (22, "auth: wqzkvjxp"), (23, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rank = secrets.word_ranks(docs)
+    assert rank["disabled"] < 2 and "qlwmrtvk" not in rank and "azzz" not in rank
+    got = {r.doc_id: r.spans for r in secrets.spans(docs).collect()}
+    assert (got[20], got[21], got[22], got[23]) == ("", "", "guess:6:14", "") and "guess" in got[0]
+    kept = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
+    assert kept[20] == "auth: disabled" and kept[22] == "auth: [SECRET]"
+
+
+def test_dictionary_has_a_bound(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "often " + ("seldom rarely" if k < 6 else "")) for k in range(50)], "doc_id long, text string")
+    monkeypatch.setattr(secrets, "MOST_WORDS", 2)
+    assert set(secrets.word_ranks(docs)) - set(secrets._RANK) == {"often"}
+
+
 # --- WebP ----------------------------------------------------------------
 
 

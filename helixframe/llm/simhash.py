@@ -157,6 +157,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = written(fingerprinted(table(spark, sf_dir, "documents")), "simhash")
     high, low = (F.conv(F.substring("fingerprint", k, 8), 16, 10).cast("long") for k in (1, 9))
     rows = rows.withColumn("print", F.shiftleft(high, 32).bitwiseOR(low))
-    asked = rows.filter("doc_id % 20 = 0").select("doc_id", "print")
-    near = asked.join(neighbours(rows, asked), "print").select("doc_id", (F.col("n_near") - 1).alias("n_near"))
-    return rows.drop("print").join(near, "doc_id", "left")
+    asked = rows.filter("doc_id % 20 = 0")
+    others = rows.filter("doc_id is null or doc_id % 20 <> 0").withColumn("n_near", F.lit(None).cast("long"))
+    # By fingerprint, of which neighbours() has one row each: a doc_id may repeat, with other texts.
+    near = asked.join(neighbours(rows, asked), "print").withColumn("n_near", F.col("n_near") - 1)
+    return others.unionByName(near).drop("print")

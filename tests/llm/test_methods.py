@@ -477,6 +477,15 @@ def test_fingerprints_and_next_documents(spark, sf_dir, texts, monkeypatch):
         assert r.n_near == (None if d % 20 else sum((prints[d] ^ p).bit_count() <= 3 for p in prints.values()) - 1)
 
 
+def test_repeated_ids_have_a_row_each(spark, tmp_path):
+    same, other = "one two three four five six", "quite another text with words of its own"
+    rows = [(20, same)] * 3 + [(20, other), (7, same), (None, other), (40, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.doc_id, r.n_chars, r.n_near) for r in simhash.op10_simhash(spark, str(tmp_path)).collect()]
+    want = [(20, len(same), 3)] * 3 + [(20, len(other), 1), (7, len(same), None), (None, len(other), None), (40, 0, 0)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_tables_find_all_within_the_radius(spark):
     r = random.Random(7)
     base = [r.getrandbits(64) for _ in range(20)]

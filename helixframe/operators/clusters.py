@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -237,11 +237,19 @@ def without_overlaps(df: DataFrame, by: str, start: str, end: str, score: str, s
 
 
 def oversampled(df: DataFrame, length: str, first: int = 155, last: int = 1199, step: int = 116, key: str = "id") -> DataFrame:
-    """df with bucket, part (train, valid, test by 60/20/20) and copies: train rows repeat so that each length bucket weighs about as much as the largest."""
-    rows = df.filter(F.col(length).between(first, last)).withColumn("bucket", F.floor((F.col(length) - first) / step).cast("int"))
+    """df with bucket, part (train, valid, test by 60/20/20) and copies: train rows repeat so that each length bucket weighs about as much as the largest whole one.
+
+    first, first + step, ... last are upper bounds: bucket 0 holds lengths up to first.
+    Rows over last are kept once in a bucket of their own, the next number, and
+    count for no other; rows without a length are kept once with a null bucket.
+    """
+    over = -(-(last - first) // step) + 1
+    place = F.least(F.greatest(F.ceil((F.col(length) - first) / step), F.lit(0)), F.lit(over))  # greatest skips nulls
+    rows = df.withColumn("bucket", F.when(F.col(length) > last, over).when(F.col(length).isNotNull(), place).cast("int"))
     u = F.pmod(F.xxhash64(F.lit(42), key), F.lit(10_000)) / 10_000
     rows = rows.withColumn("part", F.when(u < 0.6, "train").when(u < 0.8, "valid").otherwise("test"))
-    sizes = rows.filter("part = 'train'").groupBy("bucket").agg(F.count("*").alias("n")).withColumn("copies", F.round(F.max("n").over(Window.partitionBy()) / F.col("n")).cast("int")).drop("n")
+    sizes = rows.filter(F.col("bucket") < over).groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.col("part") == "train").alias("train"))
+    sizes = sizes.filter("train > 0").crossJoin(F.broadcast(sizes.agg(F.max("n").alias("most")))).select("bucket", F.bround(F.col("most") / F.col("train")).cast("int").alias("copies"))
     rows = rows.join(F.broadcast(sizes), "bucket", "left")
     copies = F.when((F.col("part") == "train") & F.col("copies").isNotNull(), F.col("copies")).otherwise(1)
     return rows.withColumn("copies", copies).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))

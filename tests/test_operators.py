@@ -365,3 +365,16 @@ def test_pools_and_counts(spark):
     df = spark.createDataFrame([("MKP", "1-2, 2")], "s string, r string")
     assert tuple(df.select(expansion.combinations(F.col("s"), F.col("r")), expansion.combinations(F.col("s"), F.col("r"), "random", True)).first()) == ("4", "400")
     assert 10 < expansion.unique_until_stalled(spark, "NNKATG", 30).count() <= 20
+
+
+def test_oversampled_buckets_have_upper_bounds(spark):
+    lengths = [0, 154, 155, 156, 271, 272, 1083, 1084, 1199, 1200, 5000, None] + [300] * 40
+    rows = spark.createDataFrame(list(enumerate(lengths)), "id long, length int")
+    got = clusters.oversampled(rows, "length").collect()
+    bucket = {r.id: r.bucket for r in got}
+    assert [bucket[k] for k in range(12)] == [0, 0, 0, 1, 1, 2, 8, 9, 9, 10, 10, None]
+    assert len(bucket) == len(lengths)  # no row is lost
+    whole = {b: sum(v == b for v in bucket.values()) for b in range(10)}
+    for r in got:
+        train = len({x.id for x in got if x.bucket == r.bucket and x.part == "train"})
+        assert r.copies == (round(max(whole.values()) / train) if r.part == "train" and r.bucket in range(10) else 1)

@@ -8,13 +8,16 @@ weighted sum of h gives the score. All weights are learned together from
 document labels.
 
 The model is fitted on the driver on a bounded sample of labelled rows (`most`,
-those of the least hash of doc_id) that are not held out; executors encode them
-and send counts of one byte. Scoring reads every whole text, batch by batch.
+those of the least hash of doc_id) that are not held out; of each, at most `BAG`
+passages are taken, evenly spaced (of a repeated doc_id those of its least text).
+Executors encode them and send counts of one byte, so that the driver holds
+most * BAG * 521 bytes at the most. Scoring reads every whole text, in slices.
 
 Defined results: a null or empty text is one passage without bytes and has a
 score; a null doc_id is held out; repeated rows are scored each; where no
 labels exist the score is 0.5; an empty table gives an empty result; other
-columns pass through `keep` and are never inputs.
+columns pass through `keep` and are never inputs. A long text takes about its
+own size in memory, beside slices of constant size.
 """
 
 from __future__ import annotations
@@ -27,16 +30,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import table, utf8, word_hashes
+from helixframe.llm.common import SLICE, shielded, small, table, utf8, word_hashes
 
 PASSAGE = 512
 BUCKETS = 512
 SHARES = 9
 HIDDEN = 24
 SAMPLE = 4000
+BAG = 32
 EPOCHS = 20
 THRESHOLD = 0.3
-SLICE = 1_000_000
+AT_ONCE = 1024  # passages
 
 _KIND = np.full(256, 5, np.uint8)  # 0 lower, 1 capital, 2 digit, 3 space, 4 mark, 5 beyond ASCII or control
 _KIND[33:127] = 4
@@ -44,34 +48,51 @@ _KIND[97:123], _KIND[65:91], _KIND[48:58] = 0, 1, 2
 _KIND[[32, 9, 10, 11, 12, 13]] = 3
 
 
-def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """One-byte features of all passages of all texts, and each text's first passage (one more entry closes it)."""
-    size = np.array([len(t) for t in texts])
-    count = np.maximum(1, -(-size // PASSAGE))
-    first = np.concatenate([[0], np.cumsum(count)])
-    raw = np.frombuffer(b"".join(t + b"\0\0" for t in texts) + b"\0", np.uint8)
+def _counted(pieces: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of trigrams and of kinds of bytes for all passages of pieces (bytes, the two that follow them)."""
+    size = np.array([len(p) for p, _ in pieces])
+    first = np.cumsum(np.maximum(1, -(-size // PASSAGE)))
+    n, first = first[-1], np.concatenate([[0], first[:-1]])
+    raw = np.frombuffer(b"".join(x for p, then in pieces for x in (p, then)), np.uint8)
     begin = np.concatenate([[0], np.cumsum(size + 2)[:-1]])
-    of = np.repeat(np.arange(len(texts)), size)
-    offset = np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+    of = np.repeat(np.arange(len(pieces)), size)
+    offset = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
     at = offset + begin[of]
     passage = first[of] + offset // PASSAGE
     wide = raw.astype(np.uint32)
     mixed = wide[at] * np.uint32(0x9E3779B1) + wide[at + 1] * np.uint32(0x85EBCA77) + wide[at + 2] * np.uint32(0xC2B2AE3D)
     mixed ^= mixed >> np.uint32(15)
     bucket = (mixed * np.uint32(0x2C1B3C6D) >> np.uint32(23)).astype(np.int64)  # the top nine bits
-    n = first[-1]
     counts = np.bincount(passage * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS)
-    kinds = np.bincount(passage * 6 + _KIND[raw[at]], minlength=n * 6).reshape(n, 6)
-    length = np.maximum(1, kinds.sum(axis=1))
+    return counts, np.bincount(passage * 6 + _KIND[raw[at]], minlength=n * 6).reshape(n, 6)
+
+
+def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """One-byte features of all passages of all texts, and each text's first passage (one more entry closes it)."""
+    size = np.array([len(t) for t in texts])
+    first = np.concatenate([[0], np.cumsum(np.maximum(1, -(-size // PASSAGE)))])
     # Words that repeat the one before them, counted where they begin.
     words, from_, start = word_hashes(texts, lower=False)
     same = np.flatnonzero(words[1:] == words[:-1]) + 1
     text = np.searchsorted(from_, same, "right") - 1
     same, text = same[same > from_[text]], text[same > from_[text]]
     inside = start[same] - (np.cumsum(size + 1) - size - 1)[text]
-    again = np.bincount(first[text] + inside // PASSAGE, minlength=n)
-    shares = np.concatenate([again[:, None] / np.maximum(1, length[:, None] / 4), kinds / length[:, None], (counts > 0).sum(axis=1)[:, None] / length[:, None], length[:, None] / PASSAGE], axis=1)
-    return np.concatenate([np.minimum(counts, 255), np.round(255 * np.minimum(shares, 1))], axis=1).astype(np.uint8), first
+    again = np.bincount(first[text] + inside // PASSAGE, minlength=first[-1])
+    out = np.empty((first[-1], BUCKETS + SHARES), np.uint8)
+    pieces, held, done = [], 0, 0
+    cut = [(k, o) for k, n in enumerate(size) for o in range(0, max(1, n), SLICE)]
+    for i, (k, o) in enumerate(cut):
+        pieces.append((texts[k][o : o + SLICE], (texts[k][o + SLICE : o + SLICE + 2] + b"\0\0")[:2]))
+        held += len(pieces[-1][0]) + PASSAGE
+        if held >= SLICE or i + 1 == len(cut):
+            counts, kinds = _counted(pieces)
+            length = np.maximum(1, kinds.sum(axis=1))[:, None]
+            to = done + len(counts)
+            shares = np.concatenate([again[done:to, None] / np.maximum(1, length / 4), kinds / length, (counts > 0).sum(axis=1)[:, None] / length, length / PASSAGE], axis=1)
+            out[done:to, :BUCKETS] = np.minimum(counts, 255)
+            out[done:to, BUCKETS:] = np.round(255 * np.minimum(shares, 1))
+            pieces, held, done = [], 0, to
+    return out, first
 
 
 def scaled(features: np.ndarray) -> np.ndarray:
@@ -98,16 +119,25 @@ class Model:
         draw = lambda *shape: (r.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
         return Model({"W": draw(n, hidden), "b": np.zeros(hidden, np.float32), "V": draw(hidden, 16), "U": draw(hidden, 16), "w": draw(16), "c": draw(hidden), "d": np.zeros(1, np.float32)})
 
-    def forward(self, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, tuple]:
+    def encoded(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """h, the two halves of the gate, and the attention before the softmax, of each passage."""
         k = self.weights
         h = np.tanh(x @ k["W"] + k["b"])
         t, s = np.tanh(h @ k["V"]), _sigmoid(h @ k["U"])
-        a = (t * s) @ k["w"]
+        return h, t, s, (t * s) @ k["w"]
+
+    def pooled(self, h: np.ndarray, a: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Scores of the documents, attention and document of each passage, weighted sums."""
         of = np.repeat(np.arange(len(first) - 1), np.diff(first))
         e = np.exp(a - np.maximum.reduceat(a, first[:-1])[of])
         alpha = e / np.add.reduceat(e, first[:-1])[of]
         bag = np.add.reduceat(alpha[:, None] * h, first[:-1], axis=0)
-        return _sigmoid(bag @ k["c"] + k["d"][0]), (h, t, s, alpha, of, bag)
+        return _sigmoid(bag @ self.weights["c"] + self.weights["d"][0]), alpha, of, bag
+
+    def forward(self, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, tuple]:
+        h, t, s, a = self.encoded(x)
+        p, alpha, of, bag = self.pooled(h, a, first)
+        return p, (h, t, s, alpha, of, bag)
 
     def gradients(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         """Of the weighted cross entropy."""
@@ -122,13 +152,10 @@ class Model:
         return {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ da, "c": bag.T @ dz, "d": dz.sum(keepdims=True)}
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        out = np.zeros(len(texts))
-        sizes = np.cumsum([len(t) for t in texts])
-        for rows in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes // SLICE)) + 1):
-            if len(rows):
-                features, first = passages([texts[k] for k in rows])
-                out[rows] = self.forward(scaled(features), first)[0]
-        return np.clip(out, 0, 1)
+        features, first = passages(texts)
+        parts = [self.encoded(scaled(features[k : k + AT_ONCE])) for k in range(0, len(features), AT_ONCE)]
+        got = self.pooled(np.concatenate([p[0] for p in parts]), np.concatenate([p[3] for p in parts]), first)[0]
+        return np.clip(got, 0, 1)
 
 
 def train(bags: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, batch: int = 128, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> Model:
@@ -160,16 +187,18 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model | None:
     """A model from labelled rows that aren't held out; None without two labels."""
-    known = labels.filter("quality in (0, 1) and doc_id is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = labels.filter("quality in (0, 1) and doc_id is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # bounded, and so broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [passages([t or b""])[0].tobytes() for t in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(got, pa.binary())], ["doc_id", "quality", "bag"])
+            for part in small(batch):
+                bags = [passages([t or b""])[0] for t in utf8(part.column("text"))]
+                got = [(b if len(b) <= BAG else b[np.linspace(0, len(b) - 1, BAG).astype(int)]).tobytes() for b in bags]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(got, pa.binary())], ["doc_id", "quality", "bag"])
 
-    found = rows.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(encoded, "doc_id long, quality int, bag binary").orderBy("doc_id").toPandas()
+    found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "text").mapInArrow(encoded, "doc_id long, quality int, bag binary").toPandas().sort_values("doc_id")
     y = found["quality"].to_numpy(np.float32)
     if len(np.unique(y)) < 2:
         return None
@@ -183,17 +212,18 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in utf8(batch.column("text"))]
-            got = model.scores(texts) if model else np.full(len(texts), 0.5)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names)
+            for part in small(batch):
+                texts = [t or b"" for t in utf8(part.column("text"))]
+                got = model.scores(texts) if model else np.full(len(texts), 0.5)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], names)
 
     return docs.mapInArrow(run, f"{schema[:-1]},score:double>")
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs whose score reaches the threshold; the columns stay."""
-    own = docs.withColumnsRenamed({c: f"_{k}" for k, c in enumerate(docs.columns) if c != "text"})  # so that no column is called `score`
-    return scored(own, fit(docs, labels)).filter(F.col("score") >= threshold).select(*(F.col("text" if c == "text" else f"_{k}").alias(c) for k, c in enumerate(docs.columns)))
+    own, back = shielded(docs, "text")
+    return back(scored(own, fit(docs, labels)).filter(F.col("score") >= threshold))
 
 
 def op2_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

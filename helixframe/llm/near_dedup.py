@@ -14,16 +14,28 @@ of 48 do with probability 2e-6.
 
 Links never multiply. A bucket only yields a spanning forest of its pairs within
 the distance, and what it joins is a coarse component: every link lies within
-one. Inside the coarse components, similarities are computed on full sets, in
-blocks of bounded size, again yielding spanning forests; the components of these
-are the result. Buckets that would be large (as a hashed sixteenth of the
-classes tells) and coarse components are split into pairs of blocks, which
-together cover all pairs.
+one. Inside the coarse components, similarities are computed on full sets,
+again yielding spanning forests; the components of these are the result.
+
+Groups of any size - large buckets (as a hashed sixteenth of the classes tells)
+and coarse components - are dealt in blocks of bounded size, in two rounds. In
+the first, each block is searched by itself together with a few members of the
+group that go to all its blocks; these join what belongs together across the
+blocks. In the second, what is still apart from the group's largest part is
+compared with all blocks, so that every pair that isn't known to be joined is
+looked at. Where a group holds together, both rounds are linear in its size;
+pairs of blocks only arise for texts that are alike enough to be candidates and
+yet not linked.
+
+A set is held as 64-bit hashes of its shingles, and two sets count as equal if
+their sizes and two 64-bit sums of these hashes are.
 
 Defined results: a null or blank text has an empty set and stands alone; a row
 with a null doc_id has no component and isn't kept by `kept`; rows of one doc_id
-are one node; repeated rows have equal results; an empty table gives an empty
-result; other columns are not read by `groups` and pass through `deduplicated`.
+are one node, linked by each of their texts; repeated rows have equal results;
+an empty table gives an empty result; other columns are not read by `groups` and
+pass through `deduplicated`, whatever their names. A long text takes a small
+multiple of its size in memory.
 """
 
 from __future__ import annotations
@@ -32,10 +44,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from helixframe.llm.common import distinct_sets, mixed, shingle_hashes, table, utf8, written
+from helixframe.llm.common import distinct_sets, mixed, shielded, shingle_hashes, small, table, utf8, written
 from helixframe.operators.graph import connected_components
 
 SLOTS = 48
@@ -43,20 +56,16 @@ PER_CHUNK = 4
 CHUNKS = SLOTS // PER_CHUNK
 ALLOWED = 1
 DISTANCE = CHUNKS * (ALLOWED + 1) - 1
-LARGE_BUCKET = 4096
-BLOCK = 256
+LARGE_BUCKET = 4096  # rows
+BLOCK = 256  # sets that are compared at once
+BLOCK_SHINGLES = 1_000_000  # and what they hold together, unless one set alone holds more
+PIVOTS = 4  # one of so many rows of a block goes to all blocks of its group
 SALTS = 16
-BROADCAST_ROWS = 1_000_000  # 16 bytes each
-SLICE = 1_000_000
+BROADCAST_ROWS = 250_000
 
 _FACTORS = mixed(np.arange(1, SLOTS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def _slices(texts: list[bytes]) -> Iterator[np.ndarray]:
-    sizes = np.cumsum([len(t) for t in texts])
-    yield from (r for r in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes // SLICE)) + 1) if len(r))
-
-
 def signatures(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """(text, slot): 16 bits of each MinHash value; zeros for an empty set."""
     out = np.zeros((len(begin) - 1, SLOTS), np.uint16)
@@ -81,24 +90,25 @@ def unpacked(low: pa.ChunkedArray) -> np.ndarray:
 
 
 def features(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, high and low (the set's digest), signature, packed."""
+    """doc_id, text_hash, row (its number), n_shingles, high and low (the set's digest), signature, packed."""
+    names = ["doc_id", "text_hash", "row", "n_shingles", "high", "low", "signature", "packed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in utf8(batch.column("text"))]
-            for rows in _slices(texts):
-                sets, begin = distinct_sets(*shingle_hashes([texts[k] for k in rows], size))
+            for part in small(batch):
+                sets, begin = distinct_sets(*shingle_hashes([t or b"" for t in utf8(part.column("text"))], size))
                 count = np.diff(begin)
                 full = np.flatnonzero(count)
-                high, low = np.zeros((2, len(rows)), np.int64)
+                high, low = np.zeros((2, len(count)), np.int64)
                 if len(full):
                     high[full] = np.add.reduceat(mixed(sets ^ np.uint64(1)), begin[full]).view(np.int64)
                     low[full] = np.bitwise_xor.reduceat(mixed(sets ^ np.uint64(2)), begin[full]).view(np.int64)
                 signs = signatures(sets, begin)
-                part = batch.column("doc_id").slice(rows[0], len(rows))
-                yield pa.RecordBatch.from_arrays([part, pa.array(count.astype(np.int64)), pa.array(high), pa.array(low), pa.array([s.tobytes() for s in signs], pa.binary()), pa.array([s.tobytes() for s in packed(signs)], pa.binary())], ["doc_id", "n_shingles", "high", "low", "signature", "packed"])
+                made = [count.astype(np.int64), high, low]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *map(pa.array, made), pa.array([x.tobytes() for x in signs], pa.binary()), pa.array([x.tobytes() for x in packed(signs)], pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, high long, low long, signature binary, packed binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, row long, n_shingles long, high long, low long, signature binary, packed binary")
 
 
 def keyed(classes: DataFrame) -> DataFrame:
@@ -223,8 +233,44 @@ def bucket_forest(node: np.ndarray, n: np.ndarray, low: np.ndarray, percent: int
             left = left[~near]
 
 
+def _broadcast(df: DataFrame) -> DataFrame:
+    """df, which must be cheap to count, broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _hash(node: str, blocks: Column, salt: int) -> Column:
+    return F.pmod(F.xxhash64(node, F.lit(salt)), blocks)
+
+
+def first_dealt(rows: DataFrame) -> DataFrame:
+    """rows (node, blocks, size) with `sub`: the own block of each, and all blocks for the few that hold a group together."""
+    pivot = (F.col("blocks") > 1) & (_hash("node", F.col("size"), 1) < F.ceil(F.col("size") / F.col("blocks") / PIVOTS))
+    own = _hash("node", F.col("blocks"), 2)
+    return rows.withColumn("sub", F.explode(F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(own))))
+
+
+def still_open(rows: DataFrame, group: str) -> DataFrame | None:
+    """For groups whose rows (node, blocks, size, part) are in several parts: the largest part and how many chunks the others make; None without any."""
+    sizes = rows.groupBy(group, "part", "blocks", "size").agg(F.count("*").alias("n"))
+    found = sizes.groupBy(group, "blocks", "size").agg(F.max(F.struct("n", "part")).alias("m"), F.sum("n").alias("all"))
+    found = found.select(group, F.col("m.part").alias("main"), F.ceil((F.col("all") - F.col("m.n")) * F.col("blocks") / F.col("size")).alias("chunks"))
+    found = written(found.filter("chunks > 0"), "open-groups")
+    return None if found.isEmpty() else found
+
+
+def second_dealt(rows: DataFrame, found: DataFrame, group: str) -> DataFrame:
+    """rows (node, blocks, part) of groups that are open, with `sub` and `left`: chunks of what isn't in the main part meet every block."""
+    rows = rows.join(_broadcast(found), group)
+    zero = F.lit(0).cast("long")
+    chunk, own = _hash("node", F.col("chunks"), 3), _hash("node", F.col("blocks"), 2)
+    right = F.transform(F.sequence(zero, F.col("chunks") - 1), lambda q: F.struct((q * F.col("blocks") + own).alias("sub"), F.lit(False).alias("left")))
+    left = F.transform(F.sequence(zero, F.col("blocks") - 1), lambda b: F.struct((chunk * F.col("blocks") + b).alias("sub"), F.lit(True).alias("left")))
+    to = F.when(F.col("part") == F.col("main"), right).otherwise(F.concat(right, left))
+    return rows.withColumn("to", F.explode(to)).select("*", "to.sub", "to.left").drop("to", "main", "chunks")
+
+
 def coarse_edges(keys: DataFrame, percent: int) -> DataFrame:
-    """a, b: edges whose components hold all pairs within the distance; keys must have (key, sub) as buckets."""
+    """a, b: edges whose components hold all pairs within the distance of each bucket (key, sub)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
@@ -236,33 +282,69 @@ def coarse_edges(keys: DataFrame, percent: int) -> DataFrame:
             node, n = t.column("node").to_numpy(), t.column("n").to_numpy()
             low = unpacked(t.column("packed"))
             two = start[size == 2]
-            near = two[_near(low[two], low[two + 1], n[two], n[two + 1], percent) & (node[two] != node[two + 1])]
+            near = two[_near(low[two], low[two + 1], n[two], n[two + 1], percent)]
             found = forest.fresh(zip(node[near].tolist(), node[near + 1].tolist(), strict=True))
             for a, k in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
                 found += forest.fresh(bucket_forest(node[a : a + k], n[a : a + k], low[a : a + k], percent))
             if found:
                 yield _edges(found)
 
-    return keys.repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(run, "a long, b long")
+    return keys.select("key", "sub", "node", "n", "packed").repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(run, "a long, b long")
+
+
+def cross_coarse_edges(keys: DataFrame, percent: int) -> DataFrame:
+    """a, b: parts that a pair within the distance joins, one row `left` of the pair and one not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in runs(batches, ["key", "sub"]):
+            part, n, left = (t.column(c).to_numpy() for c in ("part", "n", "left"))
+            low, found = unpacked(t.column("packed")), []
+            ends = np.append(at[at < t.num_rows], t.num_rows).tolist()
+            for a, b in zip(ends, ends[1:], strict=False):
+                forest, right = Forest(), a + np.flatnonzero(~left[a:b])
+                for x in a + np.flatnonzero(left[a:b]):
+                    near = right[_near(low[x], low[right], n[x], n[right], percent) & (part[right] != part[x])]
+                    found += forest.fresh((int(part[x]), y) for y in np.unique(part[near]).tolist())
+            if found:
+                yield _edges(found)
+
+    return keys.select("key", "sub", "left", "part", "n", "packed").repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(run, "a long, b long")
+
+
+def _parts(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with `part`: the component of each node, itself where no edge has it."""
+    return rows.join(found.select("node", F.col("component").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node"))
 
 
-def split_large(keys: DataFrame, sample: DataFrame) -> DataFrame:
-    """keys with `sub`: 0, or for keys that are frequent in the sample (a sixteenth) the pairs of blocks that the row is in."""
-    large = written(sample.groupBy("key").agg((F.count("*") * 16).alias("size")).filter(F.col("size") > LARGE_BUCKET).select("key", F.ceil(F.col("size") * 2 / LARGE_BUCKET).cast("int").alias("blocks")), "large-buckets")
-    n = large.count()
-    if n == 0:
-        return keys.withColumn("sub", F.lit(0))
-    rows = keys.join(F.broadcast(large) if n <= BROADCAST_ROWS else large, "key", "left")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
-    return rows.withColumn("sub", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.array_distinct(pairs)))).drop("blocks")
+def _joined(found: DataFrame, across: DataFrame) -> DataFrame:
+    """Components of the nodes of `found` (node, component) after edges across components."""
+    return connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(written(across, "cross-edges")))
 
 
-def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """(i, j) i < j of all pairs of sets whose similarity reaches percent."""
+def coarse_components(classes: DataFrame, percent: int) -> DataFrame:
+    """node, component: every pair within the distance lies in one component. classes: node, n, signature, packed."""
+    sample = keyed(classes.filter(_hash("node", F.lit(16), 4) == 0)).select("key")
+    large = sample.groupBy("key").agg((F.count("*") * 16).alias("size")).filter(F.col("size") > LARGE_BUCKET)
+    large = written(large.select("key", "size", F.ceil(F.col("size") * 2 / LARGE_BUCKET).alias("blocks")), "large-buckets")
+    light = classes.drop("signature")
+    rows = crowded(keyed(classes)).join(light, "node")
+    if large.isEmpty():
+        return written(connected_components(coarse_edges(rows.withColumn("sub", F.lit(0)), percent)), "coarse")
+    one = F.lit(1).cast("long")
+    sized = rows.join(_broadcast(large), "key", "left").withColumns({"size": F.coalesce("size", one), "blocks": F.coalesce("blocks", one)})
+    found = written(connected_components(coarse_edges(first_dealt(sized), percent)), "coarse")
+    again = written(_parts(keyed(classes).join(_broadcast(large), "key").join(light, "node"), found), "large-bucket-rows")
+    left = still_open(again, "key")
+    return found if left is None else written(_joined(found, cross_coarse_edges(second_dealt(again, left, "key"), percent)), "coarse")
+
+
+def linked(sets: list[np.ndarray], percent: int, part: np.ndarray | None = None) -> np.ndarray:
+    """(i, j) i < j of all pairs of sets, of different parts if these are given, whose similarity reaches percent."""
     n = np.array([len(s) for s in sets])
     i, j = np.triu_indices(len(sets), 1)
     fits = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+    if part is not None:
+        fits &= part[i] != part[j]
     i, j = i[fits], j[fits]
     if len(sets) <= 8:
         both = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)], np.int64)
@@ -285,41 +367,76 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return np.stack([i[close], j[close]], 1)
 
 
-def exact_edges(docs: DataFrame, coarse: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b: a spanning forest of all links on full sets within each coarse component (node, component)."""
-    count = coarse.count()
-    sizes = coarse.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = written(coarse.join(sizes, "component"), "members")
-    few = F.broadcast(members) if count <= BROADCAST_ROWS else members
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(few, "node")
+def full_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """members (doc_id, text_hash, node, component, blocks, size) with the `values` of their sets; a repeated row gives at most one a task."""
+    columns = [c for c in members.columns if c not in ("doc_id", "text_hash")]
+    few = _broadcast(members.withColumnRenamed("doc_id", "__doc"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.xxhash64("text").alias("text_hash"), "text").join(few, ["__doc", "text_hash"]).select(*columns, "text")
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            texts = [t or b"" for t in utf8(batch.column("text"))]
-            for some in _slices(texts):
-                values, begin = distinct_sets(*shingle_hashes([texts[k] for k in some], size))
-                part = batch.slice(some[0], len(some))
-                got = pa.array([values[a:b].tobytes() for a, b in zip(begin, begin[1:], strict=False)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("component"), part.column("blocks"), got], ["node", "component", "blocks", "values"])
-
-    sets = rows.select("node", "component", "blocks", "text").mapInArrow(to_sets, "node long, component long, blocks int, values binary")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j)))
-    dealt = sets.select("node", "component", "values", F.explode(pairs).alias("sub")).repartition("component", "sub").sortWithinPartitions("component", "sub")
+            for part in small(batch):
+                fresh = [not (x in seen or seen.add(x)) for x in part.column("node").to_pylist()]
+                part = part.filter(pa.array(fresh, pa.bool_()))
+                if part.num_rows:
+                    values, begin = distinct_sets(*shingle_hashes([t or b"" for t in utf8(part.column("text"))], size))
+                    got = pa.array([values[a:b].tobytes() for a, b in zip(begin, begin[1:], strict=False)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], got], [*columns, "values"])
+
+    return rows.mapInArrow(run, StructType([*members.select(*columns).schema.fields, StructField("values", BinaryType())]))
+
+
+def exact_edges(sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: a spanning forest of the links on full sets in each block (component, sub)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in runs(batches, ["component", "sub"]):
-            node = t.column("node").to_pylist()
-            values = [np.frombuffer(v, np.uint64) for v in t.column("values").to_pylist()]
-            ends = np.append(at[at < t.num_rows], t.num_rows).tolist()
-            found = []
+            node, values = t.column("node").to_pylist(), t.column("values")
+            ends, found = np.append(at[at < t.num_rows], t.num_rows).tolist(), []
             for a, b in zip(ends, ends[1:], strict=False):
-                if b - a > 1:
-                    found += Forest().fresh((node[a + i], node[a + j]) for i, j in linked(values[a:b], percent).tolist())
+                here = list({node[k]: k for k in range(a, b)}.values())  # a repeated row may have come from several tasks
+                if len(here) > 1:
+                    pairs = linked([np.frombuffer(values[k].as_py(), np.uint64) for k in here], percent)
+                    found += Forest().fresh((node[here[i]], node[here[j]]) for i, j in pairs.tolist())
             if found:
                 yield _edges(found)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return sets.select("component", "sub", "node", "values").repartition("component", "sub").sortWithinPartitions("component", "sub").mapInArrow(run, "a long, b long")
+
+
+def cross_exact_edges(sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: parts that a link joins, one row `left` of the link and one not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in runs(batches, ["component", "sub"]):
+            node, part, left, values = t.column("node").to_pylist(), t.column("part").to_pylist(), t.column("left").to_pylist(), t.column("values")
+            ends, found = np.append(at[at < t.num_rows], t.num_rows).tolist(), []
+            for a, b in zip(ends, ends[1:], strict=False):
+                here = list({(node[k], left[k]): k for k in range(a, b)}.values())
+                pairs = linked([np.frombuffer(values[k].as_py(), np.uint64) for k in here], percent, np.array([part[k] for k in here]))
+                found += Forest().fresh((part[here[i]], part[here[j]]) for i, j in pairs.tolist())
+            if found:
+                yield _edges(found)
+
+    return sets.select("component", "sub", "left", "node", "part", "values").repartition("component", "sub").sortWithinPartitions("component", "sub").mapInArrow(run, "a long, b long")
+
+
+def exact_components(docs: DataFrame, coarse: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """node, component: of the links on full sets. coarse: node, component; classes: node, n, doc_id, text_hash."""
+    members = written(coarse.join(classes.select("node", "n", "doc_id", "text_hash"), "node"), "members")
+    many = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES))
+    large = written(members.groupBy("component").agg(F.count("*").alias("size"), many.alias("blocks")).filter("blocks > 1"), "large-components")
+    one = F.lit(1).cast("long")
+    sized = members.drop("n").join(_broadcast(large), "component", "left").withColumns({"size": F.coalesce("size", one), "blocks": F.coalesce("blocks", one)})
+    sized = written(sized, "members")
+    found = written(connected_components(exact_edges(first_dealt(full_sets(docs, sized, size)), percent)), "exact")
+    again = written(_parts(sized.filter("blocks > 1"), found), "large-component-rows")
+    left = still_open(again, "component")
+    if left is None:
+        return found
+    some = again.join(_broadcast(left.select("component")), "component", "left_semi")
+    return _joined(found, cross_exact_edges(second_dealt(full_sets(docs, written(some, "open-rows"), size), left, "component"), percent))
 
 
 def salted_left_join(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
@@ -333,31 +450,35 @@ def groups(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     rows = written(features(docs, size), "shingle-features")
     usable = rows.filter("doc_id is not null and n_shingles > 0")
     digest = ["high", "low", "n_shingles"]
-    copied = usable.groupBy(*digest).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    classed = written(salted_left_join(rows, copied, digest).select("doc_id", "n_shingles", "signature", "packed", F.coalesce("least", "doc_id").alias("node")), "classes")
-    classes = classed.filter("doc_id = node and n_shingles > 0").select("node", F.col("n_shingles").alias("n"), "signature", "packed")
-    sample = keyed(classes.filter(F.pmod(F.xxhash64(F.col("node"), F.lit(1)), F.lit(16)) == 0)).select("key")
-    rows = crowded(keyed(classes)).join(classes.drop("signature"), "node")
-    coarse = written(connected_components(coarse_edges(split_large(rows, sample), percent)), "coarse")
-    links = exact_edges(docs, coarse, size, percent)
-    # Rows of one doc_id with different texts are in several classes; the document joins these.
-    several = classed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("nodes")).filter("a <> b")
-    found = connected_components(links.union(several.select("a", F.explode("nodes").alias("b"))))
-    placed = salted_left_join(classed.drop("signature", "packed"), found, ["node"])
-    component = F.coalesce("component", "node")
+    copied = usable.groupBy(*digest).agg(F.min("doc_id").alias("least"), F.min("row").alias("class"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    classed = written(salted_left_join(rows, copied, digest).select("doc_id", "text_hash", "row", "n_shingles", "signature", "packed", F.coalesce("class", "row").alias("class"), F.coalesce("least", "doc_id").alias("least")), "classes")
+    classes = classed.filter("row = class and n_shingles > 0 and doc_id is not null").select(F.col("class").alias("node"), F.col("n_shingles").alias("n"), "signature", "packed", "doc_id", "text_hash")
+    coarse = coarse_components(classes.drop("doc_id", "text_hash"), percent)
+    found = exact_components(docs, coarse, classes, size, percent)
+    # From classes to documents: a class is known by its least doc_id; a doc_id with several texts joins their classes.
+    least = classed.filter("row = class").select(F.col("class").alias("node"), "least")
+    named = found.join(least, "node").select("component", "least")
+    links = named.join(named.groupBy("component").agg(F.min("least").alias("first")), "component").select(F.col("least").alias("a"), F.col("first").alias("b"))
+    owned = classed.filter("doc_id is not null").select("doc_id", "least").distinct()
+    several = written(owned.groupBy("doc_id").agg(F.min("least").alias("a"), F.max("least").alias("b")).filter("a <> b").select("doc_id", "a"), "several")
+    if not several.isEmpty():
+        links = links.union(owned.join(several, "doc_id").select("a", F.col("least").alias("b")))
+    final = connected_components(links)
+    placed = salted_left_join(classed.select("doc_id", "n_shingles", F.col("least").alias("node")), final, ["node"])
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component, the one of the least doc_id; rows with a null doc_id stay. The columns stay."""
-    found = written(groups(docs, size, percent).filter("doc_id is not null").groupBy(F.col("doc_id").alias("__doc")).agg(F.count("*").alias("__n"), F.max("kept").alias("__kept")), "kept")
-    gone = found.filter("not __kept or __n > 1")
-    few = gone.count() <= BROADCAST_ROWS
-    rows = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == F.col("__doc"), "left").filter("__kept is null or __kept")
-    if found.filter("__kept and __n > 1").isEmpty():
-        return rows.select(*docs.columns)
+    own, back = shielded(docs, "doc_id", "text")
+    found = groups(own, size, percent).filter("doc_id is not null").groupBy(F.col("doc_id").alias("__doc")).agg(F.count("*").alias("__n"), F.max("kept").alias("__kept"))
+    gone = written(found.filter("not __kept or __n > 1"), "gone")
+    rows = own.join(_broadcast(gone), own["doc_id"].cast("long") == F.col("__doc"), "left").filter("__kept is null or __kept")
+    if gone.filter("__kept").isEmpty():
+        return back(rows)
     repeated = rows.filter("__kept").dropDuplicates(["doc_id"])
-    return rows.filter("__kept is null").unionByName(repeated).select(*docs.columns)
+    return back(rows.filter("__kept is null").unionByName(repeated))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

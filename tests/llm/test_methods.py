@@ -132,6 +132,47 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     assert got == brute_groups(rows)
 
 
+def test_links_stay_linear(spark, monkeypatch):
+    """5,000 different near copies, some at the edge of the threshold: edges and dealt rows in proportion, components as by brute force."""
+    r = random.Random(7)
+    base = [f"w{k}" for k in range(80)]
+    rows = {}
+    for d in range(5000):
+        words = list(base)
+        words[r.randrange(80)] = f"e{d}"
+        if d % 50 == 0:
+            words = [w if k % 9 else f"f{d}x{k}" for k, w in enumerate(words)]  # far from all others
+        rows[d] = " ".join(words)
+    counted = []
+    plain = near_dedup.written
+
+    def watched(df, what):
+        out = plain(df, what)
+        counted.append((what, out.count()))
+        return out
+
+    edges = []
+    monkeypatch.setattr(near_dedup, "written", watched)
+    exact = near_dedup.exact_edges
+    monkeypatch.setattr(near_dedup, "exact_edges", lambda *a: edges.append(plain(exact(*a), "e")) or edges[-1])
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(5)
+    got = {x.doc_id: x.component_id for x in near_dedup.groups(docs).collect()}
+    alone = [d for d in rows if d % 50 == 0]
+    assert [got[d] for d in alone] == alone and {got[d] for d in rows if d % 50} == {1}
+    assert edges[0].count() + sum(n for what, n in counted if what == "cross-edges") <= 4 * len(rows)
+
+
+def test_repeated_rows_do_not_multiply(spark, monkeypatch):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(7, text)] * 200 + [(8, text + " eleven"), (7, "quite another text of doc seven with words"), (9, "quite another text of doc seven with words"), (None, text)], "doc_id long, text string").repartition(3)
+    seen = []
+    plain = near_dedup.coarse_edges
+    monkeypatch.setattr(near_dedup, "coarse_edges", lambda keys, percent: seen.append(keys.count()) or plain(keys, percent))
+    got = near_dedup.groups(docs).collect()
+    assert len(got) == 204 and {(x.doc_id, x.component_id) for x in got} == {(7, 7), (8, 7), (9, 7), (None, None)}
+    assert seen[0] <= 4 * near_dedup.SLOTS
+
+
 def test_every_pair_within_the_distance_shares_a_bucket():
     r = np.random.default_rng(2)
     for _ in range(300):

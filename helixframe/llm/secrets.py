@@ -6,8 +6,8 @@ Three patterns give the base spans, leftmost and non-overlapping for each kind:
 
 On top of them, every value behind a credential name - of more names than
 `assign` knows - is judged by dynamic programming: the least number of guesses
-over all ways to cut it into dictionary words, dates, repeats, keyboard walks
-and brute-force spans. A value that costs at least 10**STRONG guesses gives a
+over all ways to cut it into dictionary words, dates, repeats of a unit of up to
+LONGEST characters, keyboard walks and brute-force spans. A value that costs at least 10**STRONG guesses gives a
 span `guess` of the value alone. A quoted value ends at its closing quote on
 the same line, any other at white space, a quote, a comma, a bracket, a
 semicolon or the next field of a query string. A quoted value with blanks is
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import table, utf8, written
+from helixframe.llm.common import small, table, utf8, written
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
@@ -55,7 +55,7 @@ STRONG = 8.0
 MOST_WORDS = 100_000  # of the table's own words in the dictionary: 3 MB at LONGEST bytes a word and 8 a rank
 LONGEST = 24  # bytes
 LEAST_DOCUMENTS = 5  # that a word must stand in
-HELD = 200_000  # words that a task counts before it hands them on
+HELD = 50_000  # words that a task counts before it hands them on
 CLASSES = 8  # of counts for each doubling: words of a class have one rank
 
 # Frequent passwords and words, most frequent first; a word's rank is its cost.
@@ -73,7 +73,10 @@ _RANK = {w: log10(k + 1.0) for k, w in enumerate(WORDS)}
 _WORDS_ONLY = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 or c == 95 else 32 for c in range(256))
 _PLAIN = str.maketrans({"4": "a", "@": "a", "3": "e", "0": "o", "1": "i", "$": "s", "5": "s", "7": "t"})
 _NEXT = {a + b for row in ROWS for a, b in zip(row, row[1:], strict=False)} | {b + a for row in ROWS for a, b in zip(row, row[1:], strict=False)}
-_DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d")
+# Year; year and month; year, month and day; day, month and year.
+_YEAR, _MONTH, _DAY = r"(?:19|20)\d\d", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])"
+_DATES = tuple((re.compile("[-/.]?".join(x), re.A), log10(c)) for x, c in (((_YEAR,), 120), ((_YEAR, _MONTH), 120 * 12), ((_YEAR, _MONTH, _DAY), 120 * 365), ((_DAY, _MONTH, _YEAR), 120 * 365)))
+_KEYS = 2.0 * sum(map(len, ROWS))
 _JOIN = log10(2)  # what each further segment multiplies the guesses by
 
 
@@ -111,7 +114,7 @@ def word_ranks(docs: DataFrame) -> dict[str, float]:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
         handed = lambda: pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in held], pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
-        for batch in batches:
+        for batch in (part for whole in batches for part in small(whole)):
             for text in utf8(batch.column("text")):
                 held.update(words_of(text or b""))
                 if len(held) >= HELD:
@@ -134,39 +137,86 @@ def word_ranks(docs: DataFrame) -> dict[str, float]:
     return ranks
 
 
-def guess_cost(value: str, rank: dict[str, float] = _RANK) -> float:
-    """Decimal logarithm of the least guesses over all segmentations; time grows with the length alone."""
+def _each(value: str) -> float:
+    """Decimal logarithm of the characters that a brute-force span of the value draws from."""
+    kinds = (any("a" <= c <= "z" for c in value) * 26) + (any("A" <= c <= "Z" for c in value) * 26) + (any("0" <= c <= "9" for c in value) * 10)
+    return log10(max(10, kinds + 33 * any(not c.isalnum() for c in value)))
+
+
+def _least(starts: list[int], best: list[float], i: int, unit: int) -> float:
+    """The least best[j] + log10((i - j) / unit) over the starts.
+
+    The later of two starts gains on the earlier one less and less, so that a
+    start that an earlier one beats is beaten from then on, and goes for good.
+    """
+    least, keep = float("inf"), []
+    for j in starts:
+        c = best[j] + log10((i - j) / unit)
+        if c < least:
+            least = c
+            keep.append(j)
+    starts[:] = keep
+    return least
+
+
+def guess_cost(value: str, rank: dict[str, float] = _RANK, repeats: bool = True) -> float:
+    """Decimal logarithm of the least guesses over all segmentations.
+
+    Segments: brute force; a date; three keys or more, each beside the one
+    before; a word, as it is, in other case or with digits and signs for letters;
+    a unit of up to LONGEST characters two times or more, which costs as the unit
+    alone would (without repeats in it) and the number of times.
+    """
     n = len(value)
     low = value.lower()
     plain = low.translate(_PLAIN)
-    kinds = (any("a" <= c <= "z" for c in value) * 26) + (any("A" <= c <= "Z" for c in value) * 26) + (any("0" <= c <= "9" for c in value) * 10)
-    each = log10(max(10, kinds + 33 * any(not c.isalnum() for c in value)))
-    dates = {}
+    each = _each(value)
+    dates: dict[int, list[tuple[int, float]]] = {}
     for at in range(n):
-        if value[at].isdigit() and (m := _DATE.match(value, at)):
-            dates.setdefault(m.end(), []).append((at, log10(365 * 120) if m.end() - at > 4 else log10(120)))
+        if value[at].isdigit():
+            for pattern, c in _DATES:
+                if m := pattern.match(value, at):
+                    dates.setdefault(m.end(), []).append((at, c))
     best = [0.0] * (n + 1)
     forced = [0.0] * (n + 1)  # least cost with a brute-force span at the end
-    same = walk = 0  # where the current repeat and walk began
+    join = lambda j: _JOIN if j else 0.0
+    first: list[float] = [0.0] * (n + 1)  # best[j] and the join that a segment from j on pays
+    walk, walks = 0, []  # where the current walk began, and where in it a segment may start
+    same = [0] * (LONGEST + 1)  # for each period how many characters equal the one a period before
+    begun: dict[tuple[int, int], list[int]] = {}  # by period and phase
+    units: dict[str, float] = {}
     for i in range(1, n + 1):
-        forced[i] = min(forced[i - 1] if i > 1 else 0.0, best[i - 1] + (_JOIN if i > 1 else 0.0)) + each
+        forced[i] = min(forced[i - 1] if i > 1 else 0.0, first[i - 1]) + each
         least = forced[i]
-        if i > 1 and value[i - 1] != value[i - 2]:
-            same = i - 1
         if i > 1 and low[i - 2 : i] not in _NEXT:
-            walk = i - 1
-        if i - same >= 3:
-            least = min(least, best[same] + _JOIN + each + log10(i - same))
+            walk, walks = i - 1, []
         if i - walk >= 3:
-            least = min(least, best[walk] + _JOIN + log10(len("".join(ROWS)) * 2.0 * (i - walk)))
+            walks.append(i - 3)
+            least = min(least, log10(_KEYS) + _least(walks, first, i, 1))
+        for period in range(1, min(LONGEST, i - 1) + 1) if repeats else ():
+            if value[i - 1] != value[i - 1 - period]:
+                if same[period] >= period:
+                    for phase in range(period):
+                        begun.pop((period, phase), None)
+                same[period] = 0
+                continue
+            same[period] += 1
+            if same[period] >= period:
+                starts = begun.setdefault((period, i % period), [])
+                starts.append(i - 2 * period)
+                unit = value[i - period : i]
+                if unit not in units:
+                    units[unit] = guess_cost(unit, rank, False)
+                least = min(least, units[unit] + _least(starts, first, i, period))
         for at, c in dates.get(i, ()):
-            least = min(least, best[at] + _JOIN + c)
+            least = min(least, first[at] + c)
         for at in range(max(0, i - LONGEST), i - 2):
             if (c := rank.get(low[at:i])) is None and (c := rank.get(plain[at:i])) is not None:
                 c += _JOIN
             if c is not None:
-                least = min(least, best[at] + _JOIN + c + (0.0 if value[at:i] == low[at:i] else _JOIN))
+                least = min(least, first[at] + c + (0.0 if value[at:i] == low[at:i] else _JOIN))
         best[i] = least
+        first[i] = least + join(i)
     return best[n]
 
 
@@ -199,7 +249,7 @@ def spans(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long"
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in small(whole)):
             rows = []
             for text in utf8(batch.column("text")):
                 got = find(text or b"", rank)
@@ -232,7 +282,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     rank = word_ranks(docs)
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in small(whole)):
             k = batch.schema.get_field_index("text")
             yield batch.set_column(k, batch.schema.field(k), pa.array([redact(x, rank) for x in batch.column(k).to_pylist()], batch.schema.field(k).type))
 

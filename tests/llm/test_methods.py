@@ -257,17 +257,49 @@ def test_guess_costs_order_passwords():
     assert secrets.guess_cost("a" * 100_000) < 10
 
 
+def plain_cost(value, repeats=True):
+    """Every segment of every kind, tried at every place."""
+    each, join, rank = secrets._each(value), secrets._JOIN, secrets._RANK
+    beside = {x + y for row in secrets.ROWS for a, b in zip(row, row[1:]) for x, y in ((a, b), (b, a))}
+    year, month, day = "(19|20)[0-9][0-9]", "(0[1-9]|1[0-2])", "(0[1-9]|[12][0-9]|3[01])"
+    keys = 2 * sum(map(len, secrets.ROWS))
+
+    def costs(x):
+        yield each * len(x)
+        low = x.lower()
+        cased = join * (x != low)
+        if 3 <= len(x) <= secrets.LONGEST:
+            if low in rank:
+                yield rank[low] + cased
+            elif low.translate(secrets._PLAIN) in rank:
+                yield rank[low.translate(secrets._PLAIN)] + join + cased
+        for parts, guesses in (((year,), 120), ((year, month), 1440), ((year, month, day), 43800), ((day, month, year), 43800)):
+            if re.fullmatch("[-/.]?".join(parts), x):
+                yield np.log10(guesses)
+        if len(x) >= 3 and all(low[k : k + 2] in beside for k in range(len(x) - 1)):
+            yield np.log10(keys * len(x))
+        for p in range(1, min(secrets.LONGEST, len(x) // 2) + 1) if repeats else ():
+            if len(x) % p == 0 and x == x[:p] * (len(x) // p):
+                yield plain_cost(x[:p], False) + np.log10(len(x) // p)
+
+    best = [0.0]
+    for i in range(1, len(value) + 1):
+        best.append(min(best[j] + join * (j > 0) + c for j in range(i) for c in costs(value[j:i])))
+    return best[-1]
+
+
 def test_guess_cost_is_the_least_over_all_cuts():
-    """Brute force over cuts into brute-force spans and dictionary words."""
-    def plain(value):
-        each = np.log10(26)
-        best = [0.0]
-        for i in range(1, len(value) + 1):
-            best.append(min(best[j] + (secrets._JOIN if j else 0) + c for j in range(i) for c in [each * (i - j), *([secrets._RANK[value[j:i]]] if value[j:i] in secrets._RANK and i - j > 2 else [])]))
-        return best[-1]
-
-    for value in ("zmoonx", "dragonqx", "qbtigerzv"):
-        assert secrets.guess_cost(value) == pytest.approx(plain(value), abs=secrets._JOIN + 0.01)
+    r = random.Random(11)
+    pieces = ["password", "P4ssw0rd", "moon", "qwert", "mnbvcxz", "aaaa", "abcabcabc", "1999", "19991231", "31.12.1999", "xy", "7", "zzz", "lkjh", "Dragon", "k9!", "ab", "ab", "1234567", "é"]
+    values = ["passworddddd", "loginmnbvcxz", "adminnnnnnnn", "abcabcabcabc", "qwertyloginmnbvcxz", "199912311", "passwordpasswordpassword", "zzmoonzzmoonzz", ""]
+    for value in values + ["".join(r.choice(pieces) for _ in range(r.randint(1, 4))) for _ in range(150)] + ["".join(r.choice("ab1") for _ in range(r.randint(1, 16))) for _ in range(100)]:
+        assert secrets.guess_cost(value) == pytest.approx(plain_cost(value), abs=1e-9), value
+
+
+def test_weak_values_are_no_secrets():
+    for value in ("loginmnbvcxz", "qwertyloginmnbvcxz", "adminnnnnnnn", "abcabcabcabc", "passworddddd"):
+        assert secrets.find(f"pwd: {value}".encode()) == [], value
+    assert secrets.guess_cost("ab" * 20_000) < 8 and secrets.guess_cost("qwertyuiop" * 500) < 8
 
 
 def test_strong_values_beyond_the_base_patterns():

@@ -10,8 +10,9 @@ document but the one with the smallest doc_id that holds it.
 A line is what stands between two line feeds, compared without outer spaces;
 blank lines are never boilerplate. Defined results: a null text stays null; a
 null site counts for nothing; a row with a null doc_id is left as it is;
-repeated rows are each cleaned; an empty table gives an empty result; other
-columns pass through `clean` untouched.
+repeated rows are each cleaned; rows of one doc_id count as one document; an
+empty table gives an empty result; other columns pass through `clean`
+untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import table
+from helixframe.llm.common import shielded, table, written
 
 MIN_SITES = 10
+BROADCAST_ROWS = 250_000  # of 16 bytes
 
 
 def _hashes(text: F.Column) -> F.Column:
@@ -33,22 +35,31 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, band: float = 0.25,
     lines = docs.filter("doc_id is not null").select("doc_id", F.col("source").alias("site"), F.explode(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("line"))
     lines = lines.select("doc_id", "site", F.xxhash64(F.trim("line")).alias("line"))
     often = lines.groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch")).filter(F.col("n") >= min_sites)
-    spread = often.select("line", "first_doc", F.hll_sketch_estimate("sketch").alias("sites"))
+    spread = written(often.select("line", "first_doc", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") >= min_sites * (1 - band)), "line-spread")
     clear = spread.filter(F.col("sites") >= min_sites * (1 + band)).select("line", "first_doc")
-    near = spread.filter((F.col("sites") < min_sites * (1 + band)) & (F.col("sites") >= min_sites * (1 - band)))
-    exact = lines.select("line", "site").distinct().join(near.select("line", "first_doc"), "line")  # distinct first: no line then has more rows than sites
+    near = spread.filter(F.col("sites") < min_sites * (1 + band)).select("line", "first_doc")
+    if near.count() <= BROADCAST_ROWS:
+        exact = lines.select("line", "site").join(F.broadcast(near), "line").distinct()
+    else:
+        exact = lines.select("line", "site").distinct().join(near, "line")  # distinct first: no line then has more rows than sites
     exact = exact.groupBy("line", "first_doc").agg(F.count("site").alias("sites")).filter(F.col("sites") >= min_sites).select("line", "first_doc")
     return clear.unionByName(exact)
 
 
 def clean(docs: DataFrame, min_sites: int = MIN_SITES, salts: int = 16) -> DataFrame:
     """docs with boilerplate lines taken from `text`; the columns stay."""
-    found = boilerplate(docs, min_sites).select("line", "first_doc", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    lines = docs.filter("doc_id is not null").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"), F.explode(F.array_distinct(_hashes(F.col("text")))).alias("line"))
-    gone = lines.join(found, ["line", "salt"]).filter("doc_id <> first_doc").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line").alias("__gone"))
+    own, back = shielded(docs, "doc_id", "source", "text")
+    found = written(boilerplate(own, min_sites), "boilerplate")
+    lines = own.filter("doc_id is not null").select("doc_id", F.explode(F.array_distinct(_hashes(F.col("text")))).alias("line"))
+    if found.count() <= BROADCAST_ROWS:
+        held = lines.join(F.broadcast(found), "line")
+    else:
+        lines = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+        held = lines.join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["line", "salt"])
+    gone = held.filter("doc_id <> first_doc").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line").alias("__gone"))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("__gone", F.xxhash64(F.trim(x)))), "\n")
-    out = docs.join(gone, F.col("doc_id") == F.col("__doc"), "left").withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
-    return out.select(*docs.columns)
+    out = own.join(gone, F.col("doc_id") == F.col("__doc"), "left").withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
+    return back(out)
 
 
 def report(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:

@@ -13,6 +13,9 @@ The items are dealt by hash into groups of bounded size and each group is packed
 by itself, so no task grows with the table; a group leaves at most a few bins
 that a larger one could have filled.
 
+Rows are told apart by their number in the table's partitions, so that a hot
+doc_id is spread like all others; on a stored table a retry gives the same bins.
+
 Defined results: a null or empty text is its separator alone; repeated rows are
 packed each; an empty table gives no rows; other columns are not read.
 """
@@ -27,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import table
+from helixframe.llm.common import table, written
 
 LENGTHS = (1024, 2048, 4096, 8192, 16384)
 COLUMNS = "doc_id long, piece long, start long, n_tokens long, bin string, capacity long, bin_start long"
@@ -73,21 +76,22 @@ def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS) -> list[tuple[i
 def pack_documents(docs: DataFrame, lengths: Sequence[int] = LENGTHS, length_col: str | None = None, rows_per_group: int = 20_000) -> DataFrame:
     """One row for each piece of a document: doc_id, piece, start, n_tokens, bin, capacity, bin_start."""
     most = max(lengths)
-    n_groups = max(1, -(-docs.count() // rows_per_group))
     n = F.col(length_col).cast("long") if length_col else F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(n, F.lit(0)).alias("n"), F.monotonically_increasing_id().alias("row"))
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(n, F.lit(0)).alias("n"), F.monotonically_increasing_id().alias("row")), "lengths")
+    n_groups = max(1, -(-rows.count() // rows_per_group))
     full = F.floor(F.col("n") / most)
     whole = rows.filter(full > 0).select("doc_id", "row", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("piece")).select(
         "doc_id", "piece", (F.col("piece") * most).alias("start"), F.lit(most).cast("long").alias("n_tokens"),
         F.concat_ws("-", F.lit("w"), "row", "piece").alias("bin"), F.lit(most).cast("long").alias("capacity"), F.lit(0).cast("long").alias("bin_start"),
     )
-    items = rows.select("doc_id", full.alias("piece"), (full * most).alias("start"), (F.col("n") - full * most).alias("n_tokens"), F.pmod(F.xxhash64("doc_id"), F.lit(n_groups)).alias("group")).filter("n_tokens > 0")
+    group = F.pmod(F.xxhash64("doc_id", "row"), F.lit(n_groups))
+    items = rows.select("doc_id", full.alias("piece"), (full * most).alias("start"), (F.col("n") - full * most).alias("n_tokens"), "row", group.alias("group")).filter("n_tokens > 0")
 
     def packed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "doc_id"], ascending=[False, True], kind="stable")
+        pdf = pdf.sort_values(["n_tokens", "doc_id", "row"], ascending=[False, True, True], kind="stable")
         got = pd.DataFrame(pack(pdf["n_tokens"].tolist(), lengths), columns=["bin", "capacity", "bin_start"], index=pdf.index)
         got["bin"] = f"{key[0]}-" + got["bin"].astype(str)
-        return pd.concat([pdf.drop(columns="group"), got], axis=1)
+        return pd.concat([pdf.drop(columns=["group", "row"]), got], axis=1)
 
     return whole.unionByName(items.groupBy("group").applyInPandas(packed, COLUMNS))
 

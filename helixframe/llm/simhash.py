@@ -10,10 +10,14 @@ ten tables, each keyed by two blocks, brings every such pair together. Equal
 fingerprints are one entry with a count, so that copies don't multiply, and a
 pair counts in the first table that has it, so that no pairs are deduplicated.
 
+The documents stand in ranges of doc_id, one range a partition, and rows stream
+through a task in order; each waits for its successor.
+
 Defined results: a null text counts as empty; a text without words has the
 fingerprint 0; the order for the next document is by doc_id, null first, equal
 ids by text; a table of one row has itself as next; an empty table gives an
-empty result; other columns are not read.
+empty result; other columns are not read. Each of repeated rows has a row of its own.
+A long text takes a small multiple of its size in memory.
 """
 
 from __future__ import annotations
@@ -28,26 +32,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import table, word_hashes, written
+from helixframe.llm.common import small, table, word_hashes, written
 
 ROWS_PER_BUCKET = 4000
-MOST_BUCKETS = 10_000  # edges that the driver holds; larger tables get larger ranges, which stream
-SLICE = 1_000_000
+MOST_BUCKETS = 50_000  # edges that the driver holds; larger tables get larger ranges, which stream
+WORDS = 1 << 14  # distinct words that vote at once
+SALTS = 16
 RADIUS = 3
 _LEAST = -(2**63)
 
 
 def fingerprints(texts: list[bytes]) -> np.ndarray:
     """The 64-bit fingerprint of each text."""
-    out = np.zeros(len(texts), np.uint64)
-    sizes = np.cumsum([len(t) for t in texts])
-    for rows in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes // SLICE)) + 1):
-        if len(rows):
-            out[rows] = _fingerprints([texts[k] for k in rows])
-    return out
-
-
-def _fingerprints(texts: list[bytes]) -> np.ndarray:
     words, first, _ = word_hashes(texts)
     of = np.repeat(np.arange(len(texts)), np.diff(first))
     order = np.lexsort((words, of))
@@ -55,20 +51,19 @@ def _fingerprints(texts: list[bytes]) -> np.ndarray:
     fresh = np.ones(len(words), bool)
     fresh[1:] = (words[1:] != words[:-1]) | (of[1:] != of[:-1])
     at = np.flatnonzero(fresh)
-    weight = np.sqrt(np.diff(at, append=len(words))).astype(np.float32)
-    bits = np.unpackbits(words[at].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    votes = np.where(bits, weight[:, None], -weight[:, None])
-    own = of[at]
-    out = np.zeros(len(texts), np.uint64)
-    if len(own):
-        begin = np.flatnonzero(np.diff(own, prepend=-1))
-        total = np.add.reduceat(votes, begin, axis=0)
-        out[own[begin]] = np.packbits(total > 0, axis=1, bitorder="little").view("<u8").ravel()
-    return out
+    weight = np.sqrt(np.diff(at, append=len(words))).astype(np.float64)
+    total = np.zeros((len(texts), 64))
+    for a in range(0, len(at), WORDS):
+        some = at[a : a + WORDS]
+        bits = np.unpackbits(words[some].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        votes = np.where(bits, weight[a : a + WORDS, None], -weight[a : a + WORDS, None])
+        begin = np.flatnonzero(np.diff(of[some], prepend=-1))
+        total[of[some][begin]] += np.add.reduceat(votes, begin, axis=0)
+    return np.packbits(total > 1e-9, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, place, bucket, look: the documents in ranges of doc_id; each range also gets what follows it, marked `look`.
+def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, text, place, bucket, look: the documents in ranges of doc_id; each range also gets what follows it, marked `look`. And the number of ranges.
 
     The edges are doc_ids themselves, found from the ids alone, so that texts are shuffled once.
     """
@@ -78,7 +73,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     edges: list[int] = []
     if parts > 1:
         shares = [k / parts for k in range(1, parts)]
-        edges = sorted({e for e in rows.agg(F.percentile_approx("place", shares, 20 * parts)).first()[0] if e > least})
+        edges = sorted({e for e in rows.agg(F.percentile_approx("place", shares, 10 * parts)).first()[0] if e > least})
     bounds = np.array(edges, np.int64)
 
     @F.pandas_udf("long")
@@ -93,7 +88,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     before = F.struct((F.col("own") - 1).alias("bucket"), F.lit(True).alias("look"))
     last = F.struct(F.lit(len(edges)).cast("long").alias("bucket"), F.lit(True).alias("look"))
     sent = F.array_compact(F.array(own, F.when(F.col("edge"), before), F.when(F.col("place") == F.lit(least if least is not None else 0), last)))
-    return rows.select("*", bucket("place").alias("own"), is_edge("place").alias("edge")).select("doc_id", "text", "place", F.explode(sent).alias("to")).select("doc_id", "text", "place", "to.bucket", "to.look")
+    placed = rows.select("*", bucket("place").alias("own"), is_edge("place").alias("edge")).select("doc_id", "text", "place", F.explode(sent).alias("to"))
+    return placed.select("doc_id", "text", "place", "to.bucket", "to.look"), len(edges) + 1
 
 
 def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -107,7 +103,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by range and order, what follows a range last: each row waits for its successor."""
         waiting: list[tuple] = []
-        for batch in batches:
+        for batch in (part for whole in batches for part in small(whole)):
             rows = waiting + list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "bucket", "look")), strict=True))
             waiting = rows[-1:]
             own = [k for k in range(len(rows) - 1) if not rows[k][3] and rows[k][2] == rows[k + 1][2]]
@@ -127,7 +123,8 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
                 names,
             )
 
-    ordered = with_next(docs).repartition("bucket").sortWithinPartitions("bucket", "look", "place", "text").select("doc_id", "text", "bucket", "look")
+    rows, n_ranges = with_next(docs)
+    ordered = rows.repartitionById(n_ranges, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "look", "place", "text").select("doc_id", "text", "bucket", "look")
     return ordered.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
@@ -159,6 +156,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("print", F.shiftleft(high, 32).bitwiseOR(low))
     asked = rows.filter("doc_id % 20 = 0")
     others = rows.filter("doc_id is null or doc_id % 20 <> 0").withColumn("n_near", F.lit(None).cast("long"))
-    # By fingerprint, of which neighbours() has one row each: a doc_id may repeat, with other texts.
-    near = asked.join(neighbours(rows, asked), "print").withColumn("n_near", F.col("n_near") - 1)
-    return others.unionByName(near).drop("print")
+    # By fingerprint, of which neighbours() has one row each: a doc_id may repeat, with other texts. Salted, as copies share one.
+    near = neighbours(rows, asked).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    counted = asked.withColumn("salt", salt).join(near, ["print", "salt"]).withColumn("n_near", F.col("n_near") - 1)
+    return others.unionByName(counted.select(*others.columns)).drop("print")

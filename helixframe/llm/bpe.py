@@ -61,6 +61,13 @@ class Tokenizer:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or spec.get("normalizer"):
+            raise ValueError("only byte-level files with the published word pattern and without a normalizer are read")
+        if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            raise ValueError("the model has an option that isn't read")
+        if any(x.get(k) for x in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("an added token has an option that isn't read")
         alphabet = _byte_alphabet()
         vocab = spec["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}

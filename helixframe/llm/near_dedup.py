@@ -442,7 +442,7 @@ def exact_components(docs: DataFrame, coarse: DataFrame, classes: DataFrame, siz
 def salted_left_join(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
     """rows left join few, with the rows of one key dealt over SALTS tasks."""
     few = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(few, [*on, "__salt"], "left").drop("__salt")
+    return rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(few, [*on, "__salt"], "left").drop("__salt")
 
 
 def groups(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:

@@ -6,13 +6,14 @@ import re
 import struct
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from helixframe.llm import bpe, line_dedup, near_dedup, packing, quality, registry, secrets, sharding, simhash, webp
+from helixframe.llm import bpe, licenses, line_dedup, near_dedup, packing, quality, registry, secrets, sharding, simhash, webp
 from helixframe.llm.common import shingle_hashes, word_hashes
 from helixframe.operators.graph import connected_components
 
@@ -78,11 +79,62 @@ def test_held_out_accuracy_and_batches(spark, duck):
     held = got[got["held_out"]]
     assert (held["held_out"] == [zlib.crc32(str(d).encode()) % 5 == 0 for d in held["doc_id"]]).all()
     assert (held["predicted"] == held["quality"]).mean() > 0.9
+    good, bad = held["score"][held["quality"] == 1].to_numpy(), held["score"][held["quality"] == 0].to_numpy()
+    assert (good[:, None] > bad).mean() + 0.5 * (good[:, None] == bad).mean() > 0.95  # area under the curve
     model = quality.Model.fresh()
     many = [b"some text %d " % k * 300 for k in range(40)] + [b""]
     assert np.allclose(model.scores(many), [model.scores([t])[0] for t in many], atol=1e-5)
 
 
+def plain_score(model, text):
+    """One document, passage by passage and number by number."""
+    k = model.weights
+    words = [(m.start(), m[0]) for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    rows = []
+    for begin in range(0, max(1, len(text)), quality.PASSAGE):
+        part = text[begin : begin + quality.PASSAGE]
+        counts = Counter()
+        for i in range(begin, begin + len(part)):
+            a, b, c = (text + b"\0\0")[i : i + 3]
+            x = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) & 0xFFFFFFFF
+            x ^= x >> 15
+            counts[(x * 0x2C1B3C6D & 0xFFFFFFFF) >> 23] += 1
+        n = max(1, len(part))
+        again = sum(begin <= at < begin + quality.PASSAGE and w == before for (_, before), (at, w) in zip(words, words[1:]))
+        kind = lambda f: sum(f(x) for x in part) / n
+        shares = [
+            again / max(1, n / 4), kind(lambda x: 97 <= x <= 122), kind(lambda x: 65 <= x <= 90), kind(lambda x: 48 <= x <= 57), kind(lambda x: x == 32 or 9 <= x <= 13),
+            kind(lambda x: 33 <= x < 127 and not chr(x).isalnum()), kind(lambda x: x > 126 or x < 9 or 13 < x < 32), len(counts) / n, n / quality.PASSAGE,
+        ]
+        v = [np.log1p(min(255, counts[j])) for j in range(quality.BUCKETS)] + [round(255 * min(1, x)) / 64 for x in shares]
+        h = [np.tanh(sum(v[i] * k["W"][i, j] for i in range(len(v)) if v[i]) + k["b"][j]) for j in range(len(k["b"]))]
+        gate = lambda m, f: [f(sum(h[i] * k[m][i, j] for i in range(len(h)))) for j in range(k[m].shape[1])]
+        t, s = gate("V", np.tanh), gate("U", lambda x: 1 / (1 + np.exp(-x)))
+        rows.append((sum(x * y * z for x, y, z in zip(t, s, k["w"])), h))
+    e = [np.exp(a - max(a for a, _ in rows)) for a, _ in rows]
+    bag = [sum(w * h[j] for w, (_, h) in zip(e, rows)) / sum(e) for j in range(len(k["c"]))]
+    return 1 / (1 + np.exp(-sum(x * c for x, c in zip(bag, k["c"])) - k["d"][0]))
+
+
+def test_scores_equal_a_plain_loop(texts, monkeypatch):
+    model = quality.Model.fresh(5)
+    some = [t.encode() for t in list(texts.values())[:25]] + [b"", b"so so so on and ON on " * 90, b"x" * 1500, bytes(range(32, 127)) * 12 + "é漢".encode() * 50]
+    some = [t[:4000] for t in some]
+    want = [plain_score(model, t) for t in some]
+    assert np.allclose(model.scores(some), want, atol=1e-5)
+    monkeypatch.setattr(quality, "SLICE", 1024)
+    monkeypatch.setattr(quality, "AT_ONCE", 3)
+    assert np.allclose(model.scores(some), want, atol=1e-5)
+
+
+def test_fit_takes_the_least_text_of_a_repeated_id(spark):
+    rows = [(k, f"good words number {k} here " * 3 if k % 2 else "bad Bad BAD !!! " * 5) for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    twice = rows + [(k, "~ zzz " + t) for k, t in rows]
+    weights = [quality.fit(spark.createDataFrame(x, "doc_id long, text string").repartition(n), labels).weights for x, n in ((rows, 2), (twice, 3), (twice[::-1], 5))]
+    assert all(np.array_equal(weights[0][k], w[k]) for w in weights[1:] for k in w)
+
+
 # --- near dedup ----------------------------------------------------------
 
 
@@ -222,6 +274,45 @@ def test_packing_fills_bins_and_shrinks_them():
     assert sum(used.values()) / sum(caps.values()) > 0.97
 
 
+def plain_packing(sizes, lengths=packing.LENGTHS):
+    """(bin, capacity, start): every open bin and every later item looked at for every item."""
+    bins, where = [], []
+    for i, size in enumerate(sizes):
+        fits = sorted((cap - sum(held), b) for b, (cap, held) in enumerate(bins) if cap - sum(held) >= size)
+        if fits:
+            b = fits[0][1]
+        else:
+            b, offers = len(bins), []
+            for x in lengths:
+                if x >= size:
+                    fill = size + min(x - size, sum(later for later in sizes[i + 1 :] if later <= x - size))
+                    offers.append((packing.cost(x, max(lengths)) / fill, x))
+            bins.append((min(offers)[1], []))
+        where.append((b, sum(bins[b][1])))
+        bins[b][1].append(size)
+    final = [min(x for x in lengths if x >= sum(held)) for _, held in bins]
+    return [(b, final[b], start) for b, start in where]
+
+
+def plain_pieces(lengths):
+    """(doc_id, piece, start, n_tokens) of whole sequences and of the rest, from (doc_id, n)."""
+    most = max(packing.LENGTHS)
+    whole = [(d, k, k * most, most) for d, n in lengths for k in range(n // most)]
+    return whole, sorted(((d, n // most, n // most * most, n % most) for d, n in lengths if n % most), key=lambda x: (-x[3], x[0]))
+
+
+def test_packing_equals_a_plain_packer(spark, sf_dir, texts):
+    r = random.Random(6)
+    for _ in range(30):
+        sizes = sorted((r.choice((r.randint(1, 16384), r.randint(1, 300), 1024, 8192)) for _ in range(r.randint(1, 120))), reverse=True)
+        assert packing.pack(sizes) == plain_packing(sizes)
+    whole, rest = plain_pieces([(d, len(t.encode()) + 1) for d, t in texts.items()])
+    got = packing.op5_best_fit_packing(spark, sf_dir).collect()
+    assert sorted((x.doc_id, x.piece, x.start, x.n_tokens) for x in got if x.bin.startswith("w-")) == whole
+    want = [(*piece, f"0-{b}", cap, at) for piece, (b, cap, at) in zip(rest, plain_packing([p[3] for p in rest]))]
+    assert sorted(tuple(x) for x in got if not x.bin.startswith("w-")) == sorted(want)
+
+
 def test_shards_are_balanced_and_gapless(spark, sf_dir, texts):
     got = sharding.op9_lpt_shards(spark, sf_dir).toPandas()
     assert set(got["law"]) == {"bytes"} and got["grown_shard"].isna().all()
@@ -336,6 +427,46 @@ def test_dictionary_has_a_bound(spark, monkeypatch):
     assert set(secrets.word_ranks(docs)) - set(secrets._RANK) == {"often"}
 
 
+# --- licences ------------------------------------------------------------
+
+
+def changed(text):
+    """Another case, other punctuation, years, wrapping and spelling."""
+    text = re.sub(r"\blicense\b", "licence", text).replace("noninfringement", "non-infringement").replace("NONINFRINGEMENT", "NON-INFRINGEMENT").replace("copyright holder", "copyright owner")
+    words = text.replace(",", " ,").replace('"', "\u201c").split()
+    return "Copyright (c) 1999-2031 Somebody Else\nAll rights reserved.\n\n" + "\n".join(" * " + " ".join(words[k : k + 7]).upper() for k in range(0, len(words), 7))
+
+
+def test_licences_are_found_in_changed_form(spark):
+    rows = [(k, name, text) for k, (name, text) in enumerate(licenses.TEXTS) if len(text) > 300]
+    docs = [(k, changed(text)) for k, _, text in rows] + [(1000 + k, changed(text).replace("SOFTWARE", "THING", 1)) for k, _, text in rows if "software" in text.lower()]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[k] == name for k, name, _ in rows) and all(v is None for k, v in got.items() if k >= 1000)
+
+
+def test_notices_in_blocks_and_over_two_lines(spark):
+    grant = licenses._MIT_GRANT.split()
+    block = "\n".join("// " + " ".join(grant[k : k + 9]) for k in range(0, len(grant), 9))
+    docs = [
+        (1, f"int main;\n\n{block}\n\nreturn 0;"), (2, "x\nThis project is licenced\nunder the MIT licence.\ny"), (3, "ALL RIGHTS RESERVED"), (4, f"int main;\n{block}\nreturn 0;"),
+        (5, "SPDX-License-Identifier: Apache-2.0"), (6, None), (7, "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this\n# file, You can obtain one at http://mozilla.org/MPL/2.0/.\n\ncode"),
+    ]
+    got = {r.doc_id: (r.license, r.notices, r.n_notices) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: (None, "MIT", 1), 2: (None, "MIT", 1), 3: (None, "all-rights-reserved", 1), 4: (None, "", 0), 5: ("Apache-2.0", "Apache-2.0", 1), 6: (None, "", 0), 7: (None, "MPL-2.0", 1)}
+
+
+@pytest.mark.parametrize("file, name", [("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("GPL-2", "GPL-2.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")])
+def test_long_licences_by_digest(spark, file, name, tmp_path):
+    path = Path("/usr/share/common-licenses") / file
+    if not path.exists():
+        pytest.skip("no copy of the text here")
+    text = path.read_text()
+    docs = spark.createDataFrame([(1, text), (2, "\n".join("## " + x.upper().replace(",", " ,") for x in re.sub(r"\blicense\b", "licence", text).split("\n"))), (3, text.replace(" not ", " ", 1))], "doc_id long, text string")
+    assert {r.doc_id: r.license for r in licenses.scan(docs).collect()} == {1: name, 2: name, 3: None}
+    (tmp_path / f"{name}.txt").write_text(text)
+    assert tuple(licenses.known_files(spark, str(tmp_path)).first()) in licenses.DIGESTS
+
+
 # --- WebP ----------------------------------------------------------------
 
 

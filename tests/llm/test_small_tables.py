@@ -1,21 +1,25 @@
 """Each operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing extra columns."""
 
+import math
+from collections import Counter
+
 import pytest
 
 import corpus_pipeline
 from helixframe.llm import bpe, licenses, line_dedup, near_dedup, packing, quality, registry, secrets, sharding, simhash, webp
+from test_methods import brute_groups, plain_packing, plain_pieces
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, line string, score string, shard string, ids string, bucket string, node string, n int, salt int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, line string, score string, shard string, ids string, bucket string, node string, n int, salt int, __gone string, __doc string, __kept string, __n string, component string, sub string, _2 string, class string, row string"
 LONG = "word and more words to make it long " * 4000
 
 
 def row(doc_id, text, source="s1"):
-    return (doc_id, text, "en", source, len(text or ""), 1, "x", "x", "x", "x", "x", "x", 1, 1)
+    return (doc_id, text, "en", source, len(text or ""), 1, "x", "x", "x", "x", "x", "x", 1, 1, *"abcdefghi")
 
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    rows = [row(1, None), row(2, ""), row(3, LONG), row(4, "one two three four five six"), row(5, "one two three four five six"), row(5, "one two three four five six"), row(6, "é 漢字 🎉 token: abcdef123456", None), row(None, "no id here at all"), row(8, "\n\n  \n"), row(9, "word"), row(10, "x" * 50_000)]
+    rows = [row(1, None), row(2, ""), row(3, LONG), row(4, "one two three four five six"), row(5, "one two three four five six"), row(5, "one two three four five six"), row(6, "é 漢字 🎉 token: abcdef123456", None), row(None, "no id here at all"), row(8, "\n\n  \n"), row(9, "word"), row(10, "x" * 700_000), row(20, "first text of twenty"), row(20, "first text of twenty"), row(20, "another text of the same id"), row(40, None), row(40, "")]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
@@ -35,7 +39,7 @@ def test_operators_on_odd_rows(odd, labels):
     assert quality.scored(odd.select("doc_id", "text"), quality.fit(odd, labels)).filter("score between 0 and 1").count() == n
     assert near_dedup.groups(odd).count() == n
     assert bpe.decode(bpe.encode(odd)).count() == n
-    assert licenses.scan(odd).select("doc_id").distinct().count() == 10
+    assert licenses.scan(odd).select("doc_id").distinct().count() == 12
     assert webp.measured(webp.media(odd)).count() == n
     assert secrets.spans(odd).count() == n
     assert sharding.shard(odd).count() == n
@@ -78,6 +82,49 @@ def test_stages_take_effect(spark, tmp_path):
     assert all("hunter" not in r.text for r in stages["secret scans"](spark, docs, "").collect())
 
 
+def test_queries_give_a_row_for_each_row(spark, odd, labels, tmp_path):
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    n = odd.count()
+    for name, q in registry.QUERIES.items():
+        if name != "op5_best_fit_packing":
+            assert q(spark, str(tmp_path)).count() == n, name
+
+
+def test_pipeline_equals_a_plain_version(spark, tmp_path):
+    """All five stages in plain loops, with the classifier's fitted model."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id < 400")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    model = quality.fit(docs, labels)
+    rows = [r for r in rows if model.scores([(r[1] or "").encode()])[0] >= 0.3]
+    sites, first = {}, {}
+    for d, t, s in rows:
+        for x in (t or "").split("\n"):
+            if x.strip(" "):
+                sites.setdefault(x.strip(" "), set()).add(s)
+                first[x.strip(" ")] = min(d, first.get(x.strip(" "), d))
+    common = {x for x, s in sites.items() if len(s - {None}) >= line_dedup.MIN_SITES}
+    assert common
+    rows = [(d, None if t is None else "\n".join(x for x in t.split("\n") if x.strip(" ") not in common or first[x.strip(" ")] == d)) for d, t, _ in rows]
+    kept = {d for d, (_, c) in brute_groups({d: t or "" for d, t in rows}, 5).items() if c == d}
+    assert len(kept) < len(rows)
+    rows = [r for r in rows if r[0] in kept]
+    counts = Counter(w.decode() for _, t in rows for w in secrets.words_of((t or "").encode()))
+    classes = Counter({w: math.floor(math.log2(n) * secrets.CLASSES) for w, n in counts.items() if n >= secrets.LEAST_DOCUMENTS})
+    rank = dict(secrets._RANK)
+    for w, c in classes.items():
+        rank[w] = min(rank.get(w, 99), math.log10(sum(x >= c for x in classes.values()) + 1))
+    rows = [(d, secrets.redact(t, rank)) for d, t in rows]
+    assert any(t and "[SECRET]" in t for _, t in rows)
+    whole, rest = plain_pieces([(d, len((t or "").encode()) + 1) for d, t in rows])
+    want = [(*p, p[3], 0) for p in whole] + [(*p, cap, at) for p, (_, cap, at) in zip(rest, plain_packing([p[3] for p in rest]))]
+    got = [(x.doc_id, x.piece, x.start, x.n_tokens, x.capacity, x.bin_start) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_registered_queries_match_the_contract():
     assert {k.split("_")[0] for k in registry.QUERIES} == {f"op{n}" for n in range(1, 11)}
 

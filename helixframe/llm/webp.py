@@ -2,18 +2,23 @@
 
 `decode` reads any lossless still image: prefix codes and their groups,
 back-references, the colour cache, and the predictor, cross-colour,
-subtract-green and palette transforms. All but the predictor, whose pixels wait
-for their left neighbours, are inverted for the whole image at once.
-
-`encode` stores bytes as grey 8-bit samples, 64 a row: one prefix code made from
-a rule for text (the same for every file, so that equal payloads give equal
-files), subtract-green so that red and blue cost nothing, and back-references
-for repeated blocks.
+subtract-green and palette transforms. All are inverted for the whole image at
+once, but for predictors other than the left or the upper pixel.
+
+`encode` stores bytes as 8-bit samples, 64 a row, in the form that is expected
+to take the least bits: grey samples after subtract-green, whose red and blue
+cost nothing, under a prefix code for text or, where that saves a fifth, under
+one made for the file; residuals of the left or the upper sample (predictor and
+subtract-green); packed indices of at most 16 sample values (palette); or four
+samples a pixel with a colour cache. Cross-colour is read, but never written:
+on grey samples it does what subtract-green does. Repeated blocks become
+back-references. A payload beyond `MOST_SAMPLES` is several files one after the
+other. Equal payloads give equal files.
 
 Defined results of `media`: a null text counts as empty, and an empty text is
 one row of zeros; equal rows have equal files; an empty table gives an empty
-result; other columns are not read. A text may have 256 MB at most, the limit of
-the format.
+result; other columns are not read. A long text takes a multiple of its size in
+memory, as an image is read back whole.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import mixed, table, utf8
+from helixframe.llm.common import mixed, small, table, utf8
 
 # Fixed values of the format.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -43,23 +48,23 @@ NEAR = (
     (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
+TRANSFORMS = ("predictor", "cross-colour", "subtract-green", "palette")
 CACHE_HASH = 0x1E35A7BD
 OPAQUE_BLACK = 0xFF000000
 
 
+@lru_cache(maxsize=64)
 def codes_of(lengths: tuple[int, ...]) -> list[int]:
     """The canonical code of each symbol, its first bit lowest; one symbol alone takes no bits."""
-    out, code = [0] * len(lengths), 0
-    for n in range(1, 16):
-        for s, x in enumerate(lengths):
-            if x == n:
-                out[s] = int(f"{code:0{n}b}"[::-1], 2)
-                code += 1
-        code <<= 1
+    out, code, last = [0] * len(lengths), 0, 0
+    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
+        code <<= n - last
+        out[s] = int(f"{code:0{n}b}"[::-1], 2)
+        code, last = code + 1, n
     return out
 
 
-@lru_cache(maxsize=64)
+@lru_cache(maxsize=256)
 def lookup(lengths: tuple[int, ...]) -> tuple[int, list[int]]:
     """(mask, table): table[next bits & mask] is symbol << 4 | bits taken."""
     used = [s for s, x in enumerate(lengths) if x]
@@ -220,33 +225,56 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
+_seen: dict[tuple[int, ...], int] = {}  # how many images had a code: a table of runs pays off for codes that many share
+RUNS_FROM = 8
+
+
 def _read_green(bits: Bits, lengths: list, group: list, n: int, width: int) -> np.ndarray:
-    """The green samples where the other channels are constant: several literals for each look at the stream."""
-    if group[0][0] == 0:
-        return np.full(n, group[0][1][0] >> 4, np.uint32)
-    runs, taken = literal_runs(lengths[0])
+    """The green samples where the other channels are constant; for codes met often, several literals for each look at the stream."""
+    mask, symbols = group[0]
+    if mask == 0:
+        return np.full(n, symbols[0] >> 4, np.uint32)
+    if len(_seen) > 4096:
+        _seen.clear()
+    _seen[lengths[0]] = _seen.get(lengths[0], 0) + 1
+    often = _seen[lengths[0]] >= RUNS_FROM
+    runs, taken = literal_runs(lengths[0]) if often else ((), ())
     windows, at, out = bits.windows, bits.at, bytearray()
     end = 8 * len(windows)
     while len(out) < n:
-        w = windows[at >> 3] >> (at & 7) & 0x3FFF
-        if run := runs[w]:
+        w = windows[at >> 3] >> (at & 7)
+        if often and (run := runs[w & 0x3FFF]):
             out += run
-            at += taken[w]
+            at += taken[w & 0x3FFF]
             continue
-        bits.at = at
-        s = bits.symbol(group[0])
-        if s < 256:  # a code that is longer than the table's bits
-            out.append(s)
-        else:
-            size = value_of(s - 256, bits)
-            back = distance_of(value_of(bits.symbol(group[4]), bits), width)
-            if back > len(out):
-                raise ValueError("a back-reference before the first pixel")
-            from_ = len(out) - back
-            out += (bytes(out[from_:]) * (size // back + 1))[:size] if back < size else out[from_ : from_ + size]
+        e = symbols[w & mask]
+        if e < 4096:  # a literal, and then two more from what was looked at
+            out.append(e >> 4)
+            at += e & 15
+            w >>= e & 15
+            e = symbols[w & mask]
+            if e < 4096:
+                out.append(e >> 4)
+                at += e & 15
+                e = symbols[w >> (e & 15) & mask]
+                if e < 4096:
+                    out.append(e >> 4)
+                    at += e & 15
+            if at > end:
+                break
+            continue
+        bits.at = at + (e & 15)
+        size = value_of((e >> 4) - 256, bits)
+        back = distance_of(value_of(bits.symbol(group[4]), bits), width)
+        if back > len(out):
+            raise ValueError("a back-reference before the first pixel")
+        from_ = len(out) - back
+        out += (bytes(out[from_:]) * (size // back + 1))[:size] if back < size else out[from_ : from_ + size]
         at = bits.at
         if at > end:
-            raise ValueError("the data end within the image")
+            break
+    if len(out) < n:
+        raise ValueError("the data end within the image")
     bits.at = at
     return np.frombuffer(bytes(out[:n]), np.uint8).astype(np.uint32)
 
@@ -263,8 +291,17 @@ def _pixels_of(channels: np.ndarray) -> np.ndarray:
 def invert_predictor(rest: np.ndarray, modes: np.ndarray, size_bits: int) -> np.ndarray:
     """Add to each pixel of `rest` (height, width) what its block's mode foretells from those before it."""
     height, width = rest.shape
+    kinds = modes >> 8 & 15
+    if (kinds == kinds[0, 0]).all() and kinds[0, 0] in (1, 2):  # running sums: along the first row and down, or down the first column and along
+        own = _bytes_of(rest).astype(np.int64)
+        own[0, 0, 3] += 255
+        if kinds[0, 0] == 1:
+            own[:, 0] = np.cumsum(own[:, 0], axis=0)
+            return _pixels_of(np.cumsum(own, axis=1) & 255)
+        own[0] = np.cumsum(own[0], axis=0)
+        return _pixels_of(np.cumsum(own, axis=0) & 255)
     rows = _bytes_of(rest).astype(int).tolist()
-    kinds = (modes >> 8 & 15).tolist()
+    kinds = kinds.tolist()
 
     def half(a: list[int], b: list[int]) -> list[int]:
         return [(x + y) >> 1 for x, y in zip(a, b, strict=True)]
@@ -343,8 +380,17 @@ def invert_palette(index: np.ndarray, colours: np.ndarray, pack_bits: int, width
     return np.concatenate([colours, np.zeros(256, np.uint32)])[green.astype(np.int64)]
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The pixels (height, width) of a lossless WebP file as ARGB."""
+def files_of(data: bytes) -> Iterator[bytes]:
+    """The files that stand one after the other."""
+    at = 0
+    while at < len(data):
+        size = 8 + int.from_bytes(data[at + 4 : at + 8], "little")
+        yield data[at : at + size]
+        at += size
+
+
+def decode(data: bytes, used: list[str] | None = None) -> np.ndarray:
+    """The pixels (height, width) of a lossless WebP file as ARGB; `used` gets the names of the transforms."""
     if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise ValueError("not a WebP file")
     at = 12
@@ -359,9 +405,11 @@ def decode(data: bytes) -> np.ndarray:
     alpha = bits.read(1)
     if bits.read(3):
         raise ValueError("unknown version")
+    used = [] if used is None else used
     undo, across = [], width
     while bits.read(1):
         kind = bits.read(2)
+        used.append(TRANSFORMS[kind])
         if kind in (PREDICTOR, CROSS_COLOUR):
             size_bits = bits.read(3) + 2
             w, h = -(-across // (1 << size_bits)), -(-height // (1 << size_bits))
@@ -376,6 +424,8 @@ def decode(data: bytes) -> np.ndarray:
             pack_bits = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             undo.append((invert_palette, (colours, pack_bits, across)))
             across = -(-across // (1 << pack_bits))
+    if bits.windows[bits.at >> 3] >> (bits.at & 7) & 1:
+        used.append("colour-cache")
     pixels = read_pixels(bits, across, height, True).reshape(height, across)
     for invert, how in reversed(undo):
         pixels = invert(pixels, *how)
@@ -401,18 +451,23 @@ def _weights() -> list[float]:
     return out
 
 
-def _huffman(weights: list[float]) -> tuple[int, ...]:
-    heap = [(w, k, (k,)) for k, w in enumerate(weights)]
-    heapq.heapify(heap)
-    depth = [0] * len(weights)
-    tie = len(weights)
-    while len(heap) > 1:
-        (a, _, one), (b, _, other) = heapq.heappop(heap), heapq.heappop(heap)
-        for s in one + other:
-            depth[s] += 1
-        heapq.heappush(heap, (a + b, tie, one + other))
-        tie += 1
-    return tuple(depth)
+def _huffman(weights: list[float], most: int = 15) -> tuple[int, ...]:
+    """Code lengths of at most `most` bits; weights are flattened until they fit. Symbols of weight 0 have no code."""
+    used = [(w, k) for k, w in enumerate(weights) if w]
+    while True:
+        heap = [(w, k, (k,)) for w, k in used]
+        heapq.heapify(heap)
+        depth = [0] * len(weights)
+        tie = len(weights)
+        while len(heap) > 1:
+            (a, _, one), (b, _, other) = heapq.heappop(heap), heapq.heappop(heap)
+            for s in one + other:
+                depth[s] += 1
+            heapq.heappush(heap, (a + b, tie, one + other))
+            tie += 1
+        if max(depth) <= most:
+            return tuple(depth) if len(used) > 1 else tuple(int(k == used[0][1]) if used else 0 for k in range(len(weights)))
+        used = [(w / 2 + 1, k) for w, k in used]
 
 
 class Writer:
@@ -432,7 +487,11 @@ class Writer:
         return out, at
 
     def lengths(self, lengths: tuple[int, ...]) -> None:
-        """The code lengths of an alphabet: a simple code for one or two symbols, else one with runs of zeros and repeats."""
+        """The code lengths of an alphabet."""
+        self.put(*_said(lengths))
+
+    def _say(self, lengths: tuple[int, ...]) -> None:
+        """A simple code for one or two symbols, else one with runs of zeros and repeats."""
         used = [s for s, x in enumerate(lengths) if x]
         if len(used) <= 2 and max(used, default=0) < 256:
             self.put(1, 1)
@@ -443,8 +502,10 @@ class Writer:
             return
         tokens, at, last = [], 0, 8
         while at < len(lengths):
-            x = lengths[at]
-            run = next((k for k in range(at, len(lengths)) if lengths[k] != x), len(lengths)) - at
+            x, end = lengths[at], at + 1
+            while end < len(lengths) and lengths[end] == x:
+                end += 1
+            run = end - at
             if x == 0 and run >= 3:
                 run = min(run, 138)
                 tokens.append((17, run - 3, 3) if run < 11 else (18, run - 11, 7))
@@ -460,8 +521,8 @@ class Writer:
         own = [0] * 19
         if len(kinds) == 1:
             kinds.append(next(s for s in range(19) if s != kinds[0]))
-        for s, x in zip(kinds, _huffman([sum(t[0] == s for t in tokens) + 8 for s in kinds]), strict=True):
-            own[s] = x  # the weights are flat enough for 7 bits
+        for s, x in zip(kinds, _huffman([sum(t[0] == s for t in tokens) + 1 for s in kinds], 7), strict=True):
+            own[s] = x
         code = codes_of(tuple(own))
         self.put(0, 1)
         self.put(15, 4)
@@ -473,18 +534,52 @@ class Writer:
             self.put(extra, n)
 
 
-@lru_cache(maxsize=1)
-def _plan() -> tuple[tuple[int, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Header bits after the image's size; codes and lengths of the green symbols and of the distance symbols."""
-    green, far = _huffman(_weights()), (5,) * 24 + (6,) * 16
+@lru_cache(maxsize=64)
+def _said(lengths: tuple[int, ...]) -> tuple[int, int]:
     w = Writer()
-    w.put(1 | SUBTRACT_GREEN << 1, 3)
-    w.put(0, 3)  # no further transform, no colour cache, one group
-    w.lengths(green)
-    for alone in (0, 0, 255):
-        w.lengths(tuple(int(s == alone) for s in range(256)))
-    w.lengths(far)
-    return w.value(), np.array(codes_of(green)), np.array(green), np.array(codes_of(far)), np.array(far)
+    w._say(lengths)
+    return w.value()
+
+
+MOST_SAMPLES = 64 * 16384 * 200  # of one file
+OWN_CODE_SAVES = 0.2  # of the bits: reading under a code of its own takes longer
+OWN_BITS = 11  # of the longest code in it
+CACHE_BITS = 8
+FAR = (5,) * 24 + (6,) * 16  # lengths of the distance code
+WHOLE_BITS = 9  # of the blocks of a transform that treats all alike
+
+
+@lru_cache(maxsize=1)
+def _shared() -> tuple[int, ...]:
+    """Lengths of the code for text."""
+    return _huffman(_weights())
+
+
+@lru_cache(maxsize=8)
+def _alone(symbol: int) -> tuple[int, ...]:
+    return tuple(int(s == symbol) for s in range(256))
+
+
+def _entropy(counts: np.ndarray) -> float:
+    """Bits of all samples under the best code, and a guess at what writing the code takes."""
+    c = counts[counts > 0].astype(np.float64)
+    return float((c * np.log2(c.sum() / c)).sum()) + 6.0 * len(c)
+
+
+def _put_small(w: Writer, pixels: list[int]) -> None:
+    """An image of a transform: literals without a cache, each channel under a code of its own."""
+    w.put(0, 1)
+    channels = [[p >> shift & 255 for p in pixels] for shift in (8, 16, 0, 24)]
+    lengths = [_huffman(np.bincount(c, minlength=280 if k == 0 else 256).tolist()) for k, c in enumerate(channels)]
+    for x in lengths:
+        w.lengths(x)
+    w.lengths(_alone(0)[:40])
+    codes = [codes_of(x) for x in lengths]
+    single = [sum(map(bool, x)) == 1 for x in lengths]
+    for row in zip(*channels, strict=True):
+        for v, code, x, one in zip(row, codes, lengths, single, strict=True):
+            if not one:
+                w.put(code[v], x[v])
 
 
 def _prefix_of(value: int) -> tuple[int, int, int]:
@@ -516,33 +611,16 @@ def _repeats(raw: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def encode(payload: bytes) -> bytes:
-    """A lossless WebP file whose grey samples are the payload, 64 a row, zeros beyond it."""
-    rows = len(payload) // 64
-    wide = -(-rows // 16384)
-    width, height = 64 * wide, -(-rows // max(1, wide))
-    if not rows or len(payload) % 64 or width > 16384:
-        raise ValueError("a payload needs a positive multiple of 64 bytes, at most 256 MB")
-    raw = np.frombuffer(payload + bytes(width * height - len(payload)), np.uint8)
-    (head, head_bits), code, length, far_code, far_length = _plan()
-    values, counts, done = [], [], 0
-    for at, size, back in _repeats(raw):
-        values.append(code[raw[done:at]])
-        counts.append(length[raw[done:at]])
-        s, extra, n = _prefix_of(size)
-        d, far, m = _prefix_of(back + 120)
-        values.append(np.array([code[256 + s], extra, far_code[d], far]))
-        counts.append(np.array([length[256 + s], n, far_length[d], m]))
-        done = at + size
-    value = np.concatenate([*values, code[raw[done:]]])
-    count = np.concatenate([*counts, length[raw[done:]]])
+def _file(width: int, height: int, w: Writer, value: np.ndarray, count: np.ndarray, alpha: int = 0) -> bytes:
+    """The file of an image whose header bits are in w, followed by the values of so many bits each."""
+    head, head_bits = w.value()
     start = 40 + head_bits
     at = np.cumsum(count) - count + start % 32
     # Bits of one 32-bit word never overlap, so that sums below 2**53 put them together.
     words = np.bincount(at >> 5, weights=(value << (at & 31)).astype(np.float64), minlength=(int(at[-1] + count[-1]) >> 5) + 2).astype(np.int64)
     words[1:] += words[:-1] >> 32
     body = (words & 0xFFFFFFFF).astype("<u4").tobytes()
-    lead = 0x2F | (width - 1) << 8 | (height - 1) << 22 | head << 40
+    lead = 0x2F | (width - 1) << 8 | (height - 1) << 22 | alpha << 36 | head << 40
     whole = start // 32 * 4
     tail = int.from_bytes(body[:4], "little") | lead >> (whole * 8)
     size = (start + int(count.sum()) + 7) // 8
@@ -551,14 +629,120 @@ def encode(payload: bytes) -> bytes:
     return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
 
 
+def _green(w: Writer, raw: np.ndarray, alpha: int, shared: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Samples of the green channel, the others constant: codes into w, then values and bit counts of literals and back-references."""
+    refs = [(at, size, *_prefix_of(size), *_prefix_of(back + 120)) for at, size, back in _repeats(raw)]
+    if shared:
+        length = np.array(_shared())
+    else:
+        free = np.ones(len(raw), bool)
+        for at, size, *_ in refs:
+            free[at : at + size] = False
+        counts = np.concatenate([np.bincount(raw[free], minlength=256), np.bincount([r[2] for r in refs], minlength=24)])
+        length = np.array(_huffman(counts.tolist(), OWN_BITS))
+    w.put(0, 2)  # no colour cache, one group
+    w.lengths(tuple(length.tolist()))
+    for x in (_alone(0), _alone(0), _alone(alpha), FAR):
+        w.lengths(x)
+    code, far_code = np.array(codes_of(tuple(length.tolist()))), codes_of(FAR)
+    if (length > 0).sum() == 1:
+        length = np.zeros_like(length)  # one symbol alone takes no bits
+    values, bits, done = [], [], 0
+    for at, size, s, extra, n, d, far, m in refs:
+        values += [code[raw[done:at]], np.array([code[256 + s], extra, far_code[d], far])]
+        bits += [length[raw[done:at]], np.array([length[256 + s], n, FAR[d], m])]
+        done = at + size
+    return np.concatenate([*values, code[raw[done:]]]), np.concatenate([*bits, length[raw[done:]]])
+
+
+def _cached(w: Writer, pixels: np.ndarray, hit: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pixels of four samples with a colour cache: a hit is one symbol, any other pixel four."""
+    channels = _bytes_of(pixels)[:, [1, 2, 0, 3]].astype(np.int64)
+    channels[hit, 0] = 280 + slot[hit]
+    sizes = (280 + (1 << CACHE_BITS), 256, 256, 256)
+    lengths = [_huffman(np.bincount(channels[:, k] if k == 0 else channels[~hit, k], minlength=n).tolist(), OWN_BITS) for k, n in enumerate(sizes)]
+    w.put(1, 1)
+    w.put(CACHE_BITS, 4)
+    w.put(0, 1)
+    for x in [*lengths, _alone(0)[:40]]:
+        w.lengths(x)
+    codes = [np.array(codes_of(x)) for x in lengths]
+    bits = [np.array(x) if sum(map(bool, x)) > 1 else np.zeros(len(x), np.int64) for x in lengths]
+    value, count = (np.stack([x[k][channels[:, k]] if k == 0 else np.where(hit, 0, x[k][channels[:, k]]) for k in range(4)], 1) for x in (codes, bits))
+    return value.ravel(), count.ravel()
+
+
+def _cache_hits(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pixels the cache holds when they come, and the slot of each."""
+    slot = ((pixels.astype(np.uint64) * np.uint64(CACHE_HASH) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CACHE_BITS)).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    hit = np.zeros(len(pixels), bool)
+    hit[order[1:]] = (slot[order][1:] == slot[order][:-1]) & (pixels[order][1:] == pixels[order][:-1])
+    return hit, slot
+
+
+def encode(payload: bytes) -> bytes:
+    """Lossless WebP whose samples are the payload, and zeros beyond it; several files where it is longer than MOST_SAMPLES."""
+    if not payload or len(payload) % 64:
+        raise ValueError("a payload needs a positive multiple of 64 bytes")
+    return b"".join(_encoded(payload[k : k + MOST_SAMPLES]) for k in range(0, len(payload), MOST_SAMPLES))
+
+
+def _encoded(payload: bytes) -> bytes:
+    rows = len(payload) // 64
+    wide = -(-rows // 16384)
+    width, height = 64 * wide, -(-rows // wide)
+    raw = np.frombuffer(payload + bytes(width * height - len(payload)), np.uint8)
+    image = raw.reshape(height, width)
+    w = Writer()
+    counts = np.bincount(raw, minlength=256)
+    values = np.flatnonzero(counts)
+    if 1 < len(values) <= 16:
+        pack = 3 if len(values) <= 2 else 2 if len(values) <= 4 else 1
+        w.put(1 | PALETTE << 1, 3)
+        w.put(len(values) - 1, 8)
+        steps = np.diff(values, prepend=0).tolist()
+        _put_small(w, [(255 if k == 0 else 0) << 24 | x << 16 | x << 8 | x for k, x in enumerate(steps)])
+        w.put(0, 1)
+        index = np.searchsorted(values, image).reshape(height, width >> pack, 1 << pack)
+        packed = (index << (np.arange(1 << pack) * (8 >> pack))).sum(-1).astype(np.uint8)
+        return _file(width, height, w, *_green(w, packed.ravel(), 255, False))
+    left, up = np.diff(image, axis=1, prepend=np.uint8(0)), np.diff(image, axis=0, prepend=np.uint8(0))
+    left[1:, 0], up[0, 1:] = np.diff(image[:, 0]), np.diff(image[0])
+    bits = {"shared": float(counts[values] @ np.array(_shared())[values]), "own": _entropy(counts) / (1 - OWN_CODE_SAVES)}
+    bits |= {k: _entropy(np.bincount(x.ravel(), minlength=256)) / (1 - OWN_CODE_SAVES) for k, x in (("left", left), ("up", up))}
+    pixels = raw.view("<u4")
+    if wide == 1 and 2 * len(np.unique(pixels)) < len(pixels):
+        hit, slot = _cache_hits(pixels)
+        missed = _bytes_of(pixels[~hit])
+        bits["cache"] = (sum(_entropy(np.bincount(missed[:, k], minlength=256)) for k in range(4)) + _entropy(np.bincount(slot[hit])) + len(pixels) * 0.9) / (1 - OWN_CODE_SAVES)
+    form = min(bits, key=bits.get)
+    if form == "cache":
+        w.put(0, 1)
+        return _file(16, height, w, *_cached(w, pixels, hit, slot), 1)
+    if form in ("left", "up"):
+        across, down = -(-width >> WHOLE_BITS), -(-height >> WHOLE_BITS)
+        w.put(1 | PREDICTOR << 1, 3)
+        w.put(WHOLE_BITS - 2, 3)
+        _put_small(w, [0xFF000000 | (1 if form == "left" else 2) << 8] * (across * down))
+    w.put(1 | SUBTRACT_GREEN << 1, 3)
+    w.put(0, 1)
+    samples_ = {"left": left, "up": up}.get(form, image).ravel()
+    return _file(width, height, w, *_green(w, samples_, 0 if form in ("left", "up") else 255, form == "shared"))
+
+
 def payload_of(text: bytes | None) -> bytes:
     raw = text or b""
     return raw + bytes(-len(raw) % 64 or (0 if raw else 64))
 
 
-def samples(image: np.ndarray) -> np.ndarray:
-    """The grey samples of an image, row by row."""
-    return (image.ravel() >> 8 & 255).astype(np.uint8)
+def samples(data: bytes, used: list[str] | None = None) -> np.ndarray:
+    """The samples of stored files, row by row: of green, or of all four channels in images of 16 columns; `used` gets the transforms of the first file."""
+    out = []
+    for data_ in files_of(data):
+        image = decode(data_, [] if out else used)
+        out.append(_bytes_of(image).ravel() if image.shape[1] == 16 else (image.ravel() >> 8 & 255).astype(np.uint8))
+    return out[0] if len(out) == 1 else np.concatenate(out)
 
 
 def feature(grey: np.ndarray) -> str:
@@ -568,12 +752,11 @@ def feature(grey: np.ndarray) -> str:
 
 
 def media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media, the stored file."""
+    """doc_id, n_bytes and media, the stored form."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
+            for part in small(batch):
                 texts = utf8(part.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array([encode(payload_of(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"]
@@ -583,22 +766,22 @@ def media(docs: DataFrame) -> DataFrame:
 
 
 def measured(stored: DataFrame) -> DataFrame:
-    """What the stored files hold, read back: payload_bytes, payload_sha256, tail_crc32, feature."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    """What the stored files hold, read back: payload_bytes, payload_sha256, tail_crc32, feature; and which transforms they use."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "transforms"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for n, data in zip(batch.column("n_bytes").to_pylist(), batch.column("media").to_pylist(), strict=True):
-                size = max(64, n + -n % 64)
-                grey = samples(decode(data))[:size]
+                size, used = max(64, n + -n % 64), []
+                grey = samples(data, used)[:size]
                 payload = grey.tobytes()
-                rows.append((size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(grey)))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                rows.append((size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(grey), ",".join(used)))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, transforms string")
 
 
 def op7_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:

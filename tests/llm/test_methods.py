@@ -520,7 +520,159 @@ def test_media_round_trip(texts):
     for t in [*texts.values(), "", "abc" * 400_000, "é" * 63]:
         payload = webp.payload_of(t.encode())
         data = webp.encode(payload)
-        assert len(payload) % 64 == 0 and webp.samples(webp.decode(data))[: len(payload)].tobytes() == payload
+        assert len(payload) % 64 == 0 and webp.samples(data)[: len(payload)].tobytes() == payload
+
+
+class PlainReader:
+    """The format read word for word: a bit at a time, a pixel at a time."""
+
+    def __init__(self, data):
+        assert data[:4] == b"RIFF" and data[8:16] == b"WEBPVP8L" and struct.unpack("<I", data[4:8])[0] == len(data) - 8
+        n = struct.unpack("<I", data[16:20])[0]
+        self.bits, self.at = int.from_bytes(data[20 : 20 + n], "little"), 0
+
+    def take(self, n):
+        self.at += n
+        return self.bits >> (self.at - n) & ((1 << n) - 1)
+
+    def book(self, lengths):
+        """(length, code) to symbol."""
+        used = sorted((n, s) for s, n in enumerate(lengths) if n)
+        if len(used) == 1:
+            return {(0, 0): used[0][1]}
+        out, code = {}, 0
+        for k, (n, s) in enumerate(used):
+            out[n, code] = s
+            code = (code + 1) << (used[k + 1][0] - n) if k + 1 < len(used) else 0
+        return out
+
+    def symbol(self, book):
+        n = code = 0
+        while (n, code) not in book:
+            code, n = code << 1 | self.take(1), n + 1
+            assert n < 16
+        return book[n, code]
+
+    def code(self, size):
+        lengths = [0] * size
+        if self.take(1):
+            two = self.take(1)
+            lengths[self.take(8 if self.take(1) else 1)] = 1
+            if two:
+                lengths[self.take(8)] = 1
+            return self.book(lengths)
+        own = [0] * 19
+        for k in range(4 + self.take(4)):
+            own[(17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)[k]] = self.take(3)
+        assert not self.take(1)
+        book, got, last = self.book(own), [], 8
+        while len(got) < size:
+            s = self.symbol(book)
+            if s < 16:
+                got.append(s)
+                last = s or last
+            else:
+                got += [last] * (3 + self.take(2)) if s == 16 else [0] * (3 + self.take(3) if s == 17 else 11 + self.take(7))
+        return self.book(got)
+
+    def number(self, prefix):
+        if prefix < 4:
+            return prefix + 1
+        n = (prefix - 2) >> 1
+        return ((2 + prefix % 2) << n) + self.take(n) + 1
+
+    def image(self, n, main):
+        cache_bits = self.take(4) if self.take(1) else 0
+        cache = [0] * (1 << cache_bits)
+        if main:
+            assert not self.take(1)
+        green, red, blue, alpha, far = [self.code(k) for k in (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)]
+        out = []
+
+        def add(p):
+            out.append(p)
+            if cache_bits:
+                cache[(0x1E35A7BD * p & 0xFFFFFFFF) >> (32 - cache_bits)] = p
+
+        while len(out) < n:
+            s = self.symbol(green)
+            if s < 256:
+                r, b, a = self.symbol(red), self.symbol(blue), self.symbol(alpha)
+                add(a << 24 | r << 16 | s << 8 | b)
+            elif s < 280:
+                size, back = self.number(s - 256), self.number(self.symbol(far)) - 120
+                assert back > 0
+                for _ in range(size):
+                    add(out[-back])
+            else:
+                add(cache[s - 280])
+        return out
+
+    def pixels(self):
+        assert self.take(8) == 0x2F
+        width, height, alpha, _ = self.take(14) + 1, self.take(14) + 1, self.take(1), self.take(3)
+        todo, across, used = [], width, []
+        while self.take(1):
+            kind = self.take(2)
+            used.append(("predictor", "cross-colour", "subtract-green", "palette")[kind])
+            if kind == 0:
+                size = self.take(3) + 2
+                wide = -(-across >> size)
+                todo.append((kind, size, wide, self.image(wide * -(-height >> size), False)))
+            elif kind == 2:
+                todo.append((kind,))
+            else:
+                n, colours, last = self.take(8) + 1, [], [0] * 4
+                for p in self.image(n, False):
+                    last = [(x + (p >> k & 255)) & 255 for x, k in zip(last, (24, 16, 8, 0))]
+                    colours.append(sum(x << k for x, k in zip(last, (24, 16, 8, 0))))
+                pack = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
+                todo.append((kind, pack, across, colours))
+                across = -(-across >> pack)
+        out = self.image(across * height, True)
+        for kind, *how in reversed(todo):
+            if kind == 2:
+                out = [p & 0xFF00FF00 | ((p >> 16) + (p >> 8) & 255) << 16 | (p + (p >> 8)) & 255 for p in out]
+            elif kind == 3:
+                pack, across, colours = how
+                narrow = -(-across >> pack)
+                bits = 8 >> pack
+                out = [colours[(out[y * narrow + (x >> pack)] >> 8 & 255) >> (x % (1 << pack) * bits) & ((1 << bits) - 1)] for y in range(height) for x in range(across)]
+            else:
+                size, wide, modes = how
+                for i in range(len(out)):
+                    y, x = divmod(i, across)
+                    mode = modes[(y >> size) * wide + (x >> size)] >> 8 & 15
+                    before = 0xFF000000 if i == 0 else out[i - 1] if y == 0 else out[i - across] if x == 0 else {1: out[i - 1], 2: out[i - across]}[mode]
+                    out[i] = sum(((out[i] >> k) + (before >> k) & 255) << k for k in (24, 16, 8, 0))
+        return width, [p if alpha else p | 0xFF000000 for p in out], used
+
+
+def test_files_equal_an_independent_reader(texts):
+    r = np.random.default_rng(1)
+    wide = np.tile(r.integers(0, 256, 64, dtype=np.uint8), (40, 1)) + r.integers(0, 2, (40, 64), dtype=np.uint8)
+    some = [t.encode() for t in list(texts.values())[::7]] + [
+        b"", b"0123456789" * 50, b"01" * 500, b"x" * 1000, b"no" * 20 + b"maybe" * 30, bytes(range(256)) * 4, wide.tobytes(), np.cumsum(r.integers(0, 3, 3000)).astype(np.uint8).tobytes(),
+        b"".join(bytes([65 + int(k), 66, 67, 68 + int(k) % 7]) for k in r.integers(0, 20, 700)), bytes(r.integers(97, 110, 3000, dtype=np.uint8)), r.integers(0, 256, 1280, dtype=np.uint8).tobytes(), "\u6f22\u5b57 ".encode() * 99,
+    ]
+    seen = set()
+    for t in some:
+        payload, used = webp.payload_of(t), []
+        data = webp.encode(payload)
+        width, pixels, transforms = PlainReader(data).pixels()
+        assert width in (16, 64)
+        got = b"".join(p.to_bytes(4, "little") for p in pixels) if width == 16 else bytes(p >> 8 & 255 for p in pixels)
+        assert got == payload == webp.samples(data, used)[: len(payload)].tobytes()
+        assert [x for x in used if x != "colour-cache"] == transforms
+        seen |= set(used)
+    assert seen == {"predictor", "subtract-green", "palette", "colour-cache"}
+
+
+def test_long_payloads_are_several_files(monkeypatch):
+    monkeypatch.setattr(webp, "MOST_SAMPLES", 640)
+    payload = webp.payload_of(bytes(range(200)) * 11)
+    data = webp.encode(payload)
+    assert len(list(webp.files_of(data))) == 4 and webp.samples(data).tobytes() == payload
 
 
 def random_pixels(n, seed=1):

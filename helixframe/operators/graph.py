@@ -1,9 +1,11 @@
 """Connected components of a distributed edge list, by alternating large and small stars.
 
-Each step moves every node's larger neighbours to the least node it knows. What a
-step needs of a node is one minimum, aggregated before the shuffle, so that a hub
-is never collected. Each step's edges are written to the session's checkpoint
-folder, which cuts the lineage.
+Each step moves every node's larger neighbours to the least node it knows. Edges
+are dealt by node once for each star, over as many partitions as they need. The
+least neighbour of a node with very many edges, a hub, is found by aggregation
+and broadcast, as there are few hubs: its edges stay spread over all tasks. Each
+step's edges are written to the session's checkpoint folder, which cuts the
+lineage.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -33,25 +35,42 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _linked_to_least(pairs: DataFrame) -> DataFrame:
+HUB = 1_000_000  # edges; an edge list has fewer hubs than millions of edges, times two
+
+
+def _with_least(pairs: DataFrame, tasks: int) -> DataFrame:
     """(u, v, least): pairs with the least of u and all its v."""
-    least = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("least"))
-    return pairs.join(least, "u")
+    return pairs.repartition(tasks, "u").withColumn("least", F.least(F.col("u"), F.min("v").over(Window.partitionBy("u"))))
+
+
+def _large_star(edges: DataFrame, count: int, tasks: int) -> DataFrame:
+    """(u, v): each larger neighbour u of a node, and the least node v that the node knows."""
+    both = edges.union(edges.select("v", "u"))
+    found = []
+    if 2 * count > HUB:
+        hubs = written(both.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("n")).filter(F.col("n") > HUB).select("u", F.least("u", "least").alias("least")), "hubs")
+        if not hubs.isEmpty():
+            found.append(both.join(F.broadcast(hubs), "u").select("u", "v", "least"))
+            both = both.join(F.broadcast(hubs.select("u")), "u", "left_anti")
+    found.append(_with_least(both, tasks))
+    all_ = found[0].union(found[1]) if len(found) > 1 else found[0]
+    return all_.filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v")
 
 
 def connected_components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
     """node, component (its least node) for every node of edges (a, b); loops and repeats are allowed."""
+    most_tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = written(edges, "edges")
     for _ in range(most_steps):
-        both = edges.union(edges.select("v", "u"))
-        large = _linked_to_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v")
-        least = _linked_to_least(large)  # a large star's edges go from the larger node to the smaller one
-        small = least.select(F.col("v").alias("u"), F.col("least").alias("v")).union(least.select("u", F.col("least").alias("v"))).filter("u <> v").distinct()
-        edges = written(small, "edges")
+        count = edges.count()
+        tasks = max(1, min(-(-count // 5_000), most_tasks), -(-count // 1_000_000))
+        least = _with_least(_large_star(edges, count, tasks), tasks)  # a large star's edges go from the larger node to the smaller one
+        small = least.select(F.col("v").alias("u"), F.col("least").alias("v")).union(least.select("u", F.col("least").alias("v"))).filter("u <> v")
+        edges = written(small.repartition(tasks, "u").distinct(), "edges")
         # Settled once the edges are stars: each node has one edge down, and no node below has any.
-        nodes = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
-        if nodes.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 or (down > 0 and up > 0)").isEmpty():
+        nodes = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)).distinct())
+        if nodes.repartition(tasks, "node").groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 or (down > 0 and up > 0)").isEmpty():
             break
     else:
         raise RuntimeError(f"components did not settle in {most_steps} steps")

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from helixframe.functions.dna import hamming
-from helixframe.operators.graph import connected_components, written
+from helixframe.operators.graph import written
 from helixframe.operators.relational import hamming_totals, nearest
 
 
@@ -58,38 +58,36 @@ def within_distance(df: DataFrame, seq: str, most: int, by: Sequence[str] = ())
 def directional(counts: DataFrame, seq: str, n: str, by: Sequence[str] = (), ratio: float = 3, most: int = 2) -> DataFrame:
     """counts with `representative`: sequences by falling count join the first cluster of at least ratio times their count within the distance.
 
-    A sequence only ever meets clusters within the distance, so that components of
-    that relation are independent; sequences without neighbours skip them.
+    The greedy order is kept without walking it. Each sequence knows the earlier ones
+    within the distance. A round sums up, for each of these that is a cluster or may
+    become one, what it surely holds by then and what it may hold at the most. A
+    sequence is settled where no cluster can be large enough, or where the first one
+    that can be surely is. All settled ones of a round are settled together; the
+    first one left always is.
     """
-    rows = written(counts.select(*by, F.col(seq).alias("s"), F.col(n).cast("long").alias("n")).withColumn("id", F.xxhash64(*by, "s")), "variants")
-    pairs = within_distance(rows, "s", most, by)
-    parts = connected_components(pairs.select(F.xxhash64(*by, "a").alias("a"), F.xxhash64(*by, "b").alias("b")))
-    joined = rows.join(parts, rows["id"] == parts["node"], "left")
-    alone = joined.filter("component is null").select(*by, "s", "n", F.col("s").alias("representative"))
-    together = joined.filter("component is not null").select("component", *by, "s", "n")
-    schema = StructType([*together.schema.fields, StructField("representative", StringType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come by component and falling count; only the clusters of the current component are held."""
-        now, centres, totals = None, [], []
-        for pdf in batches:
-            out = []
-            for c, s, n in zip(pdf["component"].tolist(), pdf["s"].tolist(), pdf["n"].tolist(), strict=True):
-                if c != now:
-                    now, centres, totals = c, [], []
-                for k, centre in enumerate(centres):
-                    if totals[k] >= ratio * n and len(centre) == len(s) and sum(x != y for x, y in zip(centre, s, strict=True)) <= most:
-                        totals[k] += n
-                        break
-                else:
-                    k = len(centres)
-                    centres.append(s)
-                    totals.append(n)
-                out.append(centres[k])
-            yield pdf.assign(representative=out)
-
-    grouped = together.repartition("component").sortWithinPartitions("component", F.desc("n"), "s").mapInPandas(run, schema).drop("component")
-    return alone.unionByName(grouped).withColumnsRenamed({"s": seq, "n": n})
+    rows = counts.select(*by, F.col(seq).alias("s"), F.col(n).cast("long").alias("n"))
+    rows = written(rows.withColumn("id", F.monotonically_increasing_id()), "variants")
+    named = lambda c, x: rows.select(*by, F.col("s").alias(c), F.col("id").alias(x), F.col("n").alias(f"{x}n"))
+    pairs = within_distance(rows, "s", most, by).join(named("a", "p"), [*by, "a"]).join(named("b", "q"), [*by, "b"])
+    first = (F.col("pn") > F.col("qn")) | ((F.col("pn") == F.col("qn")) & (F.col("a") < F.col("b")))
+    early, late = F.struct(F.col("p").alias("id"), F.col("pn").alias("n"), F.col("a").alias("s")), F.struct(F.col("q").alias("id"), F.col("qn").alias("n"), F.col("b").alias("s"))
+    both = pairs.select(F.when(first, early).otherwise(late).alias("y"), F.when(first, late).otherwise(early).alias("x"))
+    edges = written(both.select("x.id", "x.n", "x.s", F.col("y.id").alias("y"), F.col("y.n").alias("yn"), F.col("y.s").alias("ys")), "variant-pairs")
+    later = edges.select("id").distinct().withColumn("__late", F.lit(True))
+    state = written(rows.join(later, "id", "left").select("id", F.when(F.col("__late").isNull(), F.col("id")).alias("rep")), "settled")
+    before = Window.partitionBy("y").orderBy(F.desc("n"), "s").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda what: F.coalesce(F.sum(F.when(what, F.col("n"))).over(before), F.lit(0))
+    while not state.filter("rep is null").isEmpty():
+        known = edges.join(state, "id").join(state.select(F.col("id").alias("y"), F.col("rep").alias("yrep")), "y")
+        sums = known.withColumns({"sure": F.col("yn") + so_far(F.col("rep") == F.col("y")), "open": so_far(F.col("rep").isNull())}).filter("rep is null")
+        cluster, place = F.col("yrep") == F.col("y"), F.struct((-F.col("yn")).alias("k"), "ys", "y")
+        may = F.when((F.col("yrep").isNull() | cluster) & (F.col("sure") + F.col("open") >= ratio * F.col("n")), place)
+        does = F.when(cluster & (F.col("sure") >= ratio * F.col("n")), place)
+        found = sums.groupBy("id").agg(F.min(may).alias("may"), F.min(does).alias("does"))
+        settled = found.select("id", F.when(F.col("may").isNull(), F.col("id")).when(F.col("may.y") == F.col("does.y"), F.col("may.y")).alias("now"))
+        state = written(state.join(settled, "id", "left").select("id", F.coalesce("rep", "now").alias("rep")), "settled")
+    out = rows.join(state, "id").join(rows.select(F.col("id").alias("rep"), F.col("s").alias("representative")), "rep")
+    return out.select(*by, F.col("s").alias(seq), F.col("n").alias(n), "representative")
 
 
 def medoids(df: DataFrame, seq: str, k: int, rounds: int = 10, seed: int = 42) -> DataFrame:
@@ -183,53 +181,73 @@ def silhouette(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> flo
     return total / weight
 
 
-def ward(df: DataFrame, key: str, features: Sequence[str], most: int = 256, largest: int = 9, seed: int = 42) -> DataFrame:
+def ward(df: DataFrame, key: str, features: Sequence[str], most: int = 2048, largest: int = 9) -> DataFrame:
     """df with `cluster`: Ward's method on standardised features, the number of clusters by the best silhouette, then the smaller one.
 
-    Ward's method needs all pairs, so that it runs on at most `most` points: the
-    distinct rows where there are that few, else the centres of that many k-means
-    cells with their sizes, whose rows take the cluster of their cell.
+    Exact, and so for small tables: more than `most` distinct rows raise, as the
+    method needs all pairs of them. ward_of_cells takes tables of any size.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
     x = standardised(df.select(key, *(F.col(c).cast("double").alias(c) for c in features)), features)
-    if df.select(*features).distinct().limit(most + 1).count() <= most:
-        cells = x.groupBy(*features).agg(F.count("*").alias("__n"))
-        named = x
-        on = list(features)
-    else:
-        vectors = VectorAssembler(inputCols=list(features), outputCol="__v").transform(x)
-        named = KMeans(k=most, seed=seed, featuresCol="__v", predictionCol="__cell", initMode="random", maxIter=8).fit(vectors).transform(vectors).drop("__v")
-        cells = named.groupBy("__cell").agg(F.count("*").alias("__n"), *(F.avg(c).alias(c) for c in features))
-        on = ["__cell"]
-    small = cells.orderBy(*features).toPandas()  # at most `most` rows
+    small = x.groupBy(*features).agg(F.count("*").alias("__n")).orderBy(*features).limit(most + 1).toPandas()
+    if len(small) > most:
+        raise ValueError(f"more than {most} distinct rows; ward_of_cells clusters cells of them")
     points, sizes = small[list(features)].to_numpy(float), small["__n"].to_numpy(float)
     if len(points) < 3:
         return df.withColumn("cluster", F.lit(1))
     tree = ward_tree(points, sizes)
     scores = [(silhouette(points, sizes, cut(tree, len(points), k)), -k) for k in range(2, min(largest, len(points) - 1) + 1)]
     small["cluster"] = cut(tree, len(points), -max(scores)[1])
-    labels = df.sparkSession.createDataFrame(small[[*on, "cluster"]])
-    placed = named.join(F.broadcast(labels), on).select(key, F.col("cluster").cast("int").alias("cluster"))
-    return df.join(placed, key)
+    labels = df.sparkSession.createDataFrame(small[[*features, "cluster"]])
+    return df.join(x.join(F.broadcast(labels), list(features)).select(key, F.col("cluster").cast("int").alias("cluster")), key)
+
+
+def ward_of_cells(df: DataFrame, key: str, features: Sequence[str], cells: int = 256, largest: int = 9, seed: int = 42) -> DataFrame:
+    """df with `cluster`: Ward's method on the centres and sizes of `cells` k-means cells; a row has the cluster of its cell.
+
+    The number of clusters is that of the best silhouette (squared distances) over
+    all rows, which Spark sums up for each number, then the smaller one. It is an
+    approximation of `ward` at every size of the table.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import VectorAssembler
+
+    x = standardised(df.select(key, *(F.col(c).cast("double").alias(c) for c in features)), features)
+    vectors = VectorAssembler(inputCols=list(features), outputCol="__v").transform(x)
+    model = KMeans(k=cells, seed=seed, featuresCol="__v", predictionCol="__cell", initMode="random", maxIter=8).fit(vectors)
+    named = written(model.transform(vectors).select(key, "__v", "__cell", *features), "cells")
+    small = named.groupBy("__cell").agg(F.count("*").alias("__n"), *(F.avg(c).alias(c) for c in features)).orderBy(*features).toPandas()  # at most `cells` rows
+    if len(small) < 3:
+        return df.withColumn("cluster", F.lit(1))
+    tree = ward_tree(small[list(features)].to_numpy(float), small["__n"].to_numpy(float))
+    judge = ClusteringEvaluator(featuresCol="__v", predictionCol="cluster")
+
+    def placed(k: int) -> DataFrame:
+        labels = df.sparkSession.createDataFrame(small.assign(cluster=cut(tree, len(small), k).astype("int32"))[["__cell", "cluster"]])
+        return named.join(F.broadcast(labels), "__cell").withColumn("cluster", F.col("cluster").cast("int"))
+
+    _, best = max((round(judge.evaluate(placed(k)), 12), -k) for k in range(2, min(largest, len(small) - 1) + 1))
+    return df.join(placed(-best).select(key, "cluster"), key)
 
 
 def without_overlaps(df: DataFrame, by: str, start: str, end: str, score: str, share: float = 0.5) -> DataFrame:
     """Candidates of each key by falling score, without those that overlap a kept one by `share` of the shorter of the two.
 
-    Rows stream by key and score; only the kept spans of the current key are held.
+    Rows stream by key and score; only the kept spans of the current key are held,
+    sorted by their starts, and those that can reach a candidate are looked at.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, kept = None, []
+        key, kept, longest = None, [], 0
         for pdf in batches:
             rows = []
             for i, (k, a, b) in enumerate(zip(pdf[by].tolist(), pdf[start].tolist(), pdf[end].tolist(), strict=True)):
                 if k != key:
-                    key, kept = k, []
-                if all(min(b, d) - max(a, c) + 1 < share * min(b - a + 1, d - c + 1) for c, d in kept):
-                    kept.append((a, b))
+                    key, kept, longest = k, [], 0
+                near = kept[bisect_left(kept, (a - longest,)) : bisect_right(kept, (b + 1,))]
+                if all(min(b, d) - max(a, c) + 1 < share * min(b - a + 1, d - c + 1) for c, d in near):
+                    insort(kept, (a, b))
+                    longest = max(longest, b - a + 1)
                     rows.append(i)
             yield pdf.iloc[rows]
 

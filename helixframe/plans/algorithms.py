@@ -6,21 +6,22 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import dna
 from helixframe.operators import clusters, expansion, fuzzy, trajectory
-from helixframe.plans.core import PROTEINS, READS, proteins, query, r9, reads, table
+from helixframe.plans.core import PROTEINS, READS, SUBSTITUTED, proteins, query, r9, reads, substituted, table
 
-_HAPS = f"{READS}, haps AS (SELECT sample, substr(seq, 1, 6) AS hap, count(*) AS n FROM reads GROUP BY 1, 2)"
+_HAPS = f"{SUBSTITUTED}, haps AS (SELECT sample, seq AS hap, count(*) AS n FROM substituted GROUP BY 1, 2)"
+CENTRES = ("ACGT" * 16, "T" * 64, "GGGCCC" * 10 + "ACTG")
 
 
 def haps(spark, sf_dir):
-    return reads(spark, sf_dir).groupBy("sample", F.substring("seq", 1, 6).alias("hap")).agg(F.count("*").alias("n"))
+    return substituted(spark, sf_dir).groupBy("sample", F.col("seq").alias("hap")).agg(F.count("*").alias("n"))
 
 
-@query("j7_nearest_centres", f"""WITH {_HAPS}, c(ord, centre) AS (VALUES (0, 'ACGTAC'), (1, 'TTTTTT'), (2, 'GGGCCC')), d AS (SELECT sample, hap, ord, centre, hamming(hap, centre) AS distance FROM haps, c)
+@query("j7_nearest_centres", f"""WITH {_HAPS}, c(ord, centre) AS (VALUES {', '.join(f"({k}, '{c}')" for k, c in enumerate(CENTRES))}), d AS (SELECT sample, hap, ord, centre, hamming(hap, centre) AS distance FROM haps, c)
 SELECT sample, hap, centre, CAST(distance AS INTEGER) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY sample, hap ORDER BY distance, ord) = 1""")
 def nearest(spark, sf_dir):
     from helixframe.operators.relational import nearest as to_nearest
 
-    return to_nearest(haps(spark, sf_dir), "hap", ["ACGTAC", "TTTTTT", "GGGCCC"], dna.hamming).select("sample", "hap", "centre", "distance")
+    return to_nearest(haps(spark, sf_dir), "hap", CENTRES, dna.hamming).select("sample", "hap", "centre", "distance")
 
 
 @query("j8_hamming_totals", f"WITH {_HAPS} SELECT a.sample, a.hap, CAST(sum(hamming(a.hap, b.hap)) AS BIGINT) AS total FROM haps a JOIN haps b ON a.sample = b.sample GROUP BY 1, 2")
@@ -31,30 +32,28 @@ def totals(spark, sf_dir):
     return hamming_totals(haps(spark, sf_dir), "hap", "sample").select("sample", "hap", "total")
 
 
-@query("x26_within_two", f"WITH {_HAPS} SELECT a.sample, a.hap AS a, b.hap AS b FROM haps a JOIN haps b ON a.sample = b.sample AND a.hap < b.hap WHERE hamming(a.hap, b.hap) <= 1")
+@query("x26_within_two", f"WITH {_HAPS} SELECT a.sample, a.hap AS a, b.hap AS b FROM haps a JOIN haps b ON a.sample = b.sample AND a.hap < b.hap WHERE hamming(a.hap, b.hap) <= 2")
 def within(spark, sf_dir):
-    """Pairs of haplotypes one base apart, by shared halves."""
-    return clusters.within_distance(haps(spark, sf_dir), "hap", 1, ["sample"])
+    """Pairs of haplotypes up to two bases apart, by shared parts."""
+    return clusters.within_distance(haps(spark, sf_dir), "hap", 2, ["sample"])
 
 
 @query("x26_directional_clusters")
 def directional(spark, sf_dir):
-    """Haplotypes of 12 bases with the cluster that absorbs them."""
-    counts = reads(spark, sf_dir).groupBy("sample", F.substring("seq", 1, 12).alias("hap")).agg(F.count("*").alias("n"))
-    return clusters.directional(counts, "hap", "n", ["sample"])
+    """Haplotypes with the cluster that absorbs them."""
+    return clusters.directional(haps(spark, sf_dir), "hap", "n", ["sample"])
 
 
 @query("x23_medoids")
 def medoids(spark, sf_dir):
-    rows = reads(spark, sf_dir).select(F.substring("seq", 1, 12).alias("hap"))
-    return clusters.medoids(rows, "hap", 4)
+    return clusters.medoids(substituted(spark, sf_dir), "seq", 4)
 
 
 @query("x25_ward_clusters")
 def ward(spark, sf_dir):
     """Users by their events: count, mean and extreme value."""
     users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").cast("double").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("most"))
-    return clusters.ward(users, "user_id", ["n", "mean", "most"]).select("user_id", "cluster")
+    return clusters.ward_of_cells(users, "user_id", ["n", "mean", "most"]).select("user_id", "cluster")
 
 
 @query("x25_principal_components")

@@ -51,6 +51,20 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def substituted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """read_id, sample, seq: 64 bases of the read's user, with one base changed in a quarter of the reads and two in another."""
+    seq = F.concat(*(F.translate(F.md5(F.concat(F.lit(k), F.col("user_id").cast("string"))), HEX, BASES) for k in "hi"))
+
+    def changed(s: Column, step: int) -> Column:
+        at = (1 + F.pmod(F.col("event_id") * step, F.lit(64))).cast("int")
+        return F.overlay(s, F.translate(F.substr(s, at, F.lit(1)), "ACGT", "CGTA"), at, F.lit(1))
+
+    k = F.pmod("event_id", F.lit(4))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type").withColumn("s", seq)
+    rows = rows.withColumn("s", F.when(k >= 2, changed(F.col("s"), 7919)).otherwise(F.col("s")))
+    return rows.select(F.col("event_id").alias("read_id"), F.col("event_type").alias("sample"), F.when(k == 3, changed(F.col("s"), 104_729)).otherwise(F.col("s")).alias("seq"))
+
+
 def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """protein_id, sample, user_id, value, seq (64 residues of all 20)."""
     return spread(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "value")).select(F.col("event_id").alias("protein_id"), F.col("event_type").alias("sample"), "user_id", "value", F.concat(_digits("p", RESIDUES_1), _digits("t", RESIDUES_2)).alias("seq"))
@@ -73,6 +87,12 @@ def _sql_digits(salt: str, to: str) -> str:
 READS = f"""reads AS (
   SELECT event_id AS read_id, event_type AS sample, user_id, {_sql_digits('', BASES)} || {_sql_digits('s', BASES)} AS seq,
          {_sql_digits('q', PHRED)} || {_sql_digits('r', PHRED)} AS qual FROM events)"""
+_AT = "CAST(1 + (event_id * {}) % 64 AS INTEGER)"
+_CHANGED = "substr({s}, 1, {at} - 1) || translate(substr({s}, {at}, 1), 'ACGT', 'CGTA') || substr({s}, {at} + 1)"
+SUBSTITUTED = f"""substituted AS (
+  SELECT event_id AS read_id, event_type AS sample, CASE WHEN event_id % 4 = 3 THEN {_CHANGED.format(s='s1', at=_AT.format(104729))} ELSE s1 END AS seq
+  FROM (SELECT *, CASE WHEN event_id % 4 >= 2 THEN {_CHANGED.format(s='s', at=_AT.format(7919))} ELSE s END AS s1
+        FROM (SELECT *, translate(md5('h' || CAST(user_id AS VARCHAR)) || md5('i' || CAST(user_id AS VARCHAR)), '{HEX}', '{BASES}') AS s FROM events)))"""
 PROTEINS = f"""proteins AS (
   SELECT event_id AS protein_id, event_type AS sample, user_id, value, {_sql_digits('p', RESIDUES_1)} || {_sql_digits('t', RESIDUES_2)} AS seq FROM events)"""
 ALIGNMENT = f"""alignment AS (SELECT event_id AS seq_id, event_type AS sample, substr({_sql_digits('m', ALIGNED)}, 1, 12) AS seq FROM events)"""

@@ -6,6 +6,8 @@ reads at a time; each read is a small, independent piece of work.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from helixframe.functions.dna import cigar_operations, reverse_complement
 from helixframe.functions.tables import IUPAC
 
+CELLS = 2_000_000  # of edit matrices that are filled at once
+
 
 def infix(pattern: str, texts: pd.Series, most: int, codes: bool = False) -> pd.DataFrame:
     """distance and end (0-based, inclusive) of the first best place of a pattern in each text; -1 beyond `most` edits.
@@ -21,8 +25,26 @@ def infix(pattern: str, texts: pd.Series, most: int, codes: bool = False) -> pd.
     One row of the edit matrix a character of the texts, for all texts together;
     a text may begin and end anywhere (free end gaps in the text).
     """
-    n, m = len(texts), len(pattern)
     size = texts.str.len().fillna(0).to_numpy(int)
+    out = np.full((len(texts), 2), -1)
+    for some in _alike(size, size):  # so that one long text doesn't widen all
+        out[some] = _infix(pattern, texts.iloc[some], size[some], most, codes)
+    return pd.DataFrame(out, columns=["distance", "end"])
+
+
+def _alike(order: np.ndarray, cells: np.ndarray) -> Iterator[np.ndarray]:
+    """The places of rows in groups of like order, of some CELLS padded cells each."""
+    rows = np.argsort(order, kind="stable")
+    at = 0
+    while at < len(rows):
+        most = np.maximum.accumulate(cells[rows[at:]] + 1) * np.arange(1, len(rows) - at + 1)
+        to = at + max(1, int(np.searchsorted(most, CELLS, "right")))
+        yield rows[at:to]
+        at = to
+
+
+def _infix(pattern: str, texts: pd.Series, size: np.ndarray, most: int, codes: bool) -> np.ndarray:
+    n, m = len(texts), len(pattern)
     width = int(size.max()) if n else 0
     raw = np.zeros((n, width), np.uint8)
     for i, t in enumerate(texts):
@@ -47,7 +69,7 @@ def infix(pattern: str, texts: pd.Series, most: int, codes: bool = False) -> pd.
         better = (j < size) & (column[:, m] < best)
         best[better], end[better] = column[better, m], j
     far = best > most
-    return pd.DataFrame({"distance": np.where(far, -1, best).astype(int), "end": np.where(far, -1, end).astype(int)})
+    return np.stack([np.where(far, -1, best), np.where(far, -1, end)], axis=1)
 
 
 def find_anchor(c: Column, pattern: str, most: int, codes: bool = False) -> Column:
@@ -80,34 +102,69 @@ def anchored_windows(reads: DataFrame, seq: str, qual: str, left: str, right: st
     return rows.withColumn("status", status).drop("__f", "__r", "__rc", "__s", "__q", "__b", "__next", "__a")
 
 
-def edit_alignment(a: str, b: str, codes: bool = False) -> tuple[int, str, str, str]:
-    """(distance, top, marks, bottom): a global alignment; back from the end a diagonal goes before a deletion before an insertion."""
-    m, n = len(a), len(b)
-    d = np.zeros((m + 1, n + 1), int)
-    d[:, 0], d[0] = np.arange(m + 1), np.arange(n + 1)
-    same = lambda x, y: x == y or (codes and y in IUPAC.get(x, ""))
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            d[i, j] = min(d[i - 1, j - 1] + (not same(a[i - 1], b[j - 1])), d[i - 1, j] + 1, d[i, j - 1] + 1)
-    i, j, top, marks, bottom = m, n, [], [], []
-    while i or j:
-        if i and j and d[i, j] == d[i - 1, j - 1] + (not same(a[i - 1], b[j - 1])):
-            i, j = i - 1, j - 1
-            top.append(a[i]), bottom.append(b[j]), marks.append("|" if same(a[i], b[j]) else ".")
-        elif i and d[i, j] == d[i - 1, j] + 1:
-            i -= 1
-            top.append(a[i]), bottom.append("-"), marks.append(" ")
-        else:
-            j -= 1
-            top.append("-"), bottom.append(b[j]), marks.append(" ")
-    return int(d[m, n]), "".join(reversed(top)), "".join(reversed(marks)), "".join(reversed(bottom))
+_LIKE = np.eye(128, dtype=bool)
+_LIKE_CODES = _LIKE.copy()
+for _code, _bases in IUPAC.items():
+    for _base in _bases:
+        _LIKE_CODES[ord(_code), ord(_base)] = True
+
+
+def _padded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place) code points, 0 beyond the end, and the lengths."""
+    size = np.array([len(t) for t in texts])
+    out = np.zeros((len(texts), max(1, size.max(initial=0))), np.uint32)
+    out[np.arange(out.shape[1]) < size[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    return out, size
+
+
+def edit_alignments(a: list[str], b: list[str], codes: bool = False) -> list[tuple[int, str, str, str]]:
+    """(distance, top, marks, bottom) of global alignments; back from the end a diagonal goes before a deletion before an insertion.
+
+    One row of all edit matrices at a time, and one step back of all pairs at a time.
+    """
+    out: list = [None] * len(a)
+    sizes = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+    for some in _alike(sizes.sum(1), (sizes[:, 0] + 1) * (sizes[:, 1] + 1)):
+        for k, x in zip(some, _alignments([a[k] for k in some], [b[k] for k in some], codes), strict=True):
+            out[k] = x
+    return out
+
+
+def _alignments(a: list[str], b: list[str], codes: bool) -> Iterator[tuple[int, str, str, str]]:
+    (x, m), (y, n) = _padded(a), _padded(b)
+    like = _LIKE_CODES if codes else _LIKE
+    x_, y_ = np.minimum(x, 127), np.minimum(y, 127)
+    ramp = np.arange(y.shape[1] + 1, dtype=np.int32)
+    d = np.empty((len(a), x.shape[1] + 1, len(ramp)), np.int32)
+    d[:, 0] = ramp
+    for i in range(x.shape[1]):
+        same = (x[:, i, None] == y) | like[x_[:, i, None], y_]
+        row = d[:, i + 1]
+        row[:, 0] = i + 1
+        row[:, 1:] = np.minimum(d[:, i, :-1] + ~same, d[:, i, 1:] + 1)
+        row[:] = np.minimum.accumulate(row - ramp, axis=1) + ramp  # insertions run along the row
+    each, i, j = np.arange(len(a)), m.copy(), n.copy()
+    steps = []
+    while (live := (i > 0) | (j > 0)).any():
+        up, back = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        p, q, here = x[each, up], y[each, back], d[each, i, j]
+        same = (p == q) | like[np.minimum(p, 127), np.minimum(q, 127)]
+        across = live & (i > 0) & (j > 0) & (here == d[each, up, back] + ~same)
+        gone = live & ~across & (i > 0) & (here == d[each, up, j] + 1)
+        came = live & ~across & ~gone
+        steps.append((np.where(across | gone, p, np.where(came, ord("-"), 0)), np.where(across, np.where(same, ord("|"), ord(".")), np.where(live, ord(" "), 0)), np.where(across | came, q, np.where(gone, ord("-"), 0))))
+        i, j = i - (across | gone), j - (across | came)
+    lines = [np.array([s[k] for s in reversed(steps)], np.uint32).reshape(-1, len(a)).T for k in range(3)]
+    for k in range(len(a)):
+        said = [line[k][line[k] > 0].astype("<u4").tobytes().decode("utf-32-le") for line in lines]
+        yield int(d[k, m[k], n[k]]), *said
 
 
 def aligned(df: DataFrame, a: str, b: str, codes: bool = False) -> DataFrame:
     """df with distance, top, marks, bottom of the alignment of two string columns."""
 
     def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([edit_alignment(i or "", j or "", codes) for i, j in zip(x, y, strict=True)], columns=["distance", "top", "marks", "bottom"])
+        return pd.DataFrame(edit_alignments(x.fillna("").tolist(), y.fillna("").tolist(), codes), columns=["distance", "top", "marks", "bottom"])
 
     return df.withColumn("__x", F.pandas_udf(run, "distance int, top string, marks string, bottom string")(a, b)).select("*", "__x.*").drop("__x")
 
@@ -115,10 +172,7 @@ def aligned(df: DataFrame, a: str, b: str, codes: bool = False) -> DataFrame:
 def rescued(df: DataFrame, seq: str, reference: str, first: int, last: int, most: int = 32) -> DataFrame:
     """df with `rescued`: the bases under reference positions first..last (1-based), or NULL where an indel touches the motif or there are too many edits."""
 
-    def one(s: str | None) -> str | None:
-        if not s:
-            return None
-        distance, top, _, bottom = edit_alignment(reference, s, True)
+    def cut(distance: int, top: str, bottom: str) -> str | None:
         if distance > most:
             return None
         out, at = [], 0
@@ -133,7 +187,12 @@ def rescued(df: DataFrame, seq: str, reference: str, first: int, last: int, most
                 return None
         return "".join(out)
 
-    return df.withColumn("rescued", F.pandas_udf(lambda s: s.map(one), "string")(seq))
+    def run(reads: pd.Series) -> pd.Series:
+        texts = reads.fillna("").tolist()
+        found = edit_alignments([reference] * len(texts), texts, True)
+        return pd.Series([cut(distance, top, bottom) if text else None for text, (distance, top, _, bottom) in zip(texts, found, strict=True)], dtype=object)
+
+    return df.withColumn("rescued", F.pandas_udf(run, "string")(seq))
 
 
 def observed_bases(alignments: DataFrame, pos: str = "pos", cigar: str = "cigar", seq: str = "seq", qual: str = "qual") -> DataFrame:

@@ -102,7 +102,7 @@ def coverage(sequences: DataFrame, key: str, seq: str, best: DataFrame, by: Sequ
     """Share of sequences whose every residue is encoded; gaps are skipped, and only positions with a codon are held against it."""
     cells = sequences.select(*by, key, F.posexplode(F.split(seq, "")).alias("at", "aa")).withColumn("pos", F.col("at") + 1).filter(~F.col("aa").isin(*ignored))
     ok = residue_bit(F.col("aa")).bitwiseAND(F.col("mask")) > 0
-    joined = cells.join(F.broadcast(best.select(*by, "pos", "mask")), [*by, "pos"])
+    joined = cells.join(best.select(*by, "pos", "mask"), [*by, "pos"])
     missed = joined.filter(~ok).select(*by, key).distinct().groupBy(*by).agg(F.count("*").alias("missed"))
     total = sequences.groupBy(*by).agg(F.count("*").alias("n"))
     out = total.join(missed, list(by), "left") if by else total.crossJoin(missed)

@@ -7,6 +7,7 @@ that they don't depend on partitions or retries.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from itertools import count as count_from
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,10 +98,10 @@ def unique_proteins(draws: DataFrame, n: int) -> DataFrame:
     return first.select("x.id", "x.seq", "protein").orderBy("id").limit(n)
 
 
-def unique_until_stalled(spark: SparkSession, design: str, n: int, seed: int = 42, most_batches: int = 50) -> DataFrame:
+def unique_until_stalled(spark: SparkSession, design: str, n: int, seed: int = 42) -> DataFrame:
     """Up to n different proteins of a design: batches of max(20000, 20 n) draws until there are n, or a batch brings none."""
     batch, had = max(20_000, 20 * n), -1
-    for k in range(1, most_batches + 1):
+    for k in count_from(1):
         found = unique_proteins(sampled(spark, design, k * batch, seed), n)
         count = found.count()
         if count >= n or count == had:
@@ -154,7 +155,7 @@ def anchored_motifs(df: DataFrame, key: Sequence[str], seed: int = 42) -> DataFr
 
 
 def library(spark: SparkSession, design: str, most: int = 500_000, sample: int = 150_000, seed: int = 42) -> DataFrame:
-    """All sequences of a design, or a sample where there are more than `most`; `weight` scales counts to the whole design."""
+    """All sequences of a design, or, as a sampling operator, a sample of `sample` where there are more than `most`; `weight` scales counts to the whole design."""
     space = dna.design_space(design)
     if space <= most:
         return spark.range(space).select("id", dna.decode_index(F.col("id"), design).alias("seq"), F.lit(1.0).alias("weight"))

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.operators.relational import checked_left_join
+
 
 def no_nan(c: Column) -> Column:
     """NaN as NULL: comparisons with it then fail, as they should."""
@@ -77,9 +79,9 @@ def recompute_plan(df: DataFrame, metrics: Sequence[str], forced: Column | None
 
 
 def update_stale(df: DataFrame, fresh: DataFrame, key: str, metrics: Sequence[str], forced: Column | None = None) -> DataFrame:
-    """Fill stale (or forced) cells with the incoming values of the same key, where these aren't NULL."""
+    """Fill stale (or forced) cells with the incoming values of the same key, where these aren't NULL; a repeated incoming key raises."""
     incoming = fresh.select(F.col(key), *(F.col(m).alias(f"__new_{m}") for m in metrics))
-    out = df.join(incoming, key, "left")
+    out = checked_left_join(df, incoming, key)
     force = forced if forced is not None else F.lit(False)
     filled = {m: F.when((is_stale(F.col(m)) | force) & F.col(f"__new_{m}").isNotNull(), F.col(f"__new_{m}")).otherwise(F.col(m)) for m in metrics}
     return out.withColumns(filled).drop(*(f"__new_{m}" for m in metrics))

@@ -1,8 +1,13 @@
-"""Predictions of pluggable models, one load a worker, and charge patterning."""
+"""Predictions of pluggable models, one load a worker, and charge patterning.
+
+Models of a fixed width read the first MOST_TOKENS - 2 residues of a sequence,
+as the models that the adapter is for were trained; it is a parameter.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -52,21 +57,32 @@ def _asymmetry(sign: np.ndarray, blob: int) -> float:
     return float(((sigma(windows(plus, blob).sum(1), windows(minus, blob).sum(1), blob) - whole) ** 2).mean())
 
 
+def _delta(sign: np.ndarray) -> float:
+    return (_asymmetry(sign, 5) + _asymmetry(sign, 6)) / 2
+
+
+@lru_cache(maxsize=100_000)
+def _most_segregated(p: int, m: int, rest: int) -> float:
+    """The greatest asymmetry of p positive, m negative and the other residues: charges in two runs, the others in front, between and behind.
+
+    Beyond six of them in front or behind nothing changes, as no blob is longer.
+    """
+    most = 0.0
+    for a in range(min(rest, 6) + 1):
+        for b in range(min(rest - a, 6) + 1):
+            order = np.concatenate([np.zeros(a), np.ones(p), np.zeros(rest - a - b), -np.ones(m), np.zeros(b)])
+            most = max(most, _delta(order))
+    return most
+
+
 def kappa_of(seq: str) -> float | None:
     """Charge patterning (Das and Pappu 2013): the asymmetry over blobs of 5 and 6, as a share of the most segregated order of the same residues."""
     sign = np.array([1 if r in "KR" else -1 if r in "DE" else 0 for r in seq or ""])
     if len(sign) < 6 or not sign.any():
         return None
-    delta = lambda s: (_asymmetry(s, 5) + _asymmetry(s, 6)) / 2
     p, m = int((sign > 0).sum()), int((sign < 0).sum())
-    rest = len(sign) - p - m
-    most = 0.0
-    for a in range(min(rest, 6) + 1):
-        for b in range(min(rest - a, 6) + 1):
-            middle = rest - a - b
-            order = np.concatenate([np.zeros(a), np.ones(p), np.zeros(middle), -np.ones(m), np.zeros(b)])
-            most = max(most, delta(order))
-    return min(1.0, delta(sign) / most) if most else None
+    most = _most_segregated(p, m, len(sign) - p - m)
+    return min(1.0, _delta(sign) / most) if most else None
 
 
 def kappa(seq: Column) -> Column:

@@ -65,22 +65,27 @@ def plain_scores(df: DataFrame, value: str) -> DataFrame:
     return df.crossJoin(F.broadcast(stats)).withColumn("z", (F.col(value) - F.col("__m")) / s).drop("__m", "__s")
 
 
-def hotspots(scored: DataFrame, k: float, max_gap: int) -> DataFrame:
-    """Regions of positions whose z is above k; gaps count rows, not positions."""
-    rows = scored.withColumn("row_idx", F.row_number().over(Window.orderBy("pos")))
-    found = islands(rows, "row_idx", F.col("z") > k, max_gap)
-    ends = rows.select("row_idx", "pos")
-    out = found.join(ends.select(F.col("row_idx").alias("first"), F.col("pos").alias("first_pos")), "first").join(ends.select(F.col("row_idx").alias("last"), F.col("pos").alias("last_pos")), "last")
+def _indexed(scored: DataFrame, by: Sequence[str]) -> DataFrame:
+    """scored with row_idx, the place of each position in its alignment."""
+    return scored.withColumn("row_idx", F.row_number().over(Window.partitionBy(*by).orderBy("pos")))
+
+
+def hotspots(scored: DataFrame, k: float, max_gap: int, by: Sequence[str] = ()) -> DataFrame:
+    """Regions of positions whose z is above k, for each alignment; gaps count rows, not positions."""
+    rows = _indexed(scored, by)
+    found = islands(rows, "row_idx", F.col("z") > k, max_gap, by)
+    end = lambda c: rows.select(*by, F.col("row_idx").alias(c), F.col("pos").alias(f"{c}_pos"))
+    out = found.join(end("first"), [*by, "first"]).join(end("last"), [*by, "last"])
     shape = F.when(F.col("width") == 1, "spike").when(F.col("width") >= 4, "block").otherwise("short run")
-    return out.select("first_pos", "last_pos", "width", shape.alias("shape"))
+    return out.select(*by, "first_pos", "last_pos", "width", shape.alias("shape"))
 
 
-def sweep(scored: DataFrame, ks: Sequence[float], max_gap: int) -> DataFrame:
+def sweep(scored: DataFrame, ks: Sequence[float], max_gap: int, by: Sequence[str] = ()) -> DataFrame:
     """k, regions: how many hotspot regions each threshold leaves."""
-    rows = scored.withColumn("row_idx", F.row_number().over(Window.orderBy("pos"))).withColumn("k", F.explode(F.array(*map(F.lit, ks))))
-    found = islands(rows, "row_idx", F.col("z") > F.col("k"), max_gap, by=["k"])
-    counts = found.groupBy("k").agg(F.count("*").alias("regions"))
-    return rows.select("k").distinct().join(counts, "k", "left").na.fill(0, ["regions"])
+    rows = _indexed(scored, by).withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+    found = islands(rows, "row_idx", F.col("z") > F.col("k"), max_gap, by=[*by, "k"])
+    counts = found.groupBy(*by, "k").agg(F.count("*").alias("regions"))
+    return rows.select(*by, "k").distinct().join(counts, [*by, "k"], "left").na.fill(0, ["regions"])
 
 
 def consensus(profile: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -91,7 +96,7 @@ def consensus(profile: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def variant_rows(kept: DataFrame, consensus_: DataFrame, by: Sequence[str] = (), positions: Column | None = None) -> DataFrame:
     """One sequence for each allowed residue that differs from the consensus at its position."""
-    rows = kept.join(F.broadcast(consensus_), list(by)) if by else kept.crossJoin(F.broadcast(consensus_))
+    rows = kept.join(consensus_, list(by)) if by else kept.crossJoin(F.broadcast(consensus_))
     if positions is not None:
         rows = rows.filter(positions)
     was = F.substr(F.col("consensus"), F.col("pos"), F.lit(1))

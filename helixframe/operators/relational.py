@@ -57,7 +57,7 @@ def hamming_totals(df: DataFrame, seq: str, by: str | None = None) -> DataFrame:
     size = df.groupBy(*group).agg(F.count("*").alias("m"))
     own = df.select(*group, seq, F.posexplode(F.split(seq, "")).alias("pos", "c")).distinct()
     joined = own.join(cells, [*group, "pos", "c"])
-    joined = joined.join(F.broadcast(size), group) if group else joined.crossJoin(F.broadcast(size))
+    joined = joined.join(size, group) if group else joined.crossJoin(F.broadcast(size))
     return joined.groupBy(*group, seq).agg(F.sum(F.col("m") - F.col("same")).alias("total"))
 
 

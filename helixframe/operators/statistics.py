@@ -10,7 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixframe.operators.relational import running_before
+from helixframe.operators.graph import written
+from helixframe.operators.relational import numbered, running_before
+
+HOLM_ROWS = 100_000
 
 
 def weighted(df: DataFrame, by: Sequence[str], value: str, weight: str) -> DataFrame:
@@ -86,8 +89,16 @@ def mann_whitney(df: DataFrame, value: str, weight: str, side: str, a: str, b: s
 
 
 def holm(df: DataFrame, p: str, by: Sequence[str] = (), tie: str | None = None) -> DataFrame:
-    """df with `adjusted`: the step-down adjustment within each family; a family is one group of a window."""
-    w = Window.partitionBy(*by).orderBy(*([p, tie] if tie else [p]))
+    """df with `adjusted`: the step-down adjustment within each family; a family is one group of a window, all rows (without `by`) go by ranges."""
+    order = [p, tie] if tie else [p]
+    if not by:
+        ranked = numbered(df, order, "__k")
+        scaled = written(ranked.withColumn("__s", (F.lit(ranked.count()) - F.col("__k")) * F.col(p)).withColumn("__part", F.floor(F.col("__k") / HOLM_ROWS)), "holm")
+        tops = scaled.groupBy("__part").agg(F.max("__s").alias("__top"))  # one row for each HOLM_ROWS
+        before = tops.select("__part", F.max("__top").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+        within = F.max("__s").over(Window.partitionBy("__part").orderBy("__k").rowsBetween(Window.unboundedPreceding, 0))
+        return scaled.withColumn("__within", within).join(before, "__part").withColumn("adjusted", F.least(F.lit(1.0), F.greatest("__within", "__before"))).drop("__k", "__s", "__part", "__within", "__before")
+    w = Window.partitionBy(*by).orderBy(*order)
     scaled = (F.count("*").over(Window.partitionBy(*by)) - F.row_number().over(w) + 1) * F.col(p)
     return df.withColumn("__s", scaled).withColumn("adjusted", F.least(F.lit(1.0), F.max("__s").over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("__s")
 

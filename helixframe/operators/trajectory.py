@@ -63,9 +63,10 @@ def chain_clusters(pairs: DataFrame, chains: DataFrame, thresholds: Sequence[int
     """threshold, frame, clusters, largest, bound_share, mean_size (by chain): components of chains that share enough contacts.
 
     chains has (frame, chain); all frames and thresholds are one graph, whose
-    nodes are numbered by frame, threshold and chain.
+    nodes are numbered by frame, threshold and chain; a chain number of a million or more raises.
     """
-    node = lambda c: (F.col("frame") * len(thresholds) + F.col("t")) * 1_000_000 + F.col(c)
+    number = lambda c: F.when(F.col(c).between(0, 999_999), F.col(c)).otherwise(F.raise_error(F.lit("chain numbers go up to 999,999")).cast("long"))
+    node = lambda c: (F.col("frame") * len(thresholds) + F.col("t")) * 1_000_000 + number(c)
     t = F.explode(F.array(*(F.struct(F.lit(k).alias("t"), F.lit(v).alias("threshold")) for k, v in enumerate(thresholds)))).alias("x")
     edges = pairs.select("*", t).select("frame", "a", "b", "n", "x.*").filter("n >= threshold")
     found = connected_components(edges.select(node("a").alias("a"), node("b").alias("b")))

@@ -18,11 +18,15 @@ def read_fasta(spark: SparkSession, path: str, upper: bool = True, aligned: bool
     """name, header, seq: one row a record; wrapped lines are joined, white space and a leading byte-order mark go.
 
     A record begins at a line's `>`. With `strict`, text before a file's first header
-    raises, at the cost of counting headers; else it is a record whose first line
-    is its header. With `aligned`, unequal lengths raise.
+    raises, at the cost of counting headers; else it is a sequence without a header.
+    With `aligned`, unequal lengths raise.
     """
-    records = spark.read.option("lineSep", "\n>").text(path)
+    records = _placed(spark.read.option("lineSep", "\n>").text(path))
     text = F.regexp_replace("value", "^\\uFEFF?>?", "")
+    if not strict:  # only the first record of a file still has its mark
+        first = _firsts(records, F.lit(True))
+        bare = (F.col("__id") == F.col("__first")) & ~F.regexp_replace("value", "^\\uFEFF", "").startswith(">")
+        records, text = records.join(first, "__file"), F.when(bare, F.concat(F.lit("\n"), text)).otherwise(text)
     lines = records.filter(F.trim("value") != "").select(F.regexp_replace(text, "\r", "").alias("r"))
     if strict:
         headers = spark.read.text(path).filter(F.regexp_replace("value", "^\\uFEFF", "").startswith(">")).count()
@@ -39,6 +43,16 @@ def read_fasta(spark: SparkSession, path: str, upper: bool = True, aligned: bool
     return out
 
 
+def _placed(lines: DataFrame) -> DataFrame:
+    """value, __file, __block, __id: where each line of text files stands; ids rise within a block."""
+    return lines.select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
+
+
+def _firsts(lines: DataFrame, what: Column) -> DataFrame:
+    """__file, __first: the id of the first line of each file (in its first block) that is `what`."""
+    return lines.filter(what & (F.col("__block") == 0)).groupBy("__file").agg(F.min("__id").alias("__first"))
+
+
 def last_by_name(records: DataFrame, order: str) -> DataFrame:
     """One record a name, the last one in an order."""
     return records.groupBy("name").agg(F.max_by("seq", order).alias("seq"))
@@ -88,27 +102,42 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*(F.get(f, F.lit(k)).cast(t).alias(n) for n, (k, t) in pick.items()))
 
 
-def read_csv(spark: SparkSession, path: str, comments: str = "lines", drop_empty: bool = True, header: str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, comments: str = "lines", drop_empty: bool = True, header: str | None = None, multi_line: bool = False) -> DataFrame:
     """CSV of strings with a header, tolerant of metadata.
 
-    The header is the first line of the first file, or given for many files; lines
-    equal to it are no rows.
-    comments: `lines` drops lines whose first visible character is #, `anywhere`
-    cuts each line at its first #. Trailing commas go; columns without a name or
-    (with drop_empty) without any value are dropped.
+    The header is the first line of the first file by name, or given for files of
+    which some have none; a file's first line that equals it is no row.
+    comments: `lines` drops lines whose first visible character is #, `leading` only
+    those before a file's first other line, `anywhere` cuts each line at its first #.
+    Trailing commas go; columns without a name or (with drop_empty) without any value
+    are dropped. With `multi_line`, quoted fields may hold line feeds; each file then
+    has its header and is read by one task, and only `lines` is understood.
     """
-    value = F.regexp_replace("value", "^\\uFEFF", "")
-    if comments == "anywhere":
-        value = F.substring_index(value, "#", 1)
-    lines = spark.read.text(path).select(F.regexp_replace(F.rtrim(value), ",+$", "").alias("value")).filter((F.ltrim("value") != "") & ~F.ltrim("value").startswith("#"))
-    if header is None:
-        first = lines.first()
-        if first is None:
-            raise ValueError(f"{path} has no header")
-        header = first["value"]
-    names = [n.strip().strip('"') or f"Unnamed: {k}" for k, n in enumerate(header.split(","))]
-    schema = ", ".join(f"`{n}` string" for n in names)
-    rows = lines.filter(F.col("value") != header).select(F.from_csv("value", F.lit(schema)).alias("r")).select("r.*")
+    if multi_line:
+        if comments != "lines" or header is not None:
+            raise ValueError("multi_line reads files with their own headers and comment lines")
+        rows = spark.read.option("multiLine", True).option("header", True).option("comment", "#").option("escape", '"').csv(path)
+        rows = rows.toDF(*(n if n.strip() and not n.startswith("_c") else f"Unnamed: {k}" for k, n in enumerate(rows.columns)))
+        names = rows.columns
+    else:
+        value = F.regexp_replace("value", "^\\uFEFF", "")
+        if comments == "anywhere":
+            value = F.substring_index(value, "#", 1)
+        lines = _placed(spark.read.text(path)).withColumn("value", F.regexp_replace(F.rtrim(value), ",+$", "")).filter(F.ltrim("value") != "")
+        noted = F.ltrim("value").startswith("#")
+        if comments != "leading":
+            lines = lines.filter(~noted)
+        placed = lines.join(_firsts(lines, ~noted), "__file", "left")
+        top = F.coalesce(F.col("__id") == F.col("__first"), F.lit(False))
+        if header is None:
+            header = placed.filter(top).agg(F.min_by("value", "__file")).first()[0]
+            if header is None:
+                raise ValueError(f"{path} has no header")
+        names = [n.strip().strip('"') or f"Unnamed: {k}" for k, n in enumerate(header.split(","))]
+        schema = ", ".join(f"`{n}` string" for n in names)
+        before = noted & (F.col("__block") == 0) & (F.col("__id") < F.col("__first"))
+        rows = placed.filter(~(top & (F.col("value") == header)) & ~F.coalesce(before, F.lit(False)))
+        rows = rows.select(F.from_csv("value", F.lit(schema)).alias("r")).select("r.*")
     rows = rows.select(*(F.nullif(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names))
     if not drop_empty:
         return rows

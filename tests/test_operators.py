@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from helixframe.functions.tables import IUPAC
 from helixframe.operators import calling, clusters, columns, expansion, fuzzy, graph, models, profiles, relational, statistics, trajectory
 from helixframe.sources import text
 
@@ -70,6 +71,26 @@ def test_components(spark):
     assert {r.node: r.component for r in graph.connected_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7}
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    """Hubs of more edges than a task should get: a star of 3,000 nodes, a path and random edges, against a plain union-find."""
+    monkeypatch.setattr(graph, "HUB", 500)
+    r = random.Random(12)
+    edges = [(5, k) for k in range(100, 3100)] + [(k, k + 1) for k in range(5000, 5060)] + [(r.randrange(7000, 9000), r.randrange(7000, 9000)) for _ in range(1500)] + [(4, 3000), (3, 4)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    got = {x.node: x.component for x in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in up}
+
+
 def test_directional_clusters(spark):
     counts = spark.createDataFrame([("x", "AAAA", 30), ("x", "AAAT", 5), ("x", "TTTT", 4), ("y", "AAAT", 5)], "g string, s string, n long")
     got = {(r.g, r.s): r.representative for r in clusters.directional(counts, "s", "n", ["g"]).collect()}
@@ -97,8 +118,10 @@ def test_directional_clusters_equal_the_plain_loop(spark):
         for _ in range(r.choice([0, 0, 0, 1, 2, 3])):
             s[r.randrange(8)] = r.choice("ACGT")
         counts["".join(s)] += 1
-    got = clusters.directional(spark.createDataFrame(list(counts.items()), "s string, n long"), "s", "n")
-    assert {r.s: r.representative for r in got.collect()} == greedy(counts)
+    close = {s: r.randint(1, 12) for s in counts}  # counts near one another: clusters that grow decide
+    for some in (counts, close):
+        got = clusters.directional(spark.createDataFrame(list(some.items()), "s string, n long"), "s", "n")
+        assert {r.s: r.representative for r in got.collect()} == greedy(some)
 
 
 def test_pairs_within_a_distance(spark):
@@ -115,9 +138,40 @@ def test_medoids_and_ward(spark):
     assert {r.medoid for r in got if r.s.count("A") > 5} == {"AAAAAAAC"} and {r.medoid for r in got if r.s.count("A") < 3} == {"ACCCCCCC"}
     r = np.random.default_rng(3)
     pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.concatenate([r.normal(c, 0.2, (15, 2)) for c in ((0, 0), (5, 5), (0, 6))]))]
-    for most in (256, 20):
-        labels = {x.id: x.cluster for x in clusters.ward(spark.createDataFrame(pts, "id long, x double, y double"), "id", ["x", "y"], most).collect()}
+    df = spark.createDataFrame(pts, "id long, x double, y double")
+    for got in (clusters.ward(df, "id", ["x", "y"]), clusters.ward_of_cells(df, "id", ["x", "y"], 20)):
+        labels = {x.id: x.cluster for x in got.collect()}
         assert len(set(labels.values())) == 3 and all(len({labels[i] for i in range(15 * k, 15 * k + 15)}) == 1 for k in range(3))
+    with pytest.raises(ValueError, match="distinct rows"):
+        clusters.ward(df, "id", ["x", "y"], 20)
+
+
+def test_cells_agree_with_exact_ward(spark):
+    """Well apart groups of 1,500 rows: labels as by the exact method for at least 95 in 100 rows."""
+    r = np.random.default_rng(8)
+    pts = np.concatenate([r.normal(c, 0.4, (375, 2)) for c in ((0, 0), (4, 4), (0, 5), (6, 0))])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "id long, x double, y double")
+    exact = {x.id: x.cluster for x in clusters.ward(df, "id", ["x", "y"]).collect()}
+    cells = {x.id: x.cluster for x in clusters.ward_of_cells(df, "id", ["x", "y"], 128).collect()}
+    pairs = Counter((exact[i], cells[i]) for i in exact)
+    best = Counter()
+    for (a, _), n in pairs.items():
+        best[a] = max(best[a], n)
+    assert len(set(exact.values())) == len(set(cells.values())) == 4 and sum(best.values()) >= 0.95 * len(pts)
+
+
+def test_overlap_removal_equals_the_plain_loop(spark):
+    r = random.Random(9)
+    rows = [("pq"[k % 2], a, a + r.randint(5, 40), r.randint(0, 50) / 10) for k in range(600) for a in [r.randint(1, 400)]]
+    want = []
+    for key in "pq":
+        kept = []
+        for _, a, b, s in sorted((x for x in rows if x[0] == key), key=lambda x: (-x[3], x[1], x[2])):
+            if all(min(b, d) - max(a, c) + 1 < 0.5 * min(b - a + 1, d - c + 1) for c, d in kept):
+                kept.append((a, b))
+                want.append((key, a, b, s))
+    got = clusters.without_overlaps(spark.createDataFrame(rows, "p string, a int, b int, s double").repartition(4), "p", "a", "b", "s")
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want)
 
 
 def test_overlap_removal(spark):
@@ -172,6 +226,26 @@ def test_motif_versions(spark):
 # --- fuzzy reads ---------------------------------------------------------
 
 
+def plain_alignment(a, b, codes):
+    same = lambda x, y: x == y or (codes and y in IUPAC.get(x, ""))
+    d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j - 1] + (not same(a[i - 1], b[j - 1])), d[i - 1, j] + 1, d[i, j - 1] + 1)
+    i, j, out = len(a), len(b), []
+    while i or j:
+        if i and j and d[i, j] == d[i - 1, j - 1] + (not same(a[i - 1], b[j - 1])):
+            i, j = i - 1, j - 1
+            out.append((a[i], "|" if same(a[i], b[j]) else ".", b[j]))
+        elif i and d[i, j] == d[i - 1, j] + 1:
+            i -= 1
+            out.append((a[i], " ", "-"))
+        else:
+            j -= 1
+            out.append(("-", " ", b[j]))
+    return (d[len(a), len(b)], *("".join(x[k] for x in reversed(out)) for k in range(3)))
+
+
 def infix_plain(p, t):
     row = list(range(len(p) + 1))
     best, end = row[-1], -1
@@ -205,7 +279,11 @@ def test_anchored_windows(spark):
 
 
 def test_alignments(spark):
-    assert fuzzy.edit_alignment("ACGT", "AGT") == (1, "ACGT", "| ||", "A-GT")
+    assert fuzzy.edit_alignments(["ACGT"], ["AGT"]) == [(1, "ACGT", "| ||", "A-GT")]
+    r = random.Random(4)
+    a, b = (["".join(r.choice("ACGTN") for _ in range(r.choice((0, 1, 5, 12, 40)))) for _ in range(300)] for _ in range(2))
+    for codes in (False, True):
+        assert fuzzy.edit_alignments(a, b, codes) == [plain_alignment(x, y, codes) for x, y in zip(a, b)]
     rows = spark.createDataFrame([("ACGTACGT", "ACGACGT")], "a string, b string")
     got = fuzzy.alignment_blocks(fuzzy.aligned(rows, "a", "b"), 4).orderBy("block").collect()
     assert [(r.line_top, r.line_bottom, r.end_top, r.end_bottom) for r in got] == [("ACGT", "ACG-", 4, 3), ("ACGT", "ACGT", 8, 7)]
@@ -267,7 +345,7 @@ def test_fasta(spark, tmp_path):
     loose = write(tmp_path, "b.fasta", "ACG\nT\n>one\nGG\n")
     with pytest.raises(ValueError, match="before a first header"):
         text.read_fasta(spark, loose)
-    assert [r.name for r in text.read_fasta(spark, loose, strict=False).collect()] == ["ACG", "one"]
+    assert {(r.name, r.header, r.seq) for r in text.read_fasta(spark, loose, strict=False).collect()} == {("", "", "ACGT"), ("one", "one", "GG")}
     last = text.last_by_name(spark.createDataFrame([("a", "X", 1), ("a", "Y", 2)], "name string, seq string, ord int"), "ord").first()
     assert last.seq == "Y"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEQUENCE_NAMES = ("sequence", "motif1_sequence", "protein_sequence")
@@ -55,3 +55,24 @@ def sequences(df: DataFrame, column: str | None = None, keep_blank: bool = False
     """The sequence column alone; trimmed and without blanks unless these are kept."""
     c = F.col(f"`{find_column(df.columns, column)}`")
     return df.select(c.alias("sequence")) if keep_blank else df.select(F.trim(c).alias("sequence")).filter("sequence <> ''")
+
+
+def safe_name(c: Column) -> Column:
+    """A name that any file system takes: runs of other characters as one underscore, none of it at the ends; `property` for nothing."""
+    safe = F.regexp_replace(F.regexp_replace(c.cast("string"), "[^A-Za-z0-9._-]+", "_"), "^[._]+|[._]+$", "")
+    return F.coalesce(F.nullif(safe, F.lit("")), F.lit("property"))
+
+
+def short_number(c: Column) -> Column:
+    """1234567 as 1.23M: two decimals for billions and millions, one for thousands."""
+    n = c.cast("double")
+    parts = ((1e9, "%.2fB"), (1e6, "%.2fM"), (1e3, "%.1fK"))
+    out = c.cast("long").cast("string")
+    for least, form in reversed(parts):
+        out = F.when(n >= least, F.format_string(form, n / least)).otherwise(out)
+    return out
+
+
+def p_label(c: Column) -> Column:
+    """A p-value as text: below 0.001 with an exponent."""
+    return F.when(c < 0.001, F.format_string("%.2e", c)).otherwise(F.format_string("%.3f", c))

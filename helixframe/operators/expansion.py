@@ -205,6 +205,11 @@ def error_prone(df: DataFrame, key: str, seq: str, rate: float, transition: floa
     return rows.withColumns({"mutant": F.array_join(F.transform("__cells", lambda x: x["now"]), ""), "mutations": F.when(F.size(changed) > 0, said).otherwise("WT"), "n_mutations": F.size(changed)}).drop("__cells")
 
 
+def unique_mutants(df: DataFrame, key: str) -> DataFrame:
+    """Rows of different mutants, each the one of the least key."""
+    return df.groupBy("mutant").agg(F.min_by(F.struct(*df.columns), F.col(key)).alias("__r")).select("__r.*")
+
+
 def triplicated(df: DataFrame, key: str, raw: str, patches: Sequence[str], attempts: int = 3, remove: float = 0.75, seed: int = 42) -> DataFrame:
     """Seven versions of a motif string: `+` removed; replaced by a patch; or removed or replaced, each by chance."""
     kinds = F.array(F.struct(F.lit(1).alias("set"), F.lit(1).alias("attempt")), *(F.struct(F.lit(s).alias("set"), F.lit(a).alias("attempt")) for s in (2, 3) for a in range(1, attempts + 1)))

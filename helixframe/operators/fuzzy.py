@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions.dna import cigar_operations, reverse_complement
@@ -219,6 +219,12 @@ def observed_bases(alignments: DataFrame, pos: str = "pos", cigar: str = "cigar"
     return each.withColumns({"ref_pos": F.col("__s.r") + F.col("__i"), "base": base, "q": q}).drop("__s", "__i")
 
 
+def equalities(spark: SparkSession) -> DataFrame:
+    """code, base: which bases each ambiguity code stands for."""
+    rows = F.array(*(F.struct(F.lit(code).alias("code"), F.lit(base).alias("base")) for code, bases in IUPAC.items() for base in bases))
+    return spark.range(1).select(F.inline(rows))
+
+
 def usable_alignments(df: DataFrame, flag: str = "flag", name: str = "qname", order: str = "pos") -> DataFrame:
     """Mapped primary alignments, the first of each read: no 0x4, 0x100 or 0x800 in the flag."""
     kept = df.filter(F.col(flag).cast("int").bitwiseAND(0x904) == 0)

@@ -136,8 +136,9 @@ def read_csv(spark: SparkSession, path: str, comments: str = "lines", drop_empty
         names = [n.strip().strip('"') or f"Unnamed: {k}" for k, n in enumerate(header.split(","))]
         schema = ", ".join(f"`{n}` string" for n in names)
         before = noted & (F.col("__block") == 0) & (F.col("__id") < F.col("__first"))
-        rows = placed.filter(~(top & (F.col("value") == header)) & ~F.coalesce(before, F.lit(False)))
-        rows = rows.select(F.from_csv("value", F.lit(schema)).alias("r")).select("r.*")
+        keep = ~(top & (F.col("value") == header)) & ~F.coalesce(before, F.lit(False))
+        # The value hangs on both sides of the join, so that no filter on it is moved to before this one and sees a header.
+        rows = placed.filter(keep).select(F.from_csv(F.when(keep, F.col("value")), F.lit(schema)).alias("r")).select("r.*")
     rows = rows.select(*(F.nullif(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names))
     if not drop_empty:
         return rows
@@ -280,8 +281,26 @@ def read_clusters(spark: SparkSession, counts: str, traits: str, members: str, s
     return found
 
 
-def write_mutants(df: DataFrame, path: str, order: Sequence[str], sep: str = ",") -> None:
-    """mutant_000001, sequence, mutations (WT for none) in an order."""
-    rows = numbered(df, order)
+def write_mutants(df: DataFrame, path: str, order: Sequence[str], sep: str = ",", rate: Column | None = None) -> None:
+    """sequence_id (mutant_000001 in an order), mutation_count, mutations (comma between, WT for none), effective_error_rate_per_base, sequence; from mutant, mutations (; between) and n_mutations."""
     name = F.concat(F.lit("mutant_"), F.lpad((F.col("ord") + 1).cast("string"), 6, "0"))
-    rows.select(name.alias("id"), F.col("mutant").alias("sequence"), "mutations").write.option("header", True).option("sep", sep).csv(path)
+    rows = numbered(df.withColumn("__rate", F.lit(None).cast("double") if rate is None else rate), order)
+    rows.select(
+        name.alias("sequence_id"), F.col("n_mutations").alias("mutation_count"), F.replace("mutations", F.lit(";"), F.lit(",")).alias("mutations"),
+        F.col("__rate").alias("effective_error_rate_per_base"), F.col("mutant").alias("sequence"),
+    ).write.option("header", True).option("sep", sep).csv(path)
+
+
+def write_annotated_table(profile: DataFrame, scores: DataFrame, path: str) -> None:
+    """The table of write_position_table with score and z of each position (four decimals) and whether it is a hotspot; scores has pos, score, z, hotspot."""
+    said = F.transform(F.array_sort(F.collect_list(F.struct("rank", "aa", "proportion"))), lambda x: F.format_string("%s:%.2f%%", x["aa"], 100 * x["proportion"]))
+    rows = profile.groupBy("pos").agg(F.max(F.when(F.col("rank") == 1, F.col("aa"))).alias("top_aa"), F.array_join(said, ",").alias("proportion_breakdown"))
+    four = lambda c: F.format_string("%.4f", F.col(c)).alias(c)
+    rows.join(scores, "pos").select(F.col("pos").alias("position"), "top_aa", "proportion_breakdown", four("score"), four("z"), "hotspot").write.option("sep", "\t").option("header", True).csv(path)
+
+
+def write_metrics(sections: Mapping[str, DataFrame], path: str) -> None:
+    """Counts as text: a title, then a line `label: n` for each row of (label, n) in the order of labels; a file for each section's number."""
+    for k, (title, rows) in enumerate(sections.items()):
+        lines = rows.orderBy("label").select(F.concat("label", F.lit(": "), F.col("n").cast("string")).alias("value"))
+        lines.unionByName(rows.sparkSession.range(1).select(F.lit(title).alias("value"))).write.text(f"{path}/{k:02d}")

@@ -7,6 +7,7 @@ that they don't depend on partitions or retries.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 from itertools import count as count_from
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -239,20 +240,25 @@ def slot_mixes(targets: Sequence[int], tolerance: int) -> dict[int, list[tuple[i
     return {t: [(a, b) for b in range(1, (t + tolerance) // 10 + 1) for a in range(1, (t + tolerance - 10 * b) // 5 + 1) if abs(5 * a + 10 * b - t) <= tolerance] for t in targets}
 
 
-def mixes(five: DataFrame, ten: DataFrame, targets: Sequence[int], tolerance: int, samples: int, seed: int = 42) -> DataFrame:
-    """target_length, a, b, draw, raw: recombined strings of a five- and b ten-residue motifs in a drawn order.
+def recombined(pools: Mapping[int, DataFrame], targets: Sequence[int], tolerance: int, samples: int, seed: int = 42) -> DataFrame:
+    """motif_type, target_length, n_repeats, draw, raw: strings of motifs drawn from pools by their length, within the tolerance of each target.
 
-    five and ten have (ord, motif) with ord from 0; each slot joins its motif by a
-    drawn ord, so that pools may be large.
+    Each pool is recombined with itself (`4aa`, `5aa`, ...), and those of five and ten
+    residues with each other in every mix and a drawn order (`mixed_AxBaa_...`).
+    pools have (ord, motif) with ord from 0; each slot joins its motif by a drawn
+    ord, so that pools may be large.
     """
-    spark = five.sparkSession
-    n5, n10 = five.count(), ten.count()
-    plans = [(t, a, b) for t, found in slot_mixes(targets, tolerance).items() for a, b in found]
-    draws = spark.createDataFrame(plans, "target_length int, a int, b int").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(samples))))
-    draw_key = [F.col("target_length"), F.col("a"), F.col("b"), F.col("draw")]
-    slots = draws.withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("a") + F.col("b")))).withColumn("is_five", F.col("slot") <= F.col("a"))
-    slots = slots.withColumns({"place": uniform(*draw_key, F.col("slot"), F.lit("place"), seed=seed), "ord": F.floor(uniform(*draw_key, F.col("slot"), F.lit("ord"), seed=seed) * F.when(F.col("is_five"), F.lit(n5)).otherwise(F.lit(n10))).cast("long")})
-    pools = five.select(F.lit(True).alias("is_five"), "ord", "motif").unionByName(ten.select(F.lit(False).alias("is_five"), "ord", "motif"))
-    joined = slots.join(pools, ["is_five", "ord"])
-    parts = F.array_sort(F.collect_list(F.struct("place", "slot", "motif")))
-    return joined.groupBy("target_length", "a", "b", "draw").agg(F.array_join(F.transform(parts, lambda x: x["motif"]), "").alias("raw"))
+    sizes = {k: pool.count() for k, pool in pools.items()}
+    plans = [(f"{k}aa", t, n, [k] * n) for k, size in sizes.items() if size for t in targets for n in range(1, (t + tolerance) // k + 1) if abs(n * k - t) <= tolerance]
+    if sizes.get(5) and sizes.get(10):
+        plans += [(f"mixed_{a}x5aa_{b}x10aa", t, a + b, [5] * a + [10] * b) for t, found in slot_mixes(targets, tolerance).items() for a, b in found]
+    spark = next(iter(pools.values())).sparkSession
+    draws = spark.createDataFrame(plans, "motif_type string, target_length int, n_repeats int, kinds array<int>").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    key = ["motif_type", "target_length", "n_repeats", "draw"]
+    slots = draws.select(*key, F.posexplode("kinds").alias("slot", "kind"))
+    own = [F.col(c) for c in (*key, "slot")]
+    of = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, n)))
+    slots = slots.withColumns({"place": uniform(*own, F.lit("place"), seed=seed), "ord": F.floor(uniform(*own, F.lit("ord"), seed=seed) * F.element_at(of, F.col("kind"))).cast("long")})
+    all_ = reduce(DataFrame.unionByName, [pool.select(F.lit(k).alias("kind"), "ord", "motif") for k, pool in pools.items()])
+    parts = F.array_sort(F.collect_list(F.struct("place", "slot", "motif")))  # as many as a target has room for
+    return slots.join(all_, ["kind", "ord"]).groupBy(*key).agg(F.array_join(F.transform(parts, lambda x: x["motif"]), "").alias("raw"))

@@ -128,14 +128,30 @@ def repeat_counts(spark, sf_dir):
     return expansion.repeats(motifs, "motif", (25, 50)).select("motif", "target_length", "n_repeats")
 
 
-@query("x14_recombined_motifs")
-def recombined(spark, sf_dir):
+def _recombined(spark, sf_dir):
     from helixframe.operators.relational import numbered
 
     base = proteins(spark, sf_dir)
     pool = lambda first, n: numbered(base.select(F.concat(F.substring("seq", first, n), F.lit("+")).alias("motif")).distinct(), ["motif"])
-    five, ten = pool(1, 5), pool(11, 10)
-    return expansion.mixes(five, ten, (25, 50), 3, 10)
+    return expansion.recombined({4: pool(30, 4), 5: pool(1, 5), 10: pool(11, 10)}, (25, 50), 3, 10)
+
+
+@query("x14_recombined_motifs")
+def recombined(spark, sf_dir):
+    """Recombined motifs of all four categories, in seven versions, within a cap."""
+    rows = _recombined(spark, sf_dir).withColumn("key", F.concat_ws("|", "motif_type", "target_length", "n_repeats", "draw"))
+    patches = [a + b for a in "GAVIL" for b in "GAVIL"]
+    done = expansion.triplicated(rows, "key", "raw", patches).withColumn("actual_length", F.length("sequence"))
+    return done.filter("actual_length <= 60").drop("key")
+
+
+@query("x14_recombination_lengths", f"""WITH {PROTEINS}, t(target) AS (VALUES (25), (50)), alone AS (SELECT k || 'aa' AS motif_type, target, n, n * k AS residues FROM t, (VALUES (4), (5), (10)) kinds(k), range(1, 20) r(n)),
+mixed AS (SELECT 'mixed_' || a || 'x5aa_' || b || 'x10aa', target, a + b, 5 * a + 10 * b FROM t, range(1, 12) x(a), range(1, 12) y(b)), plans AS (SELECT * FROM alone UNION ALL SELECT * FROM mixed)
+SELECT motif_type, CAST(target AS INTEGER) AS target_length, CAST(n AS INTEGER) AS n_repeats, CAST(residues AS INTEGER) AS residues, 10::BIGINT AS draws FROM plans WHERE abs(residues - target) <= 3 AND (SELECT count(*) FROM proteins) > 0""")
+def recombination_lengths(spark, sf_dir):
+    """How many draws of each plan have how many residues."""
+    n = F.length(F.replace("raw", F.lit("+"), F.lit(""))).alias("residues")
+    return _recombined(spark, sf_dir).groupBy("motif_type", "target_length", "n_repeats", n).agg(F.count("*").alias("draws"))
 
 
 @query("x29_split_and_oversample")
@@ -181,13 +197,21 @@ def windows(spark, sf_dir):
     return got.select("read_id", "strand", "status", "window")
 
 
-@query("d23_k14_alignment_blocks")
+@query("d23_k14_w11_alignment_blocks")
 def blocks(spark, sf_dir):
     """Edit alignments of the two halves of each read, as text blocks."""
     halves = reads(spark, sf_dir).select("read_id", F.substring("seq", 1, 24).alias("a"), F.substring("seq", 3, 24).alias("b"))
     return fuzzy.alignment_blocks(fuzzy.aligned(halves, "a", "b"), 10).select("read_id", "distance", "block", "line_top", "line_marks", "line_bottom", "end_top", "end_bottom")
 
 
+@query("d23_edit_distances", f"WITH {SUBSTITUTED} SELECT read_id, CAST(levenshtein(substr(seq, 1, 40), substr(seq, 3 + read_id % 5, 40)) AS INTEGER) AS distance FROM substituted")
+def edit_distances(spark, sf_dir):
+    """Edit distances between stretches of each read that overlap."""
+    s = F.col("seq")
+    pairs = substituted(spark, sf_dir).select("read_id", F.substring(s, 1, 40).alias("a"), F.substr(s, (3 + F.col("read_id") % 5).cast("int"), F.lit(40)).alias("b"))
+    return fuzzy.aligned(pairs, "a", "b").select("read_id", "distance")
+
+
 @query("d25_rescued_reads")
 def rescued(spark, sf_dir):
     k = F.col("read_id")
@@ -244,10 +268,15 @@ def contacts(spark, sf_dir):
     return trajectory.contacts(beads(spark, sf_dir), BOX, 0.7)
 
 
-@query("g43_chain_clusters")
+@query("g43_chain_clusters", f"""WITH RECURSIVE {_BEADS}, pairs AS (SELECT p.frame, p.chain AS a, q.chain AS b, count(*) AS n FROM beads p JOIN beads q ON p.frame = q.frame AND p.chain < q.chain WHERE {_SQUARE} <= 0.7 * 0.7 GROUP BY 1, 2, 3),
+t(threshold) AS (VALUES (1), (5), (10)), edges AS (SELECT threshold, frame, a, b FROM pairs, t WHERE n >= threshold UNION SELECT threshold, frame, b, a FROM pairs, t WHERE n >= threshold),
+reach AS (SELECT threshold, frame, chain, chain AS other FROM t, (SELECT DISTINCT frame, chain FROM beads) UNION SELECT r.threshold, r.frame, r.chain, e.b FROM reach r JOIN edges e ON r.threshold = e.threshold AND r.frame = e.frame AND r.other = e.a),
+sizes AS (SELECT threshold, frame, c, count(*) AS size FROM (SELECT threshold, frame, chain, min(other) AS c FROM reach GROUP BY 1, 2, 3) GROUP BY 1, 2, 3)
+SELECT CAST(threshold AS INTEGER) AS threshold, frame, count(*) AS clusters, max(size) AS largest, round(coalesce(sum(size) FILTER (size > 1), 0) / sum(size), 9) AS bound_share, round(sum(size * size) / sum(size), 9) AS mean_size FROM sizes GROUP BY 1, 2""")
 def chain_clusters(spark, sf_dir):
     rows = beads(spark, sf_dir)
-    return trajectory.chain_clusters(trajectory.contacts(rows, BOX, 0.7), rows.select("frame", "chain").distinct())
+    got = trajectory.chain_clusters(trajectory.contacts(rows, BOX, 0.7), rows.select("frame", "chain").distinct())
+    return got.withColumns({"bound_share": r9("bound_share"), "mean_size": r9("mean_size")})
 
 
 
@@ -311,7 +340,7 @@ def combinations(spark, sf_dir):
     return proteins(spark, sf_dir).select("protein_id", expansion.combinations(s, r).alias("conservative"), expansion.combinations(s, r, "random").alias("random"))
 
 
-@query("q22_model_predictions")
+@query("q22_model_predictions", f"WITH {PROTEINS} SELECT protein_id, round((length(seq) - length(replace(seq, 'A', ''))) / length(seq), 9) AS alanine FROM proteins")
 def predictions(spark, sf_dir):
     """A stand-in model over tokens: the adapter's shape, with the share of alanine."""
     from helixframe.operators import models

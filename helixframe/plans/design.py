@@ -39,15 +39,14 @@ def best(spark, sf_dir, objective=None, kind=codons.safe, by_size=True):
     return codons.best_codons(columns(spark, sf_dir), kind(codons.codon_table(spark)), codons.direct() if objective is None else objective, ["sample", "pos"], by_size)
 
 
-@query("d10_d12_j12_codon_table", f"WITH {CODONS}, used AS (SELECT DISTINCT event_type FROM events) SELECT event_type, CASE WHEN stops = total THEN 'only stops' WHEN stops > 0 THEN 'some stops' ELSE 'safe' END AS kind, count(*) AS n, CAST(sum(size) AS BIGINT) AS sizes, CAST(sum(mask) AS BIGINT) AS masks FROM used, codons GROUP BY 1, 2")
+@query("d10_d12_j12_codon_table", f"WITH {COLUMNS}, {CODONS} SELECT sample, pos, CASE WHEN stops = total THEN 'only stops' WHEN stops > 0 THEN 'some stops' ELSE 'safe' END AS kind, count(*) AS n, CAST(sum(size) AS BIGINT) AS sizes, CAST(sum({_HIT}) AS BIGINT) AS hits, count(*) FILTER ({_HIT} = n_observed) AS complete FROM observed, codons GROUP BY 1, 2, 3")
 def codon_kinds(spark, sf_dir):
-    """Sizes of the search spaces, for each design group in the data."""
-    from helixframe.plans.core import table
-
+    """For each column and kind of codon: how many there are, how many residues they encode, how many of these are observed, and how many codons encode all observed ones."""
     t = codons.codon_table(spark)
     kind = F.when(F.col("stops") == F.col("total"), "only stops").when(F.col("stops") > 0, "some stops").otherwise("safe")
-    groups = table(spark, sf_dir, "events").select("event_type").distinct()
-    return groups.crossJoin(F.broadcast(t)).groupBy("event_type", kind.alias("kind")).agg(F.count("*").alias("n"), F.sum("size").alias("sizes"), F.sum("mask").alias("masks"))
+    hit = F.bit_count(F.col("observed").bitwiseAND(F.col("mask")))
+    both = columns(spark, sf_dir).crossJoin(F.broadcast(t))  # a table of constant size
+    return both.groupBy("sample", "pos", kind.alias("kind")).agg(F.count("*").alias("n"), F.sum("size").alias("sizes"), F.sum(hit).alias("hits"), F.count_if(hit == F.bit_count("observed")).alias("complete"))
 
 
 @query("x17_j6_direct_codons", f"WITH {best_sql(_DIRECT, 'stops = 0')} SELECT sample, pos, codon, size, round(objective, 9) AS objective FROM best")

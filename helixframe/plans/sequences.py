@@ -79,7 +79,7 @@ _PHRED = "list_transform(string_split(qual, ''), lambda c: ascii(c) - 33)"
 
 
 @query(
-    "d14_d16_read_stats",
+    "d14_d16_w6_read_stats",
     f"""WITH {READS}, p AS (SELECT *, {_PHRED} AS scores FROM reads)
 SELECT read_id, {count_sql('A')} AS a_count, {count_sql('C')} AS c_count, {count_sql('G')} AS g_count, {count_sql('T')} AS t_count, {count_sql('N')} AS n_count,
 round(100.0 * {count_sql('GC')} / length(seq), 9) AS gc_pct, CAST(list_sum(scores) AS BIGINT) AS quality_sum, round(list_sum(scores) / len(scores), 9) AS mean_quality,

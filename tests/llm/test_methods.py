@@ -326,6 +326,20 @@ def test_shards_are_balanced_and_gapless(spark, sf_dir, texts):
     assert load.max() - load.min() <= biggest
 
 
+def test_blocks_are_as_even_as_the_whole_schedule(spark):
+    """5,000 groups of very different sizes: nearly as even as the heap over all of them."""
+    r = random.Random(3)
+    texts = ["t%d " % k + "x" * int(r.paretovariate(1.2) * 20) for k in range(5000)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = sharding.shard(docs, blocks=20).toPandas()
+    where = sharding.longest_first([(len(t) + 8, k) for k, t in enumerate(texts)], 24)
+    ideal = Counter()
+    for k, shard in where.items():
+        ideal[shard] += len(texts[k]) + 8
+    load = got.groupby("shard")["size"].sum()
+    assert load.min() >= 0.98 * min(ideal.values()) and sorted(load)[-2] <= 1.01 * sorted(ideal.values())[-2] and load.max() == max(ideal.values())
+
+
 def test_longest_first_is_the_textbook_schedule():
     assert sharding.longest_first([(7, "a"), (6, "b"), (5, "c"), (4, "d"), (3, "e")], 2) == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 0}
 

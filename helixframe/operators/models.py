@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_TOKENS = 602
+FEW_NEUTRAL = 18
 
 
 def tokens(seq: Column, most: int = MOST_TOKENS) -> Column:
@@ -65,12 +66,14 @@ def _delta(sign: np.ndarray) -> float:
 def _most_segregated(p: int, m: int, rest: int) -> float:
     """The greatest asymmetry of p positive, m negative and the other residues: charges in two runs, the others in front, between and behind.
 
-    Beyond six of them in front or behind nothing changes, as no blob is longer.
+    All orders are searched where the others are fewer than FEW_NEUTRAL or one sign
+    is missing; else, as the published implementation has it, up to six of them in
+    front and behind.
     """
-    most = 0.0
-    for a in range(min(rest, 6) + 1):
-        for b in range(min(rest - a, 6) + 1):
-            order = np.concatenate([np.zeros(a), np.ones(p), np.zeros(rest - a - b), -np.ones(m), np.zeros(b)])
+    most, bound = 0.0, rest if rest < FEW_NEUTRAL or not p or not m else 6
+    for a in range(bound + 1):
+        for b in range(min(rest - a, bound) + 1 if p and m else 1):
+            order = np.concatenate([np.zeros(a), np.ones(p), np.zeros(rest - a - b if p and m else 0), -np.ones(m), np.zeros(b if p and m else rest - a)])
             most = max(most, _delta(order))
     return most
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import dna
 from helixframe.operators import clusters, expansion, fuzzy, trajectory
 from helixframe.plans.core import PROTEINS, READS, SUBSTITUTED, proteins, query, r9, reads, substituted, table
+from helixframe.plans.sequences import _TAG
 
 _HAPS = f"{SUBSTITUTED}, haps AS (SELECT sample, seq AS hap, count(*) AS n FROM substituted GROUP BY 1, 2)"
 CENTRES = ("ACGT" * 16, "T" * 64, "GGGCCC" * 10 + "ACTG")
@@ -64,7 +65,14 @@ def components(spark, sf_dir):
     return clusters.projected(rows, features, axes).select("l_orderkey", "l_linenumber", *(F.round(f"pc{k}", 6).alias(f"pc{k}") for k in (1, 2, 3)))
 
 
-@query("j9_without_overlaps")
+_SPAN = "least(k.e, x[1].e) - greatest(k.s, x[1].s) + 1 >= 0.5 * least(k.e - k.s + 1, x[1].e - x[1].s + 1)"
+
+
+@query("j9_without_overlaps", f"""WITH {PROTEINS}, f AS (SELECT protein_id, first AS start, n AS len, substr(p.seq, CAST(first AS INTEGER), CAST(n AS INTEGER)) AS seq FROM proteins p, unnest([20, 30]) AS l(n), unnest(range(1, 64 - n + 2)) AS t(first)),
+scored AS (SELECT protein_id, CAST(start AS INTEGER) AS s, CAST(start + len - 1 AS INTEGER) AS e, round({_TAG}, 9) AS score FROM f),
+ranked AS (SELECT protein_id, list([{{'s': s, 'e': e, 'score': score}}] ORDER BY score DESC, s, e) AS c FROM scored GROUP BY 1),
+kept AS (SELECT protein_id, unnest(list_reduce(c, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: {_SPAN})) = 0 THEN list_concat(acc, x) ELSE acc END)) AS k FROM ranked)
+SELECT protein_id, k.s AS start, k.e AS "end", k.score AS score FROM kept""")
 def overlaps(spark, sf_dir):
     """Fragments of each protein by score, without those half covered by a better one."""
     frags = expansion.scored_fragments(proteins(spark, sf_dir).select("protein_id", "seq"), "seq", (20, 30))

@@ -251,10 +251,20 @@ def properties(spark, sf_dir):
     )
 
 
-@query("q6_isoelectric_point")
+_IONISABLE = ", ".join(f"{count_sql(r)} AS n_{r}" for r in "DECYHKR")
+_AT_MID = (
+    f"1 / (1 + 10 ** (mid - {PKA['N_TERM']})) - 1 / (1 + 10 ** ({PKA['C_TERM']} - mid))"
+    + "".join(f" - n_{r} / (1 + 10 ** ({PKA[r]} - mid))" for r in "DECY")
+    + "".join(f" + n_{r} / (1 + 10 ** (mid - {PKA[r]}))" for r in "HKR")
+)
+
+
+@query("q6_isoelectric_point", f"""WITH RECURSIVE {PROTEINS}, c AS (SELECT protein_id, {_IONISABLE} FROM proteins), b(protein_id, lo, hi, step) AS (SELECT protein_id, 0::DOUBLE, 14::DOUBLE, 0 FROM c
+UNION ALL SELECT protein_id, CASE WHEN {_AT_MID} > 0 THEN mid ELSE lo END, CASE WHEN {_AT_MID} > 0 THEN hi ELSE mid END, step + 1 FROM (SELECT b.*, (lo + hi) / 2 AS mid FROM b WHERE step < 40) JOIN c USING (protein_id))
+SELECT protein_id, round((lo + hi) / 2, 6) AS isoelectric_point FROM b WHERE step = 40""")
 def isoelectric(spark, sf_dir):
-    """The pH of no charge, with the charge that is left there."""
-    return proteins(spark, sf_dir).select("protein_id", r9(protein.isoelectric_point(F.col("seq"))).alias("isoelectric_point"))
+    """The pH of no charge."""
+    return proteins(spark, sf_dir).select("protein_id", F.round(protein.isoelectric_point(F.col("seq")), 6).alias("isoelectric_point"))
 
 
 @query("q1_f7_invalid_sequences", f"""WITH {PROTEINS}, s AS (SELECT protein_id, CASE WHEN protein_id % 5 = 0 THEN replace(seq, 'A', 'B') WHEN protein_id % 7 = 0 THEN 'a' ELSE seq END AS seq FROM proteins)

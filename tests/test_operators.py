@@ -456,3 +456,38 @@ def test_oversampled_buckets_have_upper_bounds(spark):
     for r in got:
         train = len({x.id for x in got if x.bucket == r.bucket and x.part == "train"})
         assert r.copies == (round(max(whole.values()) / train) if r.part == "train" and r.bucket in range(10) else 1)
+
+
+def test_most_segregated_order_equals_the_full_search():
+    r = random.Random(2)
+    for k in range(30):
+        p, m, rest = r.randint(1, 9), r.randint(1, 9), r.randint(4, 17)
+        if k > 25:
+            p, m, rest = (p, 0, rest + 20) if k % 2 else (0, m, rest + 20)
+        full = max(models._delta(np.concatenate([np.zeros(a), np.ones(p), np.zeros(rest - a - b), -np.ones(m), np.zeros(b)])) for a in range(rest + 1) for b in range(rest - a + 1))
+        assert models._most_segregated(p, m, rest) == pytest.approx(full, abs=1e-12)
+
+
+def test_recombined_strings(spark):
+    pool = lambda k: spark.createDataFrame([(i, c * k + "+") for i, c in enumerate("ACDE")], "ord long, motif string")
+    got = expansion.recombined({4: pool(4), 5: pool(5), 10: pool(10)}, [25, 50], 3, 4).collect()
+    assert {r.motif_type for r in got if r.target_length == 25} == {"4aa", "5aa", "mixed_3x5aa_1x10aa", "mixed_1x5aa_2x10aa"}
+    for r in got:
+        parts = r.raw.split("+")[:-1]
+        assert len(parts) == r.n_repeats and abs(sum(map(len, parts)) - r.target_length) <= 3
+        if r.motif_type.startswith("mixed"):
+            assert sorted(map(len, parts)) == [5] * int(r.motif_type[6:].split("x")[0]) + [10] * int(r.motif_type.split("_")[2].split("x")[0])
+    assert len({r.raw for r in got}) > len(got) / 2
+    assert {len(r.raw.split("+")) for r in expansion.recombined({5: pool(5), 10: pool(10).limit(0)}, [25], 3, 2).collect()} == {6}
+
+
+def test_csv_first_lines(spark, tmp_path):
+    for k, body in enumerate(("# a\n#b\nid,kind\n#1,x\n2,y\nid,kind\n", "id,kind\n3,z\n", "4,no header\n")):
+        write(tmp_path, f"{k}.csv", body)
+    path = str(tmp_path)
+    assert sorted(tuple(r) for r in text.read_csv(spark, path, "leading").collect()) == [("#1", "x"), ("2", "y"), ("3", "z"), ("4", "no header"), ("id", "kind")]
+    assert sorted(tuple(r) for r in text.read_csv(spark, path, header="id,kind").collect()) == [("2", "y"), ("3", "z"), ("4", "no header"), ("id", "kind")]
+    quoted = tmp_path / "quoted"
+    quoted.mkdir()
+    write(quoted, "a.csv", '# made\nid,note\n1,"two\nlines"\n2,"a ""b"""\n')
+    assert [tuple(r) for r in text.read_csv(spark, str(quoted), multi_line=True).collect()] == [("1", "two\nlines"), ("2", 'a "b"')]

@@ -17,8 +17,8 @@ other. Equal payloads give equal files.
 
 Defined results of `media`: a null text counts as empty, and an empty text is
 one row of zeros; equal rows have equal files; an empty table gives an empty
-result; other columns are not read. A long text takes a multiple of its size in
-memory, as an image is read back whole.
+result; other columns are not read. Files have a bounded size, so that a long
+text takes little more memory than it has bytes.
 """
 
 from __future__ import annotations
@@ -541,7 +541,8 @@ def _said(lengths: tuple[int, ...]) -> tuple[int, int]:
     return w.value()
 
 
-MOST_SAMPLES = 64 * 16384 * 200  # of one file
+MOST_SAMPLES = 64 * 16384  # of one file: as many rows as the format has; reading it back takes some 50 bytes for each of its bytes
+FARTHEST = (1 << 20) - 120  # back-reference
 OWN_CODE_SAVES = 0.2  # of the bits: reading under a code of its own takes longer
 OWN_BITS = 11  # of the longest code in it
 CACHE_BITS = 8
@@ -600,7 +601,7 @@ def _repeats(raw: np.ndarray) -> list[tuple[int, int, int]]:
     out, end = [], 0
     for to, source in sorted(zip(order[again + 1].tolist(), order[again].tolist(), strict=True)):
         at, back = to * BLOCK, (to - source) * BLOCK
-        if at < end:
+        if at < end or back > FARTHEST:
             continue
         span = min(MOST, len(raw) - at)
         differ = raw[at : at + span] != raw[at - back : at - back + span]
@@ -682,17 +683,15 @@ def _cache_hits(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode(payload: bytes) -> bytes:
-    """Lossless WebP whose samples are the payload, and zeros beyond it; several files where it is longer than MOST_SAMPLES."""
+    """Lossless WebP whose samples are the payload; several files where it is longer than MOST_SAMPLES."""
     if not payload or len(payload) % 64:
         raise ValueError("a payload needs a positive multiple of 64 bytes")
     return b"".join(_encoded(payload[k : k + MOST_SAMPLES]) for k in range(0, len(payload), MOST_SAMPLES))
 
 
 def _encoded(payload: bytes) -> bytes:
-    rows = len(payload) // 64
-    wide = -(-rows // 16384)
-    width, height = 64 * wide, -(-rows // wide)
-    raw = np.frombuffer(payload + bytes(width * height - len(payload)), np.uint8)
+    width, height = 64, len(payload) // 64
+    raw = np.frombuffer(payload, np.uint8)
     image = raw.reshape(height, width)
     w = Writer()
     counts = np.bincount(raw, minlength=256)
@@ -712,7 +711,7 @@ def _encoded(payload: bytes) -> bytes:
     bits = {"shared": float(counts[values] @ np.array(_shared())[values]), "own": _entropy(counts) / (1 - OWN_CODE_SAVES)}
     bits |= {k: _entropy(np.bincount(x.ravel(), minlength=256)) / (1 - OWN_CODE_SAVES) for k, x in (("left", left), ("up", up))}
     pixels = raw.view("<u4")
-    if wide == 1 and 2 * len(np.unique(pixels)) < len(pixels):
+    if 2 * len(np.unique(pixels)) < len(pixels):
         hit, slot = _cache_hits(pixels)
         missed = _bytes_of(pixels[~hit])
         bits["cache"] = (sum(_entropy(np.bincount(missed[:, k], minlength=256)) for k in range(4)) + _entropy(np.bincount(slot[hit])) + len(pixels) * 0.9) / (1 - OWN_CODE_SAVES)

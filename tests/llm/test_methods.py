@@ -682,6 +682,13 @@ def test_files_equal_an_independent_reader(texts):
     assert seen == {"predictor", "subtract-green", "palette", "colour-cache"}
 
 
+def test_repeats_beyond_the_farthest_reference():
+    r = np.random.default_rng(5)
+    block = r.integers(97, 123, 4096, dtype=np.uint8).tobytes()
+    payload = block + r.integers(97, 123, (1 << 20) - 8192, dtype=np.uint8).tobytes() + block + b"a" * 64
+    assert webp.samples(webp.encode(payload)).tobytes() == payload
+
+
 def test_long_payloads_are_several_files(monkeypatch):
     monkeypatch.setattr(webp, "MOST_SAMPLES", 640)
     payload = webp.payload_of(bytes(range(200)) * 11)

@@ -13,7 +13,7 @@ halves of about `CACHE` words. The ids depend on the text alone.
 Defined results: a null text counts as empty and has no tokens; the special
 token's string in a text is the special token, as the tokenizers library has
 it; equal rows have equal results; an empty table gives an empty result; other
-columns are not read.
+columns are not read. A long text is worked on in pieces that end between words.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from helixframe.llm.common import table
 
 CACHE = 200_000
 SHORT = 32
-SLICE = 2_000_000
+SLICE = 1_000_000  # characters or ids that are worked on at once
 _NONE = np.iinfo(np.int32).max
 
 # White space as the published pattern has it (Unicode's White_Space).
@@ -238,8 +238,26 @@ class Tokenizer:
         get = self.cache.__getitem__
         return [b"".join(map(get, chunks)) for chunks in split]
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join([self.bytes[i] for i in ids]).decode("utf-8", "replace")
+    def pieces(self, text: str, most: int) -> Iterator[str]:
+        """The text cut, after some `most` characters, before a space behind anything but white space: no word or special token spans it."""
+        at = 0
+        while len(text) - at > most and not any(" " in s for s in self.special):
+            to = text.rfind(" ", at + 1, at + most)
+            while to > at and text[to - 1].isspace():
+                to = text.rfind(" ", at + 1, to)
+            if to <= at:
+                to = text.find(" ", at + most)
+                while to > 0 and text[to - 1].isspace():
+                    to = text.find(" ", to + 1)
+            if to <= at:
+                break
+            yield text[at:to]
+            at = to
+        yield text[at:]
+
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        parts = (ids[k : k + SLICE] for k in range(0, len(ids), SLICE))
+        return b"".join([b"".join([self.bytes[i] for i in (p.tolist() if isinstance(p, np.ndarray) else p)]) for p in parts]).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -264,7 +282,8 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             for rows in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(size // SLICE)) + 1):
                 if len(rows):
                     part = batch.slice(rows[0], len(rows))
-                    ids = own.encode([t or "" for t in part.column("text").to_pylist()])
+                    texts = [t or "" for t in part.column("text").to_pylist()]
+                    ids = own.encode(texts) if len(texts) > 1 else [b"".join(own.encode([p])[0] for p in own.pieces(texts[0], SLICE))]
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(ids)], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -278,7 +297,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         own = tokenizer(path)
         for batch in batches:
             ids = batch.column("ids")
-            texts = [own.decode(ids[k].values.to_numpy().tolist() if ids[k].is_valid else []) for k in range(len(ids))]  # row by row: lists of integers take ten times their room
+            texts = [own.decode(ids[k].values.to_numpy() if ids[k].is_valid else []) for k in range(len(ids))]  # row by row: lists of integers take ten times their room
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))

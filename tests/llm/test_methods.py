@@ -252,6 +252,8 @@ def test_bpe_equals_the_library(spark, sf_dir, texts):
         ids = np.frombuffer(got, np.int32).tolist()
         assert ids == want.ids
         assert own.decode(ids) == theirs.decode(want.ids, skip_special_tokens=False)
+    for text, want in zip(some, theirs.encode_batch(some, add_special_tokens=False), strict=True):  # in pieces of a few characters
+        assert np.frombuffer(b"".join(own.encode([p])[0] for p in own.pieces(text, 20)), np.int32).tolist() == want.ids
     row = bpe.op4_bpe_round_trip(spark, sf_dir).filter("doc_id = 3").first()
     ids = theirs.encode(texts[3], add_special_tokens=False).ids
     assert (row.n_tokens, row.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())

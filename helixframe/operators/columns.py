@@ -63,16 +63,21 @@ def safe_name(c: Column) -> Column:
     return F.coalesce(F.nullif(safe, F.lit("")), F.lit("property"))
 
 
+def fixed(c: Column, digits: int) -> Column:
+    """A number with so many decimals; the exact value decides, and a tie goes to the even digit."""
+    return F.call_function("format_number", c.cast("double"), F.lit("0." + "0" * digits))
+
+
 def short_number(c: Column) -> Column:
     """1234567 as 1.23M: two decimals for billions and millions, one for thousands."""
     n = c.cast("double")
-    parts = ((1e9, "%.2fB"), (1e6, "%.2fM"), (1e3, "%.1fK"))
+    parts = ((1e9, 2, "B"), (1e6, 2, "M"), (1e3, 1, "K"))
     out = c.cast("long").cast("string")
-    for least, form in reversed(parts):
-        out = F.when(n >= least, F.format_string(form, n / least)).otherwise(out)
+    for least, digits, unit in reversed(parts):
+        out = F.when(n >= least, F.concat(fixed(n / least, digits), F.lit(unit))).otherwise(out)
     return out
 
 
 def p_label(c: Column) -> Column:
     """A p-value as text: below 0.001 with an exponent."""
-    return F.when(c < 0.001, F.format_string("%.2e", c)).otherwise(F.format_string("%.3f", c))
+    return F.when(c < 0.001, F.format_string("%.2e", c)).otherwise(fixed(c, 3))

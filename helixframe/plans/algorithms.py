@@ -168,6 +168,13 @@ def split(spark, sf_dir):
     return clusters.oversampled(rows, "length").groupBy("bucket", "part").agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids"))
 
 
+@query("x29_length_buckets", """SELECT CASE WHEN length(text) > 1199 THEN 10 ELSE CAST(greatest(ceil((length(text) - 155) / 116.0), 0) AS INTEGER) END AS bucket, count(*) AS ids FROM documents GROUP BY 1""")
+def length_buckets(spark, sf_dir):
+    """How many rows each bucket holds, whatever their part and copies."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("length"))
+    return clusters.oversampled(rows, "length").filter("copy = 1").groupBy("bucket").agg(F.count("*").alias("ids"))
+
+
 @query("x27_proportion_sweep")
 def sweep(spark, sf_dir):
     """For each proportion: kept residues, designs, their space, and the share of aligned sequences they cover."""

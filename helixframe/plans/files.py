@@ -78,7 +78,7 @@ def counts(spark, sf_dir):
     return text.read_counts(spark, path)
 
 
-@query("s19_k6_position_table", f"WITH {CELLS} SELECT sample, pos, aa, round(round(100 * proportion * 10) / 10, 1) AS pct FROM profile WHERE sample = 'click' AND rank = 1")
+@query("s19_k6_position_table", f"WITH {CELLS} SELECT sample, pos, aa, CAST(printf('%.1f', 100 * proportion) AS DOUBLE) AS pct FROM profile WHERE sample = 'click' AND rank = 1")
 def positions(spark, sf_dir):
     """The position table of one sample, written and parsed back."""
     from helixframe.operators import profiles

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.operators.columns import fixed
 from helixframe.operators.relational import numbered, running_before
 
 
@@ -178,7 +179,7 @@ def read_position_table(spark: SparkSession, path: str) -> DataFrame:
 
 def write_position_table(profile: DataFrame, path: str) -> None:
     """The table that read_position_table reads, from a profile with ranks."""
-    said = F.transform(F.array_sort(F.collect_list(F.struct("rank", "aa", "proportion"))), lambda x: F.format_string("%s:%.1f%%", x["aa"], 100 * x["proportion"]))
+    said = F.transform(F.array_sort(F.collect_list(F.struct("rank", "aa", "proportion"))), lambda x: F.concat(x["aa"], F.lit(":"), fixed(100 * x["proportion"], 1), F.lit("%")))
     rows = profile.groupBy(F.col("pos").alias("position")).agg(F.max(F.when(F.col("rank") == 1, F.col("aa"))).alias("top_aa"), F.array_join(said, ", ").alias("proportion_breakdown"))
     rows.write.option("sep", "\t").option("header", True).csv(path)
 
@@ -293,9 +294,9 @@ def write_mutants(df: DataFrame, path: str, order: Sequence[str], sep: str = ","
 
 def write_annotated_table(profile: DataFrame, scores: DataFrame, path: str) -> None:
     """The table of write_position_table with score and z of each position (four decimals) and whether it is a hotspot; scores has pos, score, z, hotspot."""
-    said = F.transform(F.array_sort(F.collect_list(F.struct("rank", "aa", "proportion"))), lambda x: F.format_string("%s:%.2f%%", x["aa"], 100 * x["proportion"]))
+    said = F.transform(F.array_sort(F.collect_list(F.struct("rank", "aa", "proportion"))), lambda x: F.concat(x["aa"], F.lit(":"), fixed(100 * x["proportion"], 2), F.lit("%")))
     rows = profile.groupBy("pos").agg(F.max(F.when(F.col("rank") == 1, F.col("aa"))).alias("top_aa"), F.array_join(said, ",").alias("proportion_breakdown"))
-    four = lambda c: F.format_string("%.4f", F.col(c)).alias(c)
+    four = lambda c: fixed(F.col(c), 4).alias(c)
     rows.join(scores, "pos").select(F.col("pos").alias("position"), "top_aa", "proportion_breakdown", four("score"), four("z"), "hotspot").write.option("sep", "\t").option("header", True).csv(path)
 
 

@@ -51,14 +51,24 @@ def nearest(df: DataFrame, value: str, centres: Sequence[str], distance) -> Data
 
 
 def hamming_totals(df: DataFrame, seq: str, by: str | None = None) -> DataFrame:
-    """seq, total: the sum of Hamming distances to all sequences of the (group's) table, by counts of residues a position, without pairs."""
+    """seq, total: the sum of Hamming distances to all sequences of the (group's) table, by counts of residues a position, without pairs.
+
+    The counts of a group are one row, an array of small maps by position, so that
+    sequences are neither exploded nor moved to their counts.
+    """
     group = [by] if by else []
     cells = df.select(*group, F.posexplode(F.split(seq, "")).alias("pos", "c")).groupBy(*group, "pos", "c").agg(F.count("*").alias("same"))
-    size = df.groupBy(*group).agg(F.count("*").alias("m"))
-    own = df.select(*group, seq, F.posexplode(F.split(seq, "")).alias("pos", "c")).distinct()
-    joined = own.join(cells, [*group, "pos", "c"])
-    joined = joined.join(size, group) if group else joined.crossJoin(F.broadcast(size))
-    return joined.groupBy(*group, seq).agg(F.sum(F.col("m") - F.col("same")).alias("total"))
+    places = cells.groupBy(*group, "pos").agg(F.map_from_entries(F.collect_list(F.struct("c", "same"))).alias("same"))
+    in_order = F.array_sort(F.collect_list(F.struct("pos", "same")), lambda x, y: x["pos"] - y["pos"])
+    profile = places.groupBy(*group).agg(F.transform(in_order, lambda x: x["same"]).alias("__profile"))
+    size = df.groupBy(*group).agg(F.count("*").alias("__m"))
+    own = df.select(*group, seq).distinct()
+    if group:
+        joined = own.join(profile.join(size, group), group)
+    else:
+        joined = own.crossJoin(F.broadcast(profile)).crossJoin(F.broadcast(size))  # a row each
+    each = F.transform(F.split(seq, ""), lambda c, i: F.col("__m") - F.element_at(F.get("__profile", i), c))
+    return joined.select(*group, seq, F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
 def normal_key(c: Column, ignore_case: bool = True, ignore_space: bool = True) -> Column:

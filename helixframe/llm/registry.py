@@ -1,6 +1,6 @@
 """The queries of this package and their DuckDB oracles."""
 
-from helixframe.llm import bpe, licenses, line_dedup, near_dedup, packing, quality, secrets, sharding, simhash, webp
+from helixframe.llm import bpe, licenses, line_dedup, near_dedup, packing, quality, secrets, sharding, simhash, substring, webp
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_lpt_shards": sharding.op9_lpt_shards,
     "op10_simhash": simhash.op10_simhash,
+    "op13_relative_lz": substring.op13_relative_lz,
 }
-ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op6_license_digests": licenses.ORACLE}
+ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op6_license_digests": licenses.ORACLE, "op13_relative_lz": substring.ORACLE}

@@ -1,6 +1,6 @@
 """The queries of this package and their DuckDB oracles."""
 
-from helixframe.llm import bpe, licenses, line_dedup, near_dedup, packing, prefix_trie, quality, secrets, sharding, simhash, substring, webp
+from helixframe.llm import bpe, collocations, licenses, line_dedup, near_dedup, packing, prefix_trie, quality, secrets, sharding, simhash, substring, webp
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -14,11 +14,13 @@ QUERIES = {
     "op9_lpt_shards": sharding.op9_lpt_shards,
     "op10_simhash": simhash.op10_simhash,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_best_first_phrases": collocations.op12_best_first_phrases,
     "op13_relative_lz": substring.op13_relative_lz,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op6_license_digests": licenses.ORACLE,
     "op11_prefix_trie": prefix_trie.ORACLE,
+    "op12_best_first_phrases": collocations.ORACLE,
     "op13_relative_lz": substring.ORACLE,
 }

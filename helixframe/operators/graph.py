@@ -1,9 +1,10 @@
 """Connected components of a distributed edge list, by alternating large and small stars.
 
 Each step moves every node's larger neighbours to the least node it knows. Edges
-are dealt by node once for each star, over as many partitions as they need. The
-least neighbour of a node with very many edges, a hub, is found by aggregation
-and broadcast, as there are few hubs: its edges stay spread over all tasks. Each
+are dealt by node once for each star, over as many partitions as they need. In
+both stars the least neighbour of a node with very many edges, a hub, is found by
+aggregation and broadcast, as there are few hubs: its edges stay spread over all
+tasks. Each
 step's edges are written to the session's checkpoint folder, which cuts the
 lineage.
 """
@@ -35,25 +36,32 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-HUB = 1_000_000  # edges; an edge list has fewer hubs than millions of edges, times two
+HUB = 1_000_000  # edges of a node that one task takes
+HUBS = 100_000  # nodes that may have more
 
 
-def _with_least(pairs: DataFrame, tasks: int) -> DataFrame:
-    """(u, v, least): pairs with the least of u and all its v."""
-    return pairs.repartition(tasks, "u").withColumn("least", F.least(F.col("u"), F.min("v").over(Window.partitionBy("u"))))
+def _with_least(pairs: DataFrame, count: int, tasks: int) -> DataFrame:
+    """(u, v, least): pairs with the least of u and all its v. count: their number, or more.
+
+    A node of more than HUB pairs finds its least by aggregation, and its pairs stay where
+    they are; where all pairs are so many that there could be over HUBS such nodes, the
+    limit rises with them.
+    """
+    limit, least = max(HUB, -(-count // HUBS)), F.least(F.col("u"), F.min("v").over(Window.partitionBy("u")))
+    if count <= limit:
+        return pairs.repartition(tasks, "u").withColumn("least", least)
+    pairs = written(pairs, "star")
+    found = pairs.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("n")).filter(F.col("n") > limit)
+    hubs = written(found.select("u", F.least("u", "least").alias("least")), "hubs")  # at most count / limit rows
+    if hubs.isEmpty():
+        return pairs.repartition(tasks, "u").withColumn("least", least)
+    rest = pairs.join(F.broadcast(hubs.select("u")), "u", "left_anti").repartition(tasks, "u").withColumn("least", least)
+    return pairs.join(F.broadcast(hubs), "u").select("u", "v", "least").unionByName(rest)
 
 
 def _large_star(edges: DataFrame, count: int, tasks: int) -> DataFrame:
     """(u, v): each larger neighbour u of a node, and the least node v that the node knows."""
-    both = edges.union(edges.select("v", "u"))
-    found = []
-    if 2 * count > HUB:
-        hubs = written(both.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("n")).filter(F.col("n") > HUB).select("u", F.least("u", "least").alias("least")), "hubs")
-        if not hubs.isEmpty():
-            found.append(both.join(F.broadcast(hubs), "u").select("u", "v", "least"))
-            both = both.join(F.broadcast(hubs.select("u")), "u", "left_anti")
-    found.append(_with_least(both, tasks))
-    all_ = found[0].union(found[1]) if len(found) > 1 else found[0]
+    all_ = _with_least(edges.union(edges.select("v", "u")), 2 * count, tasks)
     return all_.filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v")
 
 
@@ -65,7 +73,7 @@ def connected_components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
     for _ in range(most_steps):
         count = edges.count()
         tasks = max(1, min(-(-count // 5_000), most_tasks), -(-count // 1_000_000))
-        least = _with_least(_large_star(edges, count, tasks), tasks)  # a large star's edges go from the larger node to the smaller one
+        least = _with_least(_large_star(edges, count, tasks), count, tasks)  # a large star's edges, one for each edge at most, go from the larger node to the smaller one
         small = least.select(F.col("v").alias("u"), F.col("least").alias("v")).union(least.select("u", F.col("least").alias("v"))).filter("u <> v")
         edges = written(small.repartition(tasks, "u").distinct(), "edges")
         # Settled once the edges are stars: each node has one edge down, and no node below has any.

@@ -39,7 +39,7 @@ def numbered_fasta(spark, sf_dir):
 def fastq(spark, sf_dir):
     path = place(spark, "fastq")
     text.write_fastq(reads(spark, sf_dir).select(F.concat("read_id", F.lit(" "), "sample").alias("read_id"), "seq", "qual"), path)
-    return text.read_fastq(spark, path).select("read_id", "seq", "qual")
+    return text.read_fastq(spark, path, numbered=False).select("read_id", "seq", "qual")
 
 
 @query("s8_sam_scan", f"WITH {READS} SELECT 'q' || read_id AS qname, CAST(read_id % 4096 AS INTEGER) AS flag, CAST(100 + read_id % 50 AS INTEGER) AS pos, CAST(read_id % 60 AS INTEGER) AS mapq, '64M' AS cigar, seq FROM reads WHERE read_id % 10 <> 3")

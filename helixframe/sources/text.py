@@ -6,13 +6,16 @@ where the format allows it, so that files split and no line numbers are needed.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.operators.columns import fixed
 from helixframe.operators.relational import numbered, running_before
+from helixframe.sources.fastq import FastqSource
 
 
 def read_fasta(spark: SparkSession, path: str, upper: bool = True, aligned: bool = False, strict: bool = True) -> DataFrame:
@@ -72,18 +75,21 @@ def write_numbered_fasta(df: DataFrame, path: str, order: Sequence[str], seq: st
     write_fasta(numbered(df, order), path, F.concat(F.lit(f"{prefix}_" if prefix else ""), label), F.col(seq))
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """read_id, seq, qual, ord of FASTQ text, in the order of files and lines.
+def read_fastq(spark: SparkSession, path: str, numbered: bool = True, range_bytes: int = 64 << 20) -> DataFrame:
+    """read_id, seq, qual of FASTQ text, and ord, the record's number in the order of files and lines; without `numbered`, file and at (its first byte) instead.
 
-    Lines are numbered in their order by range sums over the partitions; four of
-    them are one record, whatever a quality line begins with. Bad records raise.
+    The files are read in byte ranges, each of which finds its first record, whatever
+    a quality line begins with; no line is shuffled. Numbers need the ranges' counts, one
+    row each, and so a pass before. Bad records raise with their file and byte.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    rows = numbered(lines, ["file", "block", "at"], "line")
-    record = rows.groupBy(F.floor(F.col("line") / 4).alias("ord")).agg(*(F.max(F.when(F.pmod("line", F.lit(4)) == k, F.rtrim("value"))).alias(n) for k, n in enumerate(("head", "seq", "plus", "qual"))))
-    good = F.col("head").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("qual"))
-    checked = record.filter(F.when(F.coalesce(good, F.lit(False)), True).otherwise(F.raise_error(F.concat(F.lit("no read: record "), F.col("ord") + 1))))
-    return checked.select(F.substr("head", F.lit(2)).alias("read_id"), "seq", "qual", "ord")
+    spark.dataSource.register(FastqSource)
+    source = spark.read.format("fastq").option("rangeBytes", range_bytes)
+    rows = source.load(path)
+    if not numbered:
+        return rows.select("read_id", "seq", "qual", "file", "at")
+    counts = dict(rows.groupBy("range").count().collect())
+    firsts = list(accumulate((counts.get(k, 0) for k in range(max(counts, default=-1) + 1)), initial=0))
+    return source.option("firsts", json.dumps(firsts)).load(path).select("read_id", "seq", "qual", F.col("number").alias("ord"))
 
 
 def write_fastq(df: DataFrame, path: str) -> None:

@@ -1,5 +1,6 @@
 """Operators on hand-made tables."""
 
+import gzip
 import math
 import random
 from collections import Counter
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.tables import IUPAC
 from helixframe.operators import calling, clusters, columns, expansion, fuzzy, graph, models, profiles, relational, statistics, trajectory
-from helixframe.sources import text
+from helixframe.sources import fastq, text
 
 
 def test_islands(spark):
@@ -91,6 +92,19 @@ def test_components_with_hubs(spark, monkeypatch):
     assert got == {x: root(x) for x in up}
 
 
+def test_components_with_a_hub_at_the_largest_id(spark, monkeypatch):
+    """All edges lead down from one node, so that its edges meet in the small star."""
+    monkeypatch.setattr(graph, "HUB", 500)
+    edges = [(9999, k) for k in range(3000)] + [(9999, 3500), (4000, 4001)]
+    got = {x.node: x.component for x in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{k: 0 for k in range(3000)}, 3500: 0, 9999: 0, 4000: 4000, 4001: 4000}
+    pairs = spark.createDataFrame(edges, "u long, v long")
+    kept = graph._with_least(pairs, len(edges), 8)
+    assert kept.filter("u = 9999 and least <> 0").isEmpty() and kept.count() == len(edges)
+    dealt = kept.filter("u = 9999").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r[1] for r in dealt) < 2000  # not all in one task
+
+
 def test_directional_clusters(spark):
     counts = spark.createDataFrame([("x", "AAAA", 30), ("x", "AAAT", 5), ("x", "TTTT", 4), ("y", "AAAT", 5)], "g string, s string, n long")
     got = {(r.g, r.s): r.representative for r in clusters.directional(counts, "s", "n", ["g"]).collect()}
@@ -354,10 +368,38 @@ def test_fastq(spark, tmp_path):
     path = write(tmp_path, "a.fastq", "@r1 x\nACGT\n+\n@III\n@r2\nAC\n+r2\n+@\n")
     assert [tuple(r)[:3] for r in text.read_fastq(spark, path).orderBy("ord").collect()] == [("r1 x", "ACGT", "@III"), ("r2", "AC", "+@")]
     assert text.count_fastq(spark, path) == 2
+    assert text.read_fastq(spark, write(tmp_path, "none.fastq", "")).isEmpty()
     with pytest.raises(Exception, match="no read"):
         text.read_fastq(spark, write(tmp_path, "b.fastq", "@r1\nACGT\n+\nII\n")).collect()
 
 
+def test_fastq_in_ranges(spark, tmp_path):
+    """Equal rows for any range, also with qualities that begin with @ or +, empty reads, line ends of two bytes and a compressed file; bad records name their byte."""
+    r = random.Random(4)
+    reads = []
+    for k in range(300):
+        n = r.choice([0, 1, 1, 7, 40])
+        reads.append((f"r{k}", "".join(r.choices("ACGT", k=n)), "".join(r.choices("@+I#", k=n))))
+    body = "".join(f"@{a}{e}{b}{e}+{e}{c}{e}" for k, (a, b, c) in enumerate(reads) for e in ["\r\n" if k % 7 == 0 else "\n"])
+    (tmp_path / "in").mkdir()
+    write(tmp_path, "in/a.fastq", body)
+    with gzip.open(tmp_path / "in" / "b.fastq.gz", "wt", newline="") as f:
+        f.write(body)
+    want = [(*x, k) for k, x in enumerate(reads + reads)]
+    for size in (97, 1000, 1 << 20):
+        rows = text.read_fastq(spark, str(tmp_path / "in"), range_bytes=size)
+        assert "Exchange" not in rows._jdf.queryExecution().toString()
+        assert [tuple(x) for x in rows.orderBy("ord").collect()] == want
+    store = fastq.opened("/")[0]
+    starts = {at: k for k, (at, _) in enumerate(fastq.lines(store, str(tmp_path / "in" / "a.fastq"), 0))}
+    for at in range(len(body)):
+        first = fastq.first_record(store, str(tmp_path / "in" / "a.fastq"), at)
+        line = next((k for a, k in starts.items() if a >= at), None)
+        assert first == (None if line is None else -line % 4)
+    with pytest.raises(Exception, match=r"c.fastq, byte 14"):
+        text.read_fastq(spark, write(tmp_path, "c.fastq", "@r1\nACG\n+\nIII\n@r2\nAC\n+\n")).collect()
+
+
 def test_tolerant_csv(spark, tmp_path):
     path = write(tmp_path, "a.csv", "# made: by hand\nseq,n,,empty,,\nAC,1,,,\n  # note\nGT,2 # x,,,\n")
     assert [tuple(r) for r in text.read_csv(spark, path).collect()] == [("AC", "1"), ("GT", "2 # x")]

@@ -19,7 +19,7 @@ word on one side. A phrase goes if such an extension is as frequent (in percent:
 `PERCENT`); longer ones can't be more frequent than these.
 
 A phrase is known by a 64-bit key of its words and its language. Which keys are
-admitted or frequent reaches the tasks as a bitmap of fixed size; where two keys
+admitted or frequent reaches the tasks as a bitmap of bounded size; where two keys
 share a bit, more is counted than needed, and never less. Counts are summed up
 in tasks before they are shuffled. Scores are exact in decimals of 38 digits.
 
@@ -46,7 +46,7 @@ PERCENT = 100
 MOST = 5
 TOP = 2000
 SHARES = (1 / 8, 1.0)  # of a language's words that a round's rare words may make
-BITS = 26  # of a place in a bitmap: 8 MB
+BITS = 26  # of a place in a bitmap at the most: 8 MB
 FLUSH = 2_000_000  # keys that are summed up at once
 SALTS = 64
 
@@ -73,16 +73,17 @@ class Phrases:
 
 
 def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & np.uint64((1 << BITS) - 1)
+    at = keys & np.uint64(64 * len(bits) - 1)
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
 
 
 def bitmap(keys: DataFrame) -> np.ndarray:
-    """The bits of all keys; 2 ** (BITS - 6) words at most come to the driver."""
-    place = F.col("key").bitwiseAND((1 << BITS) - 1)
+    """The bits of all keys, which must be cheap to count: 16 or more a key, and 2 ** BITS at most, 64 a row, come to the driver."""
+    width = min(BITS, max(10, (16 * keys.count()).bit_length()))
+    place = F.col("key").bitwiseAND((1 << width) - 1)
     one = F.expr("shiftleft(1L, cast(place & 63 as int))")
     set_ = keys.select(place.alias("place")).select(F.shiftright("place", 6).alias("word"), one.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << BITS - 6, np.uint64)
+    out = np.zeros(1 << width - 6, np.uint64)
     out[set_.column("word").to_numpy()] = set_.column("bits").to_numpy().view(np.uint64)
     return out
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.dna import hamming
 from helixframe.operators.graph import written
-from helixframe.operators.relational import hamming_totals, nearest
+from helixframe.operators.relational import hamming_totals, nearest, small_side
 
 
 def _differences(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -27,32 +27,65 @@ def _differences(a: pa.Array, b: pa.Array) -> np.ndarray:
     return total[end] - total[end - size]
 
 
-def within_distance(df: DataFrame, seq: str, most: int, by: Sequence[str] = ()) -> DataFrame:
+CROWD = 512  # sequences of a bucket that are compared with each other
+
+
+def _parts(rows: DataFrame, group: Sequence[str], parts: int) -> DataFrame:
+    """group, varies, places: the positions (1-based) at which a group's sequences differ, dealt to parts of like information, each an array.
+
+    By falling entropy, forth and back over the parts; a position where all agree tells nothing and is in none.
+    """
+    each = rows.select(*group, F.posexplode(F.split("s", "")).alias("at", "c")).groupBy(*group, "at", "c").agg(F.count("*").alias("n"))
+    total = F.sum("n")
+    bits = each.groupBy(*group, "at").agg((F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total).alias("bits"), F.count("*").alias("kinds")).filter("kinds > 1")
+    turn = F.pmod(F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("bits"), "at")) - 1, F.lit(2 * parts))
+    dealt = bits.withColumn("part", F.when(turn < parts, turn).otherwise(2 * parts - 1 - turn))
+    places = F.array(*(F.sort_array(F.collect_list(F.when(F.col("part") == p, F.col("at") + 1))) for p in range(parts)))
+    return dealt.groupBy(*group).agg(F.count("*").alias("varies"), places.alias("places"))
+
+
+def within_distance(df: DataFrame, seq: str, most: int, by: Sequence[str] = (), crowd: int = CROWD) -> DataFrame:
     """(by, a, b) a < b: pairs of distinct sequences of one length within a Hamming distance.
 
-    Sequences are cut into most + 2 parts: a pair within the distance agrees on two
-    of them, and is given by the first two such parts only.
+    The positions at which the sequences of a length differ are dealt to most + 2
+    parts of like information; a pair within the distance agrees on two of them, and
+    meets in the bucket of these two. What a constant frame holds is in no part. A
+    bucket of more than `crowd` sequences is cut anew, by the positions at which its own
+    sequences differ, and so on until its buckets are small or so few positions are
+    left that most of its pairs are near.
     """
     parts = most + 2
-    begin = lambda c, k: F.floor(F.length(c) * k / parts).cast("int")
-    part = lambda c, k: F.substr(c, begin(c, k) + 1, begin(c, k + 1) - begin(c, k))
     two = list(combinations(range(parts), 2))
-    pieces = F.explode(F.array(*(F.struct(F.lit(t).alias("part"), F.concat(part(F.col("s"), i), part(F.col("s"), j)).alias("piece")) for t, (i, j) in enumerate(two)))).alias("p")
-    keys = df.select(*by, F.col(seq).alias("s")).distinct().select(*by, "s", F.length("s").alias("len"), pieces).select(*by, "s", "len", "p.*")
-    on = [*by, "part", "len", "piece"]
-    # A given number of partitions: the join yields more rows than its small input would make Spark expect.
-    keys = keys.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *on)
-    pairs = keys.withColumnRenamed("s", "a").join(keys.withColumnRenamed("s", "b"), on).filter("a < b")
-    equal = [part(F.col("a"), k) == part(F.col("b"), k) for k in range(parts)]
-    first = F.coalesce(*(F.when(equal[i] & equal[j], F.lit(t)) for t, (i, j) in enumerate(two)))
-    candidates = pairs.filter(first == F.col("part")).select(*by, "a", "b")
+    group = [*by, "len", "path"]
+    rows = df.select(*by, F.col(seq).alias("s")).distinct().select(*by, "s", F.length("s").alias("len"), F.lit(0).cast("long").alias("path"))
+    rows = written(rows, "sequences")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(_differences(batch.column("a"), batch.column("b")) <= most))
 
-    return candidates.mapInArrow(near, candidates.schema)
+    def compared(some: DataFrame) -> DataFrame:
+        # A given number of partitions: the join yields more rows than its small input would make Spark expect.
+        dealt = some.select(*group, "s").repartition(tasks, *group)
+        pairs = dealt.withColumnRenamed("s", "a").join(dealt.withColumnRenamed("s", "b"), group).filter("a < b").select(*by, "a", "b")
+        return pairs.mapInArrow(near, pairs.schema)
+
+    found = None
+    while True:
+        placed = rows.join(small_side(written(_parts(rows, group, parts), "positions")), group)
+        own = [F.array_join(F.transform(F.get("places", F.lit(p)), lambda at: F.substr(F.col("s"), at, F.lit(1))), "") for p in range(parts)]
+        wide = placed.filter(F.col("varies") >= parts).select(*group, "s", *(k.alias(f"k{p}") for p, k in enumerate(own)))
+        keys = F.explode(F.array(*(F.xxhash64("path", F.lit(t), f"k{i}", f"k{j}") for t, (i, j) in enumerate(two)))).alias("path")
+        buckets = wide.select(*by, "len", "s", keys)
+        crowded = written(buckets.groupBy(*group).agg(F.count("*").alias("n")).filter(F.col("n") > crowd).drop("n"), "crowded")
+        full = small_side(crowded)
+        tight = compared(placed.filter(F.col("varies") < parts)).unionByName(compared(buckets.join(full, group, "left_anti")))
+        found = tight if found is None else found.unionByName(tight)
+        if crowded.isEmpty():
+            return found.distinct()
+        rows = written(buckets.join(full, group, "left_semi"), "sequences")
 
 
 def directional(counts: DataFrame, seq: str, n: str, by: Sequence[str] = (), ratio: float = 3, most: int = 2) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.order import percentiles
 from helixframe.operators.relational import islands
 
 
@@ -51,11 +52,11 @@ def entropy(profile: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def mad_scores(df: DataFrame, value: str) -> DataFrame:
     """z by the median and 1.4826 times the median absolute deviation (1e-9 where that is 0)."""
-    median = df.agg(F.median(value).alias("__m"))
-    off = df.crossJoin(F.broadcast(median)).withColumn("__d", F.abs(F.col(value) - F.col("__m")))
-    mad = off.agg((1.4826 * F.median("__d")).alias("__s"))
-    s = F.when(F.col("__s") == 0, 1e-9).otherwise(F.col("__s"))
-    return off.crossJoin(F.broadcast(mad)).withColumn("z", (F.col(value) - F.col("__m")) / s).drop("__m", "__d", "__s")
+    median = percentiles(df, [], value, [0.5]).first()
+    off = F.abs(F.col(value) - (median.p0 if median else None))
+    spread = percentiles(df.select(off.alias("off")), [], "off", [0.5]).first()
+    s = 1.4826 * spread.p0 if spread else 0.0
+    return df.withColumn("z", (F.col(value) - (median.p0 if median else None)) / (s or 1e-9))
 
 
 def plain_scores(df: DataFrame, value: str) -> DataFrame:

@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 from helixframe.operators.graph import written
 
 
+BROADCAST_ROWS = 250_000
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, a table that is cheap to count, for a join: broadcast if it is small, else left to the planner."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def aligned_counts(df: DataFrame, key: str, sample: str, count: Column, samples: Sequence[str]) -> DataFrame:
     """One row a key with its count in each sample, 0 where it is missing; keys of no count at all go."""
     wide = df.groupBy(key).pivot(sample, list(samples)).agg(F.sum(count)).na.fill(0, list(samples))

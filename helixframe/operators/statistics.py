@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.operators.graph import written
+from helixframe.operators.order import percentiles, with_percentiles
 from helixframe.operators.relational import numbered, running_before
 
 HOLM_ROWS = 100_000
@@ -22,7 +23,8 @@ def weighted(df: DataFrame, by: Sequence[str], value: str, weight: str) -> DataF
     usable = df.filter(x.isNotNull() & ~F.isnan(x.cast("double")) & (w > 0))
     mean = F.sum(w * x) / F.sum(w)
     spread = F.sum(w * x * x) / F.sum(w) - mean * mean
-    return usable.groupBy(*by).agg(F.sum(w).alias("n"), mean.alias("weighted_mean"), F.sqrt(F.greatest(spread, F.lit(0.0))).alias("weighted_sd"), F.percentile(x, 0.5, w).alias("weighted_median"))
+    sums = usable.groupBy(*by).agg(F.sum(w).alias("n"), mean.alias("weighted_mean"), F.sqrt(F.greatest(spread, F.lit(0.0))).alias("weighted_sd"))
+    return with_percentiles(sums, percentiles(usable, by, value, [0.5], weight).withColumnRenamed("p0", "weighted_median"), by)
 
 
 def chi_square(table: DataFrame, a: str, b: str) -> DataFrame:

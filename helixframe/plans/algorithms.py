@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.functions import dna
-from helixframe.operators import clusters, expansion, fuzzy, trajectory
-from helixframe.plans.core import PROTEINS, READS, SUBSTITUTED, proteins, query, r9, reads, substituted, table
+from helixframe.operators import clusters, expansion, fuzzy, power, trajectory
+from helixframe.plans.core import HEX, PROTEINS, READS, SUBSTITUTED, proteins, query, r9, reads, substituted, table
 from helixframe.plans.sequences import _TAG
 
 _HAPS = f"{SUBSTITUTED}, haps AS (SELECT sample, seq AS hap, count(*) AS n FROM substituted GROUP BY 1, 2)"
@@ -39,6 +39,18 @@ def within(spark, sf_dir):
     return clusters.within_distance(haps(spark, sf_dir), "hap", 2, ["sample"])
 
 
+_FRAMED = f"framed AS (SELECT DISTINCT event_type AS sample, '{'ACGT' * 7}' || substr(s, 1, 5) || '{'GATTACA' * 3}' || substr(s, 6, 10) AS seq FROM (SELECT event_type, translate(md5(CAST(event_id AS VARCHAR)), '{HEX}', '{'AAAAAAAACCCCGGTT'}') AS s FROM events))"
+
+
+@query("x26_constant_frame", f"WITH {_FRAMED} SELECT a.sample, a.seq AS a, b.seq AS b FROM framed a JOIN framed b ON a.sample = b.sample AND a.seq < b.seq WHERE hamming(a.seq, b.seq) <= 2")
+def framed(spark, sf_dir):
+    """Pairs up to two bases apart of a library that varies, unevenly, at 15 of 64 places."""
+    bases = F.translate(F.md5(F.col("event_id").cast("string")), HEX, "AAAAAAAACCCCGGTT")
+    seq = F.concat(F.lit("ACGT" * 7), F.substring(bases, 1, 5), F.lit("GATTACA" * 3), F.substring(bases, 6, 10))
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("sample"), seq.alias("seq"))
+    return clusters.within_distance(rows, "seq", 2, ["sample"])
+
+
 @query("x26_directional_clusters")
 def directional(spark, sf_dir):
     """Haplotypes with the cluster that absorbs them."""
@@ -366,6 +378,26 @@ def predictions(spark, sf_dir):
     return models.predicted(proteins(spark, sf_dir).select("protein_id", "seq"), "seq", "alanine", load).select("protein_id", r9("alanine").alias("alanine"))
 
 
+@query("q22_to_real", """WITH p AS (SELECT event_id, user_id % 3 AS model, (value - 55) / 40 AS y FROM events), l AS (SELECT * FROM (VALUES (0, 0.35, 3.5, 2.25), (1, 0.0, 0.5, 1.5), (2, 2.0, -0.25, 0.75)) AS t(model, e, m, d)),
+r AS (SELECT event_id, e, CAST(y * d + m AS DOUBLE) AS z FROM p JOIN l USING (model))
+SELECT event_id, round(CASE WHEN z >= 0 THEN CASE WHEN e = 0 THEN exp(z) - 1 WHEN e * z > -1 THEN pow(e * z + 1, 1 / e) - 1 END ELSE CASE WHEN e = 2 THEN 1 - exp(-z) WHEN (e - 2) * z > -1 THEN 1 - pow(1 - (2 - e) * z, 1 / (2 - e)) END END, 6) AS real FROM r""")
+def to_real(spark, sf_dir):
+    """Predictions of three models on the scale of their measurements, by the inverse of each one's transform."""
+    rows = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 3).alias("model"), ((F.col("value") - 55) / 40).alias("y"))
+    powers = [power.Power(0.35, 3.5, 2.25), power.Power(0.0, 0.5, 1.5), power.Power(2.0, -0.25, 0.75)]
+    real = F.coalesce(*(F.when(F.col("model") == k, power.to_real(F.col("y"), p)) for k, p in enumerate(powers)))
+    return rows.select("event_id", F.round(real, 6).alias("real"))
+
+
+@query("q22_power_round_trip", "SELECT l_orderkey, l_linenumber, round(CAST(l_quantity AS DOUBLE), 6) AS quantity, round(CAST(l_extendedprice AS DOUBLE), 4) AS price FROM lineitem")
+def power_round_trip(spark, sf_dir):
+    """Two columns to what a model is trained on and back, with fitted exponents."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("quantity"), F.col("l_extendedprice").cast("double").alias("price"))
+    found = power.fitted(rows, ["quantity", "price"])
+    back = {c: F.round(power.to_real(power.from_real(F.col(c), p), p), digits) for (c, p), digits in zip(found.items(), (6, 4), strict=True)}
+    return rows.withColumns(back)
+
+
 @query("x11_motif_pools")
 def motif_pools(spark, sf_dir):
     """A five- and a ten-residue motif for each event, of the pattern that its number gives."""

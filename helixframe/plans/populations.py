@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from helixframe.operators import profiles, relational, statistics
+from helixframe.operators import order, profiles, relational, statistics
 from helixframe.plans.core import ALIGNMENT, CELLS, COUNTS, PROTEINS, alignment, proteins, query, r9, table, variant_counts
 from helixframe.plans.sequences import TRANSLATED, called
 
@@ -203,7 +203,9 @@ def trait_summary(spark, sf_dir):
     """Every feature of every cluster, melted first."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("cluster"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
     m = statistics.melted(rows, ["cluster"], ["quantity", "discount", "tax"])
-    return m.groupBy("cluster", "feature").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"), r9(F.avg("value")).alias("mean"), F.median("value").alias("median"), F.round(F.stddev_pop("value"), 6).alias("sd"), F.min("value").alias("low"), F.max("value").alias("high"))
+    sums = m.groupBy("cluster", "feature").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"), r9(F.avg("value")).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("sd"), F.min("value").alias("low"), F.max("value").alias("high"))
+    medians = order.percentiles(m, ["cluster", "feature"], "value", [0.5]).withColumnRenamed("p0", "median")
+    return order.with_percentiles(sums, medians, ["cluster", "feature"])
 
 
 @query("g19_w10_abundance_change", f"""WITH {COUNTS}, c AS (SELECT sample, variant % 4 AS cluster, count(*) AS unique_variants, sum(n) AS reads FROM counts GROUP BY 1, 2), f AS (SELECT *, reads / sum(reads) OVER (PARTITION BY sample) AS fraction FROM c)
@@ -296,7 +298,9 @@ def survival(spark, sf_dir):
 
 @query("g38_count_statistics", f"WITH {COUNTS} SELECT sample, round(avg(n), 9) AS mean, median(n)::DOUBLE AS median, min(n) AS low, max(n) AS high FROM counts GROUP BY 1")
 def count_statistics(spark, sf_dir):
-    return variant_counts(spark, sf_dir).groupBy("sample").agg(r9(F.avg("n")).alias("mean"), F.median("n").cast("double").alias("median"), F.min("n").alias("low"), F.max("n").alias("high"))
+    counts = variant_counts(spark, sf_dir)
+    sums = counts.groupBy("sample").agg(r9(F.avg("n")).alias("mean"), F.min("n").alias("low"), F.max("n").alias("high"))
+    return order.with_percentiles(sums, order.percentiles(counts, ["sample"], "n", [0.5]).withColumnRenamed("p0", "median"), ["sample"])
 
 
 @query("g45_pivot_predictions", f"WITH {COUNTS} SELECT variant, round(coalesce(avg(n) FILTER (sample = 'click'), 0), 9) AS click, round(coalesce(avg(n) FILTER (sample = 'view'), 0), 9) AS view FROM counts GROUP BY 1")

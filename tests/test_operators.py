@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions.tables import IUPAC
-from helixframe.operators import calling, clusters, columns, expansion, fuzzy, graph, models, profiles, relational, statistics, trajectory
+from helixframe.operators import calling, clusters, columns, expansion, fuzzy, graph, models, order, power, profiles, relational, statistics, trajectory
 from helixframe.sources import fastq, text
 
 
@@ -35,6 +35,90 @@ def test_weighted_median_and_holm(spark):
     assert [round(r.adjusted, 9) for r in statistics.holm(p, "p").orderBy("p").collect()] == [0.03, 0.06, 0.06]
 
 
+def test_percentiles_by_selection(spark):
+    """All groups and shares against sorted lists: weights, ties, signs, infinities, a null group, and values that no two rounds tell apart."""
+    r = random.Random(9)
+    values = [0.0, -0.0, 1.5, -1.5, 1e300, -1e300, 5e-324, float("inf"), float("-inf"), 1.0000000000000002, 1.0]
+    rows = [(r.choice(["a", "b", None]), r.choice(["x", "y"]), r.choice(values) if r.random() < 0.3 else r.gauss(0, 10), r.randint(0, 4)) for _ in range(900)]
+    rows += [("c", "x", None, 1), ("c", "x", float("nan"), 1), ("d", "x", 7.0, 1)]
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    df = spark.createDataFrame(rows, "g string, h string, v double, w int")
+    for weight in (None, "w"):
+        want = {}
+        for g, h, v, w in rows:
+            if v is not None and v == v:
+                want.setdefault((g, h), []).extend([v] * (1 if weight is None else w))
+        got = {(x.g, x.h): [x[f"p{k}"] for k in range(5)] for x in order.percentiles(df, ["g", "h"], "v", shares, weight).collect()}
+        assert set(got) == {k for k, v in want.items() if v}
+        for k, found in got.items():
+            v = sorted(want[k])
+            for p, x in zip(shares, found, strict=True):
+                at = (len(v) - 1) * p
+                low, high = v[math.floor(at)], v[math.ceil(at)]
+                assert x == low if low == high else x == pytest.approx(low + (at - math.floor(at)) * (high - low), nan_ok=True)
+    assert order.percentiles(df.filter("false"), [], "v", [0.5]).isEmpty()
+    assert order.percentiles(df.filter("g = 'd'"), [], "v", [0.5]).first().p0 == 7.0
+
+
+def test_power_transform(spark):
+    """Exponents against a plain search, and there and back."""
+    r = np.random.default_rng(3)
+    table = {"a": np.exp(r.normal(1, 0.6, 400)), "b": r.normal(-3, 2, 400), "c": -np.exp(r.normal(2, 1, 400)), "flat": np.full(400, 2.5)}
+    df = spark.createDataFrame([tuple(map(float, x)) for x in zip(*table.values(), strict=True)] + [(None, float("inf"), None, None)], "a double, b double, c double, flat double")
+    found = power.fitted(df, list(table))
+
+    def plain(x, e):
+        with np.errstate(all="ignore"):
+            up = np.log1p(np.maximum(x, 0)) if abs(e) < 1e-12 else ((np.maximum(x, 0) + 1) ** e - 1) / e
+            down = -np.log1p(np.maximum(-x, 0)) if abs(e - 2) < 1e-12 else -((np.maximum(-x, 0) + 1) ** (2 - e) - 1) / (2 - e)
+        return np.where(x >= 0, up, down)
+
+    for c in "abc":
+        x = table[c]
+        score = lambda e, x=x: -len(x) / 2 * np.log(plain(x, e).var()) + (e - 1) * (np.sign(x) * np.log1p(np.abs(x))).sum()
+        best = max(np.linspace(-4, 6, 2001), key=score)
+        best = max(np.linspace(best - 0.01, best + 0.01, 2001), key=score)
+        assert found[c].exponent == pytest.approx(best, abs=2e-5)
+        assert (found[c].mean, found[c].deviation) == pytest.approx((plain(x, best).mean(), plain(x, best).std()), rel=1e-3)
+    assert (found["flat"].exponent, found["flat"].mean, found["flat"].deviation) == (1.0, pytest.approx(2.5), 1.0)
+    for p in (power.Power(0.0), power.Power(2.0), power.Power(1.0), power.Power(0.5, 0.2, 3.0)):
+        off = F.max(F.abs(power.to_real(power.from_real(F.col("b"), p), p) - F.col("b")))
+        assert df.filter("flat is not null").select(off).first()[0] < 1e-9
+    both = {c: power.to_real(power.from_real(F.col(c), found[c]), found[c]) for c in table}
+    assert df.filter("flat is not null").select(*(F.max(F.abs(x / F.col(c) - 1)).alias(c) for c, x in both.items())).first() == pytest.approx((0, 0, 0, 0), abs=1e-9)
+    unreached = spark.range(1).select(power.to_real(F.lit(3.0), power.Power(-0.5)), power.to_real(F.lit(-9.0), power.Power(0.5))).first()
+    assert unreached[0] is None and unreached[1] == pytest.approx(1 - 14.5 ** (1 / 1.5))
+
+
+def test_pairs_of_a_library_with_a_constant_frame(spark, monkeypatch):
+    """Equal to brute force, also where buckets are cut several times; the pairs looked at stay near the answer."""
+    r = random.Random(5)
+    places = r.sample(range(64), 9)
+    frame = r.choices("ACGT", k=64)
+    rows = set()
+    while len(rows) < 1500:
+        s = frame[:]
+        for k, at in enumerate(places):
+            s[at] = r.choices("ACGT", [8, 4, 2, 1] if k % 2 else [1, 1, 1, 1])[0]
+        rows.add("".join(s))
+    rows |= {"ACG", "ACT", "AGT", "TTT", "A", ""}
+    want = {(a, b) for a in rows for b in rows if a < b and len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) <= 2}
+    looked = spark.sparkContext.accumulator(0)
+    plain = clusters._differences
+
+    def counted(a, b):
+        looked.add(len(a))
+        return plain(a, b)
+
+    df = spark.createDataFrame([(s,) for s in rows], "s string")
+    for crowd in (10, 60, 10_000):
+        got = [tuple(x) for x in clusters.within_distance(df, "s", 2, crowd=crowd).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    monkeypatch.setattr(clusters, "_differences", counted)
+    clusters.within_distance(df, "s", 2).collect()
+    assert 0 < looked.value < 20 * len(want)
+
+
 def test_mann_whitney_against_pairs(spark):
     r = random.Random(2)
     rows = [(s, float(r.randint(0, 9)), r.randint(1, 4)) for s in "ab" for _ in range(30)]

@@ -1,7 +1,9 @@
 """Fuzzy reads: anchor search, CIGAR walks, edit alignments and alignment text.
 
-Distances are computed by bit-parallel or array dynamic programming, a batch of
-reads at a time; each read is a small, independent piece of work.
+Anchors are searched with the bit vectors of Myers (1999), edit alignments come from
+rows of edit matrices, a batch of reads at a time; each read is a small, independent
+piece of work. Pairs of long sequences are aligned within a band, of which every
+few rows are kept.
 """
 
 from __future__ import annotations
@@ -20,16 +22,16 @@ CELLS = 2_000_000  # of edit matrices that are filled at once
 
 
 def infix(pattern: str, texts: pd.Series, most: int, codes: bool = False) -> pd.DataFrame:
-    """distance and end (0-based, inclusive) of the first best place of a pattern in each text; -1 beyond `most` edits.
+    """distance, start and end (0-based, inclusive) of a pattern in each text: the first best end, and its farthest start; -1 beyond `most` edits.
 
-    One row of the edit matrix a character of the texts, for all texts together;
-    a text may begin and end anywhere (free end gaps in the text).
+    A text may begin and end anywhere (free end gaps in the text). The start is found
+    from the end backwards, with the reversed pattern.
     """
     size = texts.str.len().fillna(0).to_numpy(int)
-    out = np.full((len(texts), 2), -1)
+    out = np.full((len(texts), 3), -1)
     for some in _alike(size, size):  # so that one long text doesn't widen all
         out[some] = _infix(pattern, texts.iloc[some], size[some], most, codes)
-    return pd.DataFrame(out, columns=["distance", "end"])
+    return pd.DataFrame(out, columns=["distance", "start", "end"])
 
 
 def _alike(order: np.ndarray, cells: np.ndarray) -> Iterator[np.ndarray]:
@@ -43,42 +45,66 @@ def _alike(order: np.ndarray, cells: np.ndarray) -> Iterator[np.ndarray]:
         at = to
 
 
+def _distances(pattern: str, text: np.ndarray, codes: bool, anchored: bool) -> Iterator[np.ndarray]:
+    """For each place of the texts (place, text), the edit distances of the pattern to what ends there.
+
+    The texts' stretches begin anywhere, or with `anchored` where the texts do. A column of
+    the edit matrix is held by its steps down, a bit each, in words of 64 places; a
+    step along the last place of a word is carried to the next one.
+    """
+    m, one = len(pattern), np.uint64(1)
+    words = -(-m // 64)
+    equal = np.zeros((words, 256), np.uint64)
+    for k, c in enumerate(pattern):
+        for b in (IUPAC.get(c, c) if codes else c) + c:
+            equal[k // 64, ord(b)] |= one << np.uint64(k % 64)
+    up, down = np.full((words, text.shape[1]), ~np.uint64(0)), np.zeros((words, text.shape[1]), np.uint64)
+    score, last = np.full(text.shape[1], m), np.uint64((m - 1) % 64)
+    for chars in text:
+        plus, minus = np.full(text.shape[1], np.uint64(anchored)), np.zeros(text.shape[1], np.uint64)
+        for w in range(words):
+            eq, vp, vn = equal[w][chars], up[w], down[w]
+            x = eq | vn
+            eq |= minus
+            h = (((eq & vp) + vp) ^ vp) | eq
+            hp, hn = vn | ~(h | vp), vp & h
+            if w == words - 1:
+                score = score + ((hp >> last) & one).astype(np.int64) - ((hn >> last) & one).astype(np.int64)
+            hp, hn, plus, minus = hp << one | plus, hn << one | minus, hp >> np.uint64(63), hn >> np.uint64(63)
+            up[w], down[w] = hn | ~(x | hp), hp & x
+        yield score
+
+
 def _infix(pattern: str, texts: pd.Series, size: np.ndarray, most: int, codes: bool) -> np.ndarray:
     n, m = len(texts), len(pattern)
-    width = int(size.max()) if n else 0
-    raw = np.zeros((n, width), np.uint8)
-    for i, t in enumerate(texts):
-        if t:
-            raw[i, : len(t)] = np.frombuffer(t.encode("ascii", "replace"), np.uint8)[:width]
-    allowed = np.ones((m, 256), np.int32)
-    for k, c in enumerate(pattern):
-        for b in IUPAC.get(c, c) if codes else c:
-            allowed[k, ord(b)] = 0
-        allowed[k, ord(c)] = 0
-    column = np.tile(np.arange(m + 1, dtype=np.int32), (n, 1))
-    best, end = column[:, m].copy(), np.full(n, -1)
-    for j in range(width):
-        step = allowed[:, raw[:, j]].T  # (text, pattern place)
-        new = np.empty_like(column)
-        new[:, 0] = 0
-        new[:, 1:] = np.minimum(column[:, :-1] + step, column[:, 1:] + 1)
-        # Insertions run along the column: new[k] = min over i <= k of new[i] + k - i.
-        ramp = np.arange(m + 1, dtype=np.int32)
-        new = np.minimum.accumulate(new - ramp, axis=1) + ramp
-        column = new
-        better = (j < size) & (column[:, m] < best)
-        best[better], end[better] = column[better, m], j
+    raw = np.zeros((n, int(size.max()) if n else 0), np.uint8)
+    raw[np.arange(raw.shape[1]) < size[:, None]] = np.frombuffer("".join(t or "" for t in texts.where(texts.notna(), None)).encode("ascii", "replace"), np.uint8)
+    best, end = np.full(n, m), np.full(n, -1)
+    if m:
+        for j, score in enumerate(_distances(pattern, np.ascontiguousarray(raw.T), codes, False)):
+            better = (j < size) & (score < best)
+            best[better], end[better] = score[better], j
+    found = np.flatnonzero((best <= most) & (end >= 0))
+    start = np.where(best <= most, end + 1, -1)  # an empty stretch
+    if len(found):
+        reach = int(min(m + best[found].max(), end[found].max() + 1))
+        at = end[found] - np.arange(reach)[:, None]
+        back = np.where(at >= 0, raw[found, np.maximum(at, 0)], 0)
+        start[found] = np.where(best[found] == m, end[found] + 1, start[found])
+        for j, score in enumerate(_distances(pattern[::-1], back, codes, True)):
+            here = (score == best[found]) & (at[j] >= 0)
+            start[found[here]] = at[j][here]
     far = best > most
-    return np.stack([np.where(far, -1, best), np.where(far, -1, end)], axis=1)
+    return np.stack([np.where(far, -1, best), np.where(far, -1, start), np.where(far, -1, end)], axis=1)
 
 
 def find_anchor(c: Column, pattern: str, most: int, codes: bool = False) -> Column:
-    """struct(distance, end) of a pattern in a string column."""
+    """struct(distance, start, end) of a pattern in a string column."""
 
     def run(s: pd.Series) -> pd.DataFrame:
         return infix(pattern, s, most, codes)
 
-    return F.pandas_udf(run, "distance int, end int")(c)
+    return F.pandas_udf(run, "distance int, start int, end int")(c)
 
 
 def anchored_windows(reads: DataFrame, seq: str, qual: str, left: str, right: str, window: int, most: int = 16) -> DataFrame:
@@ -120,16 +146,98 @@ def _padded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def edit_alignments(a: list[str], b: list[str], codes: bool = False) -> list[tuple[int, str, str, str]]:
     """(distance, top, marks, bottom) of global alignments; back from the end a diagonal goes before a deletion before an insertion.
 
-    One row of all edit matrices at a time, and one step back of all pairs at a time.
+    One row of all edit matrices at a time, and one step back of all pairs at a time; a
+    pair of more than CELLS cells by itself, within a band.
     """
     out: list = [None] * len(a)
     sizes = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
-    for some in _alike(sizes.sum(1), (sizes[:, 0] + 1) * (sizes[:, 1] + 1)):
+    cells = (sizes[:, 0] + 1) * (sizes[:, 1] + 1)
+    for k in np.flatnonzero(cells > CELLS).tolist():
+        out[k] = banded_alignment(a[k], b[k], codes)
+    short = np.flatnonzero(cells <= CELLS)
+    for some in _alike(sizes[short].sum(1), cells[short]):
+        some = short[some]
         for k, x in zip(some, _alignments([a[k] for k in some], [b[k] for k in some], codes), strict=True):
             out[k] = x
     return out
 
 
+class _Band:
+    """Rows of the edit matrix of x and y within `width` of its diagonal: place o of row i is column i + o - width."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, width: int, codes: bool) -> None:
+        self.x, self.width, self.n = x, width, len(y)
+        self.like = _LIKE_CODES if codes else _LIKE
+        self.y = np.concatenate([np.zeros(width, np.uint32), y, np.zeros(len(x) + width + 1, np.uint32)])
+        self.low = np.minimum(self.y, 127)
+        self.ramp = np.arange(2 * width + 1, dtype=np.int32)
+
+    def first(self) -> np.ndarray:
+        return np.where(self.ramp >= self.width, self.ramp - self.width, 1 << 29).astype(np.int32)
+
+    def same(self, i: int) -> np.ndarray:
+        """Whether x[i - 1] fits what each column of row i stands behind."""
+        c = self.x[i - 1]
+        part = slice(i - 1, i + 2 * self.width)
+        return (self.y[part] == c) | self.like[min(int(c), 127)][self.low[part]]
+
+    def next(self, row: np.ndarray, i: int) -> np.ndarray:
+        """Row i from the one above."""
+        new = row + ~self.same(i)
+        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
+        new = np.minimum.accumulate(new - self.ramp) + self.ramp  # insertions run along the row
+        if i <= self.width:
+            new[: self.width - i] = 1 << 29  # before the first column
+        return new.astype(np.int32)
+
+
+def banded_alignment(a: str, b: str, codes: bool = False) -> tuple[int, str, str, str]:
+    """The alignment of edit_alignments for a pair of long sequences.
+
+    All optimal paths stay within the distance of the diagonal, so that a band at least
+    as wide holds them all; it doubles until it does. One row in some sqrt(rows) is
+    kept, and the rows between two of them are made again on the way back: memory is the
+    band times that root.
+    """
+    x, y = (np.frombuffer(t.encode("utf-32-le"), "<u4") for t in (a, b))
+    m, n = len(x), len(y)
+    every, width = max(1, int(m**0.5)), max(64, abs(m - n))
+    while True:
+        band = _Band(x, y, width, codes)
+        row, kept = band.first(), []
+        for i in range(m + 1):
+            if i:
+                row = band.next(row, i)
+            if i % every == 0:
+                kept.append(row)
+        distance = int(row[n - m + width])
+        if distance <= width:
+            break
+        width = min(2 * width, max(m, n))
+    i, j, top, marks, bottom = m, n, [], [], []
+    while i or j:
+        begin = (max(i - 1, 0) // every) * every
+        rows = [kept[begin // every]]
+        for k in range(begin + 1, i + 1):
+            rows.append(band.next(rows[-1], k))
+        while i > begin or (not i and j):
+            here, o = rows[i - begin][j - i + width], j - i + width
+            above = rows[i - begin - 1] if i else None
+            fits = bool(i and j) and (x[i - 1] == y[j - 1] or bool(band.like[min(int(x[i - 1]), 127), min(int(y[j - 1]), 127)]))
+            if i and j and here == above[o] + (not fits):
+                step = (a[i - 1], "|" if fits else ".", b[j - 1])
+                i, j = i - 1, j - 1
+            elif i and o + 1 < len(above) and here == above[o + 1] + 1:
+                step = (a[i - 1], " ", "-")
+                i -= 1
+            else:
+                step = ("-", " ", b[j - 1])
+                j -= 1
+            for line, c in zip((top, marks, bottom), step, strict=True):
+                line.append(c)
+    return distance, *("".join(reversed(line)) for line in (top, marks, bottom))
+
+
 def _alignments(a: list[str], b: list[str], codes: bool) -> Iterator[tuple[int, str, str, str]]:
     (x, m), (y, n) = _padded(a), _padded(b)
     like = _LIKE_CODES if codes else _LIKE

@@ -358,13 +358,48 @@ def infix_plain(p, t):
 
 
 def test_infix_search():
+    """Distances, first ends and farthest starts against the whole matrix, for patterns of one word and of several."""
     import pandas as pd
 
+    def start_plain(p, t, best, end):
+        return min(k for k in range(end + 2) if levenshtein(p, t[k : end + 1]) == best)
+
+    def levenshtein(p, t):
+        row = list(range(len(t) + 1))
+        for i, x in enumerate(p):
+            new = [i + 1]
+            for j, c in enumerate(t):
+                new.append(min(row[j] + (x != c), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
     r = random.Random(8)
-    texts = ["".join(r.choice("ACGT") for _ in range(r.randint(0, 40))) for _ in range(200)]
-    got = fuzzy.infix("ACGTTGCA", pd.Series(texts), 8)
-    assert [tuple(x) for x in got.to_numpy().tolist()] == [infix_plain("ACGTTGCA", t) for t in texts]
-    assert fuzzy.infix("ARG", pd.Series(["TTACGTT", "TTAGGTT"]), 0, codes=True)["distance"].tolist() == [-1, 0]
+    for pattern, n in (("ACGTTGCA", 150), ("".join(r.choices("ACGT", k=64)), 12), ("".join(r.choices("ACGT", k=130)), 8)):
+        texts = ["".join(r.choice("ACGT") for _ in range(r.randint(0, 40))) for _ in range(n)]
+        texts += ["TT" + "".join(c for c in pattern if r.random() > 0.1) + "".join(r.choices("ACGT", k=9)) for _ in range(n)] + [pattern, "", pattern[:-1]]
+        got = fuzzy.infix(pattern, pd.Series([*texts, None]), len(pattern))
+        want = [(d, start_plain(pattern, t, d, e) if e >= 0 else 0, e) for t in texts for d, e in [infix_plain(pattern, t)]]
+        assert [tuple(x) for x in got.to_numpy().tolist()] == [*want, (len(pattern), 0, -1)]
+    assert fuzzy.infix("ARG", pd.Series(["TTACGTT", "TTAGGTT"]), 0, codes=True).to_numpy().tolist() == [[-1, -1, -1], [0, 2, 4]]
+
+
+def test_long_alignments(monkeypatch):
+    """Within a band and from few kept rows as from whole matrices; long pairs in little memory."""
+    import tracemalloc
+
+    r = random.Random(6)
+    a, b = (["".join(r.choice("ACGTN") for _ in range(r.choice((0, 1, 5, 40, 90, 200)))) for _ in range(60)] for _ in range(2))
+    b += ["".join(c for c in x if r.random() > 0.1) for x in a]
+    a += a
+    for codes in (False, True):
+        assert [fuzzy.banded_alignment(x, y, codes) for x, y in zip(a, b, strict=True)] == [plain_alignment(x, y, codes) for x, y in zip(a, b, strict=True)]
+    long = "".join(r.choices("ACGT", k=20_000))
+    other = "".join(c for c in long if r.random() > 0.01)
+    tracemalloc.start()
+    distance, top, _, bottom = fuzzy.edit_alignments([long], [other])[0]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert distance == len(long) - len(other) and top == long and bottom.replace("-", "") == other and most < 100_000_000
 
 
 def test_anchored_windows(spark):

@@ -8,10 +8,10 @@ weighted sum of h gives the score. All weights are learned together from
 document labels.
 
 The model is fitted on the driver on a bounded sample of labelled rows (`most`,
-those of the least hash of doc_id) that are not held out; of each, at most `BAG`
-passages are taken, evenly spaced (of a repeated doc_id those of its least text).
-Executors encode them and send counts of one byte, so that the driver holds
-most * BAG * 521 bytes at the most. Scoring reads every whole text, in slices.
+those of the least hash of doc_id) that are not held out, on all their passages (of
+a repeated doc_id those of its least text). Executors encode them and send counts of
+one byte, so that the driver holds about as much as the sampled texts have bytes; a
+step works on AT_ONCE passages at once. Scoring reads every whole text, in slices.
 
 Defined results: a null or empty text is one passage without bytes and has a
 score; a null doc_id is held out; repeated rows are scored each; where no
@@ -22,7 +22,7 @@ own size in memory, beside slices of constant size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,7 +37,6 @@ BUCKETS = 512
 SHARES = 9
 HIDDEN = 24
 SAMPLE = 4000
-BAG = 32
 EPOCHS = 20
 THRESHOLD = 0.3
 AT_ONCE = 1024  # passages
@@ -134,28 +133,27 @@ class Model:
         bag = np.add.reduceat(alpha[:, None] * h, first[:-1], axis=0)
         return _sigmoid(bag @ self.weights["c"] + self.weights["d"][0]), alpha, of, bag
 
-    def forward(self, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, tuple]:
-        h, t, s, a = self.encoded(x)
+    def forward(self, features: np.ndarray, first: np.ndarray, scale: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> tuple[np.ndarray, tuple]:
+        parts = [self.encoded(scale(features[a : a + AT_ONCE])) for a in range(0, len(features), AT_ONCE)]
+        h, t, s, a = (np.concatenate(x) for x in zip(*parts, strict=True))
         p, alpha, of, bag = self.pooled(h, a, first)
         return p, (h, t, s, alpha, of, bag)
 
-    def gradients(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the weighted cross entropy."""
+    def gradients(self, features: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray, scale: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> dict[str, np.ndarray]:
+        """Of the weighted cross entropy; `scale` makes inputs of some features at a time."""
         k = self.weights
-        p, (h, t, s, alpha, of, bag) = self.forward(x, first)
+        p, (h, t, s, alpha, of, bag) = self.forward(features, first, scale)
+        some = [slice(a, a + AT_ONCE) for a in range(0, len(features), AT_ONCE)]
         dz = (weight * (p - y) / len(y)).astype(np.float32)
         dbag = dz[:, None] * k["c"]
         da = alpha * np.einsum("ij,ij->i", dbag[of], h - bag[of])  # through the softmax
         dts = da[:, None] * k["w"]
         dt, ds = dts * s * (1 - t * t), dts * t * s * (1 - s)
         dh = (alpha[:, None] * dbag[of] + dt @ k["V"].T + ds @ k["U"].T) * (1 - h * h)
-        return {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ da, "c": bag.T @ dz, "d": dz.sum(keepdims=True)}
+        return {"W": sum(scale(features[c]).T @ dh[c] for c in some), "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ da, "c": bag.T @ dz, "d": dz.sum(keepdims=True)}
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        features, first = passages(texts)
-        parts = [self.encoded(scaled(features[k : k + AT_ONCE])) for k in range(0, len(features), AT_ONCE)]
-        got = self.pooled(np.concatenate([p[0] for p in parts]), np.concatenate([p[3] for p in parts]), first)[0]
-        return np.clip(got, 0, 1)
+        return np.clip(self.forward(*passages(texts), scaled)[0], 0, 1)
 
 
 def train(bags: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, batch: int = 128, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> Model:
@@ -170,10 +168,10 @@ def train(bags: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, batch: in
         slow = rate * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
         for k in range(0, len(order), batch):
             some = order[k : k + batch]
-            x = scaled(np.concatenate([bags[i] for i in some]))
+            x = np.concatenate([bags[i] for i in some])
             begin = np.concatenate([[0], np.cumsum([len(bags[i]) for i in some])])
             step += 1
-            for n, g in model.gradients(x, begin, y[some], weight[some]).items():
+            for n, g in model.gradients(x, begin, y[some], weight[some], scaled).items():
                 first[n] += 0.1 * (g - first[n])
                 second[n] += 0.001 * (g * g - second[n])
                 move = first[n] / (1 - 0.9**step) / (np.sqrt(second[n] / (1 - 0.999**step)) + 1e-8)
@@ -195,8 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model | None:
         for batch in batches:
             for part in small(batch):
                 bags = [passages([t or b""])[0] for t in utf8(part.column("text"))]
-                got = [(b if len(b) <= BAG else b[np.linspace(0, len(b) - 1, BAG).astype(int)]).tobytes() for b in bags]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(got, pa.binary())], ["doc_id", "quality", "bag"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array([b.tobytes() for b in bags], pa.binary())], ["doc_id", "quality", "bag"])
 
     found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "text").mapInArrow(encoded, "doc_id long, quality int, bag binary").toPandas().sort_values("doc_id")
     y = found["quality"].to_numpy(np.float32)

@@ -13,10 +13,10 @@ the same line, any other at white space, a quote, a comma, a bracket, a
 semicolon or the next field of a query string. A quoted value with blanks is
 strong if one of its words is, or, behind `passphrase`, as a whole.
 
-The dictionary is the fixed list below and the words of the table itself,
-ranked by the number of documents they stand in (`word_ranks`). What stands
-behind a credential name isn't counted, so that a secret doesn't vouch for
-itself. At most MOST_WORDS words of at most LONGEST bytes are sent to the tasks.
+The dictionary is the fixed list below and the words of public tokenizers'
+vocabularies, whose order is that of their frequency (`word_ranks`; the files are a
+parameter). It doesn't depend on the table: what is a secret in one table is one in
+every other.
 
 Defined results: a null text counts as empty; an empty text has no spans; each
 of equal rows has the same result; an empty table gives an empty result; other
@@ -27,17 +27,19 @@ the table.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from math import log10
+from pathlib import Path
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import small, table, utf8, written
+from helixframe.llm.common import small, table, utf8
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
@@ -52,11 +54,8 @@ CONTEXT = re.compile(
 HINTS = (b"passw", b"passp", b"passc", b"pwd", b"secret", b"token", b"api", b"_key", b"sskey", b"tekey", b"credential", b"auth")
 #: Decimal logarithm of the guesses from which a value counts as a secret.
 STRONG = 8.0
-MOST_WORDS = 100_000  # of the table's own words in the dictionary: 3 MB at LONGEST bytes a word and 8 a rank
 LONGEST = 24  # bytes
-LEAST_DOCUMENTS = 5  # that a word must stand in
-HELD = 50_000  # words that a task counts before it hands them on
-CLASSES = 8  # of counts for each doubling: words of a class have one rank
+VOCABULARIES = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")  # English, and many languages
 
 # Frequent passwords and words, most frequent first; a word's rank is its cost.
 WORDS = (
@@ -70,7 +69,7 @@ WORDS = (
 ).split()
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 _RANK = {w: log10(k + 1.0) for k, w in enumerate(WORDS)}
-_WORDS_ONLY = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 or c == 95 else 32 for c in range(256))
+_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _PLAIN = str.maketrans({"4": "a", "@": "a", "3": "e", "0": "o", "1": "i", "$": "s", "5": "s", "7": "t"})
 _NEXT = {a + b for row in ROWS for a, b in zip(row, row[1:], strict=False)} | {b + a for row in ROWS for a, b in zip(row, row[1:], strict=False)}
 # Year; year and month; year, month and day; day, month and year.
@@ -93,47 +92,24 @@ def _has_hint(text: bytes) -> bool:
     return any(x in low for x in HINTS)
 
 
-def words_of(text: bytes) -> set[bytes]:
-    """The lower-case words of a text without its values behind credential names; words with digits aren't words."""
-    if _has_hint(text):
-        at, kept = 0, []
-        for _, start, end, _ in _values(text):
-            kept.append(text[at:start])
-            at = end
-        text = b" ".join([*kept, text[at:]])
-    return {w for w in text.translate(_WORDS_ONLY).split() if 3 <= len(w) <= LONGEST and b"0" not in w}
-
-
-def word_ranks(docs: DataFrame) -> dict[str, float]:
-    """Decimal logarithms of the ranks of docs' words by the number of documents they stand in, and of the fixed list.
+def word_ranks(paths: Sequence[str] | None = None) -> dict[str, float]:
+    """Decimal logarithms of the words' ranks: their places among the words of each vocabulary file, and in the fixed list.
 
-    A word's rank is the number of words in its class of counts and those above. Classes go in whole
-    while they hold MOST_WORDS words at most, so that the driver never holds more and ties don't depend on order.
+    A word is a token that begins with a space and goes on with letters alone, of 3 to LONGEST bytes. A file
+    has a line a token in the order of ranks, the token in base 64 first.
     """
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
-        handed = lambda: pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in held], pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
-        for batch in (part for whole in batches for part in small(whole)):
-            for text in utf8(batch.column("text")):
-                held.update(words_of(text or b""))
-                if len(held) >= HELD:
-                    yield handed()
-                    held.clear()
-        yield handed()
-
-    counts = docs.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_DOCUMENTS)
-    words = written(counts.select("word", F.floor(F.log2("n") * CLASSES).cast("int").alias("class")), "words")
-    rank, total = {}, 0
-    for r in sorted(words.groupBy("class").count().collect(), key=lambda r: -r["class"]):  # a few hundred classes
-        total += r["count"]
-        if total > MOST_WORDS:
-            break
-        rank[r["class"]] = log10(total + 1.0)
     ranks = dict(_RANK)
-    if rank:
-        for r in words.filter(F.col("class") >= min(rank)).collect():
-            ranks[r["word"]] = min(rank[r["class"]], ranks.get(r["word"], rank[r["class"]]))
+    for path in paths or map(public_tokenizers.path, VOCABULARIES):
+        found: dict[bytes, None] = {}
+        for line in Path(path).read_bytes().splitlines():
+            token = base64.b64decode(line.split()[0])
+            word = token[1:].translate(_LETTERS)
+            if token.startswith(b" ") and 3 <= len(word) <= LONGEST and b" " not in word:
+                found.setdefault(word)
+        for k, word in enumerate(found, 1):
+            text = word.decode("utf-8", "ignore")
+            if text.encode() == word:
+                ranks[text] = min(log10(k + 1.0), ranks.get(text, 99.0))
     return ranks
 
 
@@ -243,16 +219,16 @@ def find(text: bytes, rank: dict[str, float] = _RANK) -> list[tuple[int, int, in
     return sorted(found)
 
 
-def spans(docs: DataFrame) -> DataFrame:
+def spans(docs: DataFrame, rank: dict[str, float] | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess: one row a document."""
-    rank = word_ranks(docs)
+    rank = docs.sparkSession.sparkContext.broadcast(rank or word_ranks())
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long"
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in small(whole)):
             rows = []
             for text in utf8(batch.column("text")):
-                got = find(text or b"", rank)
+                got = find(text or b"", rank.value)
                 said = [f"{KINDS[kind]}:{start}:{end}" for start, kind, end in got]
                 count = [sum(kind == k for _, kind, _ in got) for k in range(4)]
                 base = ",".join(x for x, (_, kind, _) in zip(said, got, strict=True) if kind < 3)
@@ -277,14 +253,14 @@ def redact(text: str | None, rank: dict[str, float] = _RANK) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def redacted(docs: DataFrame) -> DataFrame:
+def redacted(docs: DataFrame, rank: dict[str, float] | None = None) -> DataFrame:
     """docs with the secrets in `text` replaced; all columns stay."""
-    rank = word_ranks(docs)
+    rank = docs.sparkSession.sparkContext.broadcast(rank or word_ranks())
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in small(whole)):
             k = batch.schema.get_field_index("text")
-            yield batch.set_column(k, batch.schema.field(k), pa.array([redact(x, rank) for x in batch.column(k).to_pylist()], batch.schema.field(k).type))
+            yield batch.set_column(k, batch.schema.field(k), pa.array([redact(x, rank.value) for x in batch.column(k).to_pylist()], batch.schema.field(k).type))
 
     return docs.mapInArrow(cleaned, docs.schema)
 

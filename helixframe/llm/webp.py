@@ -12,13 +12,15 @@ one made for the file; residuals of the left or the upper sample (predictor and
 subtract-green); packed indices of at most 16 sample values (palette); or four
 samples a pixel with a colour cache. Cross-colour is read, but never written:
 on grey samples it does what subtract-green does. Repeated blocks become
-back-references. A payload beyond `MOST_SAMPLES` is several files one after the
-other. Equal payloads give equal files.
+back-references. A payload beyond `MOST_SAMPLES` is one file with several frames, an
+animation, so that no image is larger than a task can hold. Equal payloads give
+equal files.
 
 Defined results of `media`: a null text counts as empty, and an empty text is
 one row of zeros; equal rows have equal files; an empty table gives an empty
-result; other columns are not read. Files have a bounded size, so that a long
-text takes little more memory than it has bytes.
+result; other columns are not read. Images have a bounded size, so that a long
+text takes little more memory than it has bytes; a file ends at the format's 4 GB,
+beyond which encode raises.
 """
 
 from __future__ import annotations
@@ -380,13 +382,32 @@ def invert_palette(index: np.ndarray, colours: np.ndarray, pack_bits: int, width
     return np.concatenate([colours, np.zeros(256, np.uint32)])[green.astype(np.int64)]
 
 
-def files_of(data: bytes) -> Iterator[bytes]:
-    """The files that stand one after the other."""
-    at = 0
-    while at < len(data):
-        size = 8 + int.from_bytes(data[at + 4 : at + 8], "little")
-        yield data[at : at + size]
-        at += size
+def frames_of(data: bytes) -> Iterator[bytes]:
+    """The stills of a file, each as a file of its own: itself, or the frames of an animation."""
+    if data[12:16] != b"VP8X":
+        yield data
+        return
+    at = 12
+    while at + 8 <= len(data):
+        size = int.from_bytes(data[at + 4 : at + 8], "little")
+        if data[at : at + 4] == b"ANMF":
+            yield _riff(data[at + 24 : at + 8 + size])  # behind the frame's place, size and duration
+        at += 8 + size + size % 2
+
+
+def _riff(chunks: bytes) -> bytes:
+    return b"RIFF" + (4 + len(chunks)).to_bytes(4, "little") + b"WEBP" + chunks
+
+
+def _animation(stills: list[bytes]) -> bytes:
+    """One file whose frames are the stills, one after the other at the same place."""
+    said = [int.from_bytes(x[21:25], "little") for x in stills]
+    sizes = [(x & 0x3FFF, x >> 14 & 0x3FFF) for x in said]  # columns and rows, less one
+    three = lambda *numbers: b"".join(x.to_bytes(3, "little") for x in numbers)
+    chunk = lambda kind, body: kind + len(body).to_bytes(4, "little") + body + bytes(len(body) % 2)
+    head = chunk(b"VP8X", bytes([0x12, 0, 0, 0]) + three(max(w for w, _ in sizes), max(h for _, h in sizes)))  # has frames, and alpha
+    frames = [chunk(b"ANMF", three(0, 0, w, h, 1000) + b"\x02" + x[12:]) for (w, h), x in zip(sizes, stills, strict=True)]
+    return _riff(head + chunk(b"ANIM", bytes(6)) + b"".join(frames))
 
 
 def decode(data: bytes, used: list[str] | None = None) -> np.ndarray:
@@ -541,7 +562,7 @@ def _said(lengths: tuple[int, ...]) -> tuple[int, int]:
     return w.value()
 
 
-MOST_SAMPLES = 64 * 16384  # of one file: as many rows as the format has; reading it back takes some 50 bytes for each of its bytes
+MOST_SAMPLES = 64 * 16384  # of one image: as many rows as the format has; reading it back takes some 50 bytes for each of its bytes
 FARTHEST = (1 << 20) - 120  # back-reference
 OWN_CODE_SAVES = 0.2  # of the bits: reading under a code of its own takes longer
 OWN_BITS = 11  # of the longest code in it
@@ -627,7 +648,7 @@ def _file(width: int, height: int, w: Writer, value: np.ndarray, count: np.ndarr
     size = (start + int(count.sum()) + 7) // 8
     data = ((lead & ((1 << whole * 8) - 1)).to_bytes(whole, "little") + tail.to_bytes(4, "little") + body[4:])[:size]
     chunk = b"VP8L" + size.to_bytes(4, "little") + data + bytes(size % 2)
-    return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
+    return _riff(chunk)
 
 
 def _green(w: Writer, raw: np.ndarray, alpha: int, shared: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -683,10 +704,11 @@ def _cache_hits(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode(payload: bytes) -> bytes:
-    """Lossless WebP whose samples are the payload; several files where it is longer than MOST_SAMPLES."""
+    """Lossless WebP whose samples are the payload; in several frames where it is longer than MOST_SAMPLES."""
     if not payload or len(payload) % 64:
         raise ValueError("a payload needs a positive multiple of 64 bytes")
-    return b"".join(_encoded(payload[k : k + MOST_SAMPLES]) for k in range(0, len(payload), MOST_SAMPLES))
+    stills = [_encoded(payload[k : k + MOST_SAMPLES]) for k in range(0, len(payload), MOST_SAMPLES)]
+    return stills[0] if len(stills) == 1 else _animation(stills)
 
 
 def _encoded(payload: bytes) -> bytes:
@@ -736,10 +758,10 @@ def payload_of(text: bytes | None) -> bytes:
 
 
 def samples(data: bytes, used: list[str] | None = None) -> np.ndarray:
-    """The samples of stored files, row by row: of green, or of all four channels in images of 16 columns; `used` gets the transforms of the first file."""
+    """The samples of a stored file, row by row: of green, or of all four channels in images of 16 columns; `used` gets the transforms of the first image."""
     out = []
-    for data_ in files_of(data):
-        image = decode(data_, [] if out else used)
+    for still in frames_of(data):
+        image = decode(still, [] if out else used)
         out.append(_bytes_of(image).ravel() if image.shape[1] == 16 else (image.ravel() >> 8 & 255).astype(np.uint8))
     return out[0] if len(out) == 1 else np.concatenate(out)
 

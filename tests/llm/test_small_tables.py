@@ -1,8 +1,5 @@
 """Each operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing extra columns."""
 
-import math
-from collections import Counter
-
 import pytest
 
 import corpus_pipeline
@@ -112,11 +109,7 @@ def test_pipeline_equals_a_plain_version(spark, tmp_path):
     kept = {d for d, (_, c) in brute_groups({d: t or "" for d, t in rows}, 5).items() if c == d}
     assert len(kept) < len(rows)
     rows = [r for r in rows if r[0] in kept]
-    counts = Counter(w.decode() for _, t in rows for w in secrets.words_of((t or "").encode()))
-    classes = Counter({w: math.floor(math.log2(n) * secrets.CLASSES) for w, n in counts.items() if n >= secrets.LEAST_DOCUMENTS})
-    rank = dict(secrets._RANK)
-    for w, c in classes.items():
-        rank[w] = min(rank.get(w, 99), math.log10(sum(x >= c for x in classes.values()) + 1))
+    rank = secrets.word_ranks()
     rows = [(d, secrets.redact(t, rank)) for d, t in rows]
     assert any(t and "[SECRET]" in t for _, t in rows)
     whole, rest = plain_pieces([(d, len((t or "").encode()) + 1) for d, t in rows])

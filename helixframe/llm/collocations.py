@@ -35,7 +35,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import mixed, small, table, utf8, word_hashes, written
@@ -180,8 +180,8 @@ def texts_of(rows: DataFrame, wanted: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "key long, phrase string").groupBy("key").agg(F.min("phrase").alias("phrase"))
 
 
-def _big(c: Column, digits: int = 38) -> Column:
-    return c.cast(f"decimal({digits},0)")
+#: The score at each cut, from a, n, and the counts of first parts and rests.
+SCORES = "transform(first, (l, i) -> (decimal(1000) * cast(a as decimal(17,0)) * cast(n as decimal(17,0))) div (cast(l as decimal(17,0)) * cast(rest[i] as decimal(17,0))))"
 
 
 def limits(words: DataFrame, share: float) -> DataFrame:
@@ -225,8 +225,7 @@ def grown(rows: DataFrame, words: DataFrame, limit: DataFrame) -> DataFrame:
                 own = own.join(longer, "key", "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < PERCENT * F.col("n"))).drop("longer")
         found = own if found is None else found.unionByName(own)
     scored = found.withColumnRenamed("n", "a").join(F.broadcast(limit.select("lang", F.col("total").alias("n"))), "lang")
-    score = "transform(first, (l, i) -> (decimal(1000) * cast(a as decimal(17,0)) * cast(n as decimal(17,0))) div (cast(l as decimal(17,0)) * cast(rest[i] as decimal(17,0))))"
-    scored = scored.withColumn("scores", F.expr(score)).withColumn("score", F.array_min("scores")).withColumn("cut", F.array_position("scores", F.col("score")).cast("int") - 1)
+    scored = scored.withColumn("scores", F.expr(SCORES)).withColumn("score", F.array_min("scores")).withColumn("cut", F.array_position("scores", F.col("score")).cast("int") - 1)
     return scored.select("lang", "key", "a", F.get("first", F.col("cut")).alias("l"), F.get("rest", F.col("cut")).alias("r"), "n", "score")
 
 

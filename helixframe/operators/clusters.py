@@ -1,4 +1,4 @@
-"""Clustering: directional clusters of counts, medoids, Ward's method on bounded summaries, greedy removal of overlaps."""
+"""Clustering: directional clusters of counts, medoids, Ward's method on cells, greedy removal of overlaps."""
 
 from __future__ import annotations
 
@@ -214,32 +214,12 @@ def silhouette(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> flo
     return total / weight
 
 
-def ward(df: DataFrame, key: str, features: Sequence[str], most: int = 2048, largest: int = 9) -> DataFrame:
-    """df with `cluster`: Ward's method on standardised features, the number of clusters by the best silhouette, then the smaller one.
-
-    Exact, and so for small tables: more than `most` distinct rows raise, as the
-    method needs all pairs of them. ward_of_cells takes tables of any size.
-    """
-    x = standardised(df.select(key, *(F.col(c).cast("double").alias(c) for c in features)), features)
-    small = x.groupBy(*features).agg(F.count("*").alias("__n")).orderBy(*features).limit(most + 1).toPandas()
-    if len(small) > most:
-        raise ValueError(f"more than {most} distinct rows; ward_of_cells clusters cells of them")
-    points, sizes = small[list(features)].to_numpy(float), small["__n"].to_numpy(float)
-    if len(points) < 3:
-        return df.withColumn("cluster", F.lit(1))
-    tree = ward_tree(points, sizes)
-    scores = [(silhouette(points, sizes, cut(tree, len(points), k)), -k) for k in range(2, min(largest, len(points) - 1) + 1)]
-    small["cluster"] = cut(tree, len(points), -max(scores)[1])
-    labels = df.sparkSession.createDataFrame(small[[*features, "cluster"]])
-    return df.join(x.join(F.broadcast(labels), list(features)).select(key, F.col("cluster").cast("int").alias("cluster")), key)
-
-
 def ward_of_cells(df: DataFrame, key: str, features: Sequence[str], cells: int = 256, largest: int = 9, seed: int = 42) -> DataFrame:
     """df with `cluster`: Ward's method on the centres and sizes of `cells` k-means cells; a row has the cluster of its cell.
 
     The number of clusters is that of the best silhouette (squared distances) over
     all rows, which Spark sums up for each number, then the smaller one. It is an
-    approximation of `ward` at every size of the table.
+    approximation of `agglomeration.ward` in one pass over the cells.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator

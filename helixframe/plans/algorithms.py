@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.functions import dna
-from helixframe.operators import clusters, expansion, fuzzy, power, trajectory
+from helixframe.operators import agglomeration, clusters, expansion, fuzzy, power, trajectory
 from helixframe.plans.core import HEX, PROTEINS, READS, SUBSTITUTED, proteins, query, r9, reads, substituted, table
 from helixframe.plans.sequences import _TAG
 
@@ -66,7 +66,7 @@ def medoids(spark, sf_dir):
 def ward(spark, sf_dir):
     """Users by their events: count, mean and extreme value."""
     users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").cast("double").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("most"))
-    return clusters.ward_of_cells(users, "user_id", ["n", "mean", "most"]).select("user_id", "cluster")
+    return agglomeration.ward(users, "user_id", ["n", "mean", "most"]).select("user_id", "cluster")
 
 
 @query("x25_principal_components")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions.tables import IUPAC
-from helixframe.operators import calling, clusters, columns, expansion, fuzzy, graph, models, order, power, profiles, relational, statistics, trajectory
+from helixframe.operators import agglomeration, calling, clusters, columns, expansion, fuzzy, graph, models, order, power, profiles, relational, statistics, trajectory
 from helixframe.sources import fastq, text
 
 
@@ -237,11 +237,44 @@ def test_medoids_and_ward(spark):
     r = np.random.default_rng(3)
     pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.concatenate([r.normal(c, 0.2, (15, 2)) for c in ((0, 0), (5, 5), (0, 6))]))]
     df = spark.createDataFrame(pts, "id long, x double, y double")
-    for got in (clusters.ward(df, "id", ["x", "y"]), clusters.ward_of_cells(df, "id", ["x", "y"], 20)):
+    for got in (agglomeration.ward(df, "id", ["x", "y"]), clusters.ward_of_cells(df, "id", ["x", "y"], 20)):
         labels = {x.id: x.cluster for x in got.collect()}
         assert len(set(labels.values())) == 3 and all(len({labels[i] for i in range(15 * k, 15 * k + 15)}) == 1 for k in range(3))
-    with pytest.raises(ValueError, match="distinct rows"):
-        clusters.ward(df, "id", ["x", "y"], 20)
+
+
+def plain_ward(points, sizes, largest=9):
+    """{row: cluster} by the whole matrix of all rows."""
+    tree = clusters.ward_tree(points, sizes)
+    scores = [(round(clusters.silhouette(points, sizes, clusters.cut(tree, len(points), k)), 12), -k) for k in range(2, min(largest, len(points) - 1) + 1)]
+    return clusters.cut(tree, len(points), -max(scores)[1])
+
+
+@pytest.mark.parametrize(("few", "leaf", "shape"), [(30, 16, "groups"), (100, 64, "even"), (40, 24, "chain")])
+def test_ward_by_rounds_equals_the_matrix(spark, monkeypatch, few, leaf, shape):
+    """Labels and number of clusters of 700 rows, some of them repeated, from many leaves and rounds."""
+    monkeypatch.setattr(agglomeration, "FEW", few)
+    monkeypatch.setattr(agglomeration, "LEAF", leaf)
+    r = np.random.default_rng(len(shape))
+    if shape == "groups":
+        pts = np.concatenate([r.normal(c, 0.5, (230, 3)) for c in ((0, 0, 0), (3, 3, 0), (0, 6, 1))] + [[[40.0, 40.0, 40.0]], [[41.0, 40.0, 40.0]]])
+    elif shape == "even":
+        pts = r.uniform(0, 1, (700, 2))
+    else:
+        pts = np.stack([np.cumsum(r.uniform(0.9, 1.1, 500)), r.normal(0, 0.01, 500)], 1)
+    pts = np.concatenate([pts, pts[:20], pts[:20]])
+    names = list("xyz")[: pts.shape[1]]
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], ["id", *names])
+    got = {x.id: x.cluster for x in agglomeration.ward(df, "id", names).collect()}
+    scaled, where, n = np.unique((pts - pts.mean(0)) / pts.std(0), axis=0, return_inverse=True, return_counts=True)
+    want = plain_ward(scaled, n.astype(float))[where.ravel()]
+    assert [got[i] for i in range(len(pts))] == want.tolist()
+
+
+def test_ward_of_few_rows(spark):
+    rows = spark.createDataFrame([(1, 0.0, 5.0), (2, 0.0, 5.0), (3, 1.0, 5.0)], "id long, x double, y double")
+    assert {r.cluster for r in agglomeration.ward(rows, "id", ["x", "y"]).collect()} == {1}
+    more = rows.union(spark.createDataFrame([(4, 9.0, 5.0)], "id long, x double, y double"))
+    assert {r.id: r.cluster for r in agglomeration.ward(more, "id", ["x", "y"]).collect()} == {1: 1, 2: 1, 3: 1, 4: 2}
 
 
 def test_cells_agree_with_exact_ward(spark):
@@ -249,7 +282,7 @@ def test_cells_agree_with_exact_ward(spark):
     r = np.random.default_rng(8)
     pts = np.concatenate([r.normal(c, 0.4, (375, 2)) for c in ((0, 0), (4, 4), (0, 5), (6, 0))])
     df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "id long, x double, y double")
-    exact = {x.id: x.cluster for x in clusters.ward(df, "id", ["x", "y"]).collect()}
+    exact = {x.id: x.cluster for x in agglomeration.ward(df, "id", ["x", "y"]).collect()}
     cells = {x.id: x.cluster for x in clusters.ward_of_cells(df, "id", ["x", "y"], 128).collect()}
     pairs = Counter((exact[i], cells[i]) for i in exact)
     best = Counter()

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,36 +77,98 @@ def chain_clusters(pairs: DataFrame, chains: DataFrame, thresholds: Sequence[int
     )
 
 
+SURE = 1e-9  # an autocorrelation nearer to 0 than this is computed again, lag by lag
+FRAMES = 2_000_000  # that are transformed at once
+
+
+def inefficiencies(x: np.ndarray, least: int = 3) -> np.ndarray:
+    """1 + 2 times the sum of autocorrelations up to the first that isn't positive (beyond `least`), for each row; 1 for a flat one.
+
+    The autocorrelations of all lags and rows come from one Fourier transform of the
+    rows, padded with zeros.
+    """
+    n = x.shape[1]
+    d = x - x.mean(1, keepdims=True)
+    variance = (d * d).mean(1)
+    flat = variance <= 0
+    if n < 3 or flat.all():
+        return np.ones(len(x))
+    f = np.fft.rfft(d, 1 << (2 * n - 1).bit_length(), axis=1)
+    t = np.arange(1, n - 1)
+    c = np.fft.irfft(f * f.conj(), axis=1)[:, 1 : n - 1] / ((n - t) * np.where(flat, 1, variance)[:, None])
+    low = (c <= SURE) & (t > least)
+    stop = np.where(low.any(1), low.argmax(1), n - 2)
+    for k in np.flatnonzero((stop < n - 2) & ~flat):
+        while stop[k] < n - 2 and abs(c[k, stop[k]]) <= SURE:
+            lag = int(t[stop[k]])
+            if (d[k, : n - lag] * d[k, lag:]).sum() <= 0:
+                break
+            later = np.flatnonzero(low[k, stop[k] + 1 :])
+            stop[k] = stop[k] + 1 + later[0] if len(later) else n - 2
+    g = 1 + 2 * np.where(np.arange(n - 2) < stop[:, None], c * (1 - t / n), 0).sum(1)
+    return np.where(flat, 1.0, np.maximum(1.0, g))
+
+
 def inefficiency(x: np.ndarray, least: int = 3) -> float:
-    """1 + 2 times the sum of a series' autocorrelations up to the first that isn't positive; 1 for a flat series."""
-    n, d = len(x), x - x.mean()
-    variance = (d * d).mean()
-    if variance <= 0:
-        return 1.0
-    g = 1.0
-    for t in range(1, n - 1):
-        c = (d[: n - t] * d[t:]).sum() / ((n - t) * variance)
-        if c <= 0 and t > least:
-            break
-        g += 2 * c * (1 - t / n)
-    return max(1.0, g)
+    return float(inefficiencies(x[None], least)[0])
+
+
+def _settled(x: np.ndarray, steps: int) -> np.ndarray:
+    """(start, g, n_effective) of series of one length."""
+    n = x.shape[1]
+    out = np.tile([0.0, 1.0, float(n)], (len(x), 1))
+    live = x.std(1) > 0
+    if n > 2 and live.any():
+        best = np.full(int(live.sum()), -np.inf)
+        found = out[live]
+        for start in range(0, n - 2, max(1, n // steps)):
+            g = inefficiencies(x[live, start:])
+            more = (n - start) / g > best  # the earliest of equal ones
+            best = np.where(more, (n - start) / g, best)
+            found[more] = np.stack([np.full(len(g), start), g, best], 1)[more]
+        out[live] = found
+    return out
 
 
 def equilibration(df: DataFrame, by: str, order: str, value: str, steps: int = 20) -> DataFrame:
     """by, start, g, n_effective: the start of each series from which most uncorrelated samples remain; 0 for a flat one.
 
-    Starts are tried at `steps` even places. Each series is one group: its frames
-    bound it.
+    Starts are tried at `steps` even places. Series of one length are worked on at
+    once; a series is held whole, which its frames bound.
     """
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[value].to_numpy(float)
-        best = (0, 1.0, float(len(x)))
-        if len(x) > 2 and x.std() > 0:
-            tried = [(t, inefficiency(x[t:])) for t in range(0, len(x) - 2, max(1, len(x) // steps))]
-            t, g = max(tried, key=lambda a: ((len(x) - a[0]) / a[1], -a[0]))
-            best = (t, g, (len(x) - t) / g)
-        return pd.DataFrame([(key[0], *best)], columns=[by, "start", "g", "n_effective"])
-
-    kind = dict(df.dtypes)[by]
-    return df.select(by, order, value).groupBy(by).applyInPandas(run, f"{by} {kind}, start long, g double, n_effective double")
+    rows = df.select(by, order, F.col(value).cast("double").alias("__v"))
+    schema = f"{by} {dict(df.dtypes)[by]}, start long, g double, n_effective double"
+    kind = rows.select(by).limit(0).toArrow().schema.field(0).type
+
+    def solved(held: list[tuple[object, np.ndarray]]) -> pa.RecordBatch:
+        lengths = np.array([len(x) for _, x in held])
+        out = np.zeros((len(held), 3))
+        for n in np.unique(lengths):
+            same = np.flatnonzero(lengths == n)
+            for a in range(0, len(same), max(1, FRAMES // int(n))):
+                some = same[a : a + max(1, FRAMES // int(n))]
+                out[some] = _settled(np.stack([held[k][1] for k in some]), steps)
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], kind), pa.array(out[:, 0].astype(np.int64)), pa.array(out[:, 1]), pa.array(out[:, 2])], [by, "start", "g", "n_effective"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[object, np.ndarray]] = []
+        open_: list[np.ndarray] = []
+        size, key, began = 0, None, False
+        for batch in batches:
+            keys, v = batch.column(0).to_pylist(), batch.column("__v").to_numpy(zero_copy_only=False)
+            new = {k for k in range(len(keys)) if (keys[k] != keys[k - 1] if k else not began or keys[0] != key)}
+            bounds = sorted(new | {0, len(keys)})
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                if a in new:
+                    if began:
+                        held.append((key, np.concatenate(open_)))
+                        if size > FRAMES:
+                            yield solved(held)
+                            held, size = [], 0
+                    key, began, open_ = keys[a], True, []
+                open_.append(v[a:b])
+                size += b - a
+        if began:
+            yield solved([*held, (key, np.concatenate(open_))])
+
+    return rows.repartition(by).sortWithinPartitions(by, order).mapInArrow(run, schema)

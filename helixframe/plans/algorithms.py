@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import dna
 from helixframe.operators import agglomeration, clusters, expansion, fuzzy, power, trajectory
-from helixframe.plans.core import HEX, PROTEINS, READS, SUBSTITUTED, proteins, query, r9, reads, substituted, table
+from helixframe.plans.core import HEX, PROTEINS, READS, SAM, SUBSTITUTED, alignments, proteins, query, r9, reads, substituted, table
 from helixframe.plans.sequences import _TAG
 
 _HAPS = f"{SUBSTITUTED}, haps AS (SELECT sample, seq AS hap, count(*) AS n FROM substituted GROUP BY 1, 2)"
@@ -246,17 +246,10 @@ def rescued(spark, sf_dir):
     return fuzzy.rescued(reads(spark, sf_dir).select("read_id", read.alias("read")), "read", "ACGTACGTNNNNNNGGCC", 9, 14, 6)
 
 
-_SAM = f"""{READS}, sam AS (SELECT read_id, 100 + read_id % 50 AS pos, CASE read_id % 3 WHEN 0 THEN '2S4M1D3M' WHEN 1 THEN '5M2I3M' ELSE '10M' END AS cigar, substr(seq, 1, 10) AS seq, CASE WHEN read_id % 9 = 0 THEN '*' ELSE substr(qual, 1, 10) END AS qual FROM reads),
-walk AS (SELECT *, unnest(CASE read_id % 3 WHEN 0 THEN [(0, 3), (1, 4), (2, 5), (3, 6), (4, 0), (5, 7), (6, 8), (7, 9)] WHEN 1 THEN [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 8), (6, 9), (7, 10)] ELSE list_transform(range(0, 10), lambda i: (i, i + 1)) END) AS x FROM sam)"""
-
-
-@query("d17_cigar_walk", f"""WITH {_SAM} SELECT read_id, CAST(pos + x[1] AS INTEGER) AS ref_pos, CASE WHEN x[2] = 0 THEN '-' ELSE substr(seq, x[2], 1) END AS base,
+@query("d17_cigar_walk", f"""WITH {SAM} SELECT read_id, CAST(pos + x[1] AS INTEGER) AS ref_pos, CASE WHEN x[2] = 0 THEN '-' ELSE substr(seq, x[2], 1) END AS base,
 CAST(CASE WHEN x[2] = 0 THEN 0 WHEN qual = '*' THEN 99 ELSE ascii(substr(qual, x[2], 1)) - 33 END AS INTEGER) AS q FROM walk""")
 def cigar(spark, sf_dir):
-    k = F.col("read_id")
-    cig = F.when(k % 3 == 0, "2S4M1D3M").when(k % 3 == 1, "5M2I3M").otherwise("10M")
-    sam = reads(spark, sf_dir).select("read_id", (100 + k % 50).cast("int").alias("pos"), cig.alias("cigar"), F.substring("seq", 1, 10).alias("seq"), F.when(k % 9 == 0, "*").otherwise(F.substring("qual", 1, 10)).alias("qual"))
-    return fuzzy.observed_bases(sam).select("read_id", "ref_pos", "base", "q")
+    return fuzzy.observed_bases(alignments(spark, sf_dir)).select("read_id", "ref_pos", "base", "q")
 
 
 @query("f10_alignment_flags", "SELECT user_id, min(event_id) AS pos FROM events WHERE (CAST(event_id % 4096 AS INTEGER) & 2308) = 0 GROUP BY 1")

@@ -107,6 +107,18 @@ profile AS (
   FROM cells WHERE aa NOT IN ('-', '.', 'X', 'x'))"""
 
 
+#: Alignments of the first bases of each read, and the place of each reference position (from the start) in the read (from 1; 0: deleted).
+SAM = f"""{READS}, sam AS (SELECT read_id, 100 + read_id % 50 AS pos, CASE read_id % 3 WHEN 0 THEN '2S4M1D3M' WHEN 1 THEN '5M2I3M' ELSE '10M' END AS cigar, substr(seq, 1, 10) AS seq, CASE WHEN read_id % 9 = 0 THEN '*' ELSE substr(qual, 1, 10) END AS qual FROM reads),
+walk AS (SELECT *, unnest(CASE read_id % 3 WHEN 0 THEN [(0, 3), (1, 4), (2, 5), (3, 6), (4, 0), (5, 7), (6, 8), (7, 9)] WHEN 1 THEN [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 8), (6, 9), (7, 10)] ELSE list_transform(range(0, 10), lambda i: (i, i + 1)) END) AS x FROM sam)"""
+
+
+def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """read_id, pos, cigar, seq (10 bases), qual (`*` for some)."""
+    k = F.col("read_id")
+    cigar = F.when(k % 3 == 0, "2S4M1D3M").when(k % 3 == 1, "5M2I3M").otherwise("10M")
+    return reads(spark, sf_dir).select("read_id", (100 + k % 50).cast("int").alias("pos"), cigar.alias("cigar"), F.substring("seq", 1, 10).alias("seq"), F.when(k % 9 == 0, "*").otherwise(F.substring("qual", 1, 10)).alias("qual"))
+
+
 def r9(c: Column | str) -> Column:
     """Nine decimals: sums of doubles differ in their last bits between engines and partitionings."""
     return F.round(F.col(c) if isinstance(c, str) else c, 9) + F.lit(0.0)  # no negative zero

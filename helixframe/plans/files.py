@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from helixframe.functions.register import register_functions
+from helixframe.functions.table_functions import register_table_functions
 from helixframe.operators.graph import written
-from helixframe.plans.core import CELLS, READS, alignment, query, reads, table
+from helixframe.plans.core import CELLS, READS, SAM, alignment, alignments, query, reads, table
 from helixframe.plans.sequences import codons_sql
 from helixframe.sources import text
 from helixframe.streaming import reads as streams
@@ -112,6 +113,32 @@ def sql_functions(spark, sf_dir):
     return spark.sql("SELECT read_id, revcomp(seq) AS rc, translate_dna(seq) AS aa, CAST(hamming(substr(seq, 1, 30), substr(seq, 31, 30)) AS BIGINT) AS distance, round(gc_fraction(seq), 9) AS gc FROM helixframe_reads")
 
 
+@query("sql_explode_residues", f"WITH {READS}, c AS (SELECT sample, CAST(k AS INTEGER) AS pos, substr(seq, 3 * k - 2, 3) AS codon FROM (SELECT sample, seq, CAST(unnest(range(1, 22)) AS INTEGER) AS k FROM reads)) SELECT sample, pos, codon, count(*) AS n FROM c GROUP BY 1, 2, 3")
+def sql_residues(spark, sf_dir):
+    """Codons at each place, by a table function beside each row."""
+    register_table_functions(spark)
+    reads(spark, sf_dir).createOrReplaceTempView("helixframe_reads")
+    return spark.sql("SELECT sample, pos, codon, count(*) AS n FROM helixframe_reads, LATERAL explode_residues(seq, 3) GROUP BY sample, pos, codon")
+
+
+@query("sql_cigar_obs", f"""WITH {SAM} SELECT read_id, CAST(pos + x[1] AS INTEGER) AS ref_pos, CASE WHEN x[2] = 0 THEN '-' ELSE substr(seq, x[2], 1) END AS base,
+CAST(CASE WHEN x[2] = 0 THEN 0 WHEN qual = '*' THEN 99 ELSE ascii(substr(qual, x[2], 1)) - 33 END AS INTEGER) AS q FROM walk""")
+def sql_observations(spark, sf_dir):
+    """What alignments show at each position, by a table function over groups of rows."""
+    register_table_functions(spark)
+    alignments(spark, sf_dir).createOrReplaceTempView("helixframe_alignments")
+    return spark.sql("SELECT * FROM cigar_obs(TABLE(helixframe_alignments) PARTITION BY read_id)")
+
+
+@query("sql_edit_alignment", f"WITH {READS} SELECT read_id, CAST(levenshtein(substr(seq, 1, 24), substr(seq, 3, 24)) AS INTEGER) AS distance, 24 AS in_top, 24 AS in_bottom FROM reads")
+def sql_alignments(spark, sf_dir):
+    """Alignments in blocks of ten columns, by a table function beside each row: the distance, and what the blocks hold together."""
+    register_table_functions(spark)
+    reads(spark, sf_dir).createOrReplaceTempView("helixframe_reads")
+    letters = lambda c: f"CAST(sum(length(replace({c}, '-', ''))) AS INT)"
+    return spark.sql(f"SELECT read_id, max(distance) AS distance, {letters('top')} AS in_top, {letters('bottom')} AS in_bottom FROM helixframe_reads, LATERAL edit_alignment(substr(seq, 1, 24), substr(seq, 3, 24), 10) GROUP BY read_id")
+
+
 def _streamed(spark, sf_dir, make, mode="append"):
     """A stream over the events, run to its end into a table in the shared folder."""
     schema = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).schema

@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from helixframe.functions.table_functions import register_table_functions
 from helixframe.functions.tables import IUPAC
-from helixframe.operators import agglomeration, calling, clusters, columns, expansion, fuzzy, graph, models, order, power, profiles, relational, statistics, trajectory
+from helixframe.operators import agglomeration, calling, clusters, columns, expansion, fuzzy, graph, models, order, power, profiles, relational, sketches, statistics, trajectory
 from helixframe.sources import fastq, text
 
 
@@ -492,6 +493,71 @@ def test_equilibration(spark):
     assert trajectory.inefficiency(r.normal(0, 1, 4000)) < 1.3
 
 
+def plain_inefficiency(x, least=3):
+    n, d = len(x), x - x.mean()
+    variance = (d * d).mean()
+    if variance <= 0:
+        return 1.0
+    g = 1.0
+    for t in range(1, n - 1):
+        c = (d[: n - t] * d[t:]).sum() / ((n - t) * variance)
+        if c <= 0 and t > least:
+            break
+        g += 2 * c * (1 - t / n)
+    return max(1.0, g)
+
+
+def test_inefficiencies_equal_the_plain_loop(spark):
+    """To 1e-9, on noise, drifts, whole numbers whose autocorrelations vanish, and short and flat series; many series at once, null keys too."""
+    r = np.random.default_rng(7)
+    for n in (1, 2, 3, 4, 5, 8, 37, 400):
+        rows = [r.normal(0, 1, n), np.cumsum(r.normal(0, 1, n)), np.arange(n) % 4.0, np.arange(n) % 2 * 2.0 - 1, np.ones(n), r.integers(0, 2, n).astype(float), np.linspace(0, 1, n)]
+        got = trajectory.inefficiencies(np.array(rows))
+        assert got == pytest.approx([plain_inefficiency(x) for x in rows], abs=1e-9)
+    series = {k: r.normal(0, 1, int(r.integers(1, 30))) + np.linspace(3, 0, 1) for k in [None, *range(60)]}
+    df = spark.createDataFrame([(k, i, float(v)) for k, x in series.items() for i, v in enumerate(x)], "s long, i int, v double").repartition(3)
+    got = {x.s: (x.start, x.g, x.n_effective) for x in trajectory.equilibration(df, "s", "i", "v").collect()}
+    for k, x in series.items():
+        tried = [(t, plain_inefficiency(x[t:])) for t in range(0, len(x) - 2, max(1, len(x) // 20))] if len(x) > 2 and x.std() > 0 else [(0, 1.0)]
+        t, g = max(tried, key=lambda a: ((len(x) - a[0]) / a[1], -a[0]))
+        assert got[k] == pytest.approx((t, g, (len(x) - t) / g), abs=1e-9)
+    assert trajectory.inefficiency(np.cumsum(r.normal(0, 1, 1_000_000))) > 1000
+
+
+def test_sketches_of_samples(spark):
+    """Merged sketches equal those of all rows; overlaps within the bound of their size, exact below it."""
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").otherwise("c").alias("s"), (F.col("id") % 7).alias("day"), F.concat(F.lit("v"), F.col("id") * 7919 % 15_000).alias("v"))
+    rows = rows.unionByName(rows.limit(100).withColumn("v", F.lit(None).cast("string")))
+    exact = {(x.a, x.b): (x.shared, x.either) for x in rows.alias("p").join(rows.alias("q"), F.col("p.v") == F.col("q.v")).filter("p.s < q.s").groupBy(F.col("p.s").alias("a"), F.col("q.s").alias("b")).agg(F.countDistinct("p.v").alias("shared")).withColumn("either", F.lit(0)).collect()}
+    sizes = {x.s: x.n for x in rows.groupBy("s").agg(F.countDistinct("v").alias("n")).collect()}
+    for size, bound in ((16, 0.0), (10, 5 / 2**5)):
+        days = sketches.sketched(rows, ["s", "day"], "v", size)
+        whole = {x.s: (x.n, x.d) for x in sketches.sketched(rows, ["s"], "v", size).select("s", "n", sketches.distinct_values().alias("d")).collect()}
+        merged = sketches.merged(days, ["s"], size)
+        assert {x.s: (x.n, x.d) for x in merged.select("s", "n", sketches.distinct_values().alias("d")).collect()} == whole
+        assert all(abs(whole[s][1] - n) <= bound * n for s, n in sizes.items())
+        for x in sketches.overlaps(merged, "s", size).collect():
+            either = sizes[x.a] + sizes[x.b] - exact[x.a, x.b][0] if (x.a, x.b) in exact else sizes[x.a] + sizes[x.b]
+            shared = exact.get((x.a, x.b), (0, 0))[0]
+            assert abs(x.shared - shared) <= bound * either and abs(x.either - either) <= bound * either
+            assert x.jaccard == pytest.approx(x.shared / x.either)
+
+
+def test_table_functions(spark):
+    register_table_functions(spark)
+    spark.createDataFrame([("r1", 10, "2S3M1D2M1I1M", "TTACGTTAG", "IIIIIIII!"), ("r2", 50, "1M", "A", "*")], "qname string, pos int, cigar string, seq string, qual string").createOrReplaceTempView("observed")
+    got = sorted(map(tuple, spark.sql("SELECT * FROM cigar_obs(TABLE(observed) PARTITION BY qname)").collect()))
+    want = fuzzy.observed_bases(spark.table("observed")).select("qname", "ref_pos", "base", "q")
+    assert got == sorted(map(tuple, want.collect()))
+    rows = spark.sql("SELECT qname, pos2, codon FROM observed, LATERAL explode_residues(seq, 3) AS t(pos2, codon)").collect()
+    assert sorted(map(tuple, rows)) == [("r1", 1, "TTA"), ("r1", 2, "CGT"), ("r1", 3, "TAG")]
+    assert spark.sql("SELECT * FROM explode_residues('AC')").columns == ["pos", "residue"] and spark.sql("SELECT * FROM explode_residues(CAST(NULL AS STRING))").isEmpty()
+    assert [tuple(x) for x in spark.sql("SELECT * FROM edit_alignment('ACGTACGT', 'ACGACGT', 4) ORDER BY block").collect()] == [(1, 1, "ACGT", "||| ", "ACG-"), (1, 2, "ACGT", "||||", "ACGT")]
+    for wrong in ("explode_residues(1)", "explode_residues('A', 0)", "edit_alignment('A', 'B', pos)", "cigar_obs(TABLE(SELECT 1 AS pos))"):
+        with pytest.raises(Exception, match=r"must be|lacks"):
+            spark.sql(f"SELECT t.* FROM observed, LATERAL {wrong} t").collect()
+
+
 # --- files ---------------------------------------------------------------
 
 

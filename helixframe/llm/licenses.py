@@ -13,8 +13,10 @@ and are dropped before they are digested. Known licences are a table of constant
 size, so that it is broadcast.
 
 Defined results: a null or empty text has the digest of the empty text and no
-licence; repeated rows have a result each; an empty table gives an empty
-result; other columns are not read.
+licence; repeated rows have a result each; where one digest is that of two licences the
+first name counts; an empty table gives an empty result; other columns are not
+read. A long text takes a small multiple of its size in memory, for its lines, their
+pairs and its blocks.
 """
 
 from __future__ import annotations
@@ -105,6 +107,10 @@ SPELLINGS = (
 PAIRS = (("sub license", "sublicense"), ("sub licenses", "sublicenses"), ("non infringement", "noninfringement"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"))
 #: A line that names an owner or a year.
 COPYRIGHT = r"^\W*(copyright|\(c\)|©)\W.*(\(c\)|©|[0-9]{4}|rights reserved).*$"
+#: A line that names an owner alone, where it isn't all in capitals: words with a capital, but for a few between them ...
+OWNER = r"^\W*Copyright\W+(by\s+)?[A-Z]\S*(\s+(and|of|the|de|van|von|&|[A-Z0-9(<\"\x27]\S*))*\s*$"
+#: ... unless it goes on as the licences' own sentences do, in any case.
+SENTENCE = r"^\W*copyright\W+(holders?|owners?|notices?|laws?|licen[sc]es?|statements?|and|or|in|is|of|to|for)\b"
 RESERVED = "all rights reserved"
 
 
@@ -115,7 +121,8 @@ def canonical_line(line: Column) -> Column:
     for one, other in SPELLINGS:
         out = F.replace(out, F.lit(f" {one} "), F.lit(f" {other.replace(' ', '  ')} "))
     out = F.trim(F.regexp_replace(out, " +", " "))
-    return F.when((F.contains(low, F.lit("copyright")) | F.contains(low, F.lit("(c)")) | F.contains(low, F.lit("©"))) & low.rlike(COPYRIGHT), F.lit("")).otherwise(out)
+    dated = low.rlike(COPYRIGHT) | (line.rlike(OWNER) & ~low.rlike(SENTENCE))
+    return F.when((F.contains(low, F.lit("copyright")) | F.contains(low, F.lit("(c)")) | F.contains(low, F.lit("©"))) & dated, F.lit("")).otherwise(out)
 
 
 def canonical_lines(text: Column) -> Column:
@@ -194,7 +201,7 @@ sources AS (SELECT 'd' AS kind, doc_id AS id, coalesce(text, '') AS text FROM do
 cut AS (SELECT kind, id, string_split(text, chr(10)) AS raw FROM sources),
 canon AS (
   SELECT kind, id, list_transform(raw, lambda x: CASE
-    WHEN regexp_matches(lower(x), '{COPYRIGHT}') THEN ''
+    WHEN regexp_matches(lower(x), '{COPYRIGHT}') OR (regexp_matches(x, '{OWNER}') AND NOT regexp_matches(lower(x), '{SENTENCE}')) THEN ''
     ELSE array_to_string(list_transform(list_filter(string_split_regex(lower(x), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: coalesce(one[w], w)), ' ') END) AS lines
   FROM cut, spelling),
 pieces AS (

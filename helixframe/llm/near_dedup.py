@@ -470,15 +470,16 @@ def groups(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component, the one of the least doc_id; rows with a null doc_id stay. The columns stay."""
+    """docs with one document of each component, the one of the least doc_id (of its rows the one of the least text); rows with a null doc_id stay. The columns stay."""
     own, back = shielded(docs, "doc_id", "text")
     found = groups(own, size, percent).filter("doc_id is not null").groupBy(F.col("doc_id").alias("__doc")).agg(F.count("*").alias("__n"), F.max("kept").alias("__kept"))
     gone = written(found.filter("not __kept or __n > 1"), "gone")
     rows = own.join(_broadcast(gone), own["doc_id"].cast("long") == F.col("__doc"), "left").filter("__kept is null or __kept")
     if gone.filter("__kept").isEmpty():
         return back(rows)
-    repeated = rows.filter("__kept").dropDuplicates(["doc_id"])
-    return back(rows.filter("__kept is null").unionByName(repeated))
+    row = F.struct(*own.columns)
+    one = rows.filter("__kept").groupBy(F.col("doc_id").alias("__one")).agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("__row"))
+    return back(rows.filter("__kept is null").select(*own.columns).unionByName(one.select("__row.*")))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -467,6 +467,16 @@ def test_licences_are_found_in_changed_form(spark):
     assert all(got[k] == name for k, name, _ in rows) and all(v is None for k, v in got.items() if k >= 1000)
 
 
+def test_copyright_lines_without_a_year(spark):
+    """Owners go, with and without a year; the licences' own lines that begin with the word stay."""
+    name, body = next((n, t) for n, t in licenses.TEXTS if "Permission is hereby granted" in t and len(t) > 600)
+    owners = ["Copyright Jane Doe", "Copyright (c) 2020 Jane Doe", "Copyright The Acme Co. and Others", "Copyright by Jane van Doe <jane@doe.example>", "  Copyright The Regents of the University"]
+    lines = ["Copyright holders be liable", "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM", "copyright jane doe", "Copyright notice and this permission", "Copyright law is hard", "COPYRIGHT JANE DOE"]
+    docs = spark.createDataFrame([(k, f"{x}\n\n{body}") for k, x in enumerate(owners + lines)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(docs).collect()}
+    assert sorted(got) == list(range(11)) and all(got[k] == (name if k < 5 else None) for k in got)
+
+
 def test_notices_in_blocks_and_over_two_lines(spark):
     grant = licenses._MIT_GRANT.split()
     block = "\n".join("// " + " ".join(grant[k : k + 9]) for k in range(0, len(grant), 9))

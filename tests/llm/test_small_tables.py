@@ -80,6 +80,8 @@ def test_stages_take_effect(spark, tmp_path):
     assert cleaned[0].startswith("Privacy notice\n") and cleaned[7].startswith("unique body number 7")
     kept = sorted(r.doc_id for r in stages["MinHash near-dedup"](spark, docs, "").collect() if r.doc_id >= 20)
     assert kept == [20]
+    several = spark.createDataFrame([row(30, t, s) for t, s in (("b text of more words here", "z"), ("a text of more words here", "y"), ("a text of more words here", "x"))], SCHEMA).repartition(3)
+    assert [(r.text, r.source) for r in stages["MinHash near-dedup"](spark, several, "").collect()] == [("a text of more words here", "x")]
     assert all("hunter" not in r.text for r in stages["secret scans"](spark, docs, "").collect())
 
 

@@ -218,7 +218,16 @@ def constructs(spark, sf_dir):
     return reads(spark, sf_dir).select("read_id", F.when(k % 3 == 0, dna.reverse_complement(whole)).otherwise(whole).alias("seq"), F.repeat(F.lit("I"), F.length(whole)).alias("qual"))
 
 
-@query("d24_anchored_windows")
+_NEAR = "SELECT min(1000 * levenshtein(substr({t}, e - n + 1, n), '{p}') + e) FROM (SELECT unnest(range(1, length({t}) + 1)) AS e), unnest([10, 11, 12, 13, 14]) AS l(n) WHERE n <= e"
+
+
+@query("d24_anchored_windows", f"""WITH {READS}, made AS (SELECT read_id, substr(seq, 40, 6) || CASE WHEN read_id % 5 = 0 THEN 'ACGTTGCTAGCT' WHEN read_id % 7 = 0 THEN 'ACGTTGCAGCT' ELSE '{LEFT}' END || substr(seq, 1, 18) || '{RIGHT}' || substr(seq, 50, 4) AS w FROM reads),
+cut AS (SELECT read_id, CASE WHEN read_id % 11 = 0 THEN substr(w, 1, 20) ELSE w END AS w FROM made),
+strands AS (SELECT read_id, unnest(['+', '-']) AS strand, unnest(CASE WHEN read_id % 3 = 0 THEN [reverse(translate(w, 'ACGT', 'TGCA')), w] ELSE [w, reverse(translate(w, 'ACGT', 'TGCA'))] END) AS t FROM cut),
+placed AS (SELECT read_id, strand, t, ({_NEAR.format(t='t', p=LEFT)}) AS best FROM strands),
+one AS (SELECT read_id, CASE WHEN best < 3000 THEN strand ELSE '?' END AS strand, CASE WHEN best < 3000 THEN substr(t, best % 1000 + 1, 18) END AS "window", CASE WHEN best < 3000 THEN substr(t, best % 1000 + 19, 12) ELSE '' END AS after
+  FROM placed QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY best >= 3000, strand) = 1)
+SELECT read_id, strand, "window", CASE WHEN strand = '?' THEN 'no_left_anchor' WHEN length("window") < 18 THEN 'short_window' WHEN coalesce(({_NEAR.format(t='after', p=RIGHT)}), 9000) < 3000 THEN 'direct' ELSE 'indel_in_right_window' END AS status FROM one""")
 def windows(spark, sf_dir):
     got = fuzzy.anchored_windows(constructs(spark, sf_dir), "seq", "qual", LEFT, RIGHT, 18, 2)
     return got.select("read_id", "strand", "status", "window")
@@ -416,7 +425,13 @@ def binned(spark, sf_dir):
 
 
 
-@query("x31_equilibration")
+@query("x31_equilibration", """WITH s AS (SELECT series, list(value ORDER BY event_id) AS v FROM (SELECT concat_ws('-', user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT)) AS series, event_id, value FROM events) GROUP BY 1),
+x AS (SELECT series, v, start, list_slice(v, start + 1, len(v)) AS x FROM (SELECT series, v, unnest(CASE WHEN len(v) > 2 AND list_max(v) > list_min(v) THEN range(0, len(v) - 2, greatest(1, len(v) // 20)) ELSE [0] END) AS start FROM s)),
+d AS (SELECT series, start, len(v) AS n, len(x) AS k, list_transform(x, lambda y: y - list_avg(x)) AS d FROM x),
+lags AS (SELECT *, list_sum(list_transform(range(1, k - t + 1), lambda i: d[i] * d[i + t])) / nullif((k - t) * list_avg(list_transform(d, lambda y: y * y)), 0) AS c FROM (SELECT *, unnest(range(1, k - 1)) AS t FROM d)),
+stops AS (SELECT series, start, coalesce(min(t) FILTER (WHERE t > 3 AND c <= 0), 1e9) AS stop FROM lags GROUP BY 1, 2),
+g AS (SELECT d.series, d.start, d.n, greatest(1, 1 + 2 * coalesce(sum(c * (1 - t / l.k)) FILTER (WHERE t < stop), 0)) AS g FROM d LEFT JOIN lags l USING (series, start) LEFT JOIN stops USING (series, start) GROUP BY 1, 2, 3)
+SELECT series, start, round(g, 6) AS g, round((n - start) / g, 6) AS n_effective FROM g QUALIFY row_number() OVER (PARTITION BY series ORDER BY round((n - start) / g, 9) DESC, start) = 1""")
 def equilibration(spark, sf_dir):
     """Where the values of each user's day settle."""
     rows = table(spark, sf_dir, "events").select(F.concat_ws("-", "user_id", F.floor(F.unix_timestamp("ts") / 86400)).alias("series"), "event_id", "value")

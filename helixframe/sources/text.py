@@ -6,6 +6,7 @@ where the format allows it, so that files split and no line numbers are needed.
 
 from __future__ import annotations
 
+import csv
 import json
 from collections.abc import Mapping, Sequence
 from itertools import accumulate
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from helixframe.operators.columns import fixed
 from helixframe.operators.relational import numbered, running_before
 from helixframe.sources.fastq import FastqSource
+from helixframe.sources.quoted import read_rows
 
 
 def read_fasta(spark: SparkSession, path: str, upper: bool = True, aligned: bool = False, strict: bool = True) -> DataFrame:
@@ -109,7 +111,7 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*(F.get(f, F.lit(k)).cast(t).alias(n) for n, (k, t) in pick.items()))
 
 
-def read_csv(spark: SparkSession, path: str, comments: str = "lines", drop_empty: bool = True, header: str | None = None, multi_line: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, comments: str = "lines", drop_empty: bool = True, header: str | None = None, multi_line: bool = False, range_bytes: int = 64 << 20) -> DataFrame:
     """CSV of strings with a header, tolerant of metadata.
 
     The header is the first line of the first file by name, or given for files of
@@ -118,14 +120,18 @@ def read_csv(spark: SparkSession, path: str, comments: str = "lines", drop_empty
     those before a file's first other line, `anywhere` cuts each line at its first #.
     Trailing commas go; columns without a name or (with drop_empty) without any value
     are dropped. With `multi_line`, quoted fields may hold line feeds; each file then
-    has its header and is read by one task, and only `lines` is understood.
+    has its header and is read in ranges of `range_bytes`, and only `lines` is understood.
     """
     if multi_line:
         if comments != "lines" or header is not None:
             raise ValueError("multi_line reads files with their own headers and comment lines")
-        rows = spark.read.option("multiLine", True).option("header", True).option("comment", "#").option("escape", '"').csv(path)
-        rows = rows.toDF(*(n if n.strip() and not n.startswith("_c") else f"Unnamed: {k}" for k, n in enumerate(rows.columns)))
-        names = rows.columns
+        found = read_rows(spark, path, range_bytes)
+        first = found.groupBy("file").agg(F.min_by("fields", "at").alias("header"), F.min("at").alias("first"))  # a row a file
+        top = first.agg(F.min_by("header", "file")).first()[0]
+        if top is None:
+            raise ValueError(f"{path} has no header")
+        names = [n if n.strip() else f"Unnamed: {k}" for k, n in enumerate(top)]
+        rows = found.join(F.broadcast(first.select("file", "first")), "file").filter("at > first").select(*(F.get("fields", F.lit(k)).alias(n) for k, n in enumerate(names)))
     else:
         value = F.regexp_replace("value", "^\\uFEFF", "")
         if comments == "anywhere":
@@ -140,8 +146,8 @@ def read_csv(spark: SparkSession, path: str, comments: str = "lines", drop_empty
             header = placed.filter(top).agg(F.min_by("value", "__file")).first()[0]
             if header is None:
                 raise ValueError(f"{path} has no header")
-        names = [n.strip().strip('"') or f"Unnamed: {k}" for k, n in enumerate(header.split(","))]
-        schema = ", ".join(f"`{n}` string" for n in names)
+        names = [n.strip() or f"Unnamed: {k}" for k, n in enumerate(next(csv.reader([header], skipinitialspace=True)))]
+        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
         before = noted & (F.col("__block") == 0) & (F.col("__id") < F.col("__first"))
         keep = ~(top & (F.col("value") == header)) & ~F.coalesce(before, F.lit(False))
         # The value hangs on both sides of the join, so that no filter on it is moved to before this one and sees a header.

@@ -591,6 +591,27 @@ def test_fastq(spark, tmp_path):
         text.read_fastq(spark, write(tmp_path, "b.fastq", "@r1\nACGT\n+\nII\n")).collect()
 
 
+def test_quoted_line_feeds_in_ranges(spark, tmp_path):
+    """One file of many ranges as by the reader that takes it whole: line feeds, commas, doubled quotes and number signs in quotes, comment lines with a quote, both line ends."""
+    r = random.Random(6)
+    cell = lambda: r.choice(["a", "b c", "", '"x,y"', '"two\nlines"', '"say ""hi"""', '"\n# no comment\n"', '"a\n\n\nb"', "é"])
+    lines = ['id,"name, long",n,']
+    for k in range(400):
+        lines += ['# it"s a note'] if k % 17 == 0 else [] if k % 29 else ["", "  # another"]
+        lines.append(f"{k},{cell()},{cell()}," if k % 5 else f"{k},{cell()}")
+    path = write(tmp_path, "q.csv", "\n".join(lines) + "\n")
+    whole = spark.read.option("multiLine", True).option("header", True).option("comment", "#").option("escape", '"').csv(write(tmp_path, "plain.csv", "\n".join(x for x in lines if not x.strip().startswith("# ") or "\n" in x) + "\n"))
+    want = sorted(((x[0], x[1] or None, x[2] or None) for x in whole.collect()), key=str)
+    assert len(want) == 400
+    for size in (13, 64, 1000, 1 << 20):
+        got = text.read_csv(spark, path, multi_line=True, range_bytes=size)
+        assert got.columns == ["id", "name, long", "n"]
+        assert sorted(map(tuple, got.collect()), key=str) == want
+        assert size > 10_000 or got.rdd.getNumPartitions() > 1
+    plain = text.read_csv(spark, write(tmp_path, "h.csv", 'id,"name, long",n\n1,x,2\n'))
+    assert plain.columns == ["id", "name, long", "n"] and tuple(plain.first()) == ("1", "x", "2")
+
+
 def test_fastq_in_ranges(spark, tmp_path):
     """Equal rows for any range, also with qualities that begin with @ or +, empty reads, line ends of two bytes and a compressed file; bad records name their byte."""
     r = random.Random(4)

@@ -1,13 +1,11 @@
-"""Clustering: directional clusters of counts, medoids, Ward's method on cells, greedy removal of overlaps."""
+"""Clustering: directional clusters of counts, medoids, Ward's method on cells, length buckets."""
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -243,30 +241,6 @@ def ward_of_cells(df: DataFrame, key: str, features: Sequence[str], cells: int =
     return df.join(placed(-best).select(key, "cluster"), key)
 
 
-def without_overlaps(df: DataFrame, by: str, start: str, end: str, score: str, share: float = 0.5) -> DataFrame:
-    """Candidates of each key by falling score, without those that overlap a kept one by `share` of the shorter of the two.
-
-    Rows stream by key and score; only the kept spans of the current key are held,
-    sorted by their starts, and those that can reach a candidate are looked at.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, kept, longest = None, [], 0
-        for pdf in batches:
-            rows = []
-            for i, (k, a, b) in enumerate(zip(pdf[by].tolist(), pdf[start].tolist(), pdf[end].tolist(), strict=True)):
-                if k != key:
-                    key, kept, longest = k, [], 0
-                near = kept[bisect_left(kept, (a - longest,)) : bisect_right(kept, (b + 1,))]
-                if all(min(b, d) - max(a, c) + 1 < share * min(b - a + 1, d - c + 1) for c, d in near):
-                    insort(kept, (a, b))
-                    longest = max(longest, b - a + 1)
-                    rows.append(i)
-            yield pdf.iloc[rows]
-
-    return df.repartition(by).sortWithinPartitions(by, F.desc(score), start, end).mapInPandas(run, df.schema)
-
-
 def oversampled(df: DataFrame, length: str, first: int = 155, last: int = 1199, step: int = 116, key: str = "id") -> DataFrame:
     """df with bucket, part (train, valid, test by 60/20/20) and copies: train rows repeat so that each length bucket weighs about as much as the largest whole one.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.functions import dna
-from helixframe.operators import agglomeration, clusters, expansion, fuzzy, power, trajectory
+from helixframe.operators import agglomeration, clusters, expansion, fuzzy, intervals, power, trajectory
 from helixframe.plans.core import HEX, PROTEINS, READS, SAM, SUBSTITUTED, alignments, proteins, query, r9, reads, substituted, table
 from helixframe.plans.sequences import _TAG
 
@@ -80,6 +80,33 @@ def components(spark, sf_dir):
 _SPAN = "least(k.e, x[1].e) - greatest(k.s, x[1].s) + 1 >= 0.5 * least(k.e - k.s + 1, x[1].e - x[1].s + 1)"
 
 
+_TERMS = "t AS (SELECT l_suppkey, l_orderkey, l_linenumber, s, s + CAST(l_quantity AS BIGINT) AS e FROM (SELECT *, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS s FROM lineitem))"
+
+
+def terms(spark, sf_dir):
+    """l_suppkey, l_orderkey, l_linenumber, start, end: days from each item's delivery until it is used up, a piece a day."""
+    day = F.unix_date(F.to_date("l_shipdate")).cast("long")
+    return table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", day.alias("start"), (day + F.col("l_quantity").cast("long")).alias("end"))
+
+
+@query("j9_interval_join", f"WITH {_TERMS} SELECT x.l_suppkey, count(*) AS pairs, CAST(sum(least(x.e, y.e) - greatest(x.s, y.s) + 1) AS BIGINT) AS days FROM t x JOIN t y ON x.l_suppkey = y.l_suppkey AND x.s <= y.e AND y.s <= x.e AND (x.l_orderkey, x.l_linenumber) < (y.l_orderkey, y.l_linenumber) GROUP BY 1")
+def interval_join(spark, sf_dir):
+    """Items of a supplier that were in use at the same time, and for how many days together."""
+    name = lambda side: F.struct(f"{side}.l_orderkey", f"{side}.l_linenumber")
+    t = terms(spark, sf_dir)
+    pairs = intervals.overlapping(t, t, ["l_suppkey"]).filter(name("left") < name("right"))
+    common = F.least("left.end", "right.end") - F.greatest("left.start", "right.start") + 1
+    return pairs.groupBy("left.l_suppkey").agg(F.count("*").alias("pairs"), F.sum(common).alias("days"))
+
+
+@query("j9_within_join", f"WITH {_TERMS} SELECT x.l_suppkey, count(*) AS pairs FROM t x JOIN t y ON x.l_suppkey = y.l_suppkey AND x.s <= y.s AND y.e <= x.e AND NOT (x.l_orderkey = y.l_orderkey AND x.l_linenumber = y.l_linenumber) GROUP BY 1")
+def within_join(spark, sf_dir):
+    """Items of a supplier that were in use while another one was."""
+    t = terms(spark, sf_dir)
+    other = ~((F.col("left.l_orderkey") == F.col("right.l_orderkey")) & (F.col("left.l_linenumber") == F.col("right.l_linenumber")))
+    return intervals.overlapping(t, t, ["l_suppkey"], within=True).filter(other).groupBy("left.l_suppkey").agg(F.count("*").alias("pairs"))
+
+
 @query("j9_without_overlaps", f"""WITH {PROTEINS}, f AS (SELECT protein_id, first AS start, n AS len, substr(p.seq, CAST(first AS INTEGER), CAST(n AS INTEGER)) AS seq FROM proteins p, unnest([20, 30]) AS l(n), unnest(range(1, 64 - n + 2)) AS t(first)),
 scored AS (SELECT protein_id, CAST(start AS INTEGER) AS s, CAST(start + len - 1 AS INTEGER) AS e, round({_TAG}, 9) AS score FROM f),
 ranked AS (SELECT protein_id, list([{{'s': s, 'e': e, 'score': score}}] ORDER BY score DESC, s, e) AS c FROM scored GROUP BY 1),
@@ -89,7 +116,7 @@ def overlaps(spark, sf_dir):
     """Fragments of each protein by score, without those half covered by a better one."""
     frags = expansion.scored_fragments(proteins(spark, sf_dir).select("protein_id", "seq"), "seq", (20, 30))
     scored = frags.select("protein_id", "start", (F.col("start") + F.col("len") - 1).alias("end"), r9("score").alias("score"))
-    return clusters.without_overlaps(scored, "protein_id", "start", "end", "score")
+    return intervals.without_overlaps(scored, "protein_id", "start", "end", "score")
 
 
 # --- expansion and simulation -------------------------------------------

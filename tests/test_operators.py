@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.table_functions import register_table_functions
 from helixframe.functions.tables import IUPAC
-from helixframe.operators import agglomeration, calling, clusters, columns, expansion, fuzzy, graph, models, order, power, profiles, relational, sketches, statistics, trajectory
+from helixframe.operators import agglomeration, calling, clusters, columns, expansion, fuzzy, graph, intervals, models, order, power, profiles, relational, sketches, statistics, trajectory
 from helixframe.sources import fastq, text
 
 
@@ -302,13 +302,33 @@ def test_overlap_removal_equals_the_plain_loop(spark):
             if all(min(b, d) - max(a, c) + 1 < 0.5 * min(b - a + 1, d - c + 1) for c, d in kept):
                 kept.append((a, b))
                 want.append((key, a, b, s))
-    got = clusters.without_overlaps(spark.createDataFrame(rows, "p string, a int, b int, s double").repartition(4), "p", "a", "b", "s")
-    assert sorted(tuple(x) for x in got.collect()) == sorted(want)
+    df = spark.createDataFrame(rows, "p string, a int, b int, s double").repartition(4)
+    for hot, rounds in ((1000, 12), (10, 12), (10, 1), (300, 0)):
+        got = intervals.without_overlaps(df, "p", "a", "b", "s", hot=hot, rounds=rounds)
+        assert sorted(tuple(x) for x in got.collect()) == sorted(want)
+    ladder = spark.createDataFrame([("p", 10 * k, 10 * k + 19, float(k)) for k in range(60)], "p string, a int, b int, s double")  # a chain of ever better ones
+    want = {(x.a, x.b) for x in intervals.without_overlaps(ladder, "p", "a", "b", "s").collect()}
+    assert {(x.a, x.b) for x in intervals.without_overlaps(ladder, "p", "a", "b", "s", hot=5, rounds=2).collect()} == want == {(10 * k, 10 * k + 19) for k in range(59, 0, -2)}
+
+
+def test_span_joins_equal_all_pairs(spark):
+    """Spans of one position to thousands, at and below 0, with nulls and empty ones."""
+    r = random.Random(12)
+    spans = lambda n: [(r.choice("ab"), a, a + r.choice([0, 0, 1, 5, 63, 64, 1000, 5000, -1])) for _ in range(n) for a in [r.randint(-3000, 3000)]] + [("a", None, 5), ("c", 1, 2)]
+    x, y = spans(150), spans(120)
+    left, right = (spark.createDataFrame(v, "k string, start int, end int") for v in (x, y))
+    real = lambda p: p[1] is not None and p[1] <= p[2]
+    meet = [(p, q) for p in x for q in y if p[0] == q[0] and real(p) and real(q) and p[1] <= q[2] and q[1] <= p[2]]
+    got = [(tuple(v.left), tuple(v.right)) for v in intervals.overlapping(left, right, ["k"]).collect()]
+    assert sorted(got) == sorted(meet)
+    got = [(tuple(v.left), tuple(v.right)) for v in intervals.overlapping(left, right, ["k"], within=True).collect()]
+    assert sorted(got) == sorted((p, q) for p, q in meet if p[1] <= q[1] and q[2] <= p[2])
+    assert intervals.overlapping(left.filter("false"), right.filter("false"), ["k"]).isEmpty()
 
 
 def test_overlap_removal(spark):
     rows = spark.createDataFrame([("p", 1, 20, 9.0), ("p", 10, 29, 8.0), ("p", 15, 34, 7.0), ("q", 1, 20, 1.0)], "p string, a int, b int, s double")
-    got = sorted((r.p, r.a) for r in clusters.without_overlaps(rows, "p", "a", "b", "s").collect())
+    got = sorted((r.p, r.a) for r in intervals.without_overlaps(rows, "p", "a", "b", "s").collect())
     assert got == [("p", 1), ("p", 15), ("q", 1)]
 
 

@@ -127,6 +127,12 @@ def resolve_for_mapping(design: str, original: str) -> str:
     return "".join(o if o in IUPAC[d] else min(IUPAC[d]) for d, o in zip(design, original, strict=True))
 
 
+def mapping_reference(original: Column, design: str) -> Column:
+    """resolve_for_mapping for a column of originals; an original that is too short gives the first allowed base."""
+    base = lambda k: F.substring(original, k, 1)
+    return F.concat(*(F.when(F.contains(F.lit(IUPAC[d]), base(k)) & (base(k) != ""), base(k)).otherwise(F.lit(min(IUPAC[d]))) for k, d in enumerate(design, 1)))
+
+
 def design_space(design: str) -> int:
     """How many sequences a design stands for."""
     n = 1

@@ -6,12 +6,15 @@ that they don't depend on partitions or retries.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from functools import reduce
 from itertools import count as count_from
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from helixframe.functions import dna, protein
 from helixframe.functions.tables import CONSERVATIVE, HYDROPATHY, IUPAC, PKA_TAG, RESIDUES
@@ -34,24 +37,43 @@ def fragments(df: DataFrame, seq: str, lengths: Iterable[int]) -> DataFrame:
     return starts.withColumn("fragment", F.substr(F.col(seq), F.col("start"), F.col("len")))
 
 
+FRAGMENTS = 200_000  # rows of a batch
+
+
 def scored_fragments(df: DataFrame, seq: str, lengths: Iterable[int]) -> DataFrame:
-    """df with start, len and the tag score of every fragment, from running sums of each sequence: a fragment costs two differences, not its length."""
+    """df with len, start and the tag score of every fragment, from running sums of each sequence: a fragment costs two differences, not its length."""
     ph, pka = 7.4, PKA_TAG
-    charge = {r: (1 if r in "HKR" else -1) / (1 + 10 ** (ph - pka[r] if r in "HKR" else pka[r] - ph)) for r in "DECYHKR"}
     ends = 1 / (1 + 10 ** (ph - pka["N_TERM"])) - 1 / (1 + 10 ** (pka["C_TERM"] - ph))
-    cells = F.create_map(*[x for r in RESIDUES for x in (F.lit(r), F.struct(F.lit(HYDROPATHY[r]).alias("h"), F.lit(charge.get(r, 0.0)).alias("q"), F.lit(float(r == "C")).alias("c")))])
-    zero = F.array(F.struct(F.lit(0.0).alias("h"), F.lit(0.0).alias("q"), F.lit(0.0).alias("c")))
-
-    def step(acc: Column, x: Column) -> Column:
-        last, v = F.element_at(acc, -1), F.try_element_at(cells, x)
-        return F.array_append(acc, F.struct(*((last[k] + F.coalesce(v[k], F.lit(0.0))).alias(k) for k in "hqc")))
-
-    rows = df.withColumn("__sums", F.aggregate(dna.characters(F.col(seq)), zero, step))
-    rows = rows.withColumn("len", F.explode(F.array(*map(F.lit, lengths)))).filter(F.length(seq) >= F.col("len"))
-    rows = rows.withColumn("start", F.explode(F.sequence(F.lit(1), F.length(seq) - F.col("len") + 1)))
-    a, b = F.get("__sums", F.col("start") - 1), F.get("__sums", F.col("start") + F.col("len") - 1)
-    score = -2 * (b["h"] - a["h"]) / F.col("len") + 10 * F.abs(F.lit(ends) + b["q"] - a["q"]) / F.col("len") - 2 * (b["c"] - a["c"])
-    return rows.withColumn("score", score).drop("__sums")
+    values = np.zeros((256, 3))  # hydropathy, charge, cysteines of a residue; others count nothing
+    for r in RESIDUES:
+        values[ord(r), 0] = HYDROPATHY[r]
+    for r in "DECYHKR":
+        values[ord(r), 1] = (1 if r in "HKR" else -1) / (1 + 10 ** (ph - pka[r] if r in "HKR" else pka[r] - ph))
+    values[ord("C"), 2] = 1
+    some, names = list(lengths), [*df.columns, "len", "start", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, lens, starts, scores, held = [], [], [], [], 0
+            for k, s in enumerate(batch.column(seq).to_pylist()):
+                codes = np.frombuffer((s or "").encode("ascii", "replace"), np.uint8)
+                h, q, c = np.concatenate([np.zeros((1, 3)), np.cumsum(values[codes], axis=0)]).T
+                for n in some:
+                    many = len(codes) - n + 1
+                    if many > 0 and s is not None:
+                        a, b = slice(0, many), slice(n, n + many)
+                        scores.append(-2 * (h[b] - h[a]) / n + 10 * np.abs(ends + q[b] - q[a]) / n - 2 * (c[b] - c[a]))
+                        rows.append(np.full(many, k))
+                        lens.append(np.full(many, n, np.int32))
+                        starts.append(np.arange(1, many + 1, dtype=np.int32))
+                        held += many
+                if held and (held > FRAGMENTS or k + 1 == batch.num_rows):
+                    at = pa.array(np.concatenate(rows))
+                    yield pa.RecordBatch.from_arrays([*(x.take(at) for x in batch.columns), *(pa.array(np.concatenate(x)) for x in (lens, starts, scores))], names)
+                    rows, lens, starts, scores, held = [], [], [], [], 0
+
+    schema = StructType([*df.schema.fields, StructField("len", IntegerType()), StructField("start", IntegerType()), StructField("score", DoubleType())])
+    return df.mapInArrow(run, schema)
 
 
 def single_position_scan(df: DataFrame, seq: str, regions: str, groups: Mapping[str, str] = CONSERVATIVE) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.functions import dna
+from helixframe.functions.tables import IUPAC
 from helixframe.operators import agglomeration, clusters, expansion, fuzzy, intervals, power, trajectory
 from helixframe.plans.core import HEX, PROTEINS, READS, SAM, SUBSTITUTED, alignments, proteins, query, r9, reads, substituted, table
 from helixframe.plans.sequences import _TAG
 
 _HAPS = f"{SUBSTITUTED}, haps AS (SELECT sample, seq AS hap, count(*) AS n FROM substituted GROUP BY 1, 2)"
+MAPPED = "NNKRYSWM" * 8
 CENTRES = ("ACGT" * 16, "T" * 64, "GGGCCC" * 10 + "ACTG")
 
 
@@ -263,15 +265,15 @@ def windows(spark, sf_dir):
 @query("d23_k14_w11_alignment_blocks")
 def blocks(spark, sf_dir):
     """Edit alignments of the two halves of each read, as text blocks."""
-    halves = reads(spark, sf_dir).select("read_id", F.substring("seq", 1, 24).alias("a"), F.substring("seq", 3, 24).alias("b"))
+    halves = reads(spark, sf_dir).select("read_id", F.substring("seq", 1, 32).alias("a"), F.substring("seq", 33, 32).alias("b"))
     return fuzzy.alignment_blocks(fuzzy.aligned(halves, "a", "b"), 10).select("read_id", "distance", "block", "line_top", "line_marks", "line_bottom", "end_top", "end_bottom")
 
 
-@query("d23_edit_distances", f"WITH {SUBSTITUTED} SELECT read_id, CAST(levenshtein(substr(seq, 1, 40), substr(seq, 3 + read_id % 5, 40)) AS INTEGER) AS distance FROM substituted")
+@query("d23_edit_distances", f"WITH {SUBSTITUTED} SELECT read_id, CAST(levenshtein(seq, substr(seq, 3 + read_id % 5)) AS INTEGER) AS distance FROM substituted")
 def edit_distances(spark, sf_dir):
-    """Edit distances between stretches of each read that overlap."""
+    """Edit distances of each read from what is left of it without its first bases."""
     s = F.col("seq")
-    pairs = substituted(spark, sf_dir).select("read_id", F.substring(s, 1, 40).alias("a"), F.substr(s, (3 + F.col("read_id") % 5).cast("int"), F.lit(40)).alias("b"))
+    pairs = substituted(spark, sf_dir).select("read_id", s.alias("a"), F.substr(s, (3 + F.col("read_id") % 5).cast("int"), F.lit(64)).alias("b"))
     return fuzzy.aligned(pairs, "a", "b").select("read_id", "distance")
 
 
@@ -407,6 +409,12 @@ def predictions(spark, sf_dir):
     return models.predicted(proteins(spark, sf_dir).select("protein_id", "seq"), "seq", "alanine", load).select("protein_id", r9("alanine").alias("alanine"))
 
 
+@query("d20_mapping_reference", f"WITH {READS} SELECT read_id, " + " || ".join(f"CASE WHEN contains('{IUPAC[d]}', substr(seq, {k}, 1)) THEN substr(seq, {k}, 1) ELSE '{min(IUPAC[d])}' END" for k, d in enumerate(MAPPED, 1)) + " AS reference FROM reads")
+def mapping_reference(spark, sf_dir):
+    """A concrete reference for a design from each read as the original."""
+    return reads(spark, sf_dir).select("read_id", dna.mapping_reference(F.col("seq"), MAPPED).alias("reference"))
+
+
 @query("q22_to_real", """WITH p AS (SELECT event_id, user_id % 3 AS model, (value - 55) / 40 AS y FROM events), l AS (SELECT * FROM (VALUES (0, 0.35, 3.5, 2.25), (1, 0.0, 0.5, 1.5), (2, 2.0, -0.25, 0.75)) AS t(model, e, m, d)),
 r AS (SELECT event_id, e, CAST(y * d + m AS DOUBLE) AS z FROM p JOIN l USING (model))
 SELECT event_id, round(CASE WHEN z >= 0 THEN CASE WHEN e = 0 THEN exp(z) - 1 WHEN e * z > -1 THEN pow(e * z + 1, 1 / e) - 1 END ELSE CASE WHEN e = 2 THEN 1 - exp(-z) WHEN (e - 2) * z > -1 THEN 1 - pow(1 - (2 - e) * z, 1 / (2 - e)) END END, 6) AS real FROM r""")

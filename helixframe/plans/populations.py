@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from helixframe.functions import dna
 from helixframe.operators import order, profiles, relational, sketches, statistics
 from helixframe.operators.graph import written
-from helixframe.plans.core import ALIGNMENT, CELLS, COUNTS, PROTEINS, alignment, proteins, query, r9, table, variant_counts
-from helixframe.plans.sequences import TRANSLATED, called
+from helixframe.plans.core import ALIGNMENT, CELLS, COUNTS, PROTEINS, SUBSTITUTED, alignment, proteins, query, r9, substituted, table, variant_counts
+from helixframe.plans.sequences import codons_sql
 
 BY = ["sample"]
 
@@ -145,17 +146,17 @@ def sweep(spark, sf_dir):
 # --- populations ---------------------------------------------------------
 
 
-@query("g8_w1_haplotypes", f"WITH {TRANSLATED}, h AS (SELECT sample, substr(seq, 1, 6) AS hap, count(*) AS n, min(read_id) AS first_seen FROM called GROUP BY 1, 2) SELECT sample, hap, n, CAST(row_number() OVER (PARTITION BY sample ORDER BY n DESC, first_seen) AS INTEGER) AS rank FROM h")
+@query("g8_w1_haplotypes", f"WITH {SUBSTITUTED}, h AS (SELECT sample, seq AS hap, count(*) AS n, min(read_id) AS first_seen FROM substituted GROUP BY 1, 2) SELECT sample, hap, n, CAST(row_number() OVER (PARTITION BY sample ORDER BY n DESC, first_seen) AS INTEGER) AS rank FROM h")
 def haplotypes(spark, sf_dir):
-    counts = called(spark, sf_dir).groupBy("sample", F.substring("seq", 1, 6).alias("hap")).agg(F.count("*").alias("n"), F.min("read_id").alias("first_seen"))
+    counts = substituted(spark, sf_dir).groupBy("sample", F.col("seq").alias("hap")).agg(F.count("*").alias("n"), F.min("read_id").alias("first_seen"))
     return relational.ranked(counts, "n", "first_seen", by=BY).drop("first_seen")
 
 
-@query("g9_protein_collapse", f"""WITH {TRANSLATED}, h AS (SELECT substr(aa, 1, 2) AS protein, substr(seq, 1, 6) AS hap, count(*) AS n FROM called GROUP BY 1, 2)
+@query("g9_protein_collapse", f"""WITH {SUBSTITUTED}, h AS (SELECT {codons_sql('seq', 63)} AS protein, seq AS hap, count(*) AS n FROM substituted GROUP BY 1, 2)
 SELECT protein, CAST(sum(n) AS BIGINT) AS reads, count(*) AS n_haplotypes, string_agg(hap, ';' ORDER BY n DESC, hap) AS haplotypes FROM h GROUP BY 1""")
 def collapse(spark, sf_dir):
     """Haplotypes of one protein, commonest first."""
-    h = called(spark, sf_dir).groupBy(F.substring("aa", 1, 2).alias("protein"), F.substring("seq", 1, 6).alias("hap")).agg(F.count("*").alias("n"))
+    h = substituted(spark, sf_dir).groupBy(dna.translate(F.col("seq")).alias("protein"), F.col("seq").alias("hap")).agg(F.count("*").alias("n"))
     parts = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "hap")))
     return h.groupBy("protein").agg(F.sum("n").alias("reads"), F.count("*").alias("n_haplotypes"), F.array_join(F.transform(parts, lambda x: x["hap"]), ";").alias("haplotypes"))
 

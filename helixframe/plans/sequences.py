@@ -17,11 +17,11 @@ def codons_sql(seq: str, n: int) -> str:
     return f"array_to_string(list_transform(range(1, {n} - 1, 3), lambda i: coalesce({_CODON_MAP}[substr({seq}, i, 3)], 'X')), '')"
 
 
-TRANSLATED = f"{READS}, called AS (SELECT *, {codons_sql('seq', 24)} AS aa FROM reads)"
+TRANSLATED = f"{READS}, called AS (SELECT *, {codons_sql('seq', 63)} AS aa FROM reads)"
 
 
 def called(spark, sf_dir):
-    return reads(spark, sf_dir).withColumn("aa", dna.translate(F.substring("seq", 1, 24)))
+    return reads(spark, sf_dir).withColumn("aa", dna.translate(F.col("seq")))
 
 
 @query(
@@ -105,32 +105,36 @@ def read_count(spark, sf_dir):
 
 @query(
     "d18_d22_differences",
-    f"""WITH {READS}, p AS (SELECT read_id, substr(seq, 1, 24) AS a, substr(seq, 33, 24) AS b, substr(seq, 1, 20) AS c FROM reads)
-SELECT read_id, array_to_string(list_filter(list_transform(range(1, 25), lambda i: CASE WHEN substr(a, i, 1) <> substr(b, i, 1) THEN substr(a, i, 1) || i || substr(b, i, 1) END), lambda x: x IS NOT NULL), ';') AS changes,
+    f"""WITH {READS}, p AS (SELECT read_id, substr(seq, 1, 32) AS a, substr(seq, 33) AS b, substr(seq, 1, 20) AS c FROM reads)
+SELECT read_id, array_to_string(list_filter(list_transform(range(1, 33), lambda i: CASE WHEN substr(a, i, 1) <> substr(b, i, 1) THEN substr(a, i, 1) || i || substr(b, i, 1) END), lambda x: x IS NOT NULL), ';') AS changes,
 hamming(a, b) AS strict, hamming(substr(b, 1, 20), c) AS truncated, levenshtein(a, b) AS edits FROM p""",
 )
 def differences(spark, sf_dir):
-    a, b, c = F.substring("seq", 1, 24), F.substring("seq", 33, 24), F.substring("seq", 1, 20)
+    """The two halves of each read, and the second one against a shorter piece."""
+    a, b, c = F.substring("seq", 1, 32), F.substring("seq", 33, 32), F.substring("seq", 1, 20)
     return reads(spark, sf_dir).select("read_id", dna.changes(a, b).alias("changes"), dna.hamming(a, b).cast("long").alias("strict"), dna.hamming(b, c, strict=False).cast("long").alias("truncated"), F.levenshtein(a, b).cast("long").alias("edits"))
 
 
-DESIGN = "NNKRYN"
+DESIGN = "NNN" * 9 + "NNKRYN" + "NHN" * 2 + "NNN" * 8 + "N"  # of a whole read
 
 
-@query("f12_design_conformity", f"WITH {READS} SELECT sample, count(*) AS n, count(*) FILTER (regexp_matches(substr(seq, 1, 6), '{dna.design_pattern(DESIGN)}')) AS conforming FROM reads GROUP BY 1")
+@query("f12_design_conformity", f"WITH {READS} SELECT sample, count(*) AS n, count(*) FILTER (regexp_matches(seq, '{dna.design_pattern(DESIGN)}')) AS conforming FROM reads GROUP BY 1")
 def conformity(spark, sf_dir):
-    ok = dna.conforms(F.substring("seq", 1, 6), DESIGN)
+    ok = dna.conforms(F.col("seq"), DESIGN)
     return reads(spark, sf_dir).groupBy("sample").agg(F.count("*").alias("n"), F.count_if(ok).alias("conforming"))
 
 
 _IUPAC_MAP = "map {" + ", ".join(f"'{c}': '{a}'" for c, a in IUPAC.items()) + "}"
 
 
+REPAIR = "N" * 20 + "ARNTCK" + "N" * 38
+
+
 @query(
     "f13_repair_by_quality",
     f"""WITH {READS}, cell AS (
-  SELECT read_id, sample, unnest(range(1, 7)) AS i, unnest(string_split(substr(seq, 1, 6), '')) AS b, unnest(list_transform(string_split(substr(qual, 1, 6), ''), lambda c: ascii(c) - 33)) AS q,
-         unnest(list_transform(string_split('ARNTCK', ''), lambda d: {_IUPAC_MAP}[d])) AS allowed FROM reads
+  SELECT read_id, sample, unnest(range(1, 65)) AS i, unnest(string_split(seq, '')) AS b, unnest(list_transform(string_split(qual, ''), lambda c: ascii(c) - 33)) AS q,
+         unnest(list_transform(string_split('{REPAIR}', ''), lambda d: {_IUPAC_MAP}[d])) AS allowed FROM reads
 ), judged AS (
   SELECT *, NOT contains(allowed, b) AS misfit, CASE WHEN NOT contains(allowed, b) THEN CASE WHEN q >= 30 THEN 'confident_mismatch' WHEN length(allowed) > 1 THEN 'ambiguous_low_quality' END END AS why FROM cell
 ), per AS (
@@ -138,19 +142,19 @@ _IUPAC_MAP = "map {" + ", ".join(f"'{c}': '{a}'" for c, a in IUPAC.items()) + "}
 SELECT coalesce(reason, 'kept') AS reason, CASE WHEN reason IS NULL THEN fixed END AS repaired, count(*) AS n FROM per GROUP BY 1, 2""",
 )
 def repair(spark, sf_dir):
-    got = filters.repaired(F.substring("seq", 1, 6), F.substring("qual", 1, 6), "ARNTCK", IUPAC)
+    got = filters.repaired(F.col("seq"), F.col("qual"), REPAIR, IUPAC)
     return reads(spark, sf_dir).select(F.coalesce(got["reason"], F.lit("kept")).alias("reason"), got["repaired"].alias("repaired")).groupBy("reason", "repaired").agg(F.count("*").alias("n"))
 
 
 @query(
     "f11_first_failing_position",
-    f"""WITH {READS}, cell AS (SELECT read_id, sample, unnest(range(1, 9)) AS i, unnest(list_transform(string_split(substr(qual, 1, 8), ''), lambda c: ascii(c) - 33)) AS q FROM reads),
+    f"""WITH {READS}, cell AS (SELECT read_id, sample, unnest(range(1, 65)) AS i, unnest(list_transform(string_split(qual, ''), lambda c: ascii(c) - 33)) AS q FROM reads),
 per AS (SELECT read_id, sample, min(i) FILTER (q < 5) AS pos FROM cell GROUP BY 1, 2)
 SELECT sample, CASE WHEN read_id % 60 < 20 THEN 'low_mapq' WHEN pos IS NOT NULL THEN 'low_baseq_' || pos ELSE 'assigned' END AS status, count(*) AS n FROM per GROUP BY 1, 2""",
 )
 def gates(spark, sf_dir):
     """Mapping quality first, then the first designed base below the limit."""
-    bases = F.transform(dna.phred(F.substring("qual", 1, 8)), lambda q, i: F.struct((i + 1).alias("position"), F.when(q < 5, F.concat(F.lit("low_baseq_"), i + 1)).alias("reason")))
+    bases = F.transform(dna.phred(F.col("qual")), lambda q, i: F.struct((i + 1).alias("position"), F.when(q < 5, F.concat(F.lit("low_baseq_"), i + 1)).alias("reason")))
     status = filters.quality_gate(bases, F.col("read_id") % 60, 20)
     return reads(spark, sf_dir).select("sample", status.alias("status")).groupBy("sample", "status").agg(F.count("*").alias("n"))
 
@@ -202,10 +206,10 @@ def quality_by_position(spark, sf_dir):
     return each.groupBy("sample", (F.col("at") + 1).alias("pos")).agg(F.sum("q").alias("quality_sum"), F.count("*").alias("n"))
 
 
-@query("g10_base_counts", f"""WITH {READS}, c AS (SELECT sample, unnest(range(1, 9)) AS pos, unnest(string_split(substr(seq, 1, 8), '')) AS b, unnest(list_transform(string_split(substr(qual, 1, 8), ''), lambda x: ascii(x) - 33)) AS q FROM reads)
+@query("g10_base_counts", f"""WITH {READS}, c AS (SELECT sample, unnest(range(1, 65)) AS pos, unnest(string_split(seq, '')) AS b, unnest(list_transform(string_split(qual, ''), lambda x: ascii(x) - 33)) AS q FROM reads)
 SELECT sample, CAST(pos AS INTEGER) AS pos, count(*) FILTER (b = 'A' AND q >= 8) AS "A", count(*) FILTER (b = 'C' AND q >= 8) AS "C", count(*) FILTER (b = 'G' AND q >= 8) AS "G", count(*) FILTER (b = 'T' AND q >= 8) AS "T", count(*) FILTER (q < 8) AS low_quality FROM c GROUP BY 1, 2""")
 def base_counts(spark, sf_dir):
-    cells = F.arrays_zip(dna.characters(F.substring("seq", 1, 8)).alias("b"), dna.phred(F.substring("qual", 1, 8)).alias("q"))
+    cells = F.arrays_zip(dna.characters(F.col("seq")).alias("b"), dna.phred(F.col("qual")).alias("q"))
     each = reads(spark, sf_dir).select("sample", F.posexplode(cells).alias("at", "x")).select("sample", (F.col("at") + 1).alias("pos"), "x.b", "x.q")
     good = F.col("q") >= 8
     return each.groupBy("sample", "pos").agg(*(F.count_if((F.col("b") == b) & good).alias(b) for b in "ACGT"), F.count_if(~good).alias("low_quality"))

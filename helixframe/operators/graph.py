@@ -36,7 +36,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-HUB = 1_000_000  # edges of a node that one task takes
+HUB = 1_000  # edges of a node that stay together in a task
 HUBS = 100_000  # nodes that may have more
 
 

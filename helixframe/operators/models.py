@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 MOST_TOKENS = 602
 FEW_NEUTRAL = 18
+AT_ONCE = 1024  # sequences, or orders of one
 
 
 def tokens(seq: Column, most: int = MOST_TOKENS) -> Column:
@@ -45,21 +46,24 @@ def long_predictions(df: DataFrame, models: dict[str, Callable]) -> DataFrame:
     return out
 
 
-def _asymmetry(sign: np.ndarray, blob: int) -> float:
-    """Mean squared difference of each blob's charge asymmetry from the whole sequence's."""
-    plus, minus = sign > 0, sign < 0
+def _asymmetries(sign: np.ndarray, blob: int) -> np.ndarray:
+    """Mean squared difference of each blob's charge asymmetry from the whole sequence's, for rows of one length."""
+
+    def sums(some: np.ndarray) -> np.ndarray:
+        total = np.cumsum(np.pad(some, ((0, 0), (1, 0))), axis=1)
+        return total[:, blob:] - total[:, :-blob]
 
     def sigma(p: np.ndarray, m: np.ndarray, n: float) -> np.ndarray:
         both = (p + m) / n
         return np.where(both > 0, ((p - m) / n) ** 2 / np.where(both > 0, both, 1), 0.0)
 
-    whole = sigma(np.array([plus.sum()]), np.array([minus.sum()]), len(sign))[0]
-    windows = np.lib.stride_tricks.sliding_window_view
-    return float(((sigma(windows(plus, blob).sum(1), windows(minus, blob).sum(1), blob) - whole) ** 2).mean())
+    plus, minus = (sign > 0).astype(np.int64), (sign < 0).astype(np.int64)
+    whole = sigma(plus.sum(1), minus.sum(1), sign.shape[1])
+    return ((sigma(sums(plus), sums(minus), blob) - whole[:, None]) ** 2).mean(1)
 
 
-def _delta(sign: np.ndarray) -> float:
-    return (_asymmetry(sign, 5) + _asymmetry(sign, 6)) / 2
+def _deltas(sign: np.ndarray) -> np.ndarray:
+    return (_asymmetries(sign, 5) + _asymmetries(sign, 6)) / 2
 
 
 @lru_cache(maxsize=100_000)
@@ -70,23 +74,42 @@ def _most_segregated(p: int, m: int, rest: int) -> float:
     is missing; else, as the published implementation has it, up to six of them in
     front and behind.
     """
-    most, bound = 0.0, rest if rest < FEW_NEUTRAL or not p or not m else 6
-    for a in range(bound + 1):
-        for b in range(min(rest - a, bound) + 1 if p and m else 1):
-            order = np.concatenate([np.zeros(a), np.ones(p), np.zeros(rest - a - b if p and m else 0), -np.ones(m), np.zeros(b if p and m else rest - a)])
-            most = max(most, _delta(order))
-    return most
+    bound = rest if rest < FEW_NEUTRAL or not p or not m else 6
+    ends = [(a, b) for a in range(bound + 1) for b in (range(min(rest - a, bound) + 1) if p and m else [rest - a])]
+    orders = np.zeros((len(ends), p + m + rest), np.int8)
+    for order, (a, b) in zip(orders, ends, strict=True):
+        order[a : a + p] = 1
+        order[len(order) - b - m : len(order) - b] = -1
+    return max(float(_deltas(orders[k : k + AT_ONCE]).max()) for k in range(0, len(orders), AT_ONCE))
+
+
+_SIGN = np.zeros(256, np.int8)
+_SIGN[[ord(c) for c in "KR"]], _SIGN[[ord(c) for c in "DE"]] = 1, -1
+
+
+def kappas(seqs: Sequence[str | None]) -> list[float | None]:
+    """Charge patterning (Das and Pappu 2013): the asymmetry over blobs of 5 and 6, as a share of the most segregated order of the same residues.
+
+    None for fewer than six residues or no charge. Sequences of one length are worked on together.
+    """
+    codes = [np.frombuffer((s or "").encode("ascii", "replace"), np.uint8) for s in seqs]
+    length = np.array([len(c) for c in codes])
+    out: list[float | None] = [None] * len(codes)
+    for n in np.unique(length[length >= 6]).tolist():
+        same = np.flatnonzero(length == n)
+        for k in range(0, len(same), AT_ONCE):
+            some = same[k : k + AT_ONCE]
+            sign = _SIGN[np.stack([codes[i] for i in some])]
+            delta, p, m = _deltas(sign), (sign > 0).sum(1).tolist(), (sign < 0).sum(1).tolist()
+            for i, d, a, b in zip(some.tolist(), delta.tolist(), p, m, strict=True):
+                if (a or b) and (most := _most_segregated(a, b, n - a - b)):
+                    out[i] = min(1.0, d / most)
+    return out
 
 
-def kappa_of(seq: str) -> float | None:
-    """Charge patterning (Das and Pappu 2013): the asymmetry over blobs of 5 and 6, as a share of the most segregated order of the same residues."""
-    sign = np.array([1 if r in "KR" else -1 if r in "DE" else 0 for r in seq or ""])
-    if len(sign) < 6 or not sign.any():
-        return None
-    p, m = int((sign > 0).sum()), int((sign < 0).sum())
-    most = _most_segregated(p, m, len(sign) - p - m)
-    return min(1.0, _delta(sign) / most) if most else None
+def kappa_of(seq: str | None) -> float | None:
+    return kappas([seq])[0]
 
 
 def kappa(seq: Column) -> Column:
-    return F.pandas_udf(lambda s: s.map(kappa_of), "double")(seq)
+    return F.pandas_udf(lambda s: pd.Series(kappas(s.where(s.notna(), None).tolist()), index=s.index, dtype="float64"), "double")(seq)

@@ -792,3 +792,27 @@ def test_csv_first_lines(spark, tmp_path):
     quoted.mkdir()
     write(quoted, "a.csv", '# made\nid,note\n1,"two\nlines"\n2,"a ""b"""\n')
     assert [tuple(r) for r in text.read_csv(spark, str(quoted), multi_line=True).collect()] == [("1", "two\nlines"), ("2", 'a "b"')]
+
+
+def test_kappas_equal_plain_windows():
+    """Charge patterning window by window, for sequences of mixed lengths at once."""
+
+    def asymmetry(sign, blob):
+        def sigma(some):
+            p, m = sum(x > 0 for x in some), sum(x < 0 for x in some)
+            return ((p - m) / len(some)) ** 2 / ((p + m) / len(some)) if p + m else 0.0
+
+        return sum((sigma(sign[k : k + blob]) - sigma(sign)) ** 2 for k in range(len(sign) - blob + 1)) / (len(sign) - blob + 1)
+
+    delta = lambda sign: (asymmetry(sign, 5) + asymmetry(sign, 6)) / 2
+    r = random.Random(3)
+    seqs = ["".join(r.choices("AGKRED", k=r.choice([0, 5, 6, 9, 14]))) for _ in range(25)] + [None, "AAAAAAA", "KKKKKKKK"]
+    for seq, got in zip(seqs, models.kappas(seqs), strict=True):
+        sign = [1 if c in "KR" else -1 if c in "DE" else 0 for c in seq or ""]
+        p, m, rest = sign.count(1), sign.count(-1), sign.count(0)
+        if len(sign) < 6 or not p + m:
+            assert got is None
+            continue
+        orders = [[0] * a + [1] * p + [0] * (rest - a - b) + [-1] * m + [0] * b for a in range(rest + 1) for b in range(rest - a + 1)]
+        most = max(map(delta, orders))
+        assert got == (pytest.approx(min(1.0, delta(sign) / most), abs=1e-12) if most else None)

@@ -229,6 +229,45 @@ def test_scores_beyond_64_bits(spark):
     assert row.select(F.expr(collocations.SCORES)[0]).first()[0] == 1000 * 1500000000 * 90000000000000 // (3000000000 * 2000000000)
 
 
+# --- shards --------------------------------------------------------------
+
+
+def test_shards_equal_plain_rounds(spark):
+    """Heavy groups largest first, light ones in rounds: the shard of every row, against loops over all groups."""
+    from helixframe.llm import sharding
+
+    r = random.Random(7)
+    rows = [(k, r.choice([None, "", "same text " * 40, "x" * min(3000, int(5 * r.paretovariate(0.9))), f"text {r.randrange(60)}"])) for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    names = {x.text: x.g for x in docs.selectExpr("coalesce(text, '') AS text", "xxhash64(coalesce(text, '')) AS g").distinct().collect()}
+    n_shards, share, blocks = 4, 20, 3
+    size = Counter()
+    for _, t in rows:
+        size[names[t or ""]] += len((t or "").encode()) + 8
+    total = sum(size.values())
+    load, where = [0] * n_shards, {}
+
+    def give(items):
+        for weight, groups in items:
+            least = min(range(n_shards), key=lambda k: (load[k], k))
+            load[least] += weight
+            where.update(dict.fromkeys(groups, least))
+
+    heavy = sorted(((w, g) for g, w in size.items() if w * n_shards * share >= total), key=lambda x: (-x[0], x[1]))
+    give((w, [g]) for w, g in heavy)
+    light = sorted(((w, g) for g, w in size.items() if w * n_shards * share < total), key=lambda x: (-x[0], x[1]))
+    rounds = max(1, -(-len(light) // (n_shards * blocks)))
+    for at in range(0, len(light), n_shards * rounds):
+        block = light[at : at + n_shards * rounds]
+        items = [(sum(w for w, _ in block[k::n_shards]), k, [g for _, g in block[k::n_shards]]) for k in range(min(n_shards, len(block)))]
+        give((w, gs) for w, _, gs in sorted(items, key=lambda x: (-x[0], x[1])))
+    got = sharding.shard(docs, n_shards, share, blocks).collect()
+    assert len(heavy) > 2 and len(light) > 30
+    assert {x.doc_id: x.shard for x in got} == {k: where[names[t or ""]] for k, t in rows}
+    for k in range(n_shards):
+        assert sorted(x.slot for x in got if x.shard == k) == list(range(sum(x.shard == k for x in got)))
+
+
 def test_new_queries_have_the_contract_columns(spark, sf_dir):
     want = {
         "op11_prefix_trie": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],

@@ -10,9 +10,10 @@ document but the one with the smallest doc_id that holds it.
 A line is what stands between two line feeds, compared without outer spaces;
 blank lines are never boilerplate. Defined results: a null text stays null; a
 null site counts for nothing; a row with a null doc_id is left as it is;
-repeated rows are each cleaned; rows of one doc_id count as one document; an
-empty table gives an empty result; other columns pass through `clean`
-untouched, whatever their names.
+repeated rows are each cleaned; rows of one doc_id count as one document, so that
+ties for the smallest doc_id are no ties; an empty table gives an empty result;
+other columns pass through `clean` untouched, whatever their names. A long text
+takes a small multiple of its size in memory, for its lines and their hashes.
 """
 
 from __future__ import annotations

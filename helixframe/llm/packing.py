@@ -17,7 +17,10 @@ Rows are told apart by their number in the table's partitions, so that a hot
 doc_id is spread like all others; on a stored table a retry gives the same bins.
 
 Defined results: a null or empty text is its separator alone; repeated rows are
-packed each; an empty table gives no rows; other columns are not read.
+packed each; items of equal size go in the order of doc_id and row, and equally full bins
+in the order they were opened; a text longer than the largest length is cut into
+pieces, of which only the numbers are kept; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations

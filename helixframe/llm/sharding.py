@@ -12,8 +12,10 @@ bounded items reach the driver.
 
 Defined results: a null text weighs the row overhead, has CRC 0 and shares the
 group of the empty text; repeated rows each get a slot of their own; an empty
-table gives an empty result; other columns of the input are not read. Slots
-follow the rows' numbers in the table's partitions.
+table gives an empty result; other columns of the input are not read. Groups of equal
+size go in the order of their texts' hashes, equally loaded shards by number. Slots
+follow the rows' numbers in the table's partitions. Of a long text only its size and
+hashes are kept.
 """
 
 from __future__ import annotations

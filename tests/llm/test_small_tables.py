@@ -1,5 +1,8 @@
 """Each operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing extra columns."""
 
+import hashlib
+from collections import Counter
+
 import pytest
 
 import corpus_pipeline
@@ -48,6 +51,26 @@ def test_operators_on_odd_rows(odd, labels):
     assert packed["n_tokens"].sum() == sum(len((r.text or "").encode()) + 1 for r in odd.select("text").collect())
 
 
+def test_values_on_odd_rows(odd):
+    """Lines, licences, secrets and shards of null, empty, repeated and hostile rows."""
+    none = hashlib.sha256(b"").hexdigest()
+    assert Counter((r.doc_id, r.text) for r in line_dedup.clean(odd).collect()) == Counter((r.doc_id, r.text) for r in odd.collect())
+    lines = {(r.n_lines, r.n_kept, r.n_chars, r.clean_sha256) for r in line_dedup.report(odd).filter("doc_id in (1, 2, 40)").collect()}
+    assert lines == {(0, 0, None, None), (1, 1, 0, none)}
+    found = licenses.scan(odd).collect()
+    assert all(r.license is None and r.n_notices == 0 for r in found) and sum(r.canonical_sha256 == none for r in found) == 5
+    spans = secrets.spans(odd).collect()
+    assert {(r.doc_id, r.n_assign, r.n_access, r.n_hex) for r in spans if r.spans} == {(6, 1, 0, 0)}
+    assert next(r.spans for r in spans if r.doc_id == 6).split(",")[0] == "assign:7:26"
+    assert {r.base_sha256 for r in spans if r.doc_id != 6} == {none}
+    dealt = sharding.shard(odd, 3).collect()
+    empty_ = [r for r in dealt if r.size == 8]
+    assert sorted(r.doc_id for r in empty_) == [1, 2, 40, 40] and len({r.shard for r in empty_}) == 1 and {r.text_crc32 for r in empty_} == {0}
+    twins = [r.shard for r in dealt if r.doc_id in (4, 5)]
+    assert len(twins) == 3 and len(set(twins)) == 1
+    assert all(sorted(r.slot for r in dealt if r.shard == k) == list(range(sum(r.shard == k for r in dealt))) for k in range(3))
+
+
 def test_operators_on_an_empty_table(empty, labels):
     assert line_dedup.report(empty).isEmpty()
     assert quality.scored(empty.select("doc_id", "text"), quality.fit(empty, labels)).isEmpty()

@@ -66,6 +66,10 @@ def _deltas(sign: np.ndarray) -> np.ndarray:
     return (_asymmetries(sign, 5) + _asymmetries(sign, 6)) / 2
 
 
+def _delta(sign: np.ndarray) -> float:
+    return float(_deltas(sign[None])[0])
+
+
 @lru_cache(maxsize=100_000)
 def _most_segregated(p: int, m: int, rest: int) -> float:
     """The greatest asymmetry of p positive, m negative and the other residues: charges in two runs, the others in front, between and behind.

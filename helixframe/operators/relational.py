@@ -97,7 +97,10 @@ def keep_one(df: DataFrame, key: Column, order: str, keep: str = "first") -> Dat
 
 
 def ranked(df: DataFrame, count: str, tie: str, name: str = "rank", by: Sequence[str] = ()) -> DataFrame:
-    """df with its rank by a count, most first, ties by a column."""
+    """df with its rank by a count, most first, ties by a column; without `by` all rows are ranked in ranges, not in one task."""
+    if not by:
+        least = df.withColumns({"__none": F.col(count).isNull(), "__falling": -F.col(count)})
+        return numbered(least, ["__none", "__falling", tie], name).withColumn(name, (F.col(name) + 1).cast("int")).drop("__none", "__falling")
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(count), tie)))
 
 

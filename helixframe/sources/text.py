@@ -237,7 +237,7 @@ def read_residues(spark: SparkSession, path: str) -> DataFrame:
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, sha256 of input files, for a run's metadata."""
+    """path, length, sha256 of input files, for a run's metadata. A file is held whole, so that one beyond 2 GB raises."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 

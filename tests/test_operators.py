@@ -146,6 +146,14 @@ def test_keep_one_and_numbers(spark):
     assert sorted((r.id, r.ord) for r in got) == [(k, k) for k in range(20)]
 
 
+def test_ranks_of_all_rows(spark):
+    rows = [(k, k % 7 if k % 5 else None) for k in range(40)]
+    df = spark.createDataFrame(rows, "id long, n int").repartition(4)
+    want = {x[0]: k for k, x in enumerate(sorted(rows, key=lambda x: (x[1] is None, -(x[1] or 0), x[0])), 1)}
+    assert {x.id: x["rank"] for x in relational.ranked(df, "n", "id").collect()} == want
+    assert {x.id: x["rank"] for x in relational.ranked(df.withColumn("g", F.lit(1)), "n", "id", by=["g"]).collect()} == want
+
+
 def test_repeated_keys_raise(spark):
     left, right = spark.createDataFrame([(1,)], "k int"), spark.createDataFrame([(1, 2), (1, 3)], "k int, v int")
     with pytest.raises(Exception, match="repeated key"):

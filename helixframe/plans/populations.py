@@ -266,10 +266,12 @@ def mann_whitney(spark, sf_dir):
     return statistics.mann_whitney(traits(spark, sf_dir), "x", "w", "sample", "click", "view").withColumn("z", r9("z"))
 
 
-@query("g24_p_values")
+@query("g24_p_values", f"""WITH {_MW}, z AS (SELECT u, greatest(0, abs(u - na * nb / 2) - 0.5) / sqrt(na * nb / 12 * (na + nb + 1 - ties / ((na + nb) * (na + nb - 1)))) / sqrt(2) AS x FROM u)
+SELECT u, round(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 90), lambda n: pow(-1, n) * pow(x, 2 * n + 1) / (gamma(n + 1) * (2 * n + 1)))), 9) AS p FROM z""")
 def p_values(spark, sf_dir):
+    """The two-sided p of the test; its SQL sums up the series of the error function."""
     got = statistics.mann_whitney(traits(spark, sf_dir), "x", "w", "sample", "click", "view")
-    return got.select("u", statistics.normal_tail("z").alias("p"))
+    return got.select("u", r9(statistics.normal_tail("z")).alias("p"))
 
 
 @query("g25_w12_holm", f"""WITH {COUNTS}, p AS (SELECT variant, 1.0 / (1 + sum(n)) AS p FROM counts GROUP BY 1), s AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p, variant) + 1) * p AS scaled FROM p)

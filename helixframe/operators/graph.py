@@ -75,7 +75,7 @@ def connected_components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
         tasks = max(1, min(-(-count // 5_000), most_tasks), -(-count // 1_000_000))
         least = _with_least(_large_star(edges, count, tasks), count, tasks)  # a large star's edges, one for each edge at most, go from the larger node to the smaller one
         small = least.select(F.col("v").alias("u"), F.col("least").alias("v")).union(least.select("u", F.col("least").alias("v"))).filter("u <> v")
-        edges = written(small.repartition(tasks, "u", "v").distinct(), "edges")
+        edges = written(small.distinct().coalesce(tasks), "edges")  # combined before they are dealt
         # Settled once the edges are stars: each node has one edge down, and no node below has any.
         nodes = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)).distinct())
         if nodes.repartition(tasks, "node").groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 or (down > 0 and up > 0)").isEmpty():

@@ -39,19 +39,25 @@ def contacts(df: DataFrame, box: float, cutoff: float) -> DataFrame:
     """frame, a, b, n: bead pairs of different chains within the cutoff, in a periodic cube.
 
     Beads are put into cells of at least the cutoff; each bead goes to its own cell
-    as a target and to the 27 cells around as a probe, so that pairs meet by an
-    equal-key join. A pair is counted once, from its smaller chain.
+    as a target and as a probe, and as a probe to 13 of the 26 cells around, so that any two
+    neighbouring cells meet once by an equal-key join (in a box of fewer than three cells an
+    axis: as a probe to all). The join is sorted on both sides: what a table of beads
+    will hold can't be told from its files, so that it must not be broadcast.
     """
     per_axis = max(1, int(box // cutoff))
     cell = [F.pmod(F.floor(F.col(c) / (box / per_axis)).cast("int"), F.lit(per_axis)) for c in AXES]
     rows = df.select("frame", "chain", "bead", *AXES, *(k.alias(f"c{i}") for i, k in enumerate(cell)))
-    shifts = sorted({tuple((d + per_axis) % per_axis for d in (i, j, k)) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)})
+    half = per_axis > 2
+    steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    shifts = sorted({tuple((d + per_axis) % per_axis for d in s) for s in steps if s >= (0, 0, 0) or not half})
     around = F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"s{i}") for i, v in enumerate(s))) for s in shifts)))
-    probes = rows.withColumn("s", around).select("frame", F.col("chain").alias("a"), *(F.col(c).alias(f"a{c}") for c in AXES), *(F.pmod(F.col(f"c{i}") + F.col(f"s.s{i}"), F.lit(per_axis)).alias(f"c{i}") for i in range(3)))
+    own = (F.col("s.s0") == 0) & (F.col("s.s1") == 0) & (F.col("s.s2") == 0)
+    probes = rows.withColumn("s", around).select("frame", F.col("chain").alias("a"), own.alias("own"), *(F.col(c).alias(f"a{c}") for c in AXES), *(F.pmod(F.col(f"c{i}") + F.col(f"s.s{i}"), F.lit(per_axis)).alias(f"c{i}") for i in range(3)))
     targets = rows.select("frame", F.col("chain").alias("b"), *(F.col(c).alias(f"b{c}") for c in AXES), "c0", "c1", "c2")
     square = sum((nearest_image(F.col(f"a{c}") - F.col(f"b{c}"), box) ** 2 for c in AXES), F.lit(0.0))
-    near = probes.join(targets, ["frame", "c0", "c1", "c2"]).filter((F.col("a") < F.col("b")) & (square <= cutoff * cutoff))
-    return near.groupBy("frame", "a", "b").agg(F.count("*").alias("n"))
+    once = (F.col("a") < F.col("b")) | (~F.col("own") & (F.col("a") > F.col("b"))) if half else F.col("a") < F.col("b")
+    near = probes.join(targets.hint("merge"), ["frame", "c0", "c1", "c2"]).filter(once & (square <= cutoff * cutoff))
+    return near.groupBy("frame", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
 
 
 def chain_matrix(pairs: DataFrame) -> DataFrame:

@@ -512,6 +512,18 @@ def test_trajectories(spark):
     assert trajectory.gyration(line, box).first().rg == pytest.approx(math.sqrt(2 / 3))
 
 
+@pytest.mark.parametrize("box", [0.9, 1.5, 2.2, 3.0])
+def test_contacts_in_boxes_of_few_cells_without_a_broadcast(spark, box, capsys):
+    r = random.Random(7)
+    rows = [(f, c, b, r.uniform(0, box), r.uniform(0, box), r.uniform(0, box)) for f in range(2) for c in range(5) for b in range(6)]
+    near = lambda d: d - box * round(d / box)
+    want = Counter((p[0], p[1], q[1]) for p in rows for q in rows if p[0] == q[0] and p[1] < q[1] and sum(near(i - j) ** 2 for i, j in zip(p[3:], q[3:], strict=True)) <= 0.49)
+    pairs = trajectory.contacts(spark.createDataFrame(rows, "frame int, chain int, bead int, x double, y double, z double"), box, 0.7)
+    assert {(x.frame, x.a, x.b): x.n for x in pairs.collect()} == want
+    pairs.explain()
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
+
+
 def test_equilibration(spark):
     r = np.random.default_rng(5)
     settled = np.concatenate([np.linspace(10, 0, 100), np.zeros(300)]) + r.normal(0, 0.3, 400)

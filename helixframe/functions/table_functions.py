@@ -9,7 +9,7 @@ from pyspark.sql.functions import udtf
 from pyspark.sql.types import DataType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
-from helixframe.operators.fuzzy import edit_alignments
+from helixframe.operators.fuzzy import edit_alignment
 
 CONSUMES = {"M": (1, 1), "=": (1, 1), "X": (1, 1), "I": (0, 1), "S": (0, 1), "D": (1, 0), "N": (1, 0), "H": (0, 0), "P": (0, 0)}  # reference, read
 
@@ -84,7 +84,7 @@ class EditAlignment:
         return AnalyzeResult(StructType([StructField("distance", IntegerType()), *block, *(StructField(c, StringType()) for c in ("top", "marks", "bottom"))]))
 
     def eval(self, a: str | None, b: str | None, width: int | None = None) -> Iterator[tuple]:
-        distance, *lines = edit_alignments([a or ""], [b or ""])[0]
+        distance, *lines = edit_alignment(a or "", b or "")
         if width is None:
             yield distance, *lines
             return

@@ -129,6 +129,7 @@ def anchored_windows(reads: DataFrame, seq: str, qual: str, left: str, right: st
 
 
 _LIKE = np.eye(128, dtype=bool)
+_LIKE[127, 127] = False  # stands for all characters beyond, which are compared themselves
 _LIKE_CODES = _LIKE.copy()
 for _code, _bases in IUPAC.items():
     for _base in _bases:
@@ -162,6 +163,51 @@ def edit_alignments(a: list[str], b: list[str], codes: bool = False) -> list[tup
     return out
 
 
+def edit_alignment(a: str, b: str) -> tuple[int, str, str, str]:
+    """The alignment of edit_alignments for one pair, without arrays of it.
+
+    Whole columns of the edit matrix are bits of two numbers (Myers 1999): where a step down
+    costs one, and where a step across costs nothing. The way back reads them.
+    """
+    m, n = len(a), len(b)
+    if (m + 1) * (n + 1) > CELLS:
+        return banded_alignment(a, b)
+    full, equal = (1 << m) - 1, {}
+    for k, c in enumerate(a):
+        equal[c] = equal.get(c, 0) | 1 << k
+    up, down, columns = full, 0, []
+    for c in b:
+        eq = equal.get(c, 0)
+        free = (((eq & up) + up) ^ up) | eq | down
+        more, less = down | (full & ~(free | up)), up & free
+        more, less = more << 1 | 1, less << 1
+        up, down = full & (less | ~(free | more)), full & more & free
+        columns.append((free, up))
+    i, j, distance = m, n, 0
+    top, marks, bottom = [], [], []
+    while i or j:
+        fits = i and j and a[i - 1] == b[j - 1]
+        free, steps = columns[j - 1] if j else (0, full)
+        if fits or (i and j and not free >> (i - 1) & 1):
+            i, j = i - 1, j - 1
+            top.append(a[i])
+            marks.append("|" if fits else ".")
+            bottom.append(b[j])
+            distance += not fits
+            continue
+        distance += 1
+        marks.append(" ")
+        if i and steps >> (i - 1) & 1:
+            i -= 1
+            top.append(a[i])
+            bottom.append("-")
+        else:
+            j -= 1
+            top.append("-")
+            bottom.append(b[j])
+    return distance, "".join(reversed(top)), "".join(reversed(marks)), "".join(reversed(bottom))
+
+
 class _Band:
     """Rows of the edit matrix of x and y within `width` of its diagonal: place o of row i is column i + o - width."""
 

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from helixframe.functions import table_functions
 from helixframe.functions.table_functions import register_table_functions
 from helixframe.functions.tables import IUPAC
 from helixframe.operators import agglomeration, calling, clusters, columns, expansion, fuzzy, graph, intervals, models, order, power, profiles, relational, sketches, statistics, trajectory
@@ -487,6 +488,18 @@ def test_alignments(spark):
     assert fuzzy.rescued(read.limit(1), "s", "ACGNNNGCA", 4, 6).first().rescued == "TAG"
 
 
+def test_single_alignments_equal_those_of_batches(monkeypatch):
+    r = random.Random(11)
+    pairs = [("".join(r.choices(letters, k=r.randrange(n))), "".join(r.choices(letters, k=r.randrange(n)))) for letters in ("AC", "ACGT", "Añ\U0001f600") for n in (1, 4, 30, 90) for _ in range(40)]
+    pairs += [(a, a[: len(a) // 2] + "G" + a[len(a) // 2 + 1 :]) for a, _ in pairs] + [("", ""), ("", "ACG"), ("ACG", "")]
+    want = fuzzy.edit_alignments([a for a, _ in pairs], [b for _, b in pairs])
+    assert [fuzzy.edit_alignment(a, b) for a, b in pairs] == want
+    monkeypatch.setattr(fuzzy, "edit_alignments", None)  # a row's table function makes no arrays of one pair
+    assert next(iter(table_functions.EditAlignment().eval("ACGT", "AGT"))) == (1, "ACGT", "| ||", "A-GT")
+    monkeypatch.setattr(fuzzy, "CELLS", 100)
+    assert fuzzy.edit_alignment("ACGTACGTACGT", "ACGACGTACG")[0] == 2
+
+
 def test_cigar_and_flags(spark):
     rows = spark.createDataFrame([("r", 0, 10, "2S3M1D2M1I1M", "TTACGTTAG", "IIIIIIII!"), ("r", 0, 50, "1M", "A", "I"), ("s", 4, 1, "1M", "A", "I"), ("t", 2048, 1, "1M", "A", "I")], "qname string, flag int, pos int, cigar string, seq string, qual string")
     kept = fuzzy.usable_alignments(rows)

@@ -213,10 +213,11 @@ def trait_summary(spark, sf_dir):
 @query("j4_sketch_overlaps", """WITH v AS (SELECT DISTINCT event_type AS s, user_id AS v FROM events), n AS (SELECT s, count(*) AS n FROM v GROUP BY 1), b AS (SELECT x.s AS a, y.s AS b, count(*) AS shared FROM v x JOIN v y ON x.v = y.v AND x.s < y.s GROUP BY 1, 2)
 SELECT p.s AS a, q.s AS b, p.n AS in_a, q.n AS in_b, coalesce(shared, 0) AS shared, p.n + q.n - coalesce(shared, 0) AS either, round(coalesce(shared, 0) / (p.n + q.n - coalesce(shared, 0)), 9) AS jaccard FROM n p JOIN n q ON p.s < q.s LEFT JOIN b ON b.a = p.s AND b.b = q.s""")
 def sketch_overlaps(spark, sf_dir):
-    """Variants that samples share, from stored sketches of each sample's days; exact, as they hold more entries than there are variants."""
+    """Variants that samples share, from stored sketches of each sample's days; exact, as each slice of the variants has sketches that hold them all."""
     events = table(spark, sf_dir, "events").select(F.col("event_type").alias("sample"), F.to_date("ts").alias("day"), "user_id")
-    days = written(sketches.sketched(events, ["sample", "day"], "user_id", 16), "sketches")
-    return sketches.overlaps(sketches.merged(days, ["sample"], 16), "sample", 16).withColumn("jaccard", r9("jaccard"))
+    events = sketches.sliced(events, "user_id", sketches.slices(events, "user_id", 16))
+    days = written(sketches.sketched(events, ["sample", "day", "slice"], "user_id", 16), "sketches")
+    return sketches.overlaps(sketches.merged(days, ["sample", "slice"], 16), "sample", 16, "slice").withColumn("jaccard", r9("jaccard"))
 
 
 @query("g19_w10_abundance_change", f"""WITH {COUNTS}, c AS (SELECT sample, variant % 4 AS cluster, count(*) AS unique_variants, sum(n) AS reads FROM counts GROUP BY 1, 2), f AS (SELECT *, reads / sum(reads) OVER (PARTITION BY sample) AS fraction FROM c)

@@ -596,6 +596,17 @@ def test_sketches_of_samples(spark):
             assert x.jaccard == pytest.approx(x.shared / x.either)
 
 
+def test_sketches_of_slices_are_exact_at_any_number(spark):
+    """More values than a sketch holds, a null, and a sample with none of the others' values."""
+    rows = spark.range(30_000).select(F.when(F.col("id") % 5 < 3, "a").otherwise("b").alias("s"), (F.col("id") % 9_000).alias("v"))
+    rows = rows.unionByName(spark.sql("SELECT 'c' AS s, -1L AS v UNION ALL SELECT 'c', NULL UNION ALL SELECT 'd', NULL"))
+    has = {s: {x.v for x in rows.filter(F.col("s") == s).filter("v is not null").distinct().collect()} for s in "abcd"}
+    many = sketches.slices(rows, "v", 8)
+    days = sketches.sketched(sketches.sliced(rows, "v", many), ["s", "slice"], "v", 8)
+    got = {(x.a, x.b): (x.in_a, x.in_b, x.shared, x.either) for x in sketches.overlaps(days, "s", 8, "slice").collect()}
+    assert many > 100 and got == {(a, b): (len(has[a]), len(has[b]), len(has[a] & has[b]), len(has[a] | has[b])) for a in "abcd" for b in "abcd" if a < b}
+
+
 def test_table_functions(spark):
     register_table_functions(spark)
     spark.createDataFrame([("r1", 10, "2S3M1D2M1I1M", "TTACGTTAG", "IIIIIIII!"), ("r2", 50, "1M", "A", "*")], "qname string, pos int, cigar string, seq string, qual string").createOrReplaceTempView("observed")

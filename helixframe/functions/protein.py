@@ -14,11 +14,8 @@ from helixframe.functions.tables import CONSENSUS_HYDROPHOBICITY, HELIX_PROPENSI
 
 
 def _sum_of(c: Column, scale: Mapping[str, float]) -> Column:
-    """Sum of a scale over the residues that it knows, from their counts."""
-    groups: dict[float, str] = {}
-    for residue, x in scale.items():
-        groups[x] = groups.get(x, "") + residue
-    terms = [count_of(c, letters) * F.lit(x) for x, letters in groups.items() if x]
+    """Sum of a scale over the residues that it knows, from their counts; added residue by residue in the scale's order, so that a value's last bits are fixed."""
+    terms = [count_of(c, residue) * F.lit(x) for residue, x in scale.items() if x]
     total = terms[0]
     for t in terms[1:]:
         total = total + t

@@ -1,12 +1,13 @@
 """Column functions on hand-made cases."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import dna, protein
-from helixframe.functions.tables import CODONS, IUPAC
+from helixframe.functions.tables import CODONS, HYDROPATHY, IUPAC
 from helixframe.operators import codons, filters
 
 
@@ -103,6 +104,18 @@ def test_moment_and_face(spark, seq):
     assert (row.m, row.f) == pytest.approx(plain_moment(seq))
 
 
+def test_sums_have_the_last_bits_of_a_plain_sum(spark):
+    """Residue by residue in the scale's order: what stands at a limit is on the side that plain arithmetic says."""
+    r = random.Random(3)
+    seqs = ["".join(r.choices("ACDEFGHIKLMNPQRSTVWY", k=64)) for _ in range(3000)]
+    got = {x.s: x.g for x in spark.createDataFrame([(s,) for s in seqs], "s string").select("s", protein.gravy(F.col("s")).alias("g")).collect()}
+    for s in seqs:
+        total = 0.0
+        for residue, x in HYDROPATHY.items():
+            total += x * s.count(residue)
+        assert got[s] == total / 64
+
+
 def test_protein_properties(of):
     assert of("EAAKEAAR", protein.salt_bridges) == 2
     assert of("GAAAAG", lambda c: protein.residue_positions(c, "G")) == [1, 6]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import numpy as np
 import pandas as pd
@@ -112,19 +112,32 @@ def helix_propensity(c: Column) -> tuple[Column, Column]:
     return total, total / known
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def moment_and_face(c: Column, delta: float = 100.0, half_width: float = 60.0) -> tuple[Column, Column]:
     """Helical hydrophobic moment per residue, and the share of hydrophobic residues within half_width degrees of its direction."""
     scale = F.create_map(*[F.lit(x) for kv in CONSENSUS_HYDROPHOBICITY.items() for x in kv])
     each = F.transform(characters(c), lambda r, i: F.struct(F.try_element_at(scale, r).alias("h"), (F.radians(i * F.lit(delta))).alias("a")))
     each = F.filter(each, lambda x: x["h"].isNotNull())
-    total = lambda f: F.aggregate(each, F.lit(0.0), lambda a, x: a + x["h"] * f(x["a"]))
-    y, x = total(F.sin), total(F.cos)
-    towards = F.atan2(y, x)
-    wet = F.filter(each, lambda e: e["h"] > 0)
-    near = F.filter(wet, lambda e: F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.cos(e["a"] - towards)))) <= F.lit(half_width * 3.141592653589793 / 180))
-    face = F.when(F.size(wet) > 0, F.size(near) / F.size(wet)).otherwise(0.0)
+
+    def summed(e: Column) -> Column:
+        total = lambda f: F.aggregate(e, F.lit(0.0), lambda a, x: a + x["h"] * f(x["a"]))
+        return F.struct(e.alias("each"), total(F.sin).alias("y"), total(F.cos).alias("x"))
+
+    # Residues, their sums and the direction are made once a sequence: a lambda's variable holds what it is given.
+    sums = once(once(each, summed), lambda s: F.struct(s["each"].alias("each"), s["y"].alias("y"), s["x"].alias("x"), F.atan2(s["y"], s["x"]).alias("towards")))
+
+    def occupied(s: Column) -> Column:
+        wet = F.filter(s["each"], lambda e: e["h"] > 0)
+        near = F.filter(wet, lambda e: F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.cos(e["a"] - s["towards"])))) <= F.lit(half_width * 3.141592653589793 / 180))
+        return F.when(F.size(wet) > 0, F.size(near) / F.size(wet)).otherwise(0.0)
+
+    moment = once(sums, lambda s: F.sqrt(s["y"] * s["y"] + s["x"] * s["x"]))
     some = F.length(c) > 0
-    return F.when(some, F.sqrt(y * y + x * x) / F.length(c)), F.when(some, face)
+    return F.when(some, moment / F.length(c)), F.when(some, once(sums, occupied))
 
 
 def salt_bridges(c: Column) -> Column:

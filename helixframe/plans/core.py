@@ -34,10 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TASK = 25_000  # rows of a task, about
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its files are too small to split; large inputs stay as they are."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    """df over all cores, and in tasks of about TASK rows: files are cut by bytes and at row groups, so that few or uneven tasks would hold all work on rows."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK))  # the files' footers tell
+    return df.repartition(n)
 
 
 def _digits(salt: str, to: str) -> Column:

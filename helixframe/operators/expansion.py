@@ -6,7 +6,7 @@ that they don't depend on partitions or retries.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from functools import reduce
 from itertools import count as count_from
 
@@ -18,6 +18,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from helixframe.functions import dna, protein
 from helixframe.functions.tables import CONSERVATIVE, HYDROPATHY, IUPAC, PKA_TAG, RESIDUES
+from helixframe.operators import intervals
 
 
 def uniform(*key: Column, seed: int = 42) -> Column:
@@ -37,45 +38,121 @@ def fragments(df: DataFrame, seq: str, lengths: Iterable[int]) -> DataFrame:
     return starts.withColumn("fragment", F.substr(F.col(seq), F.col("start"), F.col("len")))
 
 
-FRAGMENTS = 200_000  # rows of a batch
+FRAGMENTS = 200_000  # that are scored at once
+ALIKE = 512  # fragments of a sequence that are compared with all others of it
 
 
-def scored_fragments(df: DataFrame, seq: str, lengths: Iterable[int]) -> DataFrame:
-    """df with len, start and the tag score of every fragment, from running sums of each sequence: a fragment costs two differences, not its length."""
-    ph, pka = 7.4, PKA_TAG
-    ends = 1 / (1 + 10 ** (ph - pka["N_TERM"])) - 1 / (1 + 10 ** (pka["C_TERM"] - ph))
-    values = np.zeros((256, 3))  # hydropathy, charge, cysteines of a residue; others count nothing
+def _tag_values() -> np.ndarray:
+    """Hydropathy, charge and cysteines of a residue, by its code; others count nothing."""
+    values = np.zeros((256, 3))
     for r in RESIDUES:
         values[ord(r), 0] = HYDROPATHY[r]
     for r in "DECYHKR":
-        values[ord(r), 1] = (1 if r in "HKR" else -1) / (1 + 10 ** (ph - pka[r] if r in "HKR" else pka[r] - ph))
+        values[ord(r), 1] = (1 if r in "HKR" else -1) / (1 + 10 ** (PH - PKA_TAG[r] if r in "HKR" else PKA_TAG[r] - PH))
     values[ord("C"), 2] = 1
-    some, names = list(lengths), [*df.columns, "len", "start", "score"]
+    return values
+
+
+PH = 7.4
+TAG_VALUES = _tag_values()
+TAG_ENDS = 1 / (1 + 10 ** (PH - PKA_TAG["N_TERM"])) - 1 / (1 + 10 ** (PKA_TAG["C_TERM"] - PH))
+NEAR = 1e-6  # scores that rounding may bring together
+
+
+def _tag_scores(codes: np.ndarray, lengths: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """len and start of all fragments of sequences of one length (a row each), and (row, fragment) scores."""
+    sums = np.cumsum(np.concatenate([np.zeros((len(codes), 1, 3)), TAG_VALUES[codes]], axis=1), axis=1)
+    h, q, c = sums[:, :, 0], sums[:, :, 1], sums[:, :, 2]
+    lens, starts, scores = [], [], []
+    for n in lengths:
+        many = codes.shape[1] - n + 1
+        if many > 0:
+            a, b = slice(0, many), slice(n, n + many)
+            scores.append(-2 * (h[:, b] - h[:, a]) / n + 10 * np.abs(TAG_ENDS + q[:, b] - q[:, a]) / n - 2 * (c[:, b] - c[:, a]))
+            lens.append(np.full(many, n, np.int32))
+            starts.append(np.arange(1, many + 1, dtype=np.int32))
+    if not lens:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros((len(codes), 0))
+    return np.concatenate(lens), np.concatenate(starts), np.concatenate(scores, axis=1)
+
+
+def _of_one_length(batch: pa.RecordBatch, seq: str, lengths: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, codes) of sequences of one length, so many that they have about FRAGMENTS fragments."""
+    texts = [None if s is None else s.encode("ascii", "replace") for s in batch.column(seq).to_pylist()]
+    size = np.array([-1 if s is None else len(s) for s in texts])
+    for n in np.unique(size[size > 0]):
+        same = np.flatnonzero(size == n)
+        step = max(1, FRAGMENTS // int(max(n, sum(max(0, n - k + 1) for k in lengths))))
+        for at in range(0, len(same), step):
+            some = same[at : at + step]
+            yield some, np.frombuffer(b"".join(texts[k] for k in some), np.uint8).reshape(len(some), n)
+
+
+def _with_fragments(df: DataFrame, seq: str, chosen: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], lengths: Iterable[int]) -> DataFrame:
+    some = list(lengths)
+    kept = [c for c in df.columns if c != seq]
+    names = [*kept, "len", "start", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, lens, starts, scores, held = [], [], [], [], 0
-            for k, s in enumerate(batch.column(seq).to_pylist()):
-                codes = np.frombuffer((s or "").encode("ascii", "replace"), np.uint8)
-                h, q, c = np.concatenate([np.zeros((1, 3)), np.cumsum(values[codes], axis=0)]).T
-                for n in some:
-                    many = len(codes) - n + 1
-                    if many > 0 and s is not None:
-                        a, b = slice(0, many), slice(n, n + many)
-                        scores.append(-2 * (h[b] - h[a]) / n + 10 * np.abs(ends + q[b] - q[a]) / n - 2 * (c[b] - c[a]))
-                        rows.append(np.full(many, k))
-                        lens.append(np.full(many, n, np.int32))
-                        starts.append(np.arange(1, many + 1, dtype=np.int32))
-                        held += many
-                if held and (held > FRAGMENTS or k + 1 == batch.num_rows):
-                    at = pa.array(np.concatenate(rows))
-                    yield pa.RecordBatch.from_arrays([*(x.take(at) for x in batch.columns), *(pa.array(np.concatenate(x)) for x in (lens, starts, scores))], names)
-                    rows, lens, starts, scores, held = [], [], [], [], 0
-
-    schema = StructType([*df.schema.fields, StructField("len", IntegerType()), StructField("start", IntegerType()), StructField("score", DoubleType())])
+            left = [batch.column(c) for c in kept]
+            for rows, codes in _of_one_length(batch, seq, some):
+                lens, starts, scores = _tag_scores(codes, some)
+                r, c = np.nonzero(chosen(lens, starts, scores))
+                if len(r):
+                    at = pa.array(rows[r])
+                    yield pa.RecordBatch.from_arrays([*(x.take(at) for x in left), pa.array(lens[c]), pa.array(starts[c]), pa.array(scores[r, c])], names)
+
+    schema = StructType([*(f for f in df.schema.fields if f.name != seq), StructField("len", IntegerType()), StructField("start", IntegerType()), StructField("score", DoubleType())])
     return df.mapInArrow(run, schema)
 
 
+def scored_fragments(df: DataFrame, seq: str, lengths: Iterable[int], best: int | None = None) -> DataFrame:
+    """df, without the sequences, with len, start and the tag score of every fragment, from running sums of each sequence: a fragment costs two differences, not its length.
+
+    best: of some hundred thousand fragments at a time, only those that can be among so
+    many best ones of all, with all that tie with the last of them to NEAR.
+    """
+
+    def chosen(lens: np.ndarray, starts: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        if best is None or scores.size <= best:
+            return np.ones(scores.shape, bool)
+        return scores >= np.partition(scores.ravel(), scores.size - best)[scores.size - best] - NEAR
+
+    return _with_fragments(df, seq, chosen, lengths)
+
+
+def separate_fragments(df: DataFrame, seq: str, lengths: Iterable[int], share: float = 0.5) -> DataFrame:
+    """As scored_fragments, but of each row those that no better fragment of the row, itself kept, overlaps by `share` of the shorter one.
+
+    What intervals.without_overlaps keeps where a key is one row, without moving any
+    fragment. Scores are compared to nine decimals, then starts and ends. Sequences of one length
+    go through their candidates together, one rank at a time; those of one pass of
+    more than ALIKE candidates look only at the kept ones in reach.
+    """
+
+    def chosen(lens: np.ndarray, starts: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        many = scores.shape[1]
+        out = np.zeros(scores.shape, bool)
+        ends = starts + lens - 1
+        order = np.lexsort((np.broadcast_to(ends, scores.shape), np.broadcast_to(starts, scores.shape), -np.round(scores, 9)), axis=1)
+        if many > ALIKE:
+            for k, ranks in enumerate(order):
+                out[k, intervals.greedy(starts[ranks].tolist(), ends[ranks].tolist(), share, ranks)] = True
+            return out
+        common = np.minimum(ends[:, None], ends) - np.maximum(starts[:, None], starts) + 1
+        clash = common >= share * np.minimum(lens[:, None], lens)
+        taken, each = np.zeros(scores.shape, bool), np.arange(len(scores))
+        for at in order.T:
+            free = ~taken[each, at]
+            rows, which = each[free], at[free]
+            out[rows, which] = True
+            taken[rows] |= clash[which]
+        return out
+
+    return _with_fragments(df, seq, chosen, lengths)
+
+
 def single_position_scan(df: DataFrame, seq: str, regions: str, groups: Mapping[str, str] = CONSERVATIVE) -> DataFrame:
     """One row for each position of the regions (once each) and each substitute of its residue."""
     table = F.create_map(*[F.lit(x) for kv in groups.items() for x in kv])

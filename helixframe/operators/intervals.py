@@ -67,6 +67,18 @@ def _streamed(df: DataFrame, by: str, start: str, end: str, score: str, share: f
     return df.repartition(by).sortWithinPartitions(by, F.desc(score), start, end).mapInPandas(run, df.schema)
 
 
+def greedy(starts: Sequence[int], ends: Sequence[int], share: float, names: Sequence) -> list:
+    """Names of the spans that are kept, of one key's in the order in which they are to be looked at."""
+    kept, longest, out = [], 0, []
+    for a, b, name in zip(starts, ends, names, strict=True):
+        near = kept[bisect_left(kept, (a - longest,)) : bisect_right(kept, (b + 1,))]
+        if all(min(b, d) - max(a, c) + 1 < share * min(b - a + 1, d - c + 1) for c, d in near):
+            insort(kept, (a, b))
+            longest = max(longest, b - a + 1)
+            out.append(name)
+    return out
+
+
 def without_overlaps(df: DataFrame, by: str, start: str, end: str, score: str, share: float = 0.5, hot: int = HOT, rounds: int = ROUNDS) -> DataFrame:
     """Candidates of each key by falling score, without those that overlap a kept one by `share` of the shorter of the two.
 

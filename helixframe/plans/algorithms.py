@@ -116,9 +116,8 @@ kept AS (SELECT protein_id, unnest(list_reduce(c, lambda acc, x: CASE WHEN len(l
 SELECT protein_id, k.s AS start, k.e AS "end", k.score AS score FROM kept""")
 def overlaps(spark, sf_dir):
     """Fragments of each protein by score, without those half covered by a better one."""
-    frags = expansion.scored_fragments(proteins(spark, sf_dir).select("protein_id", "seq"), "seq", (20, 30))
-    scored = frags.select("protein_id", "start", (F.col("start") + F.col("len") - 1).alias("end"), r9("score").alias("score"))
-    return intervals.without_overlaps(scored, "protein_id", "start", "end", "score")
+    frags = expansion.separate_fragments(proteins(spark, sf_dir).select("protein_id", "seq").distinct(), "seq", (20, 30))  # a protein's sequence follows from its id
+    return frags.select("protein_id", "start", (F.col("start") + F.col("len") - 1).alias("end"), r9("score").alias("score"))
 
 
 # --- expansion and simulation -------------------------------------------

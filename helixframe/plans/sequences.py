@@ -348,7 +348,7 @@ _TAG = f"(-2 * {_scale(HYDROPATHY)} / length(seq) + 10 * abs({_charge(7.4, PKA_T
 scored AS (SELECT protein_id, CAST(start AS INTEGER) AS start, CAST(len AS INTEGER) AS len, round({_TAG}, 9) AS score FROM f) SELECT * FROM scored ORDER BY score DESC, protein_id, start, len LIMIT 20""")
 def tag_fragments(spark, sf_dir):
     """All fragments of several lengths, scored; the best twenty."""
-    found = expansion.scored_fragments(proteins(spark, sf_dir).select("protein_id", "seq"), "seq", range(20, 46, 5))
+    found = expansion.scored_fragments(proteins(spark, sf_dir).select("protein_id", "seq"), "seq", range(20, 46, 5), best=20)
     scored = found.select("protein_id", "start", "len", r9("score").alias("score"))
     return scored.orderBy(F.desc("score"), "protein_id", "start", "len").limit(20)
 

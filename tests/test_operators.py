@@ -320,6 +320,33 @@ def test_overlap_removal_equals_the_plain_loop(spark):
     assert {(x.a, x.b) for x in intervals.without_overlaps(ladder, "p", "a", "b", "s", hot=5, rounds=2).collect()} == want == {(10 * k, 10 * k + 19) for k in range(59, 0, -2)}
 
 
+def test_fragments_of_a_row_equal_the_removal_by_key(spark, monkeypatch, capsys):
+    """Sequences of several lengths, some repetitive (scores tie), null and empty; also where candidates are too many to be compared with all."""
+    r = random.Random(8)
+    seqs = ["".join(r.choices("ACDEFGHIKLMNPQRSTVWYX", k=r.choice((3, 20, 31, 64, 64)))) for _ in range(60)] + ["A" * 64, "AC" * 32, "ACDEF" * 20, "", None]
+    df = spark.createDataFrame(list(enumerate(seqs)), "id int, s string").repartition(3)
+    every = expansion.scored_fragments(df, "s", (20, 30))
+    spans = every.select("id", "start", (F.col("start") + F.col("len") - 1).alias("end"), F.round("score", 9).alias("score"))
+    want = sorted(map(tuple, intervals.without_overlaps(spans, "id", "start", "end", "score").collect()))
+    for alike in (512, 10):
+        monkeypatch.setattr(expansion, "ALIKE", alike)
+        got = expansion.separate_fragments(df, "s", (20, 30))
+        assert sorted(map(tuple, got.select("id", "start", (F.col("start") + F.col("len") - 1).alias("end"), F.round("score", 9)).collect())) == want
+    got.explain()
+    assert "Exchange hash" not in capsys.readouterr().out  # no fragment is moved
+
+
+@pytest.mark.parametrize("best", [1, 7, 500])
+def test_best_fragments_hold_the_first_of_all(spark, best):
+    r = random.Random(9)
+    seqs = ["".join(r.choices("AGC", k=40)) for _ in range(80)] + ["A" * 64] * 10
+    df = spark.createDataFrame(list(enumerate(seqs)), "id int, s string").repartition(2)
+    first = lambda d: d.select("id", "start", "len", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "id", "start", "len").limit(best).collect()
+    some, every = expansion.scored_fragments(df, "s", (20, 25), best), expansion.scored_fragments(df, "s", (20, 25))
+    assert first(some) == first(every) and (best > 7 or some.count() < every.count())
+    assert every.columns == ["id", "len", "start", "score"]  # a sequence isn't copied to each of its fragments
+
+
 def test_span_joins_equal_all_pairs(spark):
     """Spans of one position to thousands, at and below 0, with nulls and empty ones."""
     r = random.Random(12)

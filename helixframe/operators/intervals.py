@@ -30,21 +30,40 @@ def _class(start: Column, end: Column) -> Column:
 
 def overlapping(left: DataFrame, right: DataFrame, on: Sequence[str], start: str = "start", end: str = "end", within: bool = False) -> DataFrame:
     """(left, right) structs of rows of one key whose spans share a position, or with `within` whose right span lies in the left one. A span that ends before it starts, or has a null, meets none."""
-    real = F.col(start) <= F.col(end)
-    sides = [written(d.filter(real).select(*on, F.struct(*d.columns).alias("row"), F.col(start).cast("long").alias("a"), F.col(end).cast("long").alias("b"), _class(F.col(start), F.col(end)).alias("size")), "spans") for d in (left, right)]
-    sizes = sorted({r["size"] for d in sides for r in d.select("size").distinct().collect()})  # 64 at most
+    whole = ("tinyint", "smallint", "int", "bigint")
 
-    def binned(d: DataFrame, names: dict[str, str]) -> DataFrame:
-        wide = d.withColumn("wide", F.explode(F.filter(F.array(*map(F.lit, sizes)), lambda w: w >= F.col("size"))))
-        return wide.withColumn("bin", F.explode(F.expr("sequence(shiftright(a, wide), shiftright(b, wide))"))).select(*on, "wide", "bin", *(F.col(c).alias(n) for c, n in names.items()))
+    def rest(d: DataFrame) -> list[str]:
+        """Columns that a span carries besides its key, and its ends where these are whole numbers."""
+        types = dict(d.dtypes)
+        return [c for c in d.columns if c not in on and not (c in (start, end) and types[c] in whole)]
+
+    def spans(d: DataFrame) -> DataFrame:
+        carried = F.struct(*rest(d)) if rest(d) else F.lit(0)
+        return written(d.filter(F.col(start) <= F.col(end)).select(*on, carried.alias("row"), F.col(start).cast("long").alias("a"), F.col(end).cast("long").alias("b")), "spans")
+
+    first = spans(left)
+    sides = [first, first if right is left else spans(right)]  # a table with itself is moved once
+    size = _class(F.col("a"), F.col("b"))
+    sizes = sorted({r["size"] for d in sides[: 1 if right is left else 2] for r in d.select(size.alias("size")).distinct().collect()})  # 64 at most
+
+    def binned(d: DataFrame) -> DataFrame:
+        wide = d.withColumn("wide", F.explode(F.filter(F.array(*(F.lit(k).cast("tinyint") for k in sizes)), lambda w: w >= size)))
+        return wide.withColumn("bin", F.explode(F.expr("sequence(shiftright(a, wide), shiftright(b, wide))"))).select(*on, "wide", "bin", "row", "a", "b")
+
+    def row(d: DataFrame, names: tuple[str, str, str]) -> Column:
+        carried, types = rest(d), dict(d.dtypes)
+        ends = {start: F.col(names[1]), end: F.col(names[2])}
+        return F.struct(*((F.col(c) if c in on else F.col(names[0])[c] if c in carried else ends[c].cast(types[c])).alias(c) for c in d.columns))
 
     if not sizes:
-        return sides[0].select(F.col("row").alias("left")).crossJoin(sides[1].select(F.col("row").alias("right"))).limit(0)
-    x = binned(sides[0], {"row": "left", "a": "a1", "b": "b1", "size": "s1"})
-    y = binned(sides[1], {"row": "right", "a": "a2", "b": "b2", "size": "s2"})
-    here = (F.greatest("s1", "s2") == F.col("wide")) & (F.col("a1") <= F.col("b2")) & (F.col("a2") <= F.col("b1")) & (F.expr("shiftright(greatest(a1, a2), wide)") == F.col("bin"))
+        return left.select(F.struct(*left.columns).alias("left")).crossJoin(right.select(F.struct(*right.columns).alias("right"))).limit(0)
+    x = binned(sides[0]).withColumnsRenamed({"row": "r1", "a": "a1", "b": "b1"})
+    y = binned(sides[1]).withColumnsRenamed({"row": "r2", "a": "a2", "b": "b2"})
+    larger = F.greatest(_class(F.col("a1"), F.col("b1")), _class(F.col("a2"), F.col("b2")))
+    here = (F.col("a1") <= F.col("b2")) & (F.col("a2") <= F.col("b1")) & (F.expr("shiftright(greatest(a1, a2), wide)") == F.col("bin")) & (larger == F.col("wide"))
     inside = (F.col("a1") <= F.col("a2")) & (F.col("b2") <= F.col("b1"))
-    return x.join(y, [*on, "wide", "bin"]).filter(here & inside if within else here).select("left", "right")
+    met = x.join(y.hint("merge"), [*on, "wide", "bin"]).filter(here & inside if within else here)
+    return met.select(row(left, ("r1", "a1", "b1")).alias("left"), row(right, ("r2", "a2", "b2")).alias("right"))
 
 
 def _streamed(df: DataFrame, by: str, start: str, end: str, score: str, share: float) -> DataFrame:

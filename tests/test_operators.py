@@ -362,6 +362,17 @@ def test_span_joins_equal_all_pairs(spark):
     assert intervals.overlapping(left.filter("false"), right.filter("false"), ["k"]).isEmpty()
 
 
+def test_a_table_meets_itself_by_one_copy_of_its_spans(spark, monkeypatch):
+    """Ends keep their own types, and are carried once."""
+    tables = []
+    monkeypatch.setattr(intervals, "written", lambda d, what, plain=intervals.written: tables.append(d) or plain(d, what))
+    t = spark.createDataFrame([("a", 1, 5, 2.5), ("a", 4, 9, None), ("a", 30, 31, 1.0), ("b", 5, 5, 0.0)], "k string, start int, end smallint, v double")
+    met = intervals.overlapping(t, t, ["k"])
+    assert len(tables) == 1 and "row struct<v:double>" in ", ".join(f"{n} {kind}" for n, kind in tables[0].dtypes)
+    assert met.select("left.*").dtypes == t.dtypes == met.select("right.*").dtypes
+    assert sorted((tuple(x.left[1:3]), tuple(x.right[1:3])) for x in met.filter("left.k = 'a' AND left.start <> right.start").collect()) == [((1, 5), (4, 9)), ((4, 9), (1, 5))]
+
+
 def test_overlap_removal(spark):
     rows = spark.createDataFrame([("p", 1, 20, 9.0), ("p", 10, 29, 8.0), ("p", 15, 34, 7.0), ("q", 1, 20, 1.0)], "p string, a int, b int, s double")
     got = sorted((r.p, r.a) for r in intervals.without_overlaps(rows, "p", "a", "b", "s").collect())

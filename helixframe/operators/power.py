@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.operators.graph import written
+
 CANDIDATES = 17  # exponents that one pass compares
 FARTHEST = 1e3  # of an exponent from 1
 
@@ -65,21 +67,33 @@ def fitted(df: DataFrame, columns: Sequence[str], tolerance: float = 1e-9) -> di
     The log-likelihood has one top. It is bracketed by CANDIDATES exponents at equal
     steps: while the best stands at an end the bracket moves and widens, else it
     shrinks to the best one's neighbours. One aggregate gives the likelihoods of all
-    candidates of all columns.
+    candidates of all columns, over different values and how often each occurs: rows
+    are read once.
     """
     usable = {c: F.when(F.abs(F.col(c).cast("double")) < math.inf, F.col(c).cast("double")) for c in columns}
-    log = {c: F.when(x >= 0, F.log1p(x)).otherwise(-F.log1p(-x)) for c, x in usable.items()}
-    first = df.agg(*(f(v).alias(f"{n}{k}") for k, c in enumerate(columns) for n, f, v in (("n", F.count, usable[c]), ("s", F.sum, log[c]), ("a", F.min, usable[c]), ("b", F.max, usable[c])))).first()
-    count, logs = [first[f"n{k}"] for k in range(len(columns))], [first[f"s{k}"] for k in range(len(columns))]
-    flat = [first[f"a{k}"] == first[f"b{k}"] for k in range(len(columns))]
+    melted = df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), x.alias("x")) for k, x in enumerate(usable.values())))).alias("v")).select("v.*").filter("x is not null")
+    values = written(melted.groupBy("k", "x").agg(F.count("*").alias("n")), "values")
+    log = F.when(F.col("x") >= 0, F.log1p("x")).otherwise(-F.log1p(-F.col("x")))
+    first = {r.k: r for r in values.groupBy("k").agg(F.sum("n").alias("n"), F.sum(F.col("n") * log).alias("s"), F.min("x").alias("a"), F.max("x").alias("b"), (F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("m")).collect()}
+    n = F.sum("n")
+
+    def moments(t: Column, middle: Column) -> tuple[Column, Column]:
+        """Mean and population variance of t, from its differences to what the mean is transformed to."""
+        d = t - middle
+        mean = F.sum(F.col("n") * d) / n
+        return mean, F.sum(F.col("n") * d * d) / n - mean * mean
+
+    count, logs = {k: r.n for k, r in first.items()}, {k: r.s for k, r in first.items()}
+    flat = [k not in first or first[k].a == first[k].b for k in range(len(columns))]
     bracket = {k: (-2.0, 2.0) for k in range(len(columns)) if not flat[k]}
     best = dict.fromkeys(range(len(columns)), 1.0)
     while open_ := {k: b for k, b in bracket.items() if b[1] - b[0] > tolerance}:
         steps = {k: [a + (b - a) * i / (CANDIDATES - 1) for i in range(CANDIDATES)] for k, (a, b) in open_.items()}
         # The candidates are data, so that all passes share their compiled code.
-        each = F.explode(F.from_json(F.lit(json.dumps([{"k": k, "i": i, "e": e} for k, some in steps.items() for i, e in enumerate(some)])), "array<struct<k:int,i:int,e:double>>"))
-        rows = df.select(F.array(*usable.values()).alias("x"), each.alias("c")).select("c.k", "c.i", transformed(F.get("x", "c.k"), F.col("c.e")).alias("t"))
-        got = {(r.k, r.i): r.spread for r in rows.groupBy("k", "i").agg(F.var_pop("t").alias("spread")).collect()}
+        tried = F.from_json(F.lit(json.dumps([{"of": k, "i": i, "e": e, "m": first[k].m} for k, some in steps.items() for i, e in enumerate(some)])), "array<struct<of:int,i:int,e:double,m:double>>")
+        rows = values.select("k", "x", "n", F.explode(F.filter(tried, lambda c: c["of"] == F.col("k"))).alias("c"))
+        rows = rows.select("k", "c.i", "n", (transformed(F.col("x"), F.col("c.e")) - transformed(F.col("c.m"), F.col("c.e"))).alias("t"))
+        got = {(r.k, r.i): r.spread for r in rows.groupBy("k", "i").agg(moments(F.col("t"), F.lit(0.0))[1].alias("spread")).collect()}
         for k, some in steps.items():
 
             def likelihood(i: int, k: int = k, some: list[float] = some) -> float:
@@ -95,5 +109,12 @@ def fitted(df: DataFrame, columns: Sequence[str], tolerance: float = 1e-9) -> di
                 bracket[k] = (some[at] - width, some[at] + width)
             else:
                 bracket[k] = (some[max(at - 1, 0)], some[min(at + 1, CANDIDATES - 1)])
-    moments = df.agg(*(f(transformed(usable[c], best[k])).alias(f"{n}{k}") for k, c in enumerate(columns) for n, f in (("m", F.avg), ("d", F.stddev_pop)))).first()
-    return {c: Power(best[k], moments[f"m{k}"] or 0.0, 1.0 if flat[k] else moments[f"d{k}"] or 1.0) for k, c in enumerate(columns)}
+    found = {}
+    for k, c in enumerate(columns):
+        if k not in first:
+            found[c] = Power(best[k])
+            continue
+        middle = transformed(F.lit(float(first[k].m)), best[k])
+        off, spread, at = values.filter(F.col("k") == k).select("x", "n").agg(*moments(transformed(F.col("x"), best[k]), middle), F.first(middle)).first()
+        found[c] = Power(best[k], at + off, 1.0 if flat[k] else math.sqrt(max(spread, 0.0)) or 1.0)
+    return found

@@ -92,6 +92,23 @@ def test_power_transform(spark):
     assert unreached[0] is None and unreached[1] == pytest.approx(1 - 14.5 ** (1 / 1.5))
 
 
+def test_power_transform_of_repeated_values(spark, monkeypatch):
+    """Exponents come from different values and their counts, nulls and infinities apart."""
+    r = random.Random(6)
+    few = [r.lognormvariate(2, 0.7) for _ in range(40)]
+    rows = [(r.choice(few), 3.0, None) for _ in range(5000)] + [(None, None, None), (math.inf, math.nan, None)]
+    tables = []
+    monkeypatch.setattr(power, "written", lambda d, what, plain=graph.written: tables.append(plain(d, what)) or tables[-1])
+    got = power.fitted(spark.createDataFrame(rows, "a double, b double, c double").repartition(4), ["a", "b", "c"])
+    assert tables[0].count() == len({a for a, _, _ in rows[:5000]}) + 1
+    x = np.array([a for a, _, _ in rows[:5000]])
+    t = lambda e: ((1 + x) ** e - 1) / e
+    likely = lambda e: -len(x) / 2 * math.log(t(e).var()) + (e - 1) * np.log1p(x).sum()
+    e = got["a"].exponent
+    assert likely(e) >= max(likely(e - 1e-3), likely(e + 1e-3)) and got["a"].mean == pytest.approx(t(e).mean()) and got["a"].deviation == pytest.approx(t(e).std())
+    assert (got["b"].exponent, got["b"].mean, got["b"].deviation) == (1.0, 3.0, 1.0) and got["c"] == power.Power(1.0)
+
+
 def test_pairs_of_a_library_with_a_constant_frame(spark, monkeypatch):
     """Equal to brute force, also where buckets are cut several times; the pairs looked at stay near the answer."""
     r = random.Random(5)

@@ -7,29 +7,70 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from helixframe.functions.dna import hamming
 from helixframe.operators.graph import written
 from helixframe.operators.relational import hamming_totals, nearest, small_side
 
 
-def _differences(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """Differing bytes of strings of equal lengths, row by row: one comparison of all their bytes."""
-    x, y = a.cast(pa.binary()).to_pylist(), b.cast(pa.binary()).to_pylist()
-    size = np.array([len(v) for v in x])
-    differ = np.frombuffer(b"".join(x), np.uint8) != np.frombuffer(b"".join(y), np.uint8)
-    total = np.concatenate([[0], np.cumsum(differ)])
-    end = np.cumsum(size)
-    return total[end] - total[end - size]
+def _letters(s: pa.Array) -> np.ndarray:
+    """A row for each string of one length, a column for each character."""
+    text = "".join(s.to_pylist())
+    found = np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return found.reshape(len(s), -1)
 
 
-CROWD = 512  # sequences of a bucket that are compared with each other
+class _Packed:
+    """Strings of one length as rows of 64-bit words, in which each place where any of them differ has a field of `bits` bits."""
+
+    def __init__(self, s: pa.Array):
+        letters = _letters(s)
+        self.length = letters.shape[1]
+        self.places = np.flatnonzero((letters != letters[0]).any(0))
+        letters = letters[:, self.places]
+        kinds = np.unique(letters)
+        self.bits = max(1, int(len(kinds) - 1).bit_length())
+        self.fields = 64 // self.bits
+        self.words = np.zeros((len(letters), max(1, -(-len(self.places) // self.fields))), np.uint64)
+        for k in range(len(self.places)):
+            self.words[:, k // self.fields] |= np.searchsorted(kinds, letters[:, k]).astype(np.uint64) << np.uint64(self.bits * (k % self.fields))
+        self.low = np.uint64(sum(1 << (self.bits * f) for f in range(self.fields)))
+
+    def masks(self, part: np.ndarray, parts: int) -> np.ndarray:
+        """(..., parts, words): full fields where a place is in a part; part: (..., place), below 0 for none."""
+        out = np.zeros((*part.shape[:-1], parts, self.words.shape[1]), np.uint64)
+        for k, place in enumerate(self.places.tolist()):
+            held = np.nonzero(part[..., place] >= 0)
+            out[(*held, part[(*held, place)], k // self.fields)] |= np.uint64(((1 << self.bits) - 1) << (self.bits * (k % self.fields)))
+        return out
+
+    def distances(self, differ: np.ndarray) -> np.ndarray:
+        """Fields that are not 0, of each row."""
+        out = 0
+        for word in differ.T:
+            found = word | word >> np.uint64(1) if self.bits > 1 else word.copy()
+            for s in range(2, self.bits):
+                found |= word >> np.uint64(s)
+            found &= self.low
+            out = out + np.bitwise_count(found).astype(np.uint8 if len(self.places) < 256 else np.int64, copy=False)
+        return out
+
+
+def _differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What differs between packed strings, row by row."""
+    return a ^ b
+
+
+CROWD = 8192  # sequences of a bucket that are compared with each other
+CANDIDATES = 1 << 15  # pairs that are compared at once
 
 
 def _parts(rows: DataFrame, group: Sequence[str], parts: int) -> DataFrame:
-    """group, varies, places: the positions (1-based) at which a group's sequences differ, dealt to parts of like information, each an array.
+    """group, varies, places, deal: the positions (1-based) at which a group's sequences differ, dealt to parts of like information, each an array; and the part of each position, `-` for none.
 
     By falling entropy, forth and back over the parts; a position where all agree tells nothing and is in none.
     """
@@ -39,51 +80,130 @@ def _parts(rows: DataFrame, group: Sequence[str], parts: int) -> DataFrame:
     turn = F.pmod(F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("bits"), "at")) - 1, F.lit(2 * parts))
     dealt = bits.withColumn("part", F.when(turn < parts, turn).otherwise(2 * parts - 1 - turn))
     places = F.array(*(F.sort_array(F.collect_list(F.when(F.col("part") == p, F.col("at") + 1))) for p in range(parts)))
-    return dealt.groupBy(*group).agg(F.count("*").alias("varies"), places.alias("places"))
-
-
-def within_distance(df: DataFrame, seq: str, most: int, by: Sequence[str] = (), crowd: int = CROWD) -> DataFrame:
-    """(by, a, b) a < b: pairs of distinct sequences of one length within a Hamming distance.
-
-    The positions at which the sequences of a length differ are dealt to most + 2
-    parts of like information; a pair within the distance agrees on two of them, and
-    meets in the bucket of these two. What a constant frame holds is in no part. A
-    bucket of more than `crowd` sequences is cut anew, by the positions at which its own
-    sequences differ, and so on until its buckets are small or so few positions are
-    left that most of its pairs are near.
+    part_of = F.map_from_entries(F.collect_list(F.struct("at", F.char(F.col("part") + 48))))
+    deal = F.array_join(F.transform(F.sequence(F.lit(1), F.col("len")), lambda at: F.coalesce(F.element_at("part_of", at - 1), F.lit("-"))), "")
+    return dealt.groupBy(*group).agg(F.count("*").alias("varies"), places.alias("places"), part_of.alias("part_of")).withColumn("deal", deal).drop("part_of")
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, from batches in which a group's rows follow each other, and each group's first row."""
+    held = None
+    for batch in batches:
+        some = pa.Table.from_batches([batch])
+        held = (some if held is None else pa.concat_tables([held, some])).combine_chunks()
+        if held.num_rows > 1:
+            other = np.zeros(held.num_rows - 1, bool)
+            for k in keys:
+                other |= pc.not_equal(held.column(k).slice(1), held.column(k).slice(0, held.num_rows - 1)).to_numpy()
+            first = np.concatenate([[0], np.flatnonzero(other) + 1])
+            if len(first) > 1:
+                yield held.slice(0, first[-1]).combine_chunks(), first[:-1]
+                held = held.slice(first[-1])
+    if held is not None and held.num_rows:
+        yield held.combine_chunks(), np.array([0])
+
+
+def _near(rows: DataFrame, by: Sequence[str], most: int, given: Sequence[str], crowd: int) -> DataFrame:
+    """(by, a_x, b_x for each x of `given`): pairs of different s within the distance, a_s < b_s, each once. rows: a table of by, s and what is given; s is distinct within by.
+
+    Nothing is shuffled but the buckets' rows. A pair may meet in several buckets, and
+    counts in the first: that of the first two parts on which it agrees, at each
+    cut. `cuts` has for each cut the number of the two parts and each position's part.
     """
     parts = most + 2
     two = list(combinations(range(parts), 2))
+    carried = ["s", *(c for c in given if c != "s")]
     group = [*by, "len", "path"]
-    rows = df.select(*by, F.col(seq).alias("s")).distinct().select(*by, "s", F.length("s").alias("len"), F.lit(0).cast("long").alias("path"))
-    rows = written(rows, "sequences")
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select(*by, *carried, F.length("s").cast("int").alias("len"), F.lit(0).cast("long").alias("path"), F.lit("").alias("cuts")).na.drop(subset=[*by, "s"])
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def first_meeting(packed: _Packed, cuts: pa.Array, kind: np.ndarray, differ: np.ndarray) -> np.ndarray:
+        """Whether pairs, of the given ones of some cuts, meet in no bucket before, and not by equal hashes of different parts."""
+        told = _letters(cuts).reshape(len(cuts), -1, packed.length + 1).astype(int) - 48
+        i, j = (np.array(two)[told[:, :, 0]][..., k, None] for k in range(2))
+        p = np.arange(parts)
+        alike = (p == i) | (p == j)
+        free = ~alike & (p > j)
+        masks = packed.masks(told[:, :, 1:], parts)
+        ok = np.ones(len(differ), bool)
+        for cut in range(told.shape[1]):
+            for p in range(parts):
+                ok &= free[kind, cut, p] | (alike[kind, cut, p] ^ (differ & masks[kind, cut, p]).any(1))
+        return ok
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(_differences(batch.column("a"), batch.column("b")) <= most))
-
-    def compared(some: DataFrame) -> DataFrame:
-        # A given number of partitions: the join yields more rows than its small input would make Spark expect.
-        dealt = some.select(*group, "s").repartition(tasks, *group)
-        pairs = dealt.withColumnRenamed("s", "a").join(dealt.withColumnRenamed("s", "b"), group).filter("a < b").select(*by, "a", "b")
-        return pairs.mapInArrow(near, pairs.schema)
+        for table, first in _whole_groups(batches, group):
+            length = table.column("len").to_numpy()
+            runs = [*first[np.flatnonzero(np.concatenate([[True], length[first[1:]] != length[first[:-1]]]))], table.num_rows]
+            last = np.repeat(np.append(first[1:], table.num_rows), np.diff(np.append(first, table.num_rows)))
+            for begin, end in zip(runs[:-1], runs[1:], strict=True):
+                some = table.slice(begin, end - begin).combine_chunks()
+                after = last[begin:end] - np.arange(begin, end) - 1  # rows of the group behind each row
+                if not after.any():
+                    continue
+                packed = _Packed(some.column("s").chunk(0))
+                words = packed.words if packed.words.shape[1] > 1 else packed.words.ravel()
+                cuts = some.column("cuts").chunk(0).dictionary_encode()
+                kind = cuts.indices.to_numpy()
+                total = np.concatenate([[0], np.cumsum(after)])
+                row, held, count = 0, [], 0
+                while row < len(after):
+                    stop = max(row + 1, int(np.searchsorted(total, total[row] + CANDIDATES, "right")) - 1)
+                    n = after[row:stop]
+                    differ = _differences(np.repeat(words[row:stop], n, axis=0), np.concatenate([words[r : r + k] for r, k in zip(range(row + 1, stop + 1), n.tolist(), strict=True)]))
+                    differ = differ.reshape(-1, packed.words.shape[1])
+                    distance = packed.distances(differ)
+                    close = np.flatnonzero((distance <= most) & (distance > 0))
+                    a = np.searchsorted(total, total[row] + close, "right") - 1
+                    held.append((a, a + 1 + total[row] + close - total[a], differ[close]))
+                    count, row = count + len(close), stop
+                    if count and (count > CANDIDATES or row == len(after)):
+                        a, b, differ = (np.concatenate(x) for x in zip(*held, strict=True))
+                        ok = first_meeting(packed, cuts.dictionary, kind[a], differ)
+                        a, b, held, count = pa.array(a[ok]), pa.array(b[ok]), [], 0
+                        columns = [*(some.column(c).take(a) for c in by), *(some.column(c).take(x) for x in (a, b) for c in given)]
+                        yield pa.RecordBatch.from_arrays([c.combine_chunks() for c in columns], names)
+
+    names = [*by, *(f"{side}_{c}" for side in "ab" for c in given)]
+
+    def compared(some: DataFrame, tasks: int) -> DataFrame:
+        # By rising s within a group, so that a < b; the path is first, as its order is cheap.
+        dealt = some.select(*group, "cuts", *carried).repartition(tasks, *group).sortWithinPartitions("path", *by, "len", "s")
+        kinds = {f.name: f.dataType for f in dealt.schema}
+        schema = StructType([StructField(n, kinds[c]) for n, c in zip(names, [*by, *given, *given], strict=True)])
+        return dealt.mapInArrow(near, schema)
 
     found = None
     while True:
+        tasks = max(least, -(-rows.count() * len(two) // 1_000_000))
         placed = rows.join(small_side(written(_parts(rows, group, parts), "positions")), group)
-        own = [F.array_join(F.transform(F.get("places", F.lit(p)), lambda at: F.substr(F.col("s"), at, F.lit(1))), "") for p in range(parts)]
-        wide = placed.filter(F.col("varies") >= parts).select(*group, "s", *(k.alias(f"k{p}") for p, k in enumerate(own)))
-        keys = F.explode(F.array(*(F.xxhash64("path", F.lit(t), f"k{i}", f"k{j}") for t, (i, j) in enumerate(two)))).alias("path")
-        buckets = wide.select(*by, "len", "s", keys)
+        own = [F.xxhash64(F.array_join(F.transform(F.get("places", F.lit(p)), lambda at: F.substr(F.col("s"), at, F.lit(1))), "")) for p in range(parts)]
+        wide = written(placed.filter(F.col("varies") >= parts).select(*group, "cuts", "deal", *carried, *(k.alias(f"k{p}") for p, k in enumerate(own))), "keys")
+        keys = F.explode(F.array(*(F.struct(F.xxhash64("path", F.lit(t), f"k{i}", f"k{j}").alias("path"), F.concat("cuts", F.lit(chr(48 + t)), "deal").alias("cuts")) for t, (i, j) in enumerate(two)))).alias("key")
+        buckets = wide.select(*by, "len", *carried, keys).select(*by, "len", *carried, "key.*")
         crowded = written(buckets.groupBy(*group).agg(F.count("*").alias("n")).filter(F.col("n") > crowd).drop("n"), "crowded")
-        full = small_side(crowded)
-        tight = compared(placed.filter(F.col("varies") < parts)).unionByName(compared(buckets.join(full, group, "left_anti")))
+        none = crowded.isEmpty()
+        full = crowded if none else small_side(crowded)
+        tight = compared(placed.filter(F.col("varies") < parts), least).unionByName(compared(buckets if none else buckets.join(full, group, "left_anti"), tasks))
         found = tight if found is None else found.unionByName(tight)
-        if crowded.isEmpty():
-            return found.distinct()
-        rows = written(buckets.join(full, group, "left_semi"), "sequences")
+        if none:
+            return found
+        rows = written(buckets.join(full, group, "left_semi").select(*group, "cuts", *carried), "sequences")
+
+
+def within_distance(df: DataFrame, seq: str, most: int, by: Sequence[str] = (), crowd: int = CROWD) -> DataFrame:
+    """(by, a, b) a < b: pairs of distinct sequences of one length within a Hamming distance.
+
+    The positions at which the sequences of a length differ are dealt to most + 2
+    parts of like information; a pair within the distance agrees on two of them, and
+    meets in the bucket of these two. What a constant frame holds is in no part. A
+    bucket of more than `crowd` sequences is cut anew, by the positions at which its own
+    sequences differ, and so on until its buckets are small or so few positions are
+    left that most of its pairs are near. Buckets are compared by bits, and their
+    pairs leave the task as they are: the answer is not moved.
+    """
+    rows = written(df.select(*by, F.col(seq).alias("s")).distinct(), "sequences")
+    return _near(rows, by, most, ["s"], crowd).select(*by, F.col("a_s").alias("a"), F.col("b_s").alias("b"))
 
 
 def directional(counts: DataFrame, seq: str, n: str, by: Sequence[str] = (), ratio: float = 3, most: int = 2) -> DataFrame:

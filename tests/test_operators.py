@@ -138,6 +138,29 @@ def test_pairs_of_a_library_with_a_constant_frame(spark, monkeypatch):
     assert 0 < looked.value < 20 * len(want)
 
 
+def test_pairs_are_not_moved_once_found(spark):
+    """Each pair once, in groups of other lengths and letters, nulls apart, also where buckets are cut; no aggregate or join above the comparison."""
+    r = random.Random(9)
+    base = {(g, n): r.choices(letters, k=n) for g, letters in (("dna", "ACGT"), ("protein", "ACDEFGHIKLMNPQRSTVWY"), ("other", "aé語\U0001f600")) for n in (6, 9, 70)}
+    rows = set()
+    for (g, n), s in base.items():
+        letters = sorted(set(s)) + ["A"]
+        for _ in range(120):
+            other = s[:]
+            for at in r.choices(range(n), k=r.choice([1, 2, 3, 4])):
+                other[at] = r.choice(letters)
+            rows.add((g, "".join(other)))
+    want = {(g, a, b) for g, a in rows for h, b in rows if g == h and a.encode() < b.encode() and len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) <= 2}
+    df = spark.createDataFrame([*rows, ("dna", None), (None, "AAAAAA"), (None, "AAAAAC")], "g string, s string")
+    for crowd in (8, 8192):
+        found = clusters.within_distance(df, "s", 2, ["g"], crowd)
+        got = [tuple(x) for x in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("MapInArrow")]
+    assert "Aggregate" not in above and "Join" not in above
+
+
 def test_mann_whitney_against_pairs(spark):
     r = random.Random(2)
     rows = [(s, float(r.randint(0, 9)), r.randint(1, 4)) for s in "ab" for _ in range(30)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql.types import StructField, StructType
 
 from helixframe.functions.dna import hamming
 from helixframe.operators.graph import written
-from helixframe.operators.relational import hamming_totals, nearest, small_side
+from helixframe.operators.relational import hamming_totals, nearest, numbered, small_side
 
 
 def _letters(s: pa.Array) -> np.ndarray:
@@ -209,36 +210,45 @@ def within_distance(df: DataFrame, seq: str, most: int, by: Sequence[str] = (),
 def directional(counts: DataFrame, seq: str, n: str, by: Sequence[str] = (), ratio: float = 3, most: int = 2) -> DataFrame:
     """counts with `representative`: sequences by falling count join the first cluster of at least ratio times their count within the distance.
 
-    The greedy order is kept without walking it. Each sequence knows the earlier ones
-    within the distance. A round sums up, for each of these that is a cluster or may
-    become one, what it surely holds by then and what it may hold at the most. A
-    sequence is settled where no cluster can be large enough, or where the first one
-    that can be surely is. All settled ones of a round are settled together; the
-    first one left always is.
+    The greedy order is kept without walking it. Rows are numbered in this order, so
+    that pairs are four numbers. Each sequence x knows the earlier ones y within the distance. A
+    round sums up, for each of these that is a cluster or may become one, what it surely
+    holds by then and what it may hold at the most. A sequence is settled where no
+    cluster can be large enough, or where the first one that can be surely is. All
+    settled ones of a round are settled together; the first one left always is. Pairs of
+    which nothing can come, and those of settled sequences with other clusters, go.
     """
-    rows = counts.select(*by, F.col(seq).alias("s"), F.col(n).cast("long").alias("n"))
-    rows = written(rows.withColumn("id", F.monotonically_increasing_id()), "variants")
-    named = lambda c, x: rows.select(*by, F.col("s").alias(c), F.col("id").alias(x), F.col("n").alias(f"{x}n"))
-    pairs = within_distance(rows, "s", most, by).join(named("a", "p"), [*by, "a"]).join(named("b", "q"), [*by, "b"])
-    first = (F.col("pn") > F.col("qn")) | ((F.col("pn") == F.col("qn")) & (F.col("a") < F.col("b")))
-    early, late = F.struct(F.col("p").alias("id"), F.col("pn").alias("n"), F.col("a").alias("s")), F.struct(F.col("q").alias("id"), F.col("qn").alias("n"), F.col("b").alias("s"))
-    both = pairs.select(F.when(first, early).otherwise(late).alias("y"), F.when(first, late).otherwise(early).alias("x"))
-    edges = written(both.select("x.id", "x.n", "x.s", F.col("y.id").alias("y"), F.col("y.n").alias("yn"), F.col("y.s").alias("ys")), "variant-pairs")
-    later = edges.select("id").distinct().withColumn("__late", F.lit(True))
-    state = written(rows.join(later, "id", "left").select("id", F.when(F.col("__late").isNull(), F.col("id")).alias("rep")), "settled")
-    before = Window.partitionBy("y").orderBy(F.desc("n"), "s").rowsBetween(Window.unboundedPreceding, -1)
+    rows = written(counts.select(*by, F.col(seq).alias("s"), F.col(n).cast("long").alias("n")), "variants")
+    rows = numbered(rows.withColumn("__falling", -F.col("n")), ["__falling", "s", *by], "id").drop("__falling")
+    pairs = _near(rows, by, most, ["id", "n"], CROWD)
+    first = F.col("a_id") < F.col("b_id")
+    of = lambda c, x, y: F.when(first, F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}"))
+    edges = pairs.select(of("id", "b", "a").alias("id"), of("n", "b", "a").alias("n"), of("id", "a", "b").alias("y"), of("n", "a", "b").alias("yn"))
+    before = Window.partitionBy("y").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     so_far = lambda what: F.coalesce(F.sum(F.when(what, F.col("n"))).over(before), F.lit(0))
-    while not state.filter("rep is null").isEmpty():
-        known = edges.join(state, "id").join(state.select(F.col("id").alias("y"), F.col("rep").alias("yrep")), "y")
-        sums = known.withColumns({"sure": F.col("yn") + so_far(F.col("rep") == F.col("y")), "open": so_far(F.col("rep").isNull())}).filter("rep is null")
-        cluster, place = F.col("yrep") == F.col("y"), F.struct((-F.col("yn")).alias("k"), "ys", "y")
-        may = F.when((F.col("yrep").isNull() | cluster) & (F.col("sure") + F.col("open") >= ratio * F.col("n")), place)
-        does = F.when(cluster & (F.col("sure") >= ratio * F.col("n")), place)
-        found = sums.groupBy("id").agg(F.min(may).alias("may"), F.min(does).alias("does"))
-        settled = found.select("id", F.when(F.col("may").isNull(), F.col("id")).when(F.col("may.y") == F.col("does.y"), F.col("may.y")).alias("now"))
-        state = written(state.join(settled, "id", "left").select("id", F.coalesce("rep", "now").alias("rep")), "settled")
-    out = rows.join(state, "id").join(rows.select(F.col("id").alias("rep"), F.col("s").alias("representative")), "rep")
-    return out.select(*by, F.col("s").alias(seq), F.col("n").alias(n), "representative")
+    edges = edges.withColumn("most", F.col("yn") + so_far(F.lit(True))).filter(F.col("most") >= ratio * F.col("n")).drop("most")
+    edges = written(edges, "variant-pairs")
+    late = edges.select(F.col("id").alias("y")).distinct().withColumn("__late", F.lit(True))
+    # joined: x is in y's cluster, else x is open; cluster: whether y is one, null where that is open.
+    edges = written(edges.join(late, "y", "left").select("id", "n", "y", "yn", F.lit(False).alias("joined"), F.when(F.col("__late").isNull(), True).alias("cluster")), "variant-pairs")
+    done = []
+    while not edges.filter(~F.col("joined")).isEmpty():
+        sums = edges.filter("cluster is null or cluster").withColumns({"sure": F.col("yn") + so_far(F.col("joined")), "open": so_far(~F.col("joined"))})
+        may = F.when(F.col("sure") + F.col("open") >= ratio * F.col("n"), F.col("y"))
+        does = F.when(F.col("cluster") & (F.col("sure") >= ratio * F.col("n")), F.col("y"))
+        hopes = sums.filter(~F.col("joined")).select("id", may.alias("may"), does.alias("does"))
+        none = edges.filter("not cluster").select("id", F.lit(None).cast("long").alias("may"), F.lit(None).cast("long").alias("does"))
+        found = hopes.unionByName(none).groupBy("id").agg(F.min("may").alias("may"), F.min("does").alias("does"))
+        settled = written(found.select("id", F.when(F.col("may").isNull(), F.col("id")).when(F.col("may") == F.col("does"), F.col("may")).alias("now")).filter("now is not null"), "settled")
+        done.append(settled)
+        left = edges.join(settled, "id", "left").filter("joined or now is null or now = y").withColumn("joined", F.col("joined") | F.col("now").isNotNull())
+        left = left.drop("now").join(settled.select(F.col("id").alias("y"), F.col("now").alias("ynow")), "y", "left")
+        edges = written(left.select("id", "n", "y", "yn", "joined", F.coalesce("cluster", F.col("ynow") == F.col("y")).alias("cluster")).filter("not joined or cluster"), "variant-pairs")
+    name = F.col("s").alias("representative")
+    if not done:
+        return rows.select(*by, F.col("s").alias(seq), F.col("n").alias(n), name)
+    members = reduce(DataFrame.unionByName, done).filter("now <> id").join(rows.select(F.col("id").alias("now"), name), "now").select("id", "representative")
+    return rows.join(members, "id", "left").select(*by, F.col("s").alias(seq), F.col("n").alias(n), F.coalesce("representative", "s").alias("representative"))
 
 
 def medoids(df: DataFrame, seq: str, k: int, rounds: int = 10, seed: int = 42) -> DataFrame:

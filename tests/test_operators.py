@@ -272,6 +272,25 @@ def test_directional_clusters_equal_the_plain_loop(spark):
         assert {r.s: r.representative for r in got.collect()} == greedy(some)
 
 
+def test_pairs_of_directional_clusters_are_numbers(spark, monkeypatch):
+    """No sequence is written or moved with the pairs, and those of which nothing can come are dropped."""
+    kept = {}
+    plain = clusters.written
+
+    def noted(df, what):
+        out = plain(df, what)
+        kept.setdefault(what, []).append(out)
+        return out
+
+    monkeypatch.setattr(clusters, "written", noted)
+    counts = {"ACGTACGTACGT": 90, "ACGTACGTACGA": 9, "ACGTACGTACTT": 5, "TTTTACGTACGT": 4, "TTTTACGTACGG": 4}
+    got = clusters.directional(spark.createDataFrame(list(counts.items()), "s string, n long"), "s", "n")
+    assert {r.s: r.representative for r in got.collect()} == greedy(counts)
+    pairs = kept["variant-pairs"]
+    assert all(k.dataType.typeName() in ("long", "boolean") for df in pairs for k in df.schema)
+    assert pairs[0].count() == 2  # 90 takes 9 and 5; 9 and 5 are too near in count, as are 4 and 4
+
+
 def test_pairs_within_a_distance(spark):
     r = random.Random(1)
     seqs = ["".join(r.choice("AC") for _ in range(n)) for n in (8, 9, 2, 1) for _ in range(40)]

@@ -11,11 +11,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from helixframe.functions.dna import hamming
 from helixframe.operators.graph import written
-from helixframe.operators.relational import hamming_totals, nearest, numbered, small_side
+from helixframe.operators.relational import numbered, small_side
 
 
 def _letters(s: pa.Array) -> np.ndarray:
@@ -251,23 +250,123 @@ def directional(counts: DataFrame, seq: str, n: str, by: Sequence[str] = (), rat
     return rows.join(members, "id", "left").select(*by, F.col("s").alias(seq), F.col("n").alias(n), F.coalesce("representative", "s").alias("representative"))
 
 
-def medoids(df: DataFrame, seq: str, k: int, rounds: int = 10, seed: int = 42) -> DataFrame:
-    """df's distinct sequences with `medoid`: alternating nearest medoids and the member of least total distance in each cluster.
+def _by_length(s: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of strings of one length and their letters; nulls are in none."""
+    size = pc.utf8_length(s).fill_null(-1).to_numpy(zero_copy_only=False)
+    for length in np.unique(size[size >= 0]).tolist():
+        at = np.flatnonzero(size == length)
+        yield at, _letters(s.take(pa.array(at))) if length else np.zeros((len(at), 0), np.uint8)
 
-    Totals come from counts of residues at each position, so that no pairs are
-    made. Ends when the medoids repeat; fewer sequences than k are their own medoids.
+
+def _nearest_of(letters: np.ndarray, centres: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(number, distance) of each row's first nearest centre, over the shorter length."""
+    each = []
+    for c in centres:
+        n = min(letters.shape[1], len(c))
+        each.append((letters[:, :n] != c[:n]).sum(1, dtype=np.int32))
+    each = np.stack(each)
+    own = each.argmin(0)
+    return own, each[own, np.arange(len(own))]
+
+
+def to_centres(df: DataFrame, seq: str, centres: Sequence[str]) -> DataFrame:
+    """df with `medoid`, the first of the nearest of few given sequences, and `distance`, over the shorter length; null for nulls."""
+    told = [np.array([ord(x) for x in c], np.uint32) for c in centres]
+    names = pa.array(centres, pa.string())
+    schema = StructType([*df.schema.fields, StructField("medoid", StringType()), StructField("distance", IntegerType())])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, distance = np.full(batch.num_rows, -1, np.int32), np.zeros(batch.num_rows, np.int32)
+            for at, letters in _by_length(batch.column(seq)):
+                own[at], distance[at] = _nearest_of(letters, told)
+            yield pa.RecordBatch.from_arrays([*batch.columns, names.take(pa.array(own, mask=own < 0)), pa.array(distance, mask=own < 0)], schema.names)
+
+    return df.mapInArrow(placed, schema)
+
+
+def medoid_sequences(rows: DataFrame, seq: str, k: int, rounds: int = 10, seed: int = 42) -> list[str]:
+    """The k medoids, sorted, of a table of distinct sequences.
+
+    A round goes over the rows twice, and moves only counts of letters at each
+    position, and a task's best row of each cluster.
     """
-    rows = written(df.select(F.col(seq).alias("s")).distinct(), "sequences")
-    chosen = [r.s for r in rows.orderBy(F.xxhash64(F.lit(seed), "s"), "s").limit(k).collect()]
+    rows = rows.select(F.col(seq).alias("s"))
+    chosen = sorted(r.s for r in rows.orderBy(F.xxhash64(F.lit(seed), "s"), "s").limit(k).collect())
     seen = set()
     for _ in range(rounds):
-        if frozenset(chosen) in seen:
+        if not chosen or frozenset(chosen) in seen:
             break
         seen.add(frozenset(chosen))
-        placed = nearest(rows, "s", sorted(chosen), lambda a, b: hamming(a, b, strict=False)).select("s", F.col("centre").alias("medoid"))
-        totals = hamming_totals(placed, "s", "medoid")
-        chosen = [r.s for r in totals.groupBy("medoid").agg(F.min_by("s", F.struct("total", "s")).alias("s")).collect()]  # k rows
-    return nearest(rows, "s", sorted(chosen), lambda a, b: hamming(a, b, strict=False)).select(F.col("s").alias(seq), F.col("centre").alias("medoid"), "distance")
+        told = [np.array([ord(x) for x in c], np.uint32) for c in chosen]
+
+        def counted(batches: Iterator[pa.RecordBatch], told: list = told) -> Iterator[pa.RecordBatch]:
+            """Letters at each position of each cluster; position -1: its rows."""
+            ascii_, names = {}, ["medoid", "pos", "letter", "n"]
+            for batch in batches:
+                for at, letters in _by_length(batch.column("s")):
+                    own, _ = _nearest_of(letters, told)
+                    length = letters.shape[1]
+                    kinds = np.arange(256) if letters.dtype == np.uint8 else np.unique(letters)
+                    codes = letters if letters.dtype == np.uint8 else np.searchsorted(kinds, letters)
+                    cell = (own[:, None] * length + np.arange(length)) * len(kinds) + codes
+                    got = np.bincount(cell.ravel(), minlength=len(told) * length * len(kinds)).reshape(len(told), length, len(kinds))
+                    size = np.bincount(own, minlength=len(told))
+                    if letters.dtype == np.uint8:
+                        held = ascii_.setdefault(length, [np.zeros_like(got), np.zeros_like(size)])
+                        held[0] += got
+                        held[1] += size
+                    else:
+                        yield pa.RecordBatch.from_arrays(_cells(got, size, kinds), names)
+            for got, size in ascii_.values():
+                yield pa.RecordBatch.from_arrays(_cells(got, size, np.arange(256)), names)
+
+        profile = rows.mapInArrow(counted, "medoid int, pos int, letter int, n long").groupBy("medoid", "pos", "letter").agg(F.sum("n").alias("n")).toPandas()  # clusters by positions by letters
+        of_rows = profile["pos"] < 0
+        size = np.zeros(len(told), np.int64)
+        size[profile["medoid"][of_rows]] = profile["n"][of_rows]
+        profile = profile[~of_rows]
+        kinds = np.unique(profile["letter"])
+        same = np.zeros((len(told), int(profile["pos"].max()) + 1 if len(profile) else 0, len(kinds)), np.int64)
+        same[profile["medoid"], profile["pos"], np.searchsorted(kinds, profile["letter"])] = profile["n"]
+        sent = rows.sparkSession.sparkContext.broadcast((told, size, kinds, same))
+
+        def least(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            told, size, kinds, same = sent.value
+            best = {}
+            for batch in batches:
+                for at, letters in _by_length(batch.column("s")):
+                    own, _ = _nearest_of(letters, told)
+                    length = letters.shape[1]
+                    # An empty sequence differs from all others of its cluster.
+                    total = length * size[own] - same[own[:, None], np.arange(length), np.searchsorted(kinds, letters)].sum(1) if length else size[own] - 1
+                    for g in np.unique(own).tolist():
+                        mine = np.flatnonzero(own == g)
+                        first = mine[total[mine] == total[mine].min()]
+                        s = min(batch.column("s").take(pa.array(at[first])).to_pylist(), key=str.encode)
+                        best[g] = min([(int(total[first[0]]), s), *([best[g]] if g in best else [])], key=lambda x: (x[0], x[1].encode()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array([x[0] for x in best.values()], pa.int64()), pa.array([x[1] for x in best.values()], pa.string())], ["medoid", "total", "s"])
+
+        totals = rows.mapInArrow(least, "medoid int, total long, s string")
+        chosen = sorted(r.s for r in totals.groupBy("medoid").agg(F.min_by("s", F.struct("total", "s")).alias("s")).collect())  # k rows
+    return chosen
+
+
+def _cells(got: np.ndarray, size: np.ndarray, kinds: np.ndarray) -> list[pa.Array]:
+    g, pos, letter = np.nonzero(got)
+    own = np.flatnonzero(size)
+    columns = ((own, g), (np.full(len(own), -1), pos), (np.zeros(len(own), int), kinds[letter]))
+    return [*(pa.array(np.concatenate(c).astype(np.int32)) for c in columns), pa.array(np.concatenate([size[own], got[g, pos, letter]]).astype(np.int64))]
+
+
+def medoids(df: DataFrame, seq: str, k: int, rounds: int = 10, seed: int = 42) -> DataFrame:
+    """df's distinct sequences with `medoid`: alternating nearest medoids and the member of least total distance in each cluster.
+
+    Totals come from counts of residues at each position, so that no pairs are
+    made. Ends when the medoids repeat; fewer sequences than k are their own medoids.
+    """
+    rows = written(df.select(F.col(seq).alias(seq)).distinct(), "sequences")
+    return to_centres(rows, seq, medoid_sequences(rows, seq, k, rounds, seed))
 
 
 def standardised(df: DataFrame, features: Sequence[str]) -> DataFrame:

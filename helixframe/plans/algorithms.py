@@ -219,6 +219,7 @@ def length_buckets(spark, sf_dir):
 def sweep(spark, sf_dir):
     """For each proportion: kept residues, designs, their space, and the share of aligned sequences they cover."""
     from helixframe.operators import codons, profiles
+    from helixframe.operators.graph import written
     from helixframe.plans.core import alignment
 
     p = profiles.proportions(profiles.cells(alignment(spark, sf_dir), "seq", (), "seq_id"))
@@ -447,14 +448,16 @@ def motif_pools(spark, sf_dir):
 def binned(spark, sf_dir):
     """Sequences in bins by medoids, a design for each bin, and its space."""
     from helixframe.operators import codons, profiles
+    from helixframe.operators.graph import written
     from helixframe.plans.core import alignment
 
     rows = alignment(spark, sf_dir)
-    bins = clusters.medoids(rows, "seq", 3).select("seq", "medoid")
-    cells = profiles.cells(rows.join(bins, "seq"), "seq", ["medoid"], "seq_id")
+    centres = clusters.medoid_sequences(written(rows.select("seq").distinct(), "sequences"), "seq", 3)
+    rows = written(clusters.to_centres(rows.select("seq_id", "seq"), "seq", centres), "binned")
+    cells = profiles.cells(rows, "seq", ["medoid"], "seq_id")
     best = codons.best_codons(codons.columns_of(profiles.proportions(cells, ["medoid"]), ["medoid"]), codons.safe(codons.codon_table(spark)), codons.direct(), ["medoid", "pos"])
     space = codons.encoded_space(best, ["medoid"])
-    sizes = rows.join(bins, "seq").groupBy("medoid").agg(F.count("*").alias("rows"))
+    sizes = rows.groupBy("medoid").agg(F.count("*").alias("rows"))
     return sizes.join(space, "medoid").select("medoid", "rows", "space", r9("log10_space").alias("log10_space"))
 
 

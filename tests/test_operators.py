@@ -311,6 +311,32 @@ def test_medoids_and_ward(spark):
         assert len(set(labels.values())) == 3 and all(len({labels[i] for i in range(15 * k, 15 * k + 15)}) == 1 for k in range(3))
 
 
+def test_medoids_equal_the_plain_loop(spark, monkeypatch):
+    """Sequences of several lengths and letters, the empty one and a null, against plain loops; rows are not shuffled once they are distinct."""
+    r = random.Random(4)
+    rows = ["".join(r.choices(letters, k=n)) for letters in ("ACGT", "A-X", "Cé語") for n in (5, 5, 5, 6, 9) for _ in range(25)] + [""]
+    near = lambda a, b: sum(x != y for x, y in zip(a, b))  # noqa: E731, B905
+    distinct = sorted(set(rows), key=str.encode)
+    first = spark.createDataFrame([(s,) for s in distinct], "s string").orderBy(F.xxhash64(F.lit(42), "s"), "s").limit(3)
+    chosen, seen = sorted(x.s for x in first.collect()), set()
+    own = lambda s: min(chosen, key=lambda c: near(s, c))
+    for _ in range(10):
+        if frozenset(chosen) in seen:
+            break
+        seen.add(frozenset(chosen))
+        groups = {}
+        for s in distinct:
+            groups.setdefault(own(s), []).append(s)
+        total = lambda s, of: sum(x is not s and (len(s) == 0 or k >= len(x) or x[k] != s[k]) for x in of for k in range(max(1, len(s))))
+        chosen = sorted(min(of, key=lambda s: (total(s, of), s.encode())) for of in groups.values())
+    df = spark.createDataFrame([(s,) for s in rows], "s string")
+    got = clusters.medoids(df, "s", 3)
+    assert {x.s: (x.medoid, x.distance) for x in got.collect()} == {s: (own(s), near(s, own(s))) for s in distinct}
+    placed = clusters.to_centres(df.union(spark.createDataFrame([(None,)], "s string")), "s", chosen)
+    assert placed.count() == len(rows) + 1 and placed.filter("s is null").first().medoid is None
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def plain_ward(points, sizes, largest=9):
     """{row: cluster} by the whole matrix of all rows."""
     tree = clusters.ward_tree(points, sizes)

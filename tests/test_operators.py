@@ -365,6 +365,22 @@ def test_ward_by_rounds_equals_the_matrix(spark, monkeypatch, few, leaf, shape):
     assert [got[i] for i in range(len(pts))] == want.tolist()
 
 
+def test_leaves_merge_by_themselves(spark, monkeypatch):
+    """The tree of 700 rows in leaves of 16 equals that of the matrix, in far fewer rounds than turns of reciprocal neighbours."""
+    monkeypatch.setattr(agglomeration, "FEW", 30)
+    monkeypatch.setattr(agglomeration, "LEAF", 16)
+    rounds = []
+    plain = agglomeration.neighbours
+    monkeypatch.setattr(agglomeration, "neighbours", lambda *a: rounds.append(1) or plain(*a))
+    pts = np.random.default_rng(7).uniform(0, 1, (700, 2))
+    got = agglomeration.merges(spark.createDataFrame([(i, 1.0, p.tolist()) for i, p in enumerate(pts)], "id long, n double, x array<double>")).collect()
+    want = clusters.ward_tree(pts, np.ones(700))
+    assert {(x.i, x.j) for x in got} == set(want) and len(got) == 699
+    turns, left = agglomeration.merged_within(np.arange(700), np.ones(700), np.zeros(700), pts.copy(), *(np.zeros(s) for s in (0, (0, 2), (0, 2))))
+    assert {(int(i), int(j)) for a, b, _ in turns for i, j in zip(a, b, strict=True)} == set(want) and len(left[0]) == 1
+    assert 0 < len(rounds) < len(turns) / 2
+
+
 def test_ward_of_few_rows(spark):
     rows = spark.createDataFrame([(1, 0.0, 5.0), (2, 0.0, 5.0), (3, 1.0, 5.0)], "id long, x double, y double")
     assert {r.cluster for r in agglomeration.ward(rows, "id", ["x", "y"]).collect()} == {1}
